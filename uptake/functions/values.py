@@ -1,19 +1,19 @@
 """Normalisation of style values and token values.
 
-The result is one struct per value:
+The normal form of a value is four columns:
 
 * ``kind``   ``color`` | ``numeric`` | ``text`` | ``unsupported``
-* ``scalar`` the number of a numeric value
+* ``scalar`` the number of a numeric value; adding 0.0 makes -0.0 equal 0.0
 * ``unit``   its unit, empty for unitless
 * ``text``   the lower-case ``rrggbbaa`` of a colour, or the literal text
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import CLEAR_CONTEXTS
-from .text import let, remove_spaces, trim
+from .text import remove_spaces, trim
 
 # Accepted number spellings, units and context groups.
 NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
@@ -83,62 +83,80 @@ def text_fallback(category: Column, context: Column) -> Column:
     return category.isin(TEXT_FALLBACK) | context.isin(TEXT_FALLBACK)
 
 
-def _value(kind: str, scalar=None, unit=None, text=None) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        (F.lit(None) if scalar is None else scalar).cast("double").alias("scalar"),
-        (F.lit(None) if unit is None else unit).cast("string").alias("unit"),
-        (F.lit(None) if text is None else text).cast("string").alias("text"),
-    )
-
-
-def _length(clean: Column, compact: Column, suffix: str, plain_unit: Column, fallback: Column) -> Column:
-    """Number with a unit suffix, plain number, or something else."""
-    number = F.regexp_extract(compact, suffix, 1)
-    unit = F.lower(F.regexp_extract(compact, suffix, 2))
-    unsupported = F.when(fallback, _value("text", text=clean)).otherwise(_value("unsupported"))
-    with_unit = unit != ""
-    return (
-        F.when(with_unit & finite_number(number).isNotNull(), _value("numeric", finite_number(number), unit))
-        .when(with_unit & (number.rlike(NUMBER) | number.rlike(NON_FINITE_WORD)), unsupported)
-        .when(finite_number(compact).isNotNull(), _value("numeric", finite_number(compact), plain_unit))
-        .when(compact.rlike(NUMERIC_PREFIX), unsupported)
-        .otherwise(_value("text", text=clean))
-    )
-
-
-def css_length(clean: Column, category: Column, context: Column) -> Column:
-    plain_unit = F.when(context.isin(LAYOUT_CONTEXTS + ["layout"]), F.lit("px")).otherwise(F.lit(""))
-    return _length(clean, trim(clean), CSS_LENGTH, plain_unit, text_fallback(category, context))
-
-
-def compose_length(clean: Column, category: Column, context: Column) -> Column:
-    argb = F.when((category == "color") | (context == "color"), argb_color(clean))
-    return F.when(argb.isNotNull(), _value("color", text=argb)).otherwise(
-        _length(clean, remove_spaces(clean), COMPOSE_LENGTH, F.lit(""), text_fallback(category, context))
-    )
-
-
-def swift_scalar(clean: Column) -> Column:
-    """A finite number without unit, or text."""
-    compact = remove_spaces(clean)
-    return (
-        F.when(finite_number(compact).isNotNull(), _value("numeric", finite_number(compact), F.lit("")))
-        .when(compact.rlike(NUMBER) | compact.rlike(NON_FINITE_WORD), _value("unsupported"))
-        .otherwise(_value("text", text=clean))
-    )
-
-
-def normalize(language: Column, category: Column, context: Column, value: Column) -> Column:
-    """The normalised struct; ``context`` may be a context or a context class."""
-    return let(
-        clean_value(value),
-        lambda clean: F.when(clean == "", _value("unsupported"))
-        .when(hash_color(clean).isNotNull(), _value("color", text=hash_color(clean)))
-        .when(language == "compose", compose_length(clean, category, context))
-        .when(language == "swift", swift_scalar(clean))
-        .otherwise(css_length(clean, category, context)),
-    )
+def with_normal_form(df: DataFrame, category: str, context: str, value: str) -> DataFrame:
+    """Add ``kind``, ``scalar``, ``unit`` and ``text`` of a value column.
+
+    ``context`` may hold contexts or context classes; a null value has a null
+    kind.  Unused columns hold neutral values (0.0, empty), so that plain
+    equality on the four columns is the exact match.  ``inline`` keeps the
+    optimizer from copying the long expression into every filter and join
+    condition on the result.
+    """
+    lang, cat, ctx = F.col("language"), F.col(category), F.col(context)
+    compose, swift = lang == "compose", lang == "swift"
+    plain_unit = F.when(~compose & ~swift & ctx.isin([*LAYOUT_CONTEXTS, "layout"]), F.lit("px")).otherwise(F.lit(""))
+
+    def clean(r):
+        return F.struct(r.alias("raw"), clean_value(r).alias("clean"))
+
+    def color_and_compact(r):
+        argb = F.when(compose & ((cat == "color") | (ctx == "color")), argb_color(r["clean"]))
+        return F.struct(
+            r["raw"].alias("raw"), r["clean"].alias("clean"),
+            F.coalesce(hash_color(r["clean"]), argb).alias("color"),
+            F.when(compose | swift, remove_spaces(r["clean"])).otherwise(trim(r["clean"])).alias("compact"),
+        )
+
+    def suffix(r):
+        # Number (1) and unit (2) of a length with a known suffix.
+        def part(group: int) -> Column:
+            return (
+                F.when(swift, F.lit(""))
+                .when(compose, F.regexp_extract(r["compact"], COMPOSE_LENGTH, group))
+                .otherwise(F.regexp_extract(r["compact"], CSS_LENGTH, group))
+            )
+
+        has_unit = part(2) != ""
+        return F.struct(
+            r.alias("v"), F.lower(part(2)).alias("unit"),
+            F.when(has_unit, part(1)).otherwise(r["compact"]).alias("number"),
+        )
+
+    def number(r):
+        return F.struct(
+            r["v"].alias("v"), r["unit"].alias("unit"), finite_number(r["number"]).alias("scalar"),
+            (r["number"].rlike(NUMBER) | r["number"].rlike(NON_FINITE_WORD)).alias("spelled"),
+        )
+
+    def classified(r):
+        v, with_unit = r["v"], r["unit"] != ""
+        # Swift never falls back to text for a non-finite number.
+        unreadable = F.when(swift, r["spelled"]).otherwise(
+            ((with_unit & r["spelled"]) | v["compact"].rlike(NUMERIC_PREFIX)) & ~text_fallback(cat, ctx))
+        kind = (
+            F.when(v["raw"].isNull(), None).when(v["clean"] == "", "unsupported")
+            .when(v["color"].isNotNull(), "color").when(r["scalar"].isNotNull(), "numeric")
+            .when(unreadable, "unsupported").otherwise("text")
+        )
+        return F.struct(
+            kind.alias("kind"), r["scalar"].alias("scalar"),
+            F.when(with_unit, r["unit"]).otherwise(plain_unit).alias("unit"),
+            v["color"].alias("color"), v["clean"].alias("clean"),
+        )
+
+    def normal(r):
+        kind, numeric = r["kind"], F.coalesce(r["kind"] == "numeric", F.lit(False))
+        return F.struct(
+            kind.alias("kind"),
+            F.when(numeric, r["scalar"]).otherwise(F.lit(0.0)).alias("scalar"),
+            F.when(numeric, r["unit"]).otherwise(F.lit("")).alias("unit"),
+            F.when(kind == "color", r["color"]).when(kind == "text", r["clean"]).otherwise(F.lit("")).alias("text"),
+        )
+
+    rows = F.array(F.col(value))
+    for step in (clean, color_and_compact, suffix, number, classified, normal):
+        rows = F.transform(rows, step)
+    return df.select("*", F.inline(rows))
 
 
 def confidence(classification: Column, context: Column, multiple: Column) -> Column:

@@ -9,31 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.values import CONTEXT_CLASSES, confidence, context_class, near_allowed, normalize
+from ..functions.values import CONTEXT_CLASSES, confidence, context_class, near_allowed, with_normal_form
 from ..schemas import CATEGORIES, CLEAR_CONTEXTS, CONFIDENCES, CONTEXTS, DEFAULT_NUMERIC_TOLERANCE, KEYS, RUN
 
 VALUE_KEY = ["category", "context", "value"]
 _MATCH = ["kind", "unit", "scalar", "text"]
 
 
-def _spread(df: DataFrame, value: Column) -> DataFrame:
-    """Flatten the normalised struct; joins compare the plain columns.
-
-    Unused columns hold neutral values, so plain equality compares them and no
-    null-safe condition is needed.  Adding 0.0 makes -0.0 and 0.0 one key.
-    """
-    return (
-        df.withColumn("_n", value)
-        .withColumns({
-            "kind": F.col("_n.kind"),
-            "unit": F.coalesce("_n.unit", F.lit("")),
-            "scalar": F.coalesce("_n.scalar", F.lit(0.0)) + F.lit(0.0),
-            "text": F.coalesce("_n.text", F.lit("")),
-        })
-        .drop("_n")
-    )
-
-
 def normalized_tokens(tokens: DataFrame, by=KEYS) -> DataFrame:
     """Every token under each of the five context classes.
 
@@ -45,22 +27,14 @@ def normalized_tokens(tokens: DataFrame, by=KEYS) -> DataFrame:
         *by, "category", F.col("id").alias("token_id"), F.col("key").alias("token_key"),
         F.col("value").alias("canonical_value"), F.explode(classes).alias("context_class"),
     )
-    return _spread(
-        spread,
-        F.when(
-            F.col("canonical_value").isNotNull(),
-            normalize(F.col("language"), F.col("category"), F.col("context_class"), F.col("canonical_value")),
-        ),
-    )
+    return with_normal_form(spread, "category", "context_class", "canonical_value")
 
 
 def observed_values(sites: DataFrame, by=KEYS) -> DataFrame:
     """Distinct (scope, category, context, value) with its normal form."""
     distinct = sites.select(*by, *VALUE_KEY).distinct()
-    return _spread(
-        distinct.withColumn("context_class", context_class(F.col("context"))),
-        normalize(F.col("language"), F.col("category"), F.col("context"), F.col("value")),
-    )
+    classed = distinct.withColumn("context_class", context_class(F.col("context")))
+    return with_normal_form(classed, "category", "context", "value")
 
 
 def nearest_scalars(observed: DataFrame, tokens: DataFrame, tolerance: float, group: list[str]) -> DataFrame:
