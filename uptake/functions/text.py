@@ -9,8 +9,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Unicode white space, as a Java character class.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The Unicode white space characters.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = "[" + BLANKS + "]"
 
 
 def let(value: Column, body) -> Column:
@@ -19,16 +20,15 @@ def let(value: Column, body) -> Column:
 
 
 def trim_start(s: Column) -> Column:
-    return F.regexp_replace(s, rf"\A{SPACE}++", "")
+    return F.ltrim(s, F.lit(BLANKS))
 
 
 def trim_end(s: Column) -> Column:
-    # The look-behind keeps long inner runs of blanks linear.
-    return F.regexp_replace(s, rf"(?<!{SPACE}){SPACE}++\z", "")
+    return F.rtrim(s, F.lit(BLANKS))
 
 
 def trim(s: Column) -> Column:
-    return trim_end(trim_start(s))
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def remove_spaces(s: Column) -> Column:
@@ -44,7 +44,7 @@ def byte_len(s: Column) -> Column:
 def lines_of(content: Column) -> Column:
     """Array of lines; ``\\n`` or ``\\r\\n`` ends a line, no empty last line."""
     return let(
-        F.split(content, "\r?\n"),
+        F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n"),
         lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
     )
 
@@ -62,12 +62,12 @@ def scannable_lines(lines: DataFrame) -> DataFrame:
 
     ``start_col`` is the byte offset of the first non-blank character.
     """
-    lead = F.regexp_extract("text", rf"\A{SPACE}*+", 0)
+    lead = byte_len(F.col("text")) - byte_len(trim_start(F.col("text")))
     code = trim_end(F.substring_index(trim_start(F.col("text")), "//", 1))
     return (
         lines.withColumn("code", code)
         .filter(F.col("code") != "")
-        .withColumn("start_col", byte_len(lead).cast("bigint"))
+        .withColumn("start_col", lead.cast("bigint"))
     )
 
 

@@ -8,9 +8,10 @@ from ..functions.identity import site_id
 from ..functions.text import explode_lines, find_all, mask_strings, scannable_lines
 
 FILE = ["repo_id", "snapshot_id", "language", "path"]
-WORD_CALL = r"(?<![A-Za-z0-9_.])[A-Za-z0-9_]++\("
-# Runs that may hold a dotted, dashed or non-ASCII alias directly before "(".
+# A run of name characters directly before "(", and where a symbol may start in
+# it: after anything but an ASCII letter, digit, underscore or dot.
 NAME_CALL = r"[\p{L}\p{N}_.$-]++\("
+SYMBOL_START = r"(?<=[^A-Za-z0-9_.])"
 
 
 def masked_lines(files: DataFrame) -> DataFrame:
@@ -18,41 +19,24 @@ def masked_lines(files: DataFrame) -> DataFrame:
     return scannable_lines(explode_lines(files)).withColumn("masked", mask_strings(F.col("code")))
 
 
-def _calls(lines: DataFrame, pattern: str) -> DataFrame:
-    hits = lines.filter(F.col("masked").rlike(pattern)).select(
-        *FILE, "line", "start_col", F.explode(find_all(F.col("masked"), pattern)).alias("h"))
-    return hits.select(
-        *FILE, "line", F.col("start_col").alias("_base"), F.col("h.start").alias("_start"),
-        F.rtrim("h.text", F.lit("(")).alias("_run"))
-
-
 def symbol_calls(files: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every ``symbol(`` call of a registry symbol or alias.
 
-    Calls are tokenised once per line and meet the aliases in an equi join, so
-    the cost does not grow with the registry.  Aliases that are not plain words
-    are looked up among the suffixes of longer name runs.
+    Each line is tokenised once and the called names meet the aliases in an
+    equi join, so the cost does not grow with the registry.
     """
-    lines = masked_lines(files)
+    hits = masked_lines(files).filter(F.contains("masked", F.lit("("))).select(
+        *FILE, "line", "start_col", F.explode(find_all(F.col("masked"), NAME_CALL)).alias("h"))
+    runs = hits.select(
+        *FILE, "line", F.rtrim("h.text", F.lit("(")).alias("run"),
+        (F.col("start_col") + F.col("h.start") + 1).alias("run_col"))
+    parts = F.split("run", SYMBOL_START)
+    suffixes = F.transform(parts, lambda _p, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ""))
+    called = runs.select(*FILE, "line", "run", "run_col", F.explode(suffixes).alias("symbol")).select(
+        *FILE, "line", "symbol",
+        (F.col("run_col") + F.octet_length("run") - F.octet_length("symbol")).alias("col"))
     named = aliases.select("repo_id", "language", F.col("call_symbol").alias("symbol"), "registry_symbol")
-    plain = F.col("symbol").rlike(r"\A[A-Za-z0-9_]+\z")
-
-    words = _calls(lines, WORD_CALL).select(
-        *FILE, "line", (F.col("_base") + F.col("_start") + 1).alias("col"), F.col("_run").alias("symbol"))
-
-    # A suffix may start where the byte before it is no name character or dot.
-    runs = _calls(lines, NAME_CALL).filter(F.col("_run").rlike(r"[^A-Za-z0-9_]"))
-    parts = runs.select(*FILE, "line", "_base", "_start", "_run", F.posexplode(
-        F.split("_run", r"(?<=[^A-Za-z0-9_.])")).alias("_i", "_part"), F.split("_run", r"(?<=[^A-Za-z0-9_.])").alias("_parts"))
-    suffix = F.array_join(F.slice("_parts", F.col("_i") + 1, F.size("_parts")), "")
-    others = parts.select(
-        *FILE, "line",
-        (F.col("_base") + F.col("_start") + F.octet_length("_run") - F.octet_length(suffix) + 1).alias("col"),
-        suffix.alias("symbol"))
-
-    sites = words.join(named.filter(plain), ["repo_id", "language", "symbol"]).unionByName(
-        others.join(named.filter(~plain), ["repo_id", "language", "symbol"]))
-    return sites.select(
+    return called.join(named, ["repo_id", "language", "symbol"]).select(
         "repo_id", "snapshot_id", "language",
         site_id(F.concat(F.lit("usage."), F.col("path")), "line", "col", "symbol").alias("id"),
         F.col("path").alias("file"), "line", "col", "symbol", F.lit("resolved").alias("match_status"), "registry_symbol",

@@ -11,6 +11,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
+TEXTS = ("documents", "pages")
+
 LANGUAGE = "CASE {k} % 3 WHEN 0 THEN 'compose' WHEN 1 THEN 'react' ELSE 'swift' END"
 CATEGORY = (
     "CASE {k} % 5 WHEN 0 THEN 'color' WHEN 1 THEN 'spacing' WHEN 2 THEN 'typography' "
@@ -135,7 +139,8 @@ class Facts:
                 sql = VIEWS[name]
                 self._cache[name] = self.spark.sql(sql, **{n: self[n] for n in _names(sql)})
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = spread(table) if name in TEXTS else table
         return self._cache[name]
 
 

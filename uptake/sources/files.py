@@ -24,6 +24,17 @@ ROOT_NOT_FOUND = "root_not_found"
 ROOT_GLOB_NOT_FOUND = "root_glob_not_found"
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Give every core work when a text table has fewer files than cores.
+
+    A single row group is read by one task and text work is heavy per row, so
+    one shuffle of the raw rows pays off.  Tables with many files are left
+    alone; they are parallel already.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if len(files.inputFiles()) < cores else files
+
+
 def is_language_file(path: Column, language: str) -> Column:
     """Does the extension belong to the language (``.d.ts`` does not)."""
     if language not in LANGUAGE_EXTENSIONS:
