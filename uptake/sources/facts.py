@@ -47,7 +47,7 @@ def scan_runs(facts: DataFrame) -> DataFrame:
 
 def read_scan_facts(spark: SparkSession, path: str, repo_id: str) -> dict[str, DataFrame]:
     """Every fact table of the JSON documents below ``path``."""
-    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     facts = parse_facts(docs.select(F.lit(repo_id).alias("repo_id"), F.col("value").alias("doc")))
     return {**{c: fact_table(facts, c) for c in COLLECTIONS}, "scan_runs": scan_runs(facts)}
 

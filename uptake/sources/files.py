@@ -52,13 +52,13 @@ def read_source_files(spark: SparkSession, root: str, language: str, repo_id: st
     The file name filter runs while listing, before any content is read.
     """
     exts = LANGUAGE_EXTENSIONS.get(language)
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if exts:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
     full = F.col("_metadata.file_path")
     base = root.rstrip("/") + "/"
     rel = F.substring_index(F.url_decode(F.replace(full, F.lit("+"), F.lit("%2B"))), base, -1)
-    files = reader.text(root).select(rel.alias("path"), F.col("value").alias("content"))
+    files = reader.text(root, wholetext=True).select(rel.alias("path"), F.col("value").alias("content"))
     return select_language(files, language).select(
         F.lit(repo_id).alias("repo_id"), F.lit(snapshot_id).alias("snapshot_id"), "language", "path",
         extension(F.col("path")).alias("ext"), "content",

@@ -12,7 +12,7 @@ REGISTRY_KEY = ["repo_id", "language"]
 
 def read_registries(spark: SparkSession, path: str) -> DataFrame:
     """One raw JSON document per file, with the file it came from."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("doc"))
 
 
