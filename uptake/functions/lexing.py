@@ -44,15 +44,19 @@ def blank(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda p: F.repeat(F.lit(" "), byte_len(p))), "\n")
 
 
-def mask(content: Column, lexemes: str) -> Column:
-    """Blank every comment or literal that ``lexemes`` matches, byte for byte."""
+def mask(content: Column, lexemes: str, comments_only: bool = False) -> Column:
+    """Blank every comment (and literal) that ``lexemes`` matches, byte for byte."""
+    def shown(lexeme):
+        kept = F.when(F.startswith(lexeme, F.lit("/")), blank(lexeme)).otherwise(lexeme)
+        return kept if comments_only else blank(lexeme)
+
     scan = F.lit(f"(?s).*?({lexemes})|.+")
     pairs = F.arrays_zip(
         F.regexp_extract_all(content, scan, F.lit(0)).alias("piece"),
         F.regexp_extract_all(content, scan, F.lit(1)).alias("lexeme"))
     return F.array_join(
         F.transform(pairs, lambda z: F.concat(
-            F.substr(z["piece"], F.lit(1), F.char_length(z["piece"]) - F.char_length(z["lexeme"])), blank(z["lexeme"]))),
+            F.substr(z["piece"], F.lit(1), F.char_length(z["piece"]) - F.char_length(z["lexeme"])), shown(z["lexeme"]))),
         "")
 
 
