@@ -138,6 +138,14 @@ def definitions(files: DataFrame) -> DataFrame:
         F.col("s.line").alias("line"), F.col("s.col").alias("col"), "module")
 
 
+def declared(files: DataFrame) -> DataFrame:
+    """Names declared at the top level of a module."""
+    pattern = rf"\b(?:const|let|var|function\b\s*+\*?|class)\s*+{_ID}"
+    rows = hits(_parsed(files), pattern, "braces")
+    return rows.filter(~F.exists("braces", lambda b: (b["open"] < F.col("start")) & (F.col("start") < b["close"]))).select(
+        *KEYS, F.col("path").alias("file"), F.regexp_extract("text", r"([A-Za-z_$][\w$]*)\z", 1).alias("name")).distinct()
+
+
 _STRING = r"""(?:"[^"\n]*+"|'[^'\n]*+')"""
 IMPORT = rf"(?m)^[ \t]*+import\b(?!\s*+[(.])[^;'\"()]*+{_STRING}"
 
