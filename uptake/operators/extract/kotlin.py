@@ -24,7 +24,7 @@ FUNCTION = (
 LAMBDA = r"@Composable\s*+\{"
 _NOT_A_CALL = r"(?<![\w.@])(?<!\b(?:fun|class|object|interface|is|as|import|package)\s{1,4})(?<!(?<!\?):\s{0,4})"
 CALL = rf"{_NOT_A_CALL}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?[ \t]*+[({{])"
-IMPORT = r"(?m)^[ \t]*+import[ \t]++[\w.]++(?:\.\*)?(?:[ \t]++as[ \t]++\w++)?"
+IMPORT = r"(?m)^[ \t]*+import[ \t]++\w++(?:\.\w++)*+(?:\.\*)?(?:[ \t]++as[ \t]++\w++)?"
 
 # Styling calls with category and context.
 STYLE_CALLS = {
@@ -50,6 +50,8 @@ def is_component_name(name: Column) -> Column:
 
 def with_scopes(files: DataFrame) -> DataFrame:
     """Functions and composable lambdas of every file, in source order."""
+    if "scopes" in files.columns:
+        return files
     base = once(parsed(files, LANGUAGE), package=kotlin_package(F.col("masked")),
                 heads=find_all(F.col("masked"), f"{FUNCTION}|{LAMBDA}"))
 

@@ -42,12 +42,16 @@ STYLE_PROPS = {
 
 
 def _parsed(files: DataFrame) -> DataFrame:
+    if "code" in files.columns:
+        return files
     return once(parsed(files, LANGUAGE), module=react_module(F.col("path")),
                 code=mask(F.col("content"), LITERALS[LANGUAGE], comments_only=True))
 
 
 def with_scopes(files: DataFrame) -> DataFrame:
     """Functions, classes and component bindings, in source order."""
+    if "scopes" in files.columns:
+        return files
     base = once(_parsed(files), parens=bracket_pairs(F.col("masked"), "()"), heads=find_all(F.col("masked"), HEAD))
     size = F.octet_length("masked").cast("bigint")
 

@@ -64,6 +64,8 @@ def has_module(path: Column) -> Column:
 
 def with_scopes(files: DataFrame) -> DataFrame:
     """Views, view functions and previews of every file, in source order."""
+    if "scopes" in files.columns:
+        return files
     base = once(
         parsed(files, LANGUAGE), module=swift_module(F.col("path")),
         heads=find_all(F.col("masked"), f"{STRUCT}|{FUNCTION}|{PREVIEW}"))

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import inference, metrics, quality, registry, reports, text  # noqa: E402,F401
+from . import code, inference, metrics, quality, registry, reports, text  # noqa: E402,F401

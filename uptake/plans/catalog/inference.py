@@ -149,7 +149,9 @@ query("a19_evidence_and_class", sql("SELECT " + ", ".join(SITE_COLS) + " FROM in
     lambda t: _flat(infer(t)).select(*SITE_COLS))
 
 
-@query("j16_style_enrich", sql(f"SELECT {K}, site_id, classification, file, line, col, context, value FROM inferred"))
+@query("j16_style_enrich", sql(f"""
+SELECT i.repo_id, i.snapshot_id, i.language, i.site_id, i.classification, s.file, s.line, s.col, s.context, s.value
+FROM inferred i JOIN {{v_style_sites}} s ON s.language = i.language AND s.id = i.site_id"""))
 def _j16(t):
     rows = ins.style_enrich(infer(t), t["v_style_sites"])
     return rows.select(*KEYS, "site_id", "classification", "file", "line", "col", "context", "value")

@@ -108,6 +108,11 @@ SELECT concat('repo', CAST(page_id % 5 AS STRING)), 's1', 'basic', concat('site/
 SELECT DISTINCT concat('src/m', CAST(o_orderkey % 97 AS STRING), '.x') AS file, concat('S', CAST(o_orderkey AS STRING)) AS scope_id,
  CAST(o_orderkey % 5 + 1 AS BIGINT) AS start_pos, CAST(o_orderkey % 5 + 1 + o_custkey % 6 AS BIGINT) AS end_pos
 FROM {orders} WHERE o_orderkey % 10 = 0""",
+    "v_items": """
+SELECT l_orderkey AS ok, l_partkey AS pk, CAST(l_quantity AS INT) AS q,
+ CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS BIGINT) AS rn,
+ count(*) OVER (PARTITION BY l_orderkey) AS n
+FROM {lineitem}""",
     "v_scan_runs": f"""
 SELECT concat('repo', CAST(o_custkey % 40 AS STRING)) AS repo_id, concat('s', CAST(o_orderkey % 6 AS STRING)) AS snapshot_id, {_lang('o_orderkey')} AS language,
  CASE WHEN max(o_orderstatus) = 'P' THEN 'partial' WHEN min(o_orderstatus) = 'F' AND count(*) % 2 = 0 THEN 'failed' ELSE 'complete' END AS status,

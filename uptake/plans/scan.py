@@ -1,4 +1,8 @@
-"""From source files to finished fact tables, per language."""
+"""From source files to finished fact tables, per language.
+
+The texts are parsed once per language and the parse is materialised; every
+fact table is then an explode of it, followed by the joins that resolve names.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import resolve as rs
 from ..operators.extract import kotlin, react, swift
+from .stages import materialize
 
 
 
 def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
+    files = materialize(kotlin.with_scopes(files))
     found = kotlin.definitions(files)
     return {
         "local_components": found,
@@ -20,6 +26,7 @@ def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) ->
 
 
 def scan_swift(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
+    files = materialize(swift.with_scopes(files))
     found = swift.definitions(files)
     return {
         "local_components": found,
@@ -44,6 +51,7 @@ def react_modules(files: DataFrame, config: rs.ModuleConfig) -> tuple[DataFrame,
 def scan_react(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
                config: rs.ModuleConfig | None = None) -> dict[str, DataFrame]:
     config = config or rs.ModuleConfig()
+    files = materialize(react.with_scopes(files))
     found = react.definitions(files)
     imports, exports = react_modules(files, config)
     return {
