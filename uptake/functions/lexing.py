@@ -76,7 +76,8 @@ def count_up_to(sorted_values: Column, x: Column) -> Column:
         return F.when(
             (probe <= F.size(sorted_values)) & (F.try_element_at(sorted_values, probe) <= x), probe).otherwise(acc)
 
-    bits = F.transform(F.sequence(F.lit(24), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    top = F.floor(F.log2(F.greatest(F.size(sorted_values), F.lit(1)))).cast("int")
+    bits = F.transform(F.sequence(F.lit(0), top), lambda k: F.call_function("shiftleft", F.lit(1), top - k))
     return F.aggregate(bits, F.lit(0), step)
 
 

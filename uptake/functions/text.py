@@ -85,7 +85,7 @@ def mask_strings(s: Column) -> Column:
 
 # --- match positions ---------------------------------------------------------
 
-def running_ends(lengths: Column, block: int = 32) -> Column:
+def running_ends(lengths: Column, block: int = 16) -> Column:
     """Inclusive running sums of an array of lengths.
 
     Sums run inside blocks and one accumulator carries the block total, so the
@@ -114,21 +114,24 @@ def running_ends(lengths: Column, block: int = 32) -> Column:
     return F.flatten(F.aggregate(blocks, zero, add_block, lambda acc: acc["out"]))
 
 
-def find_all(text: Column, pattern: Column | str, measure=byte_len) -> Column:
+def find_all(text: Column, pattern: Column | str, tail: str | None = None) -> Column:
     """All leftmost matches as ``array<struct<start, text>>``.
 
-    ``start`` is a 0-based offset in the unit of ``measure`` (bytes by default).
-    ``pattern`` must have no capturing group; it may differ per row.
+    ``start`` is a 0-based byte offset.  ``pattern`` must have no capturing
+    group; it may differ per row.  With ``tail`` a match must be followed by
+    that pattern, and what it covers is a third field, ``tail``.
     """
     pat = F.lit(pattern) if isinstance(pattern, str) else pattern
-    scan = F.concat(F.lit("(?s).*?("), pat, F.lit(")|.+"))
-    pieces = F.transform(
-        F.regexp_extract_all(text, scan, F.lit(0)), lambda p: measure(p).cast("bigint")
-    )
-    hits = F.transform(
-        F.arrays_zip(running_ends(pieces).alias("end"), F.regexp_extract_all(text, scan, F.lit(1)).alias("text")),
-        lambda z: F.struct((z["end"] - measure(z["text"])).alias("start"), z["text"].alias("text")),
-    )
+    scan = F.concat(F.lit("(?s).*?("), pat, F.lit(f")(?=({tail}))|.+" if tail else ")|.+"))
+
+    def group(i: int) -> Column:
+        return F.regexp_extract_all(text, scan, F.lit(i))
+
+    ends = running_ends(F.transform(group(0), lambda p: byte_len(p).cast("bigint")))
+    parts = [ends.alias("end"), group(1).alias("text"), *([group(2).alias("tail")] if tail else [])]
+    hits = F.transform(F.arrays_zip(*parts), lambda z: F.struct(
+        (z["end"] - byte_len(z["text"])).alias("start"), z["text"].alias("text"),
+        *([z["tail"].alias("tail")] if tail else [])))
     return F.filter(hits, lambda h: h["text"] != "")
 
 

@@ -36,11 +36,12 @@ def inner(scopes: Column, pos: Column, cond=None) -> Column:
     return F.try_element_at(F.filter(scopes, around), F.lit(-1))
 
 
-def hits(df: DataFrame, pattern: str, *keep: str, text: str = "masked") -> DataFrame:
-    """One row per match with ``start`` and ``text``."""
+def hits(df: DataFrame, pattern: str, *keep: str, text: str = "masked", tail: str | None = None) -> DataFrame:
+    """One row per match with ``start`` and ``text`` (and ``tail``)."""
+    fields = ["start", "text", *(["tail"] if tail else [])]
     return df.filter(F.col(text).rlike(pattern)).select(
-        *FILE, *keep, F.explode(find_all(F.col(text), pattern)).alias("h")).select(
-        *FILE, *keep, F.col("h.start").alias("start"), F.col("h.text").alias("text"))
+        *FILE, *keep, F.explode(find_all(F.col(text), pattern, tail)).alias("h")).select(
+        *FILE, *keep, *[F.col(f"h.{f}").alias(f) for f in fields])
 
 
 def with_place(df: DataFrame, at: Column) -> DataFrame:

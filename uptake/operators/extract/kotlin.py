@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import kotlin_package
-from ...functions.lexing import BRACES, PARENS, byte_slice, close_of, once, place
+from ...functions.lexing import BRACES, PARENS, close_of, once, place
 from ...functions.text import find_all
 from ...schemas import KEYS
 from .common import (
@@ -55,25 +55,33 @@ def with_scopes(files: DataFrame) -> DataFrame:
     base = once(parsed(files, LANGUAGE), package=kotlin_package(F.col("masked")),
                 heads=find_all(F.col("masked"), f"{FUNCTION}|{LAMBDA}"))
 
-    def scope(h):
-        head, end = h["text"], h["start"] + F.octet_length(h["text"])
-        before = F.regexp_extract(head, rf"(?s)\A(.*?{_NAME})\w", 1)
-        name = F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1)
-        opens = F.endswith(head, F.lit("{"))
-        close = F.when(opens, close_of(F.col("braces"), end - 1) + 1).otherwise(end)
-        marks = F.regexp_extract(head, r"(?s)\A(.*?)(?:\bfun\b|\z)", 1)
-        at = place(F.col("ends"), h["start"] + F.octet_length(before))
+    def read(h):
+        head = h["text"]
         return F.struct(
-            name.alias("name"), h["start"].alias("start"),
-            F.coalesce(close, F.octet_length(F.col("masked")).cast("bigint")).alias("end"),
+            h["start"].alias("start"), (h["start"] + F.octet_length(head)).alias("stop"),
+            F.endswith(head, F.lit("{")).alias("opens"),
+            F.regexp_extract(head, rf"(?s)\A(.*?{_NAME})\w", 1).alias("before"),
+            F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1).alias("name"))
+
+    def placed(r):
+        # Annotations and modifiers stand before the name; a lambda has only them.
+        marks = F.when(r["name"] == "", F.lit("@Composable")).otherwise(r["before"])
+        return F.struct(
+            r["name"].alias("name"), r["start"].alias("start"), marks.alias("marks"),
+            F.when(r["opens"], close_of(F.col("braces"), r["stop"] - 1) + 1).otherwise(r["stop"]).alias("end"),
+            place(F.col("ends"), r["start"] + F.octet_length(r["before"])).alias("at"))
+
+    def scope(r):
+        marks = r["marks"]
+        return F.struct(
+            r["name"].alias("name"), r["start"].alias("start"),
+            F.coalesce(r["end"], F.octet_length(F.col("masked")).cast("bigint")).alias("end"),
             marks.rlike(r"@(?:[\w.]+\.)?Composable\b").alias("composable"),
             marks.rlike(r"@(?:[\w.]+\.)?Preview\b").alias("preview"),
             marks.rlike(r"\b(?:private|internal)\b").alias("hidden"),
-            at["line"].alias("line"), at["col"].alias("col"),
-            (name == "").alias("is_lambda"),
-        )
+            r["at"]["line"].alias("line"), r["at"]["col"].alias("col"), (r["name"] == "").alias("is_lambda"))
 
-    return once(base, scopes=F.transform("heads", scope)).drop("heads")
+    return once(base, scopes=F.transform(F.transform(F.transform("heads", read), placed), scope)).drop("heads")
 
 
 def _in_preview(pos: Column) -> Column:
@@ -141,12 +149,10 @@ def imports(files: DataFrame) -> DataFrame:
 def style_sites(files: DataFrame) -> DataFrame:
     """The first literal of a styling call's own arguments."""
     names = "|".join(STYLE_CALLS)
-    pattern = rf"(?<![\w@])(?:{names})(?=\s*+\()"
-    found = hits(with_scopes(files), pattern, "scopes", "package", "ends", "masked").withColumns({
+    found = hits(
+        with_scopes(files), rf"(?<![\w@])(?:{names})", "scopes", "package", "ends", tail=rf"\s*+{PARENS}").withColumns({
         "category": lookup(STYLE_CALLS, F.col("text"), 0), "context": lookup(STYLE_CALLS, F.col("text"), 1)})
-    # The argument list is read from the text behind the name.
-    rest = byte_slice(F.col("masked"), F.col("start") + F.octet_length("text"), F.octet_length("masked"))
-    args = once(found, args=F.regexp_extract(rest, rf"\A\s*+({PARENS})", 1)).filter("args <> ''")
+    args = once(found, args=F.ltrim("tail", F.lit(" \t\r\n"))).drop("tail")
     inside = F.expr("substr(args, 2, char_length(args) - 2)")
     flat = F.regexp_replace(inside, rf"\w\s*+{PARENS}|\w\s*+{BRACES}", "\u0001")
     number = r"(?<![\w.])(?:0[xX][0-9A-Fa-f_]++|[0-9][0-9_]*+(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?[fFLuU]*+)"
@@ -164,7 +170,7 @@ def style_sites(files: DataFrame) -> DataFrame:
             .otherwise(F.regexp_extract(arg, literal["other"], 0)))
 
     values = F.filter(F.transform(own, first_literal), lambda v: v != "")
-    valued = once(args, value=F.try_element_at(values, F.lit(1))).filter("value IS NOT NULL").drop("masked", "args")
+    valued = once(args, value=F.try_element_at(values, F.lit(1))).filter("value IS NOT NULL").drop("args")
     placed = with_place(_enclosing(valued).withColumns(_parent(F.col("start"))), F.col("start"))
     return style_rows(placed, LANGUAGE)
 

@@ -55,31 +55,43 @@ def with_scopes(files: DataFrame) -> DataFrame:
     base = once(_parsed(files), parens=bracket_pairs(F.col("masked"), "()"), heads=find_all(F.col("masked"), HEAD))
     size = F.octet_length("masked").cast("bigint")
 
-    def scope(h):
-        head, stop = h["text"], h["start"] + F.octet_length(h["text"])
-        binding = head.rlike(rf"(?s)\A{_BINDING}")
-        is_class = F.startswith(head, F.lit("class"))
-        lead = F.regexp_extract(head, rf"(?s)\A((?:(?:async\s++)?function\s*+\*?|class|const|let|var)\s*+){_ID}", 1)
-        name = F.when(lead != "", F.regexp_extract(head, rf"(?s)\A(?:(?:async\s++)?function\s*+\*?|class|const|let|var)\s*+({_ID})", 1)).otherwise("")
-        rest = F.substring_index(byte_slice(F.col("masked"), stop, size - stop), ";", 1)
+    def read(h):
+        head = h["text"]
+        lead = rf"(?s)\A((?:(?:async\s++)?function\s*+\*?|class|const|let|var)\s*+)({_ID})"
+        return F.struct(
+            h["start"].alias("head"), head.alias("text"), (h["start"] + F.octet_length(head)).alias("stop"),
+            F.regexp_extract(head, lead, 1).alias("lead"), F.regexp_extract(head, lead, 2).alias("name"),
+            F.regexp_extract(head, rf"(?s)\A{_BINDING}", 0).alias("binding"), F.substr(head, F.lit(-1)).alias("last"))
+
+    def bounded(r):
+        rest = F.substring_index(byte_slice(F.col("masked"), r["stop"], size - r["stop"]), ";", 1)
         end = (
-            F.when(F.endswith(head, F.lit("{")), close_of(F.col("braces"), stop - 1) + 1)
-            .when(F.endswith(head, F.lit("(")), close_of(F.col("parens"), stop - 1) + 1)
-            .when(head.rlike(r"=>\s*+\z"), stop + F.octet_length(F.regexp_extract(rest, r"(?s)\A.*?(?=\n[^\s<)}\]/]|\z)", 0)))
-            .otherwise(stop))
-        body = byte_slice(F.col("masked"), stop, F.coalesce(end, size) - stop)
-        jsx = F.when(F.endswith(head, F.lit("{")), body.rlike(_RETURNS)).otherwise(body.rlike(_IS_JSX))
-        first = F.regexp_extract(head, rf"(?s)({PARENS})[^()]*+\z", 1)
-        init = h["start"] + F.when(binding, F.octet_length(F.regexp_extract(head, rf"(?s)\A{_BINDING}", 0))).otherwise(0)
-        at = place(F.col("ends"), h["start"] + F.octet_length(lead))
+            F.when(r["last"] == "{", close_of(F.col("braces"), r["stop"] - 1) + 1)
+            .when(r["last"] == "(", close_of(F.col("parens"), r["stop"] - 1) + 1)
+            .when(F.endswith(F.rtrim(r["text"]), F.lit("=>")),
+                  r["stop"] + F.octet_length(F.regexp_extract(rest, r"(?s)\A.*?(?=\n[^\s<)}\]/]|\z)", 0)))
+            .otherwise(r["stop"]))
+        return F.struct(r.alias("r"), F.coalesce(end, size).alias("end"))
+
+    def read_body(b):
+        return F.struct(
+            b["r"].alias("r"), b["end"].alias("end"),
+            byte_slice(F.col("masked"), b["r"]["stop"], b["end"] - b["r"]["stop"]).alias("body"),
+            place(F.col("ends"), b["r"]["head"] + F.octet_length(b["r"]["lead"])).alias("at"))
+
+    def scope(b):
+        r, body = b["r"], b["body"]
+        is_class = F.startswith(r["text"], F.lit("class"))
+        jsx = F.when(r["last"] == "{", body.rlike(_RETURNS)).otherwise(body.rlike(_IS_JSX))
+        first = F.regexp_extract(r["text"], rf"(?s)({PARENS})[^()]*+\z", 1)
         return F.struct(
-            name.alias("name"), init.alias("start"), F.coalesce(end, size).alias("end"), h["start"].alias("head"),
-            binding.alias("binding"), (jsx & (~is_class | body.rlike(r"\brender\s*+\("))).alias("jsx"),
-            head.rlike(rf"(?s)\A{_BINDING}(?:{_ID}\.)?forwardRef\b").alias("forward_ref"),
-            F.regexp_extract(head, rf"(?s)\A{_BINDING}(?:{_ID}\.)?memo\b[^(]*+\(\s*+({_ID})\s*+[,)]\z", 1).alias("memo_of"),
+            r["name"].alias("name"), (r["head"] + F.octet_length(r["binding"])).alias("start"), b["end"].alias("end"),
+            (r["binding"] != "").alias("binding"), (jsx & (~is_class | body.rlike(r"\brender\s*+\("))).alias("jsx"),
+            r["text"].rlike(rf"(?s)\A{_BINDING}(?:{_ID}\.)?forwardRef\b").alias("forward_ref"),
+            F.regexp_extract(r["text"], rf"(?s)\A{_BINDING}(?:{_ID}\.)?memo\b[^(]*+\(\s*+({_ID})\s*+[,)]\z", 1).alias("memo_of"),
             F.regexp_extract_all(first, F.lit(r"(?<![.\w$])([A-Z][\w$]*+)(?=\s*+[,}=)])"), F.lit(1)).alias("params"),
-            F.exists("braces", lambda b: (b["open"] < h["start"]) & (h["start"] < b["close"])).alias("nested"),
-            at["line"].alias("line"), at["col"].alias("col"))
+            F.exists("braces", lambda p: (p["open"] < r["head"]) & (r["head"] < p["close"])).alias("nested"),
+            b["at"]["line"].alias("line"), b["at"]["col"].alias("col"))
 
     def components(scopes):
         """Names that are components: JSX results, forwardRef, memo of one."""
@@ -89,7 +101,8 @@ def with_scopes(files: DataFrame) -> DataFrame:
         plain = pick(lambda s: s["jsx"] | s["forward_ref"])
         return let(plain, lambda p: F.array_union(p, pick(lambda s: F.array_contains(p, s["memo_of"]))))
 
-    scoped = once(base, scopes=F.transform("heads", scope)).drop("heads", "parens")
+    stages = F.transform(F.transform(F.transform("heads", read), bounded), read_body)
+    scoped = once(base, scopes=F.transform(stages, scope)).drop("heads", "parens")
     return once(scoped, components=components(F.col("scopes")))
 
 

@@ -70,23 +70,35 @@ def with_scopes(files: DataFrame) -> DataFrame:
         parsed(files, LANGUAGE), module=swift_module(F.col("path")),
         heads=find_all(F.col("masked"), f"{STRUCT}|{FUNCTION}|{PREVIEW}"))
 
-    def scope(h):
-        head, end = h["text"], h["start"] + F.octet_length(h["text"])
-        close = F.coalesce(close_of(F.col("braces"), end - 1) + 1, F.octet_length(F.col("masked")).cast("bigint"))
+    size = F.octet_length("masked").cast("bigint")
+
+    def read(h):
+        head, stop = h["text"], h["start"] + F.octet_length(h["text"])
+        return F.struct(
+            h["start"].alias("start"), head.alias("head"), stop.alias("stop"),
+            F.coalesce(close_of(F.col("braces"), stop - 1) + 1, size).alias("end"),
+            F.regexp_extract(head, rf"(?s)\A(.*?{_NAME})\w", 1).alias("before"),
+            F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1).alias("name"))
+
+    def placed(r):
+        head = r["head"]
         preview = F.startswith(head, F.lit("#Preview"))
-        before = F.regexp_extract(head, rf"(?s)\A(.*?{_NAME})\w", 1)
-        name = F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1)
-        is_struct = head.rlike(rf"(?s)\A{_MODIFIER}*+struct\b")
+        is_struct = r["before"].rlike(r"\bstruct\s++\z")
         inherits = F.regexp_extract(head, r"(?s):([^{}]*+)\{\z", 1).rlike(r"(?:\A|[,&\s])(?:SwiftUI\.)?View\b")
-        body = byte_slice(F.col("masked"), end, close - end).rlike(r"\bvar\s++body\b")
-        at = place(F.col("ends"), h["start"] + F.octet_length(before))
+        view = (
+            F.when(preview | ~r["name"].rlike(r"\A[A-Z]"), False).when(~is_struct, True).when(~inherits, False)
+            .otherwise(byte_slice(F.col("masked"), r["stop"], r["end"] - r["stop"]).rlike(r"\bvar\s++body\b")))
+        return F.struct(
+            r["name"].alias("name"), r["start"].alias("start"), r["end"].alias("end"), preview.alias("preview"),
+            view.alias("view"), r["before"].rlike(r"\b(?:private|fileprivate)\b").alias("hidden"),
+            place(F.col("ends"), r["start"] + F.octet_length(r["before"])).alias("at"))
+
+    def scope(r):
         return F.struct(
-            name.alias("name"), h["start"].alias("start"), close.alias("end"), preview.alias("preview"),
-            (~preview & name.rlike(r"\A[A-Z]") & (~is_struct | (inherits & body))).alias("view"),
-            head.rlike(rf"(?s)\A{_MODIFIER}*?(?:private|fileprivate)\b").alias("hidden"),
-            at["line"].alias("line"), at["col"].alias("col"))
+            *[r[c].alias(c) for c in ("name", "start", "end", "preview", "view", "hidden")],
+            r["at"]["line"].alias("line"), r["at"]["col"].alias("col"))
 
-    return once(base, scopes=F.transform("heads", scope)).drop("heads")
+    return once(base, scopes=F.transform(F.transform(F.transform("heads", read), placed), scope)).drop("heads")
 
 
 def _in_preview(pos: Column) -> Column:
@@ -149,12 +161,11 @@ def imports(files: DataFrame) -> DataFrame:
 def style_sites(files: DataFrame) -> DataFrame:
     """Labelled and bare literals of styling calls, ``Color(...)`` as a whole."""
     names = "|".join(["Color", *STYLE_CALLS, *LABEL_CALLS])
-    found = hits(with_scopes(files), rf"(?<![\w@])(?:{names})(?=\()", "scopes", "module", "ends", "masked", "content")
+    found = hits(with_scopes(files), rf"(?<![\w@])(?:{names})", "scopes", "module", "ends", "content", tail=PARENS)
     at = F.col("start") + F.octet_length("text")
-    rest = byte_slice(F.col("masked"), at, F.octet_length("masked"))
-    args = once(found, callee=F.col("text"), at=at, args=F.regexp_extract(rest, rf"\A({PARENS})", 1)).filter("args <> ''")
     # Literals are searched in the raw text, so that strings are seen.
-    raw = once(args, raw=byte_slice(F.col("content"), F.col("at"), F.octet_length("args"))).drop("masked", "content", "text")
+    raw = once(found, callee=F.col("text"), at=at, raw=byte_slice(F.col("content"), at, F.octet_length("tail"))).drop(
+        "content", "text", "tail")
 
     number = r"(?<![\w.])[0-9][0-9_]*+(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])"
     string = r'"(?:[^"\\\n]|\\.)*+"'

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import KEYS
+from ..sources.files import spread
 
 COMPONENTS = 30  # Sym0 .. Sym29 are registered
 PACKAGED = 20    # Sym0 .. Sym19 name their package
@@ -47,16 +48,16 @@ GROUP BY ok"""
 
 
 def kotlin_files(t) -> DataFrame:
-    return t.spark.sql(_KOTLIN, v_items=t["v_items"])
+    return spread(t.spark.sql(_KOTLIN, v_items=t["v_items"]))
 
 
 def swift_files(t) -> DataFrame:
-    return t.spark.sql(_SWIFT, v_items=t["v_items"])
+    return spread(t.spark.sql(_SWIFT, v_items=t["v_items"]))
 
 
 def react_files(t) -> DataFrame:
     """Screens, and per repository a barrel and an implementation per panel."""
-    screens = t.spark.sql(_REACT, v_items=t["v_items"])
+    screens = spread(t.spark.sql(_REACT, v_items=t["v_items"]))
     n = F.explode(F.sequence(F.lit(0), F.lit(PANELS - 1))).alias("n")
     panels = screens.select(*KEYS).distinct().select(*KEYS, n)
     k = F.col("n").cast("string")
