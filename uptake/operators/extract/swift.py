@@ -21,7 +21,7 @@ FUNCTION = rf"{_MODIFIER}*+\bfunc\s++\w++(?:<[^(){{}}]*+>)?\s*+{PARENS}[^(){{}}=
 PREVIEW = rf"#Preview\b(?:\s*+{PARENS})?\s*+\{{"
 _NAME = r"\b(?:struct|func)\s++"
 _NOT_A_CALL = (
-    r"(?<![\w@#])(?<!\b(?:struct|class|enum|extension|protocol|actor|func|case|import|typealias|is|as|some|any)\s{1,4})")
+    r"(?<![\w@#])(?<!\w\.)(?<!\b(?:struct|class|enum|extension|protocol|actor|func|case|import|typealias|is|as|some|any)\s{1,4})")
 _CHAIN = r"(?:\w++[?!]?\.)*+"
 # With a closure only, a name behind a colon, comma or arrow is a type.
 CALL = (
