@@ -80,7 +80,7 @@ def token_rows(df: DataFrame, token_keys: DataFrame, language: str) -> DataFrame
 
 # A declared name, an import or a package line is no reference.
 CHAIN = (
-    r"(?<![\w.@])(?<!\b(?:val|var|let|const|fun|func|class|struct|enum|object|interface|protocol|typealias|import|package|function|type)\s{1,4})"
+    r"(?=[A-Za-z_$])(?<![\w.@])(?<!\b(?:val|var|let|const|fun|func|class|struct|enum|object|interface|protocol|typealias|import|package|function|type)\s{1,4})"
     r"[A-Za-z_$][\w$]*+(?:\??\.[A-Za-z_$][\w$]*+)*+")
 
 

@@ -19,10 +19,11 @@ _MODIFIER = (
 _NAME = r"\bfun\s++(?:<[^>{}()]*+>\s*+)?(?:\w++(?:<[^>{}()]*+>)?\??\.)*+"
 # A function head up to its body; an expression body is taken in whole.
 FUNCTION = (
-    rf"{_MODIFIER}*+{_NAME}\w++\s*+{PARENS}(?:\s*+:\s*+[^={{}}\n]*+)?"
+    rf"(?=[@a-z])(?<!\w){_MODIFIER}*+{_NAME}\w++\s*+{PARENS}(?:\s*+:\s*+[^={{}}\n]*+)?"
     rf"(?:\s*+\{{|\s*+=\s*+[\w.]++\s*+(?:{PARENS})?(?:[ \t]*+{BRACES})?)?")
 LAMBDA = r"@Composable\s*+\{"
-_NOT_A_CALL = r"(?<![\w.@])(?<!\b(?:fun|class|object|interface|is|as|import|package)\s{1,4})(?<!(?<!\?):\s{0,4})"
+# A cheap look at the first letter spares the look-behinds almost everywhere.
+_NOT_A_CALL = r"(?=[A-Z])(?<![\w.@])(?<!\b(?:fun|class|object|interface|is|as|import|package)\s{1,4})(?<!(?<!\?):\s{0,4})"
 CALL = rf"{_NOT_A_CALL}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?[ \t]*+[({{])"
 IMPORT = r"(?m)^[ \t]*+import[ \t]++\w++(?:\.\w++)*+(?:\.\*)?(?:[ \t]++as[ \t]++\w++)?"
 
@@ -150,7 +151,7 @@ def style_sites(files: DataFrame) -> DataFrame:
     """The first literal of a styling call's own arguments."""
     names = "|".join(STYLE_CALLS)
     found = hits(
-        with_scopes(files), rf"(?<![\w@])(?:{names})", "scopes", "package", "ends", tail=rf"\s*+{PARENS}").withColumns({
+        with_scopes(files), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", "scopes", "package", "ends", tail=rf"\s*+{PARENS}").withColumns({
         "category": lookup(STYLE_CALLS, F.col("text"), 0), "context": lookup(STYLE_CALLS, F.col("text"), 1)})
     args = once(found, args=F.ltrim("tail", F.lit(" \t\r\n"))).drop("tail")
     inside = F.expr("substr(args, 2, char_length(args) - 2)")

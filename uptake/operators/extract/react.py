@@ -21,7 +21,7 @@ _WRAPPER = rf"(?:{_ID}\.)?(?:memo|forwardRef)(?:<[^(){{}}]*+>)?\(\s*+"
 _CLASS = rf"\bclass\s++{_ID}[^{{}}]*+\{{"
 _BINDING = rf"\b(?:const|let|var)\s++{_ID}\s*+(?::(?:[^=;]|=>)*?)?=(?![=>])\s*+"
 HEAD = rf"{_BINDING}(?:{_WRAPPER})?+(?:{_ARROW}|(?:async\s++)?{_FUNCTION}|(?<=\(){_ID}\s*+[,)])|(?:async\s++)?{_FUNCTION}|{_CLASS}"
-JSX = r"(?<![\w)\]$])<[A-Z][\w$]*+(?:\.[\w$]++)*+(?=[\s/>])(?!\s++extends\b)"
+JSX = r"(?=<[A-Z])(?<![\w)\]$])<[A-Z][\w$]*+(?:\.[\w$]++)*+(?=[\s/>])(?!\s++extends\b)"
 _RETURNS = (
     r"(?s)\breturn\b\s*+(?:\(\s*+)*+<[A-Za-z>]|\breturn\b[^;{}]*?(?:\?|&&|\|\||:)\s*+(?:\(\s*+)*+<[A-Za-z>]"
     r"|\b(?:const|let|var)\s++(\w++)\s*+=\s*+(?:\(\s*+)*+<[A-Za-z>].*?\breturn\s++(?:\(\s*+)*+\1\b")

@@ -16,17 +16,19 @@ from .kotlin import lookup
 
 LANGUAGE = "swift"
 _MODIFIER = rf"(?:@\w++(?:{PARENS})?\s*+|(?:public|private|fileprivate|internal|open|final|static|override|mutating|nonisolated)\s++)"
-STRUCT = rf"{_MODIFIER}*+\bstruct\s++\w++(?:<[^{{}}]*?>)?\s*+:[^{{}}]*+\{{"
-FUNCTION = rf"{_MODIFIER}*+\bfunc\s++\w++(?:<[^(){{}}]*+>)?\s*+{PARENS}[^(){{}}=]*?->\s*+some\s++(?:SwiftUI\.)?View\b[^(){{}}]*+\{{"
+STRUCT = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bstruct\s++\w++(?:<[^{{}}]*?>)?\s*+:[^{{}}]*+\{{"
+FUNCTION = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bfunc\s++\w++(?:<[^(){{}}]*+>)?\s*+{PARENS}[^(){{}}=]*?->\s*+some\s++(?:SwiftUI\.)?View\b[^(){{}}]*+\{{"
 PREVIEW = rf"#Preview\b(?:\s*+{PARENS})?\s*+\{{"
 _NAME = r"\b(?:struct|func)\s++"
 _NOT_A_CALL = (
     r"(?<![\w@#])(?<!\w\.)(?<!\b(?:struct|class|enum|extension|protocol|actor|func|case|import|typealias|is|as|some|any)\s{1,4})")
 _CHAIN = r"(?:\w++[?!]?\.)*+"
+# A cheap look ahead spares the look-behinds almost everywhere.
+_START = r"(?=[A-Z]|\w++[?!]?\.)"
 # With a closure only, a name behind a colon, comma or arrow is a type.
 CALL = (
-    rf"{_NOT_A_CALL}{_CHAIN}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?\()"
-    rf"|{_NOT_A_CALL}(?<![:,&>]\s{{0,4}}){_CHAIN}[A-Z]\w*+(?=[ \t]*+\{{)")
+    rf"{_START}{_NOT_A_CALL}{_CHAIN}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?\()"
+    rf"|{_START}{_NOT_A_CALL}(?<![:,&>]\s{{0,4}}){_CHAIN}[A-Z]\w*+(?=[ \t]*+\{{)")
 IMPORT = r"(?m)^[ \t]*+(?:@\w++[ \t]++)?import[ \t]++(?:(?:struct|class|enum|protocol|func|var|let|typealias)[ \t]++)?[\w.]++"
 
 # Framework symbols that never count as unresolved components.
@@ -161,7 +163,7 @@ def imports(files: DataFrame) -> DataFrame:
 def style_sites(files: DataFrame) -> DataFrame:
     """Labelled and bare literals of styling calls, ``Color(...)`` as a whole."""
     names = "|".join(["Color", *STYLE_CALLS, *LABEL_CALLS])
-    found = hits(with_scopes(files), rf"(?<![\w@])(?:{names})", "scopes", "module", "ends", "content", tail=PARENS)
+    found = hits(with_scopes(files), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", "scopes", "module", "ends", "content", tail=PARENS)
     at = F.col("start") + F.octet_length("text")
     # Literals are searched in the raw text, so that strings are seen.
     raw = once(found, callee=F.col("text"), at=at, raw=byte_slice(F.col("content"), at, F.octet_length("tail"))).drop(
