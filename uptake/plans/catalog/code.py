@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ...operators import registry as rg, resolve as rs
 from ...operators.extract import kotlin, react, swift
+from ...operators.extract.kotlin import lookup
 from .. import code_files as cf, scan
 from . import query
 
@@ -252,6 +253,61 @@ FROM ({_CALLS}) c WHERE CAST(substr(symbol, 4) AS INT) < 30""")(
     lambda t: _alias_calls(t).filter("target IS NOT NULL").select(
         "repo_id", "id", "symbol", rs.import_match(F.col("target_package"), F.col("import_package")).alias("import_match")))
 
+_PROPS = [*react.STYLE_PROPS, "zIndex", "display"]
+
+
+def _prop_sql(field: int) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v[field]}'" for k, v in react.STYLE_PROPS.items())
+    return f"CASE prop {cases} END"
+
+
+_PROP_LIST = ", ".join(f"'{p}'" for p in _PROPS)
+query("j02_style_props", f"""
+SELECT id, prop, {_prop_sql(0)} AS category, {_prop_sql(1)} AS context FROM (
+ SELECT concat(CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR), ':', CAST(l_suppkey AS VARCHAR)) AS id, [{_PROP_LIST}][CAST(l_partkey % {len(_PROPS)} + 1 AS INT)] AS prop FROM {{lineitem}}) p""")(
+    lambda t: t["lineitem"].select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
+        F.element_at(F.array(*[F.lit(p) for p in _PROPS]), (F.col("l_partkey") % len(_PROPS) + 1).cast("int")).alias("prop"))
+    .withColumns({"category": lookup(react.STYLE_PROPS, F.col("prop"), 0), "context": lookup(react.STYLE_PROPS, F.col("prop"), 1)}))
+
+_LOCALS = f"""
+SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, 'compose' AS language, concat('f', CAST(l_orderkey % 97 AS VARCHAR), '.kt') AS file, concat('Sym', CAST(l_partkey % 50 AS VARCHAR)) AS symbol,
+ concat('com.m', CAST(l_suppkey % 9 AS VARCHAR)) AS package, concat(CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR), ':', CAST(l_partkey AS VARCHAR), ':', CAST(l_suppkey AS VARCHAR)) AS id FROM {{lineitem}}"""
+_LOCAL_DEFS = """
+SELECT DISTINCT 'repo0' AS repo_id, 's1' AS snapshot_id, 'compose' AS language, concat('f', CAST(p_partkey % 97 AS VARCHAR), '.kt') AS file, concat('Sym', CAST(p_size AS VARCHAR)) AS symbol,
+ concat('com.m', CAST(p_partkey % 13 AS VARCHAR), '.Sym', CAST(p_size AS VARCHAR)) AS qualified_symbol, concat('local:', CAST(p_partkey % 97 AS VARCHAR), ':', CAST(p_size AS VARCHAR), ':', CAST(p_partkey % 13 AS VARCHAR)) AS id,
+ CAST(p_partkey % 13 AS BIGINT) AS line, CAST(1 AS BIGINT) AS col FROM {part}"""
+
+
+def _local_resolve(t):
+    text = lambda sql: sql.replace("VARCHAR", "STRING")
+    calls = t.spark.sql(text(_LOCALS.replace("{{", "{").replace("}}", "}")), lineitem=t["lineitem"])
+    found = t.spark.sql(text(_LOCAL_DEFS), part=t["part"])
+    steps = [("file", F.col("symbol")), ("name", F.concat("package", F.lit("."), F.col("symbol")))]
+    return rs.local_resolve(calls, found, steps).select("id", "file", "symbol", "package", "local_definition_id")
+
+
+query("j05_local_resolve", f"""
+WITH d AS ({_LOCAL_DEFS}), c AS ({_LOCALS}),
+f AS (SELECT file, symbol, arg_max(id, line) AS id FROM d GROUP BY file, symbol),
+q AS (SELECT qualified_symbol, arg_max(id, concat(file, ':', lpad(CAST(line AS VARCHAR), 4, '0'))) AS id FROM d GROUP BY qualified_symbol)
+SELECT c.id, c.file, c.symbol, c.package, coalesce(f.id, q.id) AS local_definition_id FROM c LEFT JOIN f ON f.file = c.file AND f.symbol = c.symbol
+LEFT JOIN q ON q.qualified_symbol = concat(c.package, '.', c.symbol)""")(_local_resolve)
+
+query("j12_ds_relevance", f"""
+SELECT {REPO} AS repo_id, {TS} AS file, 6 + rn AS line, concat('Sym', {_s('pk % 50')}) AS symbol, concat('@acme/ds#Sym', {_s('pk % 50')}) AS qualified_symbol
+FROM {{v_items}} WHERE ok % 3 = 1 AND pk % 50 = ok % 50 AND pk % 50 < {cf.PACKAGED}""")(
+    lambda t: _foreign_registry(t).filter("match_status = 'unresolved'").select("repo_id", "file", "line", "symbol", "qualified_symbol"))
+
+
+def _foreign_registry(t):
+    """The registry names another package, so imported components mismatch."""
+    files = cf.react_files(t)
+    aliases, keys = cf.registry_of(files)
+    foreign = aliases.withColumn("registry_package", F.when(F.col("registry_package").isNotNull(), "@foreign/ds"))
+    return scan.scan_react(files, foreign, keys)["usage_sites"]
+
+
 query("x23_discover_compose", f"""
 SELECT {REPO} AS repo_id, concat('Screen', {_s('ok')}) AS symbol, concat('com.acme.m', {_s('ok % 7')}) AS package, {KT} AS path FROM {ORDERS} o WHERE ok % 3 = 0""")(
     lambda t: kotlin.discovered(cf.kotlin_files(t)).select("repo_id", "symbol", "package", "path"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.identity import identity_basis, identity_stability, symbol_id
 from ...operators import metrics as m
 from ...schemas import CATEGORIES, KEYS, MATCH_STATUSES
 from . import query
@@ -213,3 +214,23 @@ def _u01(t):
     usage = t["v_usage_sites"]
     parts = [m.symbol_usage(usage.filter(F.col("language") == x)) for x in ("compose", "react", "swift")]
     return m.merge_symbol_rows(parts).select(*KEYS, "symbol_id", "symbol_kind", "symbol", "raw_invocation_count")
+
+
+@query("x29_symbol_id", f"SELECT DISTINCT {K}, {S}, {SYMBOL_ID_SQL} AS symbol_id FROM {{v_usage_sites}}")
+def _x29(t):
+    u = t["v_usage_sites"]
+    names = ["registry_symbol", "local_definition_id", "qualified_symbol", "symbol"]
+    return u.withColumn("symbol_id", symbol_id("language", "match_status", *names)).select(
+        *KEYS, *m.SYMBOL_KEY, "symbol_id").distinct()
+
+
+@query("x30_identity_basis", f"""
+SELECT {K}, identity_basis, identity_stability, count(*) AS site_count FROM (SELECT {K},
+ CASE WHEN registry_symbol IS NOT NULL THEN 'registry_id' WHEN local_definition_id IS NOT NULL THEN 'local_definition_id' WHEN qualified_symbol IS NOT NULL THEN 'qualified_symbol' ELSE 'source_symbol' END AS identity_basis,
+ CASE WHEN coalesce(registry_symbol, local_definition_id, qualified_symbol) IS NOT NULL THEN 'semantic' ELSE 'scan_local' END AS identity_stability FROM {{v_usage_sites}}) b
+GROUP BY {K}, identity_basis, identity_stability""")
+def _x30(t):
+    link = [F.col(c) for c in ("registry_symbol", "local_definition_id", "qualified_symbol")]
+    return t["v_usage_sites"].groupBy(
+        *KEYS, identity_basis(*link).alias("identity_basis"), identity_stability(*link).alias("identity_stability")
+    ).agg(F.count(F.lit(1)).alias("site_count"))

@@ -2,6 +2,8 @@
 
 The texts are parsed once per language and the parse is materialised; every
 fact table is then an explode of it, followed by the joins that resolve names.
+Facts that several joins read are small next to the texts and are materialised
+too, so each extraction runs once.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from .stages import materialize
 
 def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
     files = materialize(kotlin.with_scopes(files))
-    found = kotlin.definitions(files)
+    found = materialize(kotlin.definitions(files))
     return {
         "local_components": found,
-        "usage_sites": rs.classify_compose(kotlin.calls(files), kotlin.imports(files), found, aliases),
+        "usage_sites": rs.classify_compose(kotlin.calls(files), materialize(kotlin.imports(files)), found, aliases),
         "token_sites": kotlin.token_sites(files, token_keys),
         "hardcoded_style_sites": kotlin.style_sites(files),
     }
@@ -27,10 +29,10 @@ def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) ->
 
 def scan_swift(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
     files = materialize(swift.with_scopes(files))
-    found = swift.definitions(files)
+    found = materialize(swift.definitions(files))
     return {
         "local_components": found,
-        "usage_sites": rs.classify_swift(swift.calls(files), swift.imports(files), found, aliases),
+        "usage_sites": rs.classify_swift(swift.calls(files), materialize(swift.imports(files)), found, aliases),
         "token_sites": swift.token_sites(files, token_keys),
         "hardcoded_style_sites": swift.style_sites(files),
     }
@@ -38,26 +40,26 @@ def scan_swift(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> d
 
 def react_modules(files: DataFrame, config: rs.ModuleConfig) -> tuple[DataFrame, DataFrame]:
     """Imports and exports with the module each specifier leads to."""
-    imports, exports = react.imports(files), react.exports(files)
+    imports, exports = materialize(react.imports(files)), materialize(react.exports(files))
     known = files.filter(F.col("language") == react.LANGUAGE)
     bound = rs.resolve_specifiers(
         imports.withColumn("symbol", F.when(F.col("imported_kind") == "named", F.col("imported_symbol")).otherwise("")), known, config)
     passed = rs.resolve_specifiers(
         exports.withColumnsRenamed({"source_specifier": "specifier", "source_export": "symbol"}), known, config
     ).withColumnsRenamed({"specifier": "source_specifier", "symbol": "source_export"})
-    return bound.drop("symbol"), passed
+    return materialize(bound.drop("symbol")), materialize(passed)
 
 
 def scan_react(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
                config: rs.ModuleConfig | None = None) -> dict[str, DataFrame]:
     config = config or rs.ModuleConfig()
     files = materialize(react.with_scopes(files))
-    found = react.definitions(files)
+    found = materialize(react.definitions(files))
     imports, exports = react_modules(files, config)
     return {
         "local_components": found,
         "usage_sites": rs.classify_react(
-            react.calls(files), imports, exports, found, react.declared(files), aliases, config),
+            materialize(react.calls(files)), imports, exports, found, react.declared(files), aliases, config),
         "token_sites": react.token_sites(files, token_keys),
         "hardcoded_style_sites": react.style_sites(files),
         "diagnostics": rs.import_diagnostics(imports, exports, aliases, config),
