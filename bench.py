@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from uptake.plans.catalog import QUERIES  # noqa: E402
+from uptake.plans.stages import clear_stages  # noqa: E402
 
 HEADLINE = [
     "a09_symbol_usage", "a10_parent_rows_top3", "a12_merge_languages", "a16_hotspots",
@@ -35,6 +36,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="uptake-wh-"))
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "checkpoints"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,6 +54,7 @@ def main() -> None:
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "lineitem_rows": rows,
         "rows_per_sec": {k: round(rows / v) for k, v in seconds.items() if v},
     }))
+    clear_stages(spark)
     spark.stop()
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from uptake.plans.stages import clear_stages  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,8 +20,10 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="uptake-wh-"))
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "checkpoints"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_stages(s)
     s.stop()
