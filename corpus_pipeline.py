@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages applied one after the other to ``documents``."""
+"""The corpus pipeline: stages applied one after the other to ``documents``.
+
+A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All
+stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uptake.llm import exact_dedup
+from uptake.llm import exact_dedup, language_id, near_dedup, packing, phrase_index
 from uptake.plans.stages import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that makes up half of them, go."""
+    return language_id.identified(docs, language_id.train(docs))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.distinct_documents(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return near_dedup.representatives(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return phrase_index.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their place in sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language_stage),
     ("exact dedup", exact_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
+#: Mixture inference and packing are no SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL: str | None = None
 
 

@@ -37,11 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.stages import materialize
 from . import textbytes as tb
 from .components import components
+from .ids import narrow, without
 
 BANDS, ROWS = 24, 5
 SMALL, PIVOTS = 24, 8
-#: Ids that may be broadcast: 64 MiB at 8 bytes.
-BROADCAST_IDS = 1 << 23
 SHARD = 1 << 20
 
 _rng = np.random.default_rng(7)
@@ -174,11 +173,6 @@ def _private(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "own": n})
 
 
-def _narrow(ids: DataFrame) -> DataFrame:
-    """``ids`` with a broadcast hint if its counted size is within ``BROADCAST_IDS``."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _test(pairs: DataFrame, members: DataFrame, sets: DataFrame, threshold: int, best: bool = False) -> DataFrame:
     """Links among ``pairs`` (a, b).  best: per b, only the pair that resembles most is tried."""
     side = lambda c: members.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
@@ -243,8 +237,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
     buckets = materialize(banded.join(shared.select("key", "least"), "key"))
     ids = materialize(buckets.select("id").distinct())
-    members = materialize(classes.join(_narrow(ids), "id", "left_semi").select("id", "n", "bits"))
-    sets = materialize(source.join(_narrow(ids), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"))
+    members = materialize(classes.join(narrow(ids), "id", "left_semi").select("id", "n", "bits"))
+    sets = materialize(source.join(narrow(ids), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"))
     root = components(_links(members, sets, buckets, threshold)).withColumnsRenamed({"vertex": "id"})
     named = classes.select("print", "n", "id").join(root, "id", "left").select("print", "n", F.coalesce("root", "id").alias("root"))
     lone = F.col("doc_id").isNull() | (F.col("n") == 0)
@@ -255,6 +249,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each component."""
-    gone = near_duplicates(docs, doc_id, text, **settings).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialize(gone)
-    return docs.join(_narrow(gone), docs[doc_id] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, doc_id, text, **settings).filter("NOT kept").select("doc_id")
+    return without(docs, gone, doc_id)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.stages import materialize
 from . import textbytes as tb
+from .ids import without
 
 GAP, WINDOWS = 1024, 100_000
 
@@ -223,3 +224,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
     return index.documents.join(per_document, ["shard", "at"], "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_words"), F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", none).alias("item_ids"), F.coalesce("close", none).alias("near_ids"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without an exact match, with all their columns.
+
+    Documents that share an id go together; documents without one stay.
+    """
+    found = contamination(docs, items, width, 0, doc_id, text)
+    return without(docs, found.filter("n_hit > 0").select("doc_id"), doc_id)
