@@ -16,7 +16,7 @@ BLOCK = 1 << 20
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
-_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
+VALUE = _RNG.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -46,7 +46,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, BLOCK + 1)
         with np.errstate(over="ignore"):
@@ -104,11 +104,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     """64-bit hash of each word's bytes after ``fold``."""
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.empty(len(data) + 1, U)
         total[0] = 0
-        np.cumsum(_VALUE[fold[data]] * up[:len(data)], dtype=U, out=total[1:])
+        np.cumsum(VALUE[fold[data]] * up[:len(data)], dtype=U, out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts])
 
 
