@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, phrase_index, toxicity
+from . import exact_dedup, language_id, license_scan, near_dedup, packing, phrase_index, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,59 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+_LICENSE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrase(words, label) AS (VALUES
+  (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')
+), place AS (
+  SELECT doc_id, label, i - 1 AS i
+  FROM (SELECT doc_id, w, label, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, phrase)
+  WHERE w[i:i + len(words) - 1] = words
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY 1
+), template(template, label, body) AS (VALUES
+  (0, 'apache', 'licensed under the apache license version 2 0'),
+  (1, 'apache', 'you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses'),
+  (2, 'mit', 'released under the mit license'),
+  (3, 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
+  (4, 'gpl', 'this work is licensed under the gnu general public license version 3'),
+  (5, 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+  (6, 'lgpl', 'licensed under the gnu lesser general public license version 3'),
+  (7, 'agpl', 'licensed under the gnu affero general public license version 3'),
+  (8, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (9, 'mpl', 'this source code form is subject to the terms of the mozilla public license v 2 0'),
+  (10, 'cc-by', 'licensed under cc by 4 0'),
+  (11, 'cc-by-nc', 'licensed under cc by nc 4 0'),
+  (12, 'cc-by-sa', 'licensed under cc by sa 4 0'),
+  (13, 'cc-by', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  (14, 'cc0', 'to the extent possible under law the author has waived all copyright and related rights to this work'),
+  (15, 'unlicense', 'this is free and unencumbered software released into the public domain')
+), sets AS (
+  SELECT template, label, list_distinct(string_split(body, ' ')) AS words FROM template
+), lines AS (
+  SELECT doc_id, line, list_distinct(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
+  FROM (SELECT doc_id, unnest(parts) AS content, unnest(range(len(parts))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d))
+), found AS (
+  SELECT doc_id, line, label, len(list_intersect(l.words, s.words)) / len(s.words) AS containment
+  FROM lines l, sets s WHERE len(list_intersect(l.words, s.words)) >= ceil(len(s.words) * 0.8 - 1e-9)
+), per AS (
+  SELECT doc_id, max(containment) AS best, count(DISTINCT line) AS n_lines FROM found GROUP BY 1
+), l0 AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY 1
+), l1 AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM found) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score, coalesce(n_lines, 0) AS n_lines
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN l0 USING (doc_id) LEFT JOIN l1 USING (doc_id)"""
+
+
+@query("op10_license_scan", _LICENSE_SQL)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
