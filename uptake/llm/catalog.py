@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, license_scan, near_dedup, packing, phrase_index, toxicity
+from . import exact_dedup, language_id, license_scan, near_dedup, packing, phrase_index, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,66 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def _level(k: int) -> str:
+    """SQL of one level of the template tree, whose parent level is p{k - 1}."""
+    keys = ["host", "u1", "u2", "u3"]
+    own, up = ", ".join(keys[:k]), ", ".join(keys[:k - 1])
+    over = f"PARTITION BY {up}" if up else ""
+    prior = f"JOIN p{k - 1} USING ({up})" if up else ", p0"
+    return f"""n{k} AS (
+  SELECT {own}, b, l, purity AS prior, abs(b - l * purity) <= 2 * sqrt(l * purity * (1 - purity)) AS alike
+  FROM (SELECT {own}, sum(blocked)::BIGINT AS b, sum(labelled)::BIGINT AS l FROM tree GROUP BY {own}) x {prior}
+), p{k} AS (
+  SELECT {own}, CASE WHEN alike THEN (sum(b) FILTER (alike) OVER ({over}) + 4.0::DOUBLE * prior) / (sum(l) FILTER (alike) OVER ({over}) + 4.0::DOUBLE)
+                ELSE (b + 4.0::DOUBLE * prior) / (l + 4.0::DOUBLE) END AS purity
+  FROM n{k}
+)"""
+
+
+def _wide(k: int) -> str:
+    """SQL that turns the children of nodes with many rare ones into wildcards."""
+    keys = ", ".join(["host", "u1", "u2", "u3"][:k])
+    source = "leaves" if k == 1 else f"g{k - 1}"
+    return f"""g{k} AS (
+  SELECT x.*, CASE WHEN children >= 20 AND visits < 5 * children THEN '*' ELSE t{k} END AS u{k}
+  FROM {source} x JOIN (SELECT {keys}, count(DISTINCT t{k}) AS children, sum(pages) AS visits FROM {source} GROUP BY {keys}) USING ({keys})
+)"""
+
+
+_URL_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), r AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '{n}', 'g')) AS s
+  FROM u
+), t AS (
+  SELECT *, coalesce(s[1], '') AS t1, coalesce(s[2], '') AS t2, CASE WHEN len(s) > 3 THEN s[3] || '/**' ELSE coalesce(s[3], '') END AS t3 FROM r
+), leaves AS (
+  SELECT host, t1, t2, t3, count(*) AS pages, count(rule) AS labelled,
+         count(*) FILTER (rule IN ('example.org/en/1', 'example.org/es/', 'com/de/')) AS blocked
+  FROM t GROUP BY host, t1, t2, t3
+), """ + ", ".join(_wide(k) for k in (1, 2, 3)) + """, tree AS (SELECT * FROM g3), p0 AS (
+  SELECT (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS purity FROM tree
+), """ + ", ".join(_level(k) for k in (1, 2, 3, 4)) + """
+SELECT page_id, t.host, path, rule,
+       CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
+       concat_ws('/', t.host, nullif(u1, ''), nullif(u2, ''), nullif(u3, '')) AS template
+FROM t JOIN tree USING (host, t1, t2, t3) JOIN p4 USING (host, u1, u2, u3)"""
+
+
+@query("op6_url_filter", _URL_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("purity")
+
+
 @query("op7_near_dedup", r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
