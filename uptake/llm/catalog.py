@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, license_scan, near_dedup, packing, phrase_index, surrogates, toxicity, url_filter
+from . import exact_dedup, language_id, license_scan, near_dedup, packing, phrase_index, suffix_dedup, surrogates, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,6 +132,11 @@ SELECT page_id, t.host, path, rule,
 FROM t JOIN tree USING (host, t1, t2, t3) JOIN p4 USING (host, u1, u2, u3)"""
 
 
+@query("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 @query("op6_url_filter", _URL_SQL)
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("purity")
