@@ -87,6 +87,12 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[begin], h[at[begin]], windows[begin], windows[end]
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, begin, end) of the runs of sorted keys."""
+    used, begin = np.unique(keys, return_index=True)
+    return used, begin, np.append(begin, len(keys))[1:]
+
+
 def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((anchor >> tb.U(32)) * tb.U(shards) >> tb.U(32)).astype(np.int64)
 
@@ -115,8 +121,7 @@ def _anchors(shards: int):
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
                 doc, anchor = doc[new], anchor[new]
                 shard = _shard(anchor, shards)
-                used, begin = np.unique(shard, return_index=True)
-                end = np.append(begin[1:], len(shard))
+                used, begin, end = _runs(shard)
                 short, own = np.ascontiguousarray(_short(anchor)), buckets[row + doc]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int64()), pa.array([short[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
@@ -140,8 +145,7 @@ def _shared(table: pa.Table) -> pa.Table:
     anchor, bucket = anchor[again], bucket[again]
     order = np.lexsort((anchor, bucket))
     anchor, bucket = anchor[order], bucket[order]
-    used, begin = np.unique(bucket, return_index=True)
-    end = np.append(begin[1:], len(bucket))
+    used, begin, end = _runs(bucket)
     short = np.ascontiguousarray(anchor.view(np.uint8).reshape(-1, 8)[:, :6])
     return pa.table({"bucket": pa.array(used, pa.int64()),
                      "anchors": pa.array([short[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
@@ -183,8 +187,8 @@ def _packed(shards: int):
         shard = _shard(anchor, shards)
         order = np.lexsort((place, later, shard))
         key = shard[order] * 2 + later[order]
-        used, begin = np.unique(key, return_index=True)
-        for k, a, b in zip(used.tolist(), begin, np.append(begin[1:], len(order)), strict=True):
+        used, begin, end = _runs(key)
+        for k, a, b in zip(used.tolist(), begin, end, strict=True):
             pick = order[a:b]
             repeated = bool(k % 2)
             values = (k // 2, bucket, np.ascontiguousarray(_short(anchor[pick])).tobytes() if not repeated else b"", ids[doc[pick]].tobytes(),

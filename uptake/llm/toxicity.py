@@ -35,7 +35,7 @@ from . import textbytes as tb
 
 TOXIC, CLEAN, FEATURES, SHARDS = 4096, 8192, 4096, 32
 BEGINNINGS = (4, 5, 6, 7)
-PENALTY, SHRINK, STEPS, WEIGHT = 10.0, 1e-4, 250, 3.0
+PENALTY, SHRINK, STEPS, WEIGHT, DEVIATIONS = 10.0, 1e-4, 250, 3.0, 3.0
 
 #: Identity terms by group; the first of each group is neutral.
 IDENTITY = (
@@ -132,7 +132,7 @@ def _telling(counts: tuple[int, int], features: int):
         value = np.abs(hits - n * share) / np.sqrt(n * share * (1 - share) + 1)
         value[n < 3] = 0
         best = np.argsort(-value, kind="stable")[:features]
-        best = best[value[best] > 0]
+        best = best[value[best] >= DEVIATIONS]
         return pd.DataFrame({"feature": feature[opens[best]].view(np.int64), "value": value[best]})
     return run
 
