@@ -10,13 +10,13 @@
    of 24 bands of 5 rows with probability 8e-7, and fails the signature test (estimate
    below 0.65, six deviations) with 1e-9.
 4. A pair is linked if, on the full sets, ``100 * |A and B| >= threshold * |A or B|``.
-   Only links between different components can change the result, so pairs are tried in
-   rounds: first every member with the smallest member of the band that resembles it most;
-   then, in bands with members of several components left, all pairs of at most ``SMALL``
-   members, or ``PIVOTS`` members against all others.  In large bands a member leaves when
-   so many of its shingles occur in its own component only that it can't reach the
-   threshold with any other.  Rounds end when no band has a pair left to try, so no band
-   is cut and no candidate dropped; nowhere are all pairs of a large band formed.
+   Only links between different components can change the result.  So first every member is
+   tried with the one that resembles it most among the smallest members of its bands.  Then
+   follow all pairs of different components in bands of at most ``SMALL`` members.  In larger
+   bands, members are left out that hold so many shingles which no other component has that
+   they can't reach the threshold; the others meet in blocks of ``BLOCK``, where that bound
+   and the signatures leave few pairs to try.  No band is cut and no candidate dropped, and
+   a pair that is tried once is not formed again.
 5. Components by alternating large-star and small-star.
 
 Words: runs of characters other than blanks and ``\\x09-\\x0D``, A-Z lower-cased.  A text of
@@ -40,7 +40,8 @@ from .components import components
 from .ids import narrow, without
 
 BANDS, ROWS = 24, 5
-SMALL, PIVOTS = 24, 8
+#: Members of a band that are paired at once; members of a block of a larger band.
+SMALL, BLOCK = 24, 512
 SHARD = 1 << 20
 
 _rng = np.random.default_rng(7)
@@ -185,45 +186,79 @@ def _test(pairs: DataFrame, members: DataFrame, sets: DataFrame, threshold: int,
     return like.select("a", "b").join(full("b"), "b").join(full("a"), "a").mapInArrow(_linked(threshold), "a long, b long")
 
 
-def _isolated(crowd: DataFrame, sets: DataFrame, n: DataFrame, threshold: int) -> DataFrame:
-    """Ids of members (id, root) that can't be linked to a member of another component in ``crowd``."""
+def _owned(crowd: DataFrame, sets: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Members of ``crowd`` (id, root) with ``own``, the number of their shingles that no other component has.
+
+    Those with so many that no member of another component can reach the threshold are left out.
+    """
     rows = crowd.join(sets, "id").select("id", "root", "set")
     total = rows.agg(F.sum(F.octet_length("set") / 8)).first()[0] or 0
     shards = int(total // SHARD) + 1
     own = (rows.mapInArrow(_dealt(shards), "shard long, value binary, id binary, root binary")
            .groupBy("shard").applyInPandas(_private, "id long, own long").groupBy("id").agg(F.sum("own").alias("own")))
-    return own.join(n, "id").filter(100 * (F.col("n") - F.col("own")) < threshold * F.col("n")).select("id")
+    known = crowd.join(members, "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    return known.filter(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n"))
+
+
+def _feasible(threshold: int):
+    """Pairs of two blocks of a band that could still be a link between components.
+
+    A pair is given by the first band that both share only.  Members hold ``own`` shingles
+    that no other component has, so their sets meet in at most ``n - own`` of them.
+    """
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        band, low, high = key
+        unpack = lambda c, t, w: np.frombuffer(b"".join(rows[c]), t).reshape(-1, w)
+        bits, bands = unpack("bits", np.uint8, BANDS * ROWS), np.array(rows["bands"].tolist(), np.int64)
+        ids, root, n, own, block = (rows[c].to_numpy() for c in ("id", "root", "n", "own", "block"))
+        place = (bands == band).argmax(axis=1)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for k in range(0, len(left), 64):
+            i, j = left[k:k + 64, None], right[None, :]
+            most = np.minimum(n[i] - own[i], n[j] - own[j])
+            ok = (root[i] != root[j]) & (100 * most >= threshold * (n[i] + n[j] - most))
+            if low == high:
+                ok &= ids[i] < ids[j]
+            x, y = np.nonzero(ok)
+            x, y = left[k + x], right[y]
+            for c in range(0, len(x), 4096):
+                u, v = x[c:c + 4096], y[c:c + 4096]
+                good = (bits[u] == bits[v]).mean(axis=1) >= threshold / 100 - 0.2
+                good &= (bands[u] == bands[v]).argmax(axis=1) == place[u]
+                found.append(np.stack([np.minimum(ids[u], ids[v])[good], np.maximum(ids[u], ids[v])[good]], axis=1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return run
+
+
+def _between(large: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of large bands (key, id, root) that have to be tried."""
+    crowd = materialize(large.select("id", "root").distinct())
+    known = _owned(crowd, sets, members, threshold)
+    rows = materialize(large.select("key", "id").join(known, "id"))
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (dealt.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+             .select("key", "low", "high", "block", "id", "root", "n", "own", "bits", "bands"))
+    return dealt.groupBy("key", "low", "high").applyInPandas(_feasible(threshold), "a long, b long")
 
 
 def _links(members: DataFrame, sets: DataFrame, buckets: DataFrame, threshold: int) -> DataFrame:
     """Enough links (a, b) to connect what the candidates of ``buckets`` (key, id, least) connect."""
     star = buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_test(star, members, sets, threshold, best=True))
-    left = buckets.select("key", "id")
-    while True:
-        root = components(links).withColumnsRenamed({"vertex": "id"})
-        now = left.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        open_keys = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        now = materialize(now.join(open_keys.select("key", "size"), "key"))
-        small, large = now.filter(F.col("size") <= SMALL), now.filter(F.col("size") > SMALL)
-        mate = lambda d: d.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"))
-        apart = F.col("root") != F.col("other_root")
-        pairs = small.join(mate(small), "key").filter(apart & (F.col("id") < F.col("other")))
-        more = large.limit(1).count() > 0
-        if more:
-            out = _isolated(large.select("id", "root").distinct(), sets, members.select("id", "n"), threshold)
-            large = materialize(large.join(out, "id", "left_anti"))
-            pivots = (large.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min("id").alias("id"))
-                      .select("key", "id"))
-            chosen = large.join(pivots, ["key", "id"])
-            pairs = pairs.unionByName(large.join(mate(chosen), "key").filter(apart))
-            left = large.join(pivots, ["key", "id"], "left_anti").select("key", "id")
-            left = materialize(left)
-        pairs = materialize(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        found = materialize(_test(pairs, members, sets, threshold))
-        links = materialize(links.union(found))
-        if not more:
-            return links
+    root = components(links).withColumnsRenamed({"vertex": "id"})
+    now = buckets.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    open_keys = (now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+                 .filter("low < high").select("key", "size"))
+    now = materialize(now.join(open_keys, "key"))
+    small, large = now.filter(F.col("size") <= SMALL).drop("size"), now.filter(F.col("size") > SMALL).drop("size")
+    mate = small.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"))
+    pairs = small.join(mate, "key").filter("root <> other_root AND id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    pairs = materialize(pairs.union(_between(large, members, sets, threshold)).distinct())
+    return materialize(links.union(_test(pairs, members, sets, threshold)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 85) -> DataFrame:
@@ -237,7 +272,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
     buckets = materialize(banded.join(shared.select("key", "least"), "key"))
     ids = materialize(buckets.select("id").distinct())
-    members = materialize(classes.join(narrow(ids), "id", "left_semi").select("id", "n", "bits"))
+    members = materialize(classes.join(narrow(ids), "id", "left_semi").select("id", "n", "bits", "bands"))
     sets = materialize(source.join(narrow(ids), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"))
     root = components(_links(members, sets, buckets, threshold)).withColumnsRenamed({"vertex": "id"})
     named = classes.select("print", "n", "id").join(root, "id", "left").select("print", "n", F.coalesce("root", "id").alias("root"))
