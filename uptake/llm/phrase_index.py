@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build`` turns every Arrow batch of documents into one shard of the index: a row per
+``build`` turns every ``SHARD`` bytes of documents into one shard of the index: a row per
 document and a row per term with its posting list, the ascending word positions in the
 shard as varint gaps.  A shard holds whole documents, so postings are never shuffled
 when the index is written.  Documents are ``GAP`` positions apart: no match of a window
@@ -38,7 +38,8 @@ from ..plans.stages import materialize
 from . import textbytes as tb
 from .ids import without
 
-GAP, WINDOWS = 1024, 100_000
+#: Positions between documents, windows of a block, bytes of text in a shard.
+GAP, WINDOWS, SHARD = 1024, 100_000, 8 << 20
 
 INDEX_SCHEMA = "shard long, doc long, term long, n long, at long, postings binary"
 HIT_SCHEMA = "shard long, at long, begins array<int>, ends array<int>, items array<long>, near array<long>"
@@ -53,10 +54,9 @@ class Index:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) batches to index rows; rows with a position are documents, the others posting lists."""
     task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
+    parts = (batch.slice(row, end - row) for batch in batches for row, end, _, _ in tb.blocks(batch.column(1), SHARD))
+    for number, batch in enumerate(parts):
         n = batch.num_rows
-        if not n:
-            continue
         hashes, counts = [], np.zeros(n, np.int64)
         for row, end, data, offsets in tb.blocks(batch.column(1)):
             starts, ends, before = tb.words(data, offsets, tb.ALNUM)
