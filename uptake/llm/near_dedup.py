@@ -40,8 +40,10 @@ from .components import components
 from .ids import narrow, without
 
 BANDS, ROWS = 24, 5
-#: Members of a band that are paired at once; members of a block of a larger band.
-SMALL, BLOCK = 24, 512
+#: Up to SMALL members all pairs of a band are looked at; larger ones are cut into blocks.  PART: members that one call gets.
+SMALL, BLOCK, PART = 24, 512, 20_000
+#: How far below the threshold signatures may agree.
+MARGIN = 0.2
 SHARD = 1 << 20
 
 _rng = np.random.default_rng(7)
@@ -174,91 +176,94 @@ def _private(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "own": n})
 
 
-def _test(pairs: DataFrame, members: DataFrame, sets: DataFrame, threshold: int, best: bool = False) -> DataFrame:
-    """Links among ``pairs`` (a, b).  best: per b, only the pair that resembles most is tried."""
+def _most_alike(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Per b of ``pairs`` (a, b) the pair whose signatures agree most, if they agree enough for a link."""
     side = lambda c: members.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     fit = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     like = (pairs.join(side("a"), "a").join(side("b"), "b").filter(fit).select("a", "b", "bits_a", "bits_b")
-            .mapInArrow(_resemble(threshold / 100 - 0.2), "a long, b long, share double"))
-    if best:
-        like = like.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a"))
-    full = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
-    return like.select("a", "b").join(full("b"), "b").join(full("a"), "a").mapInArrow(_linked(threshold), "a long, b long")
+            .mapInArrow(_resemble(threshold / 100 - MARGIN), "a long, b long, share double"))
+    return like.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    full = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
+    return pairs.join(full("b"), "b").join(full("a"), "a").mapInArrow(_linked(threshold), "a long, b long")
 
-def _owned(crowd: DataFrame, sets: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Members of ``crowd`` (id, root) with ``own``, the number of their shingles that no other component has.
 
-    Those with so many that no member of another component can reach the threshold are left out.
-    """
+def _owned(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of the members of ``crowd`` (id, root) no other component has."""
     rows = crowd.join(sets, "id").select("id", "root", "set")
     total = rows.agg(F.sum(F.octet_length("set") / 8)).first()[0] or 0
     shards = int(total // SHARD) + 1
-    own = (rows.mapInArrow(_dealt(shards), "shard long, value binary, id binary, root binary")
-           .groupBy("shard").applyInPandas(_private, "id long, own long").groupBy("id").agg(F.sum("own").alias("own")))
-    known = crowd.join(members, "id").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-    return known.filter(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n"))
+    return (rows.mapInArrow(_dealt(shards), "shard long, value binary, id binary, root binary")
+            .groupBy("shard").applyInPandas(_private, "id long, own long").groupBy("id").agg(F.sum("own").alias("own")))
 
 
 def _feasible(threshold: int):
-    """Pairs of two blocks of a band that could still be a link between components.
+    """Pairs of two blocks of a band that could still be a link between components; many bands in one call.
 
-    A pair is given by the first band that both share only.  Members hold ``own`` shingles
-    that no other component has, so their sets meet in at most ``n - own`` of them.
+    A pair is given by the first band that both share only.  Members of a large band hold
+    ``own`` shingles that no other component has, so their sets meet in at most ``n - own``.
     """
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        band, low, high = key
-        unpack = lambda c, t, w: np.frombuffer(b"".join(rows[c]), t).reshape(-1, w)
-        bits, bands = unpack("bits", np.uint8, BANDS * ROWS), np.array(rows["bands"].tolist(), np.int64)
-        ids, root, n, own, block = (rows[c].to_numpy() for c in ("id", "root", "n", "own", "block"))
-        place = (bands == band).argmax(axis=1)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        found = []
-        for k in range(0, len(left), 64):
-            i, j = left[k:k + 64, None], right[None, :]
-            most = np.minimum(n[i] - own[i], n[j] - own[j])
-            ok = (root[i] != root[j]) & (100 * most >= threshold * (n[i] + n[j] - most))
-            if low == high:
-                ok &= ids[i] < ids[j]
-            x, y = np.nonzero(ok)
-            x, y = left[k + x], right[y]
-            for c in range(0, len(x), 4096):
-                u, v = x[c:c + 4096], y[c:c + 4096]
-                good = (bits[u] == bits[v]).mean(axis=1) >= threshold / 100 - 0.2
-                good &= (bands[u] == bands[v]).argmax(axis=1) == place[u]
-                found.append(np.stack([np.minimum(ids[u], ids[v])[good], np.maximum(ids[u], ids[v])[good]], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "low", "high"], kind="stable")
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(-1, BANDS * ROWS)
+        bands = np.stack(rows["bands"].to_list())
+        key, lows, highs, ids, root, n, own, block = (rows[c].to_numpy() for c in ("key", "low", "high", "id", "root", "n", "own", "block"))
+        place = (bands == key[:, None]).argmax(axis=1)
+        opens = np.ones(len(rows), bool)
+        opens[1:] = (key[1:] != key[:-1]) | (lows[1:] != lows[:-1]) | (highs[1:] != highs[:-1])
+        begin = np.flatnonzero(opens)
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in zip(begin.tolist(), np.append(begin, len(rows))[1:].tolist(), strict=True):
+            left, right = (a + np.flatnonzero(block[a:b] == side[a]) for side in (lows, highs))
+            for k in range(0, len(left), 64):
+                i, j = left[k:k + 64, None], right[None, :]
+                most = np.minimum(n[i] - own[i], n[j] - own[j])
+                ok = (root[i] != root[j]) & (100 * most >= threshold * (n[i] + n[j] - most))
+                if lows[a] == highs[a]:
+                    ok &= ids[i] < ids[j]
+                x, y = np.nonzero(ok)
+                x, y = left[k + x], right[y]
+                for c in range(0, len(x), 4096):
+                    u, v = x[c:c + 4096], y[c:c + 4096]
+                    good = (bits[u] == bits[v]).mean(axis=1) >= threshold / 100 - MARGIN
+                    good &= (bands[u] == bands[v]).argmax(axis=1) == place[u]
+                    found.append(np.stack([np.minimum(ids[u], ids[v])[good], np.maximum(ids[u], ids[v])[good]], axis=1))
+        pairs = np.concatenate(found)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
     return run
 
 
-def _between(large: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of members of large bands (key, id, root) that have to be tried."""
-    crowd = materialize(large.select("id", "root").distinct())
-    known = _owned(crowd, sets, members, threshold)
-    rows = materialize(large.select("key", "id").join(known, "id"))
+def _between(open_rows: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of bands (key, id, root, size) that have to be tried."""
+    large = F.col("size") > SMALL
+    own = _owned(materialize(open_rows.filter(large).select("id", "root").distinct()), sets)
+    rows = (open_rows.join(members, "id").join(own, "id", "left")
+            .withColumn("own", F.when(large, F.coalesce("own", F.lit(0).cast("long"))).otherwise(0))
+            .filter(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n")))
+    rows = materialize(rows)
     blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (dealt.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-             .select("key", "low", "high", "block", "id", "root", "n", "own", "bits", "bands"))
-    return dealt.groupBy("key", "low", "high").applyInPandas(_feasible(threshold), "a long, b long")
+    dealt = dealt.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    parts = rows.count() // PART + 1
+    return (dealt.select(F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)).alias("part"),
+                         "key", "low", "high", "block", "id", "root", "n", "own", "bits", "bands")
+            .groupBy("part").applyInPandas(_feasible(threshold), "a long, b long"))
 
 
 def _links(members: DataFrame, sets: DataFrame, buckets: DataFrame, threshold: int) -> DataFrame:
     """Enough links (a, b) to connect what the candidates of ``buckets`` (key, id, least) connect."""
     star = buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_test(star, members, sets, threshold, best=True))
+    links = materialize(_verified(_most_alike(star, members, threshold), sets, threshold))
     root = components(links).withColumnsRenamed({"vertex": "id"})
     now = buckets.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     open_keys = (now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
                  .filter("low < high").select("key", "size"))
-    now = materialize(now.join(open_keys, "key"))
-    small, large = now.filter(F.col("size") <= SMALL).drop("size"), now.filter(F.col("size") > SMALL).drop("size")
-    mate = small.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    pairs = small.join(mate, "key").filter("root <> other_root AND id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    pairs = materialize(pairs.union(_between(large, members, sets, threshold)).distinct())
-    return materialize(links.union(_test(pairs, members, sets, threshold)))
+    pairs = materialize(_between(materialize(now.join(open_keys, "key")), members, sets, threshold))
+    return materialize(links.union(_verified(pairs, sets, threshold)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 85) -> DataFrame:
