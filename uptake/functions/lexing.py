@@ -69,12 +69,12 @@ def line_ends(text: Column) -> Column:
     return running_ends(F.transform(F.split(text, "\n"), lambda p: (byte_len(p) + 1).cast("bigint")))
 
 
-def count_up_to(sorted_values: Column, x: Column) -> Column:
-    """How many of the ascending values are <= x, by binary search."""
+def count_up_to(sorted_values: Column, x: Column, of=lambda v: v) -> Column:
+    """How many of the ascending values (``of`` an element) are <= x, by binary search."""
     def step(acc, bit):
         probe = acc + bit
         return F.when(
-            (probe <= F.size(sorted_values)) & (F.try_element_at(sorted_values, probe) <= x), probe).otherwise(acc)
+            (probe <= F.size(sorted_values)) & (of(F.try_element_at(sorted_values, probe)) <= x), probe).otherwise(acc)
 
     top = F.floor(F.log2(F.greatest(F.size(sorted_values), F.lit(1)))).cast("int")
     bits = F.transform(F.sequence(F.lit(0), top), lambda k: F.call_function("shiftleft", F.lit(1), top - k))
@@ -113,13 +113,23 @@ def bracket_pairs(text: Column, brackets: str) -> Column:
                  & ~F.try_element_at(rows, i + 2)["opens"]).alias("ok"))),
             lambda p: p["ok"])
 
+    def by_opener(pairs):
+        return F.array_sort(F.transform(pairs, lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close"))))
+
     hits = find_all(text, "[" + "".join("\\" + b for b in brackets) + "]")
-    return let(let(hits, levelled), paired)
+    return by_opener(let(let(hits, levelled), paired))
 
 
 def close_of(pairs: Column, open_at: Column) -> Column:
-    """Offset of the bracket that closes the one at ``open_at``, else null."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["open"] == open_at), F.lit(1))["close"]
+    """Offset of the bracket that closes the one at ``open_at``, else null.
+
+    Pairs are sorted by opener, so the partner is found by binary search.
+    """
+    def found(n):
+        pair = F.when(n > 0, F.try_element_at(pairs, n))
+        return F.when(pair["open"] == open_at, pair["close"])
+
+    return let(count_up_to(pairs, open_at, lambda p: p["open"]), found)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

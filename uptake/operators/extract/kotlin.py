@@ -9,7 +9,7 @@ from ...functions.lexing import BRACES, PARENS, close_of, once, place
 from ...functions.text import find_all
 from ...schemas import KEYS
 from .common import (
-    FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
+    COLUMNS, FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
 )
 
 LANGUAGE = "compose"
@@ -23,8 +23,9 @@ FUNCTION = (
     rf"(?:\s*+\{{|\s*+=\s*+[\w.]++\s*+(?:{PARENS})?(?:[ \t]*+{BRACES})?)?")
 LAMBDA = r"@Composable\s*+\{"
 # A cheap look at the first letter spares the look-behinds almost everywhere.
-_NOT_A_CALL = r"(?=[A-Z])(?<![\w.@])(?<!\b(?:fun|class|object|interface|is|as|import|package)\s{1,4})(?<!(?<!\?):\s{0,4})"
-CALL = rf"{_NOT_A_CALL}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?[ \t]*+[({{])"
+# A declared, tested or annotated name is matched together with what makes it one, and dropped.
+_NO_CALL = r"(?=[a-z:])(?:(?<![\w.@])(?:fun|class|object|interface|is|as|import|package)\s++|(?<!\?):\s*+)[A-Z]\w*+"
+CALL = rf"{_NO_CALL}|(?=[A-Z])(?<![\w.@])[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?[ \t]*+[({{])"
 IMPORT = r"(?m)^[ \t]*+import[ \t]++\w++(?:\.\w++)*+(?:\.\*)?(?:[ \t]++as[ \t]++\w++)?"
 
 # Styling calls with category and context.
@@ -109,7 +110,8 @@ def _enclosing(df: DataFrame) -> DataFrame:
 
 def calls(files: DataFrame) -> DataFrame:
     """X11 with X18 and X19: component calls inside composables, without previews."""
-    found = hits(with_scopes(files), CALL, "scopes", "package", "ends").filter(is_component_name(F.col("text")))
+    found = hits(with_scopes(files), CALL, "scopes", "package", "ends").filter(
+        F.col("text").rlike(r"\A[A-Z]") & is_component_name(F.col("text")))
     scoped = once(_enclosing(found), _inner=inner(F.col("scopes"), F.col("start")))
     ui = scoped.filter(F.col("_inner.is_lambda") | (F.col("_inner.composable") & ~F.col("_inner.preview")))
     direct = ui.withColumn("_parent", F.when(~F.col("_inner.is_lambda"), F.col("_parent")))
@@ -190,4 +192,4 @@ def discovered(files: DataFrame) -> DataFrame:
     rows = definitions(files).filter("NOT hidden AND depth = 0")
     return rows.select(
         "repo_id", "language", "symbol", F.col("file").alias("path"),
-        (F.col("line") * 100000 + F.col("col")).alias("ordinal"), "package")
+        (F.col("line") * COLUMNS + F.col("col")).alias("ordinal"), "package")

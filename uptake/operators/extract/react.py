@@ -9,7 +9,7 @@ from ...functions.lexing import BRACES, LITERALS, PARENS, bracket_pairs, byte_sl
 from ...functions.text import find_all, let
 from ...schemas import KEYS
 from .common import (
-    FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
+    COLUMNS, FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
 )
 from .kotlin import lookup
 
@@ -193,7 +193,7 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.select(
         *KEYS, F.col("path").alias("file"), specifier.alias("specifier"), "start", F.posexplode(bindings).alias("ordinal", "b")
     ).select(*KEYS, "file", "specifier", F.col("b.imported_kind").alias("imported_kind"), F.col("b.local_name").alias("local_name"),
-             F.col("b.imported_symbol").alias("imported_symbol"), (F.col("start") * 1000 + F.col("ordinal")).alias("ordinal"))
+             F.col("b.imported_symbol").alias("imported_symbol"), (F.col("start") * COLUMNS + F.col("ordinal")).alias("ordinal"))
 
 
 EXPORT = (
@@ -223,7 +223,7 @@ def exports(files: DataFrame) -> DataFrame:
         *KEYS, "file", F.col("e.export_name").alias("export_name"),
         F.when(F.col("specifier") != "", "reexport").otherwise("local").alias("kind"), F.col("e.source_export").alias("source_export"),
         F.when(F.col("specifier") != "", F.col("specifier")).alias("source_specifier"),
-        (F.col("start") * 1000 + F.col("ordinal")).alias("ordinal"))
+        (F.col("start") * COLUMNS + F.col("ordinal")).alias("ordinal"))
 
 
 def style_sites(files: DataFrame) -> DataFrame:

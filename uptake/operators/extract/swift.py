@@ -10,7 +10,7 @@ from ...functions.text import find_all
 from ...schemas import KEYS
 from ..intervals import containment_dedupe
 from .common import (
-    FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
+    COLUMNS, FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
 )
 from .kotlin import lookup
 
@@ -20,15 +20,17 @@ STRUCT = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bstruct\s++\w++(?:<[^{{}}]*?>)?\s*+:[
 FUNCTION = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bfunc\s++\w++(?:<[^(){{}}]*+>)?\s*+{PARENS}[^(){{}}=]*?->\s*+some\s++(?:SwiftUI\.)?View\b[^(){{}}]*+\{{"
 PREVIEW = rf"#Preview\b(?:\s*+{PARENS})?\s*+\{{"
 _NAME = r"\b(?:struct|func)\s++"
-_NOT_A_CALL = (
-    r"(?<![\w@#])(?<!\w\.)(?<!\b(?:struct|class|enum|extension|protocol|actor|func|case|import|typealias|is|as|some|any)\s{1,4})")
+_NOT_A_CALL = r"(?<![\w@#])(?<!\w\.)"
 _CHAIN = r"(?:\w++[?!]?\.)*+"
 # A cheap look ahead spares the look-behinds almost everywhere.
 _START = r"(?=[A-Z]|\w++[?!]?\.)"
 # With a closure only, a name behind a colon, comma or arrow is a type.
+# Declared and tested names are matched together with what stands before them, and dropped.
 CALL = (
-    rf"{_START}{_NOT_A_CALL}{_CHAIN}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?\()"
-    rf"|{_START}{_NOT_A_CALL}(?<![:,&>]\s{{0,4}}){_CHAIN}[A-Z]\w*+(?=[ \t]*+\{{)")
+    rf"(?=[a-z])(?<![\w@#])(?:struct|class|enum|extension|protocol|actor|func|case|import|typealias|is|as|some|any)\s++{_CHAIN}[A-Z]\w*+"
+    rf"|[:,&>]\s*+{_CHAIN}[A-Z]\w*+(?=[ \t]*+\{{)"
+    rf"|{_START}{_NOT_A_CALL}{_CHAIN}[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?\()"
+    rf"|{_START}{_NOT_A_CALL}{_CHAIN}[A-Z]\w*+(?=[ \t]*+\{{)")
 IMPORT = r"(?m)^[ \t]*+(?:@\w++[ \t]++)?import[ \t]++(?:(?:struct|class|enum|protocol|func|var|let|typealias)[ \t]++)?[\w.]++"
 
 # Framework symbols that never count as unresolved components.
@@ -126,7 +128,7 @@ def _enclosed(df: DataFrame, pos: Column) -> DataFrame:
 
 def calls(files: DataFrame) -> DataFrame:
     """Capitalised calls with the root of their qualifier."""
-    found = hits(with_scopes(files), CALL, "scopes", "module", "ends")
+    found = hits(with_scopes(files), CALL, "scopes", "module", "ends").filter(F.col("text").rlike(r"\A\w") & ~F.col("text").rlike(r"\s"))
     symbol = F.substring_index("text", ".", -1)
     qualifier = F.when(F.contains("text", F.lit(".")), F.regexp_extract("text", r"\A(\w+)", 1))
     named = found.withColumns({"symbol": symbol, "qualifier": qualifier}).withColumn(
@@ -217,5 +219,5 @@ def discovered(files: DataFrame) -> DataFrame:
     rows = definitions(files).filter("NOT hidden AND depth = 0")
     return rows.select(
         "repo_id", "language", "symbol", F.col("file").alias("path"),
-        (F.col("line") * 100000 + F.col("col")).alias("ordinal"),
+        (F.col("line") * COLUMNS + F.col("col")).alias("ordinal"),
         F.when(has_module(F.col("file")), F.col("module")).alias("package"))

@@ -74,12 +74,14 @@ def _near_matches(obs: DataFrame, tok: DataFrame, tolerance: float, group: list[
 
     Rounding can make two adjacent scalars equally far away, so candidates are
     looked up in the tiny cells around both neighbours and kept by distance.
+    Cells are whole doubles; for scalars so large that these have gaps, the
+    differences are exact and only equal scalars share a distance.
     """
     nearest = nearest_scalars(obs, tok, tolerance, group)
     cell = F.lit(tolerance * 2.0 ** -48)
 
     def cell_of(c: Column) -> Column:
-        return F.floor(c / cell).cast("double")
+        return F.rint(c / cell)
 
     sides = F.filter(
         F.array("lo", "hi"), lambda t: t.isNotNull() & (F.abs(F.col("scalar") - t) == F.col("distance"))

@@ -148,7 +148,7 @@ def counts_match(reported: DataFrame, derived: DataFrame, key: list[str]) -> Dat
     counters = [c for c in reported.columns if c not in key and c in derived.columns]
 
     def tall(df: DataFrame, value: str) -> DataFrame:
-        return df.select(*key, *[F.col(c).cast("double").alias(c) for c in counters]).unpivot(
+        return df.select(*key, *[F.col(c).cast("decimal(20,0)").alias(c) for c in counters]).unpivot(
             key, counters, "counter", value)
 
     both = tall(reported, "reported").join(tall(derived, "derived"), [*key, "counter"], "full_outer")

@@ -85,11 +85,10 @@ WHERE (p > 3 AND emitted >= p) OR (p <= 3 AND emitted <> p AND emitted <> least(
 
 
 def _damaged_inference(t):
-    rows = infer(t)
-    kept = rows.filter(F.col("col") != 5)
-    again = rows.filter(F.col("col") == 9)
-    orphan = rows.filter(F.col("col") == 21).withColumn("site_id", F.concat("site_id", F.lit(":x")))
-    return kept.unionByName(again).unionByName(orphan)
+    # one pass: each row gets the endings of the ids under which it is to appear
+    col = F.col("col")
+    endings = F.array_compact(F.array(F.when(col != 5, ""), F.when(col == 9, ""), F.when(col == 21, ":x")))
+    return infer(t).withColumn("ending", F.explode(endings)).withColumn("site_id", F.concat("site_id", "ending")).drop("ending")
 
 
 query("q07_inference_1to1", f"""
@@ -126,7 +125,7 @@ def _off_by_one(t):
 
 
 query("q09_inference_counts_match", inference_sql(f"""
-SELECT repo_id, snapshot_id, 'exact_replacement_candidate_count' AS counter, CAST(exact_replacement_candidate_count + 1 AS DOUBLE) AS reported, CAST(exact_replacement_candidate_count AS DOUBLE) AS derived
+SELECT repo_id, snapshot_id, 'exact_replacement_candidate_count' AS counter, CAST(exact_replacement_candidate_count + 1 AS DECIMAL(20,0)) AS reported, CAST(exact_replacement_candidate_count AS DECIMAL(20,0)) AS derived
 FROM (SELECT repo_id, snapshot_id, {COUNTS_SQL} FROM inferred GROUP BY repo_id, snapshot_id) c"""))(
     lambda t: q.counts_match(_off_by_one(t), inf.inference_counts(infer(t)), RUN))
 
@@ -137,7 +136,7 @@ def _claimed(t):
 
 
 query("q10_counts_match", f"""
-SELECT {K}, 'raw_local' AS counter, 4294967296.0 AS reported, CAST(sum(CASE WHEN match_status = 'local' THEN 1 ELSE 0 END) AS DOUBLE) AS derived
+SELECT {K}, 'raw_local' AS counter, CAST(4294967296 AS DECIMAL(20,0)) AS reported, CAST(sum(CASE WHEN match_status = 'local' THEN 1 ELSE 0 END) AS DECIMAL(20,0)) AS derived
 FROM {{v_usage_sites}} WHERE language = 'swift' GROUP BY {K}""")(
     lambda t: q.counts_match(_claimed(t), m.raw_invocations(t["v_usage_sites"]), KEYS))
 

@@ -37,14 +37,13 @@ query("s04_include_filter", _keep("lower(path) LIKE '%.jsx' OR path LIKE '%.swif
 query("s05_default_ignores", _keep("NOT (regexp_matches(path, '(^|/)(node_modules|generated|__generated__)/') OR path LIKE '%.d.ts' OR regexp_matches(path, '\\.(stories|spec|test)\\.(ts|tsx|js|jsx)$') OR path LIKE 'lib/%')"))(
     lambda t: fs.default_ignores(_paths(t), ["lib/**"]).select("repo_id", "path"))
 query("s06_missing_roots", f"""
-WITH f AS ({PATHS} WHERE o_orderkey % 6 < 2), r AS (SELECT DISTINCT repo_id FROM ({PATHS}) p)
-SELECT repo_id, root, code FROM (SELECT repo_id, 'lib' AS root, 'root_not_found' AS code, 'lib/' AS pre FROM r UNION ALL SELECT repo_id, 'app/src', 'root_not_found', 'app/src/' FROM r
+WITH f AS ({PATHS}), r AS (SELECT DISTINCT repo_id FROM ({PATHS}) p)
+SELECT repo_id, root, code FROM (SELECT repo_id, 'unused' AS root, 'root_not_found' AS code, 'unused/' AS pre FROM r UNION ALL SELECT repo_id, 'app/src', 'root_not_found', 'app/src/' FROM r
  UNION ALL SELECT repo_id, 'nowhere/*/src', 'root_glob_not_found', 'nowhere/' FROM r) w
 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.repo_id = w.repo_id AND starts_with(f.path, w.pre))""")(
     lambda t: fs.missing_roots(
         _paths(t).select("repo_id", "snapshot_id", "language").distinct(),
-        t.spark.sql(PATHS + " WHERE o_orderkey % 6 < 2", orders=t["orders"]),
-        ["lib", "app/src", "nowhere/*/src"]).select("repo_id", "root", "code"))
+        _paths(t), ["unused", "app/src", "nowhere/*/src"]).select("repo_id", "root", "code"))
 
 # Lines as the checking engine sees them: RE2 has no class for all Unicode blanks.
 SP = r"[\t\n\x0b\f\r\x{{85}}\p{{Z}}]"
@@ -136,8 +135,8 @@ query("x22_site_ids", "SELECT id, concat('hardcoded.', language, ':', file, ':',
 
 query("x27_scan_status", f"""
 SELECT r.repo_id, r.snapshot_id, r.language, CASE WHEN coalesce(g, false) THEN 'partial' ELSE 'complete' END AS status FROM (SELECT DISTINCT repo_id, snapshot_id, language FROM {{v_scan_runs}}) r
-LEFT JOIN (SELECT repo_id, snapshot_id, language, bool_or(code IN ({", ".join(f"'{c}'" for c in dg.GAP_CODES)})) AS g FROM {{v_diagnostics}} WHERE ordinal % 3 = 0 GROUP BY 1, 2, 3) d USING (repo_id, snapshot_id, language)""")(
-    lambda t: dg.scan_status(t["v_scan_runs"].select("repo_id", "snapshot_id", "language"), t["v_diagnostics"].filter("ordinal % 3 = 0")))
+LEFT JOIN (SELECT repo_id, snapshot_id, language, bool_or(code IN ('parse_failed', 'root_not_found', 'root_glob_not_found', 'ds_import_unresolved', 'ds_export_unresolved', 'package_entrypoint_unresolved', 'ds_usage_unresolved')) AS g FROM {{v_diagnostics}} GROUP BY 1, 2, 3) d USING (repo_id, snapshot_id, language)""")(
+    lambda t: dg.scan_status(t["v_scan_runs"].select("repo_id", "snapshot_id", "language"), t["v_diagnostics"]))
 
 
 

@@ -48,16 +48,16 @@ GROUP BY ok"""
 
 
 def kotlin_files(t) -> DataFrame:
-    return spread(t.spark.sql(_KOTLIN, v_items=t["v_items"]))
+    return spread(t.spark.sql(_KOTLIN, v_items=t["v_items"]), t.partitions)
 
 
 def swift_files(t) -> DataFrame:
-    return spread(t.spark.sql(_SWIFT, v_items=t["v_items"]))
+    return spread(t.spark.sql(_SWIFT, v_items=t["v_items"]), t.partitions)
 
 
 def react_files(t) -> DataFrame:
     """Screens, and per repository a barrel and an implementation per panel."""
-    screens = spread(t.spark.sql(_REACT, v_items=t["v_items"]))
+    screens = spread(t.spark.sql(_REACT, v_items=t["v_items"]), t.partitions)
     n = F.explode(F.sequence(F.lit(0), F.lit(PANELS - 1))).alias("n")
     panels = screens.select(*KEYS).distinct().select(*KEYS, n)
     k = F.col("n").cast("string")

@@ -71,11 +71,13 @@ SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, {_lang('p_partkey')} AS language
  concat('old.t', CAST(p_partkey AS STRING)) AS alias,
  {_cat('p_partkey')} AS category,
  CASE WHEN p_partkey % 7 = 6 THEN NULL
+      WHEN p_partkey >= 60 AND p_partkey % 5 = 0 THEN concat('#', lpad(lower(hex(p_partkey)), 6, '0'))
+      WHEN p_partkey >= 60 THEN concat(CAST(100 + p_partkey AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.dp' WHEN 1 THEN 'px' ELSE '' END)
       WHEN p_partkey % 5 = 0 THEN concat('#', substring('0123456789abcdef', CAST(p_size % 16 + 1 AS INT), 1), '0f')
       WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size * 3 AS STRING), '.dp')
       WHEN p_partkey % 3 = 1 THEN concat(CAST(p_size * 3 AS STRING), 'px')
       ELSE CAST(p_size * 3 AS STRING) END AS value
-FROM {{part}} WHERE p_partkey < 60""",
+FROM {{part}}""",
     "v_style_sites": f"""
 SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, {_lang('l_suppkey')} AS language,
  concat('h:', {_SITE}) AS id,
@@ -90,13 +92,13 @@ SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, {_lang('l_suppkey')} AS language
  CASE WHEN l_orderkey % 7 <> 0 THEN concat('parent', CAST(l_orderkey % 61 AS STRING)) END AS parent_id
 FROM {{lineitem}}""",
     "v_token_sites": f"""
-SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, {_lang('l_partkey % 60')} AS language,
+SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, {_lang('l_partkey')} AS language,
  concat('t:', {_SITE}) AS id,
  concat('src/m', CAST(l_orderkey % 97 AS STRING), '.x') AS file,
  CAST(l_linenumber AS BIGINT) AS line, CAST(l_partkey % 80 + 1 AS BIGINT) AS col,
- concat('tok.', CAST(l_partkey % 60 + CASE WHEN l_suppkey % 50 = 49 THEN 60 ELSE 0 END AS STRING)) AS token_id,
- concat(CASE l_linenumber % 4 WHEN 0 THEN 'old.t' WHEN 1 THEN CASE WHEN l_suppkey % 50 = 7 THEN 'bad.t' ELSE 'theme.t' END ELSE 'theme.t' END, CAST(l_partkey % 60 AS STRING)) AS key,
- CASE WHEN l_suppkey % 50 = 11 THEN 'unknown' ELSE {_cat('l_partkey % 60')} END AS category,
+ concat('tok.', CAST(l_partkey + CASE WHEN l_suppkey % 50 = 49 THEN 90000000 ELSE 0 END AS STRING)) AS token_id,
+ concat(CASE l_linenumber % 4 WHEN 0 THEN 'old.t' WHEN 1 THEN CASE WHEN l_suppkey % 50 = 7 THEN 'bad.t' ELSE 'theme.t' END ELSE 'theme.t' END, CAST(l_partkey AS STRING)) AS key,
+ CASE WHEN l_suppkey % 50 = 11 THEN 'unknown' ELSE {_cat('l_partkey')} END AS category,
  CASE WHEN l_orderkey % 7 <> 0 THEN concat('parent', CAST(l_orderkey % 61 AS STRING)) END AS parent_id
 FROM {{lineitem}}""",
     "v_source_files": """
@@ -107,7 +109,7 @@ SELECT concat('repo', CAST(page_id % 5 AS STRING)), 's1', 'basic', concat('site/
     "v_scopes": """
 SELECT DISTINCT concat('src/m', CAST(o_orderkey % 97 AS STRING), '.x') AS file, concat('S', CAST(o_orderkey AS STRING)) AS scope_id,
  CAST(o_orderkey % 5 + 1 AS BIGINT) AS start_pos, CAST(o_orderkey % 5 + 1 + o_custkey % 6 AS BIGINT) AS end_pos
-FROM {orders} WHERE o_orderkey % 10 = 0""",
+FROM {orders}""",
     "v_items": """
 SELECT l_orderkey AS ok, l_partkey AS pk, CAST(l_quantity AS INT) AS q,
  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS BIGINT) AS rn,
@@ -122,7 +124,7 @@ FROM {{orders}} GROUP BY 1, 2, 3""",
 SELECT concat('repo', CAST(o_custkey % 40 AS STRING)) AS repo_id, concat('s', CAST(o_orderkey % 6 AS STRING)) AS snapshot_id, {_lang('o_orderkey')} AS language,
  CAST(o_orderkey AS BIGINT) AS ordinal,
  CASE o_orderstatus WHEN 'F' THEN 'warning' WHEN 'O' THEN 'info' ELSE 'error' END AS severity,
- CASE o_orderkey % 4 WHEN 0 THEN 'parse_failed' WHEN 1 THEN 'root_not_found' WHEN 2 THEN 'discover_package_conflict' ELSE 'import_unresolved' END AS code,
+ CASE o_orderkey % 64 WHEN 0 THEN 'parse_failed' WHEN 1 THEN 'root_not_found' WHEN 2 THEN 'ds_import_unresolved' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'discover_package_conflict' ELSE 'import_unresolved' END END AS code,
  concat('message ', CAST(o_orderkey % 100 AS STRING)) AS message
 FROM {{orders}}""",
 }
@@ -137,6 +139,8 @@ class Facts:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
+        # the given text tables are single row groups
+        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -145,7 +149,7 @@ class Facts:
                 self._cache[name] = self.spark.sql(sql, **{n: self[n] for n in _names(sql)})
             else:
                 table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                self._cache[name] = spread(table) if name in TEXTS else table
+                self._cache[name] = spread(table, self.partitions) if name in TEXTS else table
         return self._cache[name]
 
 

@@ -15,7 +15,6 @@ from ..operators.extract import kotlin, react, swift
 from .stages import materialize
 
 
-
 def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
     files = materialize(kotlin.with_scopes(files))
     found = materialize(kotlin.definitions(files))
@@ -70,15 +69,16 @@ def scan_react(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
 EXTRACTORS = {"compose": scan_compose, "react": scan_react, "swift": scan_swift}
 
 
-def scan(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
-    """All languages of a file table, as one set of fact tables."""
-    per_language = [f(files, aliases, token_keys) for f in EXTRACTORS.values()]
-    columns = {name: [c for c in per_language[0][name].columns if all(c in t[name].columns for t in per_language)]
-               for name in per_language[0]}
-    out = {}
-    for name, cols in columns.items():
-        parts = [t[name].select(*cols) for t in per_language]
-        out[name] = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out
-
+def scan(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
+         config: rs.ModuleConfig | None = None) -> dict[str, DataFrame]:
+    """All languages of a file table, as one set of fact tables.
 
+    Every table and column that some language has is there; a column that a
+    language lacks is null in its rows.
+    """
+    out: dict[str, DataFrame] = {}
+    for language, extract in EXTRACTORS.items():
+        settings = {"config": config} if language == react.LANGUAGE else {}
+        for name, rows in extract(files, aliases, token_keys, **settings).items():
+            out[name] = out[name].unionByName(rows, allowMissingColumns=True) if name in out else rows
+    return out

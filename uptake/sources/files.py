@@ -17,22 +17,20 @@ REACT_DEFAULT_IGNORES = [
     "**/generated/**",
     "**/__generated__/**",
     "**/*.d.ts",
-    "**/*.stories.{ts,tsx,js,jsx}",
-    "**/*.{spec,test}.{ts,tsx,js,jsx}",
+    "**/*.stories.{js,jsx,ts,tsx}",
+    "**/*.{spec,test}.{js,jsx,ts,tsx}",
 ]
 ROOT_NOT_FOUND = "root_not_found"
 ROOT_GLOB_NOT_FOUND = "root_glob_not_found"
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Give every core work when a text table has fewer files than cores.
+def spread(files: DataFrame, partitions: int) -> DataFrame:
+    """Deal the rows of a text table to ``partitions`` tasks.
 
-    A single row group is read by one task and text work is heavy per row, so
-    one shuffle of the raw rows pays off.  Tables with many files are left
-    alone; they are parallel already.
+    A row group is read by one task and text work is heavy per row, so one
+    shuffle of the raw rows pays off for tables of few, small row groups.
     """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(cores) if len(files.inputFiles()) < cores else files
+    return files.repartition(partitions)
 
 
 def is_language_file(path: Column, language: str) -> Column:
@@ -96,7 +94,6 @@ def default_ignores(files: DataFrame, extra: list[str] = ()) -> DataFrame:
 
 
 
-
 def missing_roots(runs: DataFrame, files: DataFrame, roots: list[str], by=("repo_id", "snapshot_id", "language")) -> DataFrame:
     """A warning for each configured root that holds no file of a run.
 
