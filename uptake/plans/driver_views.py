@@ -71,7 +71,7 @@ SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, {_lang('p_partkey')} AS language
  concat('old.t', CAST(p_partkey AS STRING)) AS alias,
  {_cat('p_partkey')} AS category,
  CASE WHEN p_partkey % 7 = 6 THEN NULL
-      WHEN p_partkey >= 60 AND p_partkey % 5 = 0 THEN concat('#', lpad(lower(hex(p_partkey)), 6, '0'))
+      WHEN p_partkey >= 60 AND p_partkey % 5 = 0 THEN concat('#12', lpad(lower(hex(p_partkey % 65536)), 4, '0'))
       WHEN p_partkey >= 60 THEN concat(CAST(100 + p_partkey AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.dp' WHEN 1 THEN 'px' ELSE '' END)
       WHEN p_partkey % 5 = 0 THEN concat('#', substring('0123456789abcdef', CAST(p_size % 16 + 1 AS INT), 1), '0f')
       WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size * 3 AS STRING), '.dp')
