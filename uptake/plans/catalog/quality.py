@@ -73,12 +73,12 @@ def _summaries(t):
     base = m.with_truncation(m.symbol_usage(t["v_usage_sites"]), 3)
     kept = F.least(F.lit(3), F.col("parent_scope_count"))
     return base.withColumn("emitted_parent_count", F.when(
-        F.col("raw_invocation_count") % 4 == 0, kept + F.col("file_count") % 3 - 1).otherwise(kept))
+        F.col("raw_invocation_count") % 2 == 0, F.col("parent_scope_count") + F.col("file_count") % 3 - 1).otherwise(kept))
 
 
 query("q06_summary_rules", f"""
 WITH s AS (SELECT language, symbol, match_status, count(*) AS n, count(DISTINCT file) AS f, count(DISTINCT parent_id) AS p FROM {{v_usage_sites}} GROUP BY language, symbol, match_status),
-e AS (SELECT *, CASE WHEN n % 4 = 0 THEN least(3, p) + f % 3 - 1 ELSE least(3, p) END AS emitted FROM s)
+e AS (SELECT *, CASE WHEN n % 2 = 0 THEN p + f % 3 - 1 ELSE least(3, p) END AS emitted FROM s)
 SELECT language, symbol, CASE WHEN p > 3 THEN 'truncated' ELSE 'length' END AS violation FROM e
 WHERE (p > 3 AND emitted >= p) OR (p <= 3 AND emitted <> p AND emitted <> least(3, p))""")(
     lambda t: q.summary_rules(_summaries(t)).select("language", "symbol", "violation"))

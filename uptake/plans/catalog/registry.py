@@ -9,10 +9,11 @@ from ...operators import registry as r
 from ...sources import facts as sf, registry as sr
 from . import query
 
-# One registry document per supplier brand: components with two aliases and a token.
+# One registry document per brand and hundred parts, so that none grows with the table:
+# components with two aliases and a token.
 REGISTRY_DOCS = """
 SELECT repo_id, 'react' AS language, concat('{{"schema_version":1,"components":[', string_agg(component, ',' ORDER BY pk), '],"tokens":[', string_agg(token, ',' ORDER BY pk), ']}}') AS doc FROM (
- SELECT p_brand AS repo_id, p_partkey AS pk,
+ SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS repo_id, p_partkey AS pk,
   concat('{{"id":"x","symbol":"C', CAST(p_partkey % 30 AS STRING), '"', CASE WHEN p_partkey % 3 = 0 THEN ',"package":"@acme/ds"' ELSE '' END,
    CASE WHEN p_partkey % 2 = 0 THEN concat(',"aliases":["A', CAST(p_partkey AS STRING), '","C', CAST(p_size AS STRING), '"]') ELSE '' END, '}}') AS component,
   concat('{{"id":"t', CAST(p_partkey AS STRING), '","key":"k.', CAST(p_partkey % 40 AS STRING), '","category":"', CASE WHEN p_partkey % 5 = 0 THEN 'shadow' ELSE 'spacing' END, '"',
@@ -29,24 +30,24 @@ def _registries(t):
 
 
 query("s07_components", """
-SELECT p_brand AS repo_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS ordinal, concat('C', CAST(p_partkey % 30 AS STRING)) AS symbol,
+SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS repo_id, CAST(row_number() OVER (PARTITION BY concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) ORDER BY p_partkey) - 1 AS INT) AS ordinal, concat('C', CAST(p_partkey % 30 AS STRING)) AS symbol,
  CASE WHEN p_partkey % 3 = 0 THEN '@acme/ds' END AS package, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS alias_count FROM {part}""")(
     lambda t: sr.components(_registries(t)).select("repo_id", "ordinal", "symbol", "package", F.size("aliases").alias("alias_count")))
 query("s07_registry_aliases", """
 SELECT repo_id, call_symbol, registry_symbol FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, call_symbol ORDER BY pk DESC, slot DESC) AS rn FROM (
- SELECT p_brand AS repo_id, p_partkey AS pk, 0 AS slot, concat('C', CAST(p_partkey % 30 AS STRING)) AS call_symbol, concat('C', CAST(p_partkey % 30 AS STRING)) AS registry_symbol FROM {part}
- UNION ALL SELECT p_brand, p_partkey, 1, concat('A', CAST(p_partkey AS STRING)), concat('C', CAST(p_partkey % 30 AS STRING)) FROM {part} WHERE p_partkey % 2 = 0
- UNION ALL SELECT p_brand, p_partkey, 2, concat('C', CAST(p_size AS STRING)), concat('C', CAST(p_partkey % 30 AS STRING)) FROM {part} WHERE p_partkey % 2 = 0) a) b WHERE rn = 1""")(
+ SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS repo_id, p_partkey AS pk, 0 AS slot, concat('C', CAST(p_partkey % 30 AS STRING)) AS call_symbol, concat('C', CAST(p_partkey % 30 AS STRING)) AS registry_symbol FROM {part}
+ UNION ALL SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)), p_partkey, 1, concat('A', CAST(p_partkey AS STRING)), concat('C', CAST(p_partkey % 30 AS STRING)) FROM {part} WHERE p_partkey % 2 = 0
+ UNION ALL SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)), p_partkey, 2, concat('C', CAST(p_size AS STRING)), concat('C', CAST(p_partkey % 30 AS STRING)) FROM {part} WHERE p_partkey % 2 = 0) a) b WHERE rn = 1""")(
     lambda t: sr.registry_aliases(sr.components(_registries(t))).select("repo_id", "call_symbol", "registry_symbol"))
 query("s08_tokens", """
-SELECT p_brand AS repo_id, concat('t', CAST(p_partkey AS STRING)) AS id, concat('k.', CAST(p_partkey % 40 AS STRING)) AS key,
+SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS repo_id, concat('t', CAST(p_partkey AS STRING)) AS id, concat('k.', CAST(p_partkey % 40 AS STRING)) AS key,
  CASE WHEN p_partkey % 5 = 0 THEN 'shadow' ELSE 'spacing' END AS category, CASE WHEN p_partkey % 4 = 0 THEN '4px' WHEN p_partkey % 4 = 1 THEN '' END AS value FROM {part}""")(
     lambda t: sr.tokens(_registries(t)).select("repo_id", "id", "key", "category", "value"))
 query("s08_invalid_tokens", """
-SELECT p_brand AS repo_id, concat('t', CAST(p_partkey AS STRING)) AS id FROM {part} WHERE p_partkey % 5 = 0 OR p_partkey % 4 = 1""")(
+SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS repo_id, concat('t', CAST(p_partkey AS STRING)) AS id FROM {part} WHERE p_partkey % 5 = 0 OR p_partkey % 4 = 1""")(
     lambda t: sr.invalid_tokens(sr.tokens(_registries(t))).select("repo_id", "id"))
 query("q12_registry_key_unique", """
-SELECT p_brand AS repo_id, concat('k.', CAST(p_partkey % 40 AS STRING)) AS match_key, count(*) AS row_count FROM {part} GROUP BY 1, 2 HAVING count(*) > 1""")(
+SELECT concat(p_brand, '/', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS repo_id, concat('k.', CAST(p_partkey % 40 AS STRING)) AS match_key, count(*) AS row_count FROM {part} GROUP BY 1, 2 HAVING count(*) > 1""")(
     lambda t: sr.token_keys(sr.tokens(_registries(t))).groupBy("repo_id", "match_key").agg(
         F.count(F.lit(1)).alias("row_count")).filter("row_count > 1"))
 
