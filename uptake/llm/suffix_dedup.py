@@ -41,7 +41,7 @@ from .ids import narrow
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a bucket of documents, and about as many of contexts in a shard.
-BUCKET = 8 << 20
+BUCKET = 2 << 20
 
 CONTEXTS = "shard long, bucket long, anchors binary, docs binary, prints binary, starts binary, sizes binary, bytes binary, repeated boolean"
 HITS = "bucket long, docs binary, prints binary, starts binary, ends binary"
@@ -97,6 +97,10 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((anchor >> tb.U(32)) * tb.U(shards) >> tb.U(32)).astype(np.int64)
 
 
+def _bucket_type(buckets: int) -> type:
+    return np.uint16 if buckets <= 1 << 16 else np.int32
+
+
 def _short(anchor: np.ndarray) -> np.ndarray:
     """The upper 48 bits of sorted hashes, as rows of 6 bytes."""
     return anchor.view(np.uint8).reshape(-1, 8)[:, 2:]
@@ -112,7 +116,7 @@ def _anchors(shards: int):
     """(bucket, text) rows to anchors with their bucket, a row per shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets = batch.column(0).to_numpy().astype(np.int32)
+            buckets = batch.column(0).to_numpy().astype(_bucket_type(shards))
             for row, _, data, offsets in tb.blocks(batch.column(1)):
                 doc, anchor, _, _ = contexts(data, offsets)
                 order = np.lexsort((doc, anchor))
@@ -134,9 +138,13 @@ def _joined(column: pa.ChunkedArray) -> bytes:
     return b"".join(column.to_pylist())
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The anchors of a shard that several documents have, as a packed row per bucket."""
-    anchor, bucket = _long(_joined(table["anchors"])), np.frombuffer(_joined(table["buckets"]), np.int32)
+def _shared(shards: int):
+    """A function that finds the anchors of a shard that several documents have, as a packed row per bucket."""
+    return lambda table: _shared_anchors(table, _bucket_type(shards))
+
+
+def _shared_anchors(table: pa.Table, kind: type) -> pa.Table:
+    anchor, bucket = _long(_joined(table["anchors"])), np.frombuffer(_joined(table["buckets"]), kind)
     order = np.argsort(anchor, kind="stable")
     anchor, bucket = anchor[order], bucket[order]
     again = np.zeros(len(anchor), bool)
@@ -368,7 +376,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     long = source.filter((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
 
     anchors = long.select("bucket", "text").mapInArrow(_anchors(buckets), "shard long, anchors binary, buckets binary")
-    shared = anchors.groupBy("shard").applyInArrow(_shared, "bucket long, anchors binary")
+    shared = anchors.groupBy("shard").applyInArrow(_shared(buckets), "bucket long, anchors binary")
     packed = (long.groupBy("bucket").cogroup(shared.withColumnRenamed("bucket", "of").groupBy("of"))
               .applyInArrow(_packed(buckets), CONTEXTS))
     hits = materialize(packed.groupBy("shard").applyInArrow(_resolved, HITS))
