@@ -244,6 +244,7 @@ def test_suffix_array_of_small_alphabets():
 @pytest.mark.parametrize("bucket", [1 << 23, 3000])
 def test_suffix_dedup_removes_what_stood_before(spark, monkeypatch, bucket):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "SORTED", bucket)
     shared = prose(70, 25)
     rows = [(d, prose(300 + d, 40) + (" " + shared[d % 30:] if d % 3 else "") + prose(400 + d, 10)) for d in range(40)]
     rows += [(50, "ab" * 100), (51, "ab" * 60), (52, "é" * 90), (53, "é" * 26), (54, rows[3][1]), (55, rows[3][1][:60] + "#" + rows[3][1][60:]),

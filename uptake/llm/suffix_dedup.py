@@ -42,6 +42,8 @@ from .ids import narrow
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a bucket of documents, and about as many of contexts in a shard.
 BUCKET = 2 << 20
+#: Bytes of contexts in one suffix array, if an anchor doesn't have more.
+SORTED = 256 << 10
 
 CONTEXTS = "shard long, bucket long, anchors binary, docs binary, prints binary, starts binary, sizes binary, bytes binary, repeated boolean"
 HITS = "bucket long, docs binary, prints binary, starts binary, ends binary"
@@ -159,6 +161,14 @@ def _shared_anchors(table: pa.Table, kind: type) -> pa.Table:
                      "anchors": pa.array([short[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
 
 
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _packed(shards: int):
     """Documents of a bucket and the shared anchors in it, to packed contexts."""
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
@@ -201,7 +211,7 @@ def _packed(shards: int):
             repeated = bool(k % 2)
             values = (k // 2, bucket, np.ascontiguousarray(_short(anchor[pick])).tobytes() if not repeated else b"", ids[doc[pick]].tobytes(),
                       prints[doc[pick]].tobytes(), start[pick].astype(np.int32).tobytes(), size[pick].astype(np.int32).tobytes(),
-                      b"" if repeated else b"".join(text[p:p + n].tobytes() for p, n in zip(place[pick], size[pick], strict=True)), repeated)
+                      b"" if repeated else _squeezed(b"".join(text[p:p + n].tobytes() for p, n in zip(place[pick], size[pick], strict=True))), repeated)
             for c, v in zip(out, values, strict=True):
                 out[c].append(v)
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), _CONTEXT_TYPES, strict=True)})
@@ -297,7 +307,8 @@ def _resolved(table: pa.Table) -> pa.Table:
         docs, prints = np.frombuffer(_joined(loose["docs"]), np.int64), np.frombuffer(_joined(loose["prints"]), np.int32)
         first, size = np.frombuffer(_joined(loose["starts"]), np.int32), np.frombuffer(_joined(loose["sizes"]), np.int32)
         bucket = np.repeat(loose["bucket"].to_numpy(), [len(v) // 8 for v in loose["docs"].to_pylist()])
-        text = _joined(loose["bytes"])
+        each = [int(np.frombuffer(v, np.int32).sum(dtype=np.int64)) for v in loose["sizes"].to_pylist()]
+        text = b"".join(_unsqueezed(v, n) for v, n in zip(loose["bytes"].to_pylist(), each, strict=True))
         ends = np.cumsum(size, dtype=np.int64)
         number: dict[bytes, int] = {}
         same = np.array([number.setdefault(text[e - n:e], len(number)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)])
@@ -311,9 +322,18 @@ def _resolved(table: pa.Table) -> pa.Table:
         of[same] = anchor
         kinds, at, n = np.unique(of, return_inverse=True, return_counts=True)
         several = np.flatnonzero(n[at] > 1)
+        found: dict[int, np.ndarray] = {}
+        # contexts of one anchor are sorted together, those of other anchors needn't be
+        by = several[np.argsort(at[several], kind="stable")]
+        last = np.append(np.flatnonzero(np.diff(at[by])) + 1, len(by)) if len(by) else by
+        length = np.cumsum([len(distinct[k]) for k in by.tolist()], dtype=np.int64)
+        a = 0
+        while a < len(by):
+            full = np.searchsorted(length, (length[a - 1] if a else 0) + SORTED, "right")
+            b = int(last[min(np.searchsorted(last, max(full, a + 1)), len(last) - 1)])
+            found.update(zip(by[a:b].tolist(), repeated_windows([distinct[k] for k in by[a:b].tolist()], least[by[a:b]]), strict=True))
+            a = b
         if len(several):
-            windows = repeated_windows([distinct[k] for k in several], least[several])
-            found = dict(zip(several.tolist(), windows, strict=True))
             for k in np.flatnonzero(~later & np.isin(same, several)).tolist():
                 w = found[same[k]]
                 if len(w):
