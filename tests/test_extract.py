@@ -231,3 +231,10 @@ def test_probe_order(spark):
     config = rs.ModuleConfig(aliases={"d/*": ["wide/*"], "d/deep/*": ["deep/*"]}, ts_base_url="wide", ts_paths={"d/*": ["deep/*"]})
     got = {r.specifier: r.source_module for r in rs.resolve_specifiers(refs, files, config).collect()}
     assert got == {"./m": "s/m.ts", "./n": "s/n/index.jsx", "./k.js": "s/k.js", "./k.ts": None, "d/q": "wide/deep/q.ts", "d/deep/q": "deep/q.ts"}
+
+
+def test_any_number_of_blanks_behind_a_keyword(spark):
+    files = table(spark, "compose", {"a/A.kt": "@Composable\nfun S() {\n  class      Foo(val x: Int)\n  val y = x as      Bar { }\n  Btn()\n}\n"})
+    assert [r.symbol for r in kotlin.calls(files).collect()] == ["Btn"]
+    files = table(spark, "swift", {"A.swift": "struct S: View {\n  var body: some View {\n    let y = x as      Bar {\n    }\n    Btn()\n  }\n}\n"})
+    assert [r.symbol for r in swift.calls(files).collect()] == ["Btn"]
