@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that makes up half of them, go."""
+    """Documents without a letter, or without a language that makes up three tenths of them, go."""
     return language_id.identified(docs, language_id.train(docs))
 
 

@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: str = "doc
     return rows.mapInArrow(_predicted(model), f"`{carry}` {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
-def identified(docs: DataFrame, model: Model, least_share: float = 0.5, text: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: Model, least_share: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose main language has a share of at least ``least_share``."""
     packed = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text"))
     known = predict(packed, model, "_text", "_doc").filter((F.col("lang_pred") != UNKNOWN) & (F.element_at("shares", 1) >= least_share))
