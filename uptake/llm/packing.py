@@ -39,11 +39,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
            vocabulary: str | None = None, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop, step = encoder(vocabulary).encode, int(end).to_bytes(4, "little"), 4 * capacity
+        words, stop, step = encoder(vocabulary), int(end).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out = [[], [], [], [], []]
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(content.as_py() or "") + stop
+                ids = words.encode(content.as_py() or "") + stop
                 for k in range(0, len(ids), step):
                     part = ids[k:k + step]
                     for column, v in zip(out, (doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.forget()
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECE)
 
 

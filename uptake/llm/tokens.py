@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Pieces kept by a worker; beyond that the table starts anew.
-KEPT = 400_000
+KEPT = 300_000
 #: Signs that are pieces of their own behind a letter.
 _SIGNS = ".,;:!?*$%&#|()"
 
@@ -34,6 +34,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the tables anew; a task does so when it ends, as its worker lives on."""
         self.pieces: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
@@ -58,7 +62,7 @@ class WordEncoder:
             return b"".join(map(self.pieces.__getitem__, pieces))
         except KeyError:
             if len(self.pieces) > KEPT:
-                self.pieces, self.stems = {"": b""}, {"": b""}
+                self.forget()
             self._learn([p for p in set(pieces) if p not in self.pieces])
             return b"".join(map(self.pieces.__getitem__, pieces))
 
