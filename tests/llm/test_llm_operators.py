@@ -392,6 +392,21 @@ def test_license_scan_edges(spark):
     assert license_scan.scan(docs(spark, EDGES).limit(0)).count() == 0
 
 
+def test_license_notices_do_not_depend_on_line_breaks(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal")
+    apache = ("# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n"
+              "#     http://www.apache.org/licenses/LICENSE-2.0\n")
+    spread = "released " + prose(71, 40) + " under the " + prose(72, 40) + " mit " + prose(73, 40) + " license"
+    rows = [(1, mit), (2, f"intro\n\n{apache}\n{prose(74, 300)}\n{mit}"), (3, mit.replace("\n", " ")), (4, "\n".join(mit.split())), (5, spread),
+            (6, f"the\nReleased\nunder the\nMIT Licence License\n{prose(75, 9)}\nReleased under the MIT License")]
+    by = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert [by[d]["labels"] for d in range(1, 7)] == ["mit", "apache,mit", "mit", "mit", "", "mit"]
+    assert [by[d]["n_lines"] for d in range(1, 7)] == [1, 2, 1, 1, 0, 2]
+    found = {(r["row"], r["label"], r["line"]) for r in license_scan.matches(docs(spark, rows)).collect()}
+    assert found == {(1, "mit", 0), (2, "apache", 2), (2, "mit", 8), (3, "mit", 0), (4, "mit", 0), (6, "mit", 1), (6, "mit", 5)}
+
+
 def test_url_edges(spark):
     urls = ["http://A.Example.ORG/es/x?q", "https://example.org/en/17", "https://example.org/en", "ftp://x.com/fr/1#a", "http://y.com/de/", "http://com/de/2",
             "http://xcom/de/2", None, "no scheme", "http://", "http://b.net/a/b/c/d/e", "http://z.org", "HTTP://u.net?x://y.com/fr/"]

@@ -1,19 +1,22 @@
-"""License scan: phrases, and an exact set-similarity join of text lines with templates.
-
-A line and a template are sets of words.  ``matches`` finds every line that contains at
-least ``THRESHOLD`` of a template's words:
-
-* tokens are ordered by the number of lines of the whole input that hold them, rare first;
-* length filter: a line needs as many template words as the overlap asks for;
-* prefix filter: with an overlap of o out of n tokens, the first token that both share is
-  among the first n - o + 1 of the template and of the line;
-* positional filter: what follows that token on both sides has to suffice for the overlap;
-* what is left is verified on the sets.
-
-Only words that some template has can be shared, so lines are reduced to those when they
-are read, and only reduced lines are counted, written and joined.  The templates are a
-parameter of bounded size (``MOST_TOKENS`` distinct words, checked); frequencies and prefixes are
-tables of at most that many rows.  Everything is DataFrame functions.
+"""License scan: phrases, and an exact set-similarity join of runs of words with templates.
+
+A run is a number of consecutive words of a text, whatever line breaks stand between them;
+for a template of n words it has n / ``THRESHOLD`` words.  ``matches`` finds every place
+where a run contains at least ``THRESHOLD`` of a template's distinct words:
+
+* words are ordered by how often the whole input holds them, rare first;
+* prefix filter: with an overlap of o out of n words, a run holds one of the first
+  n - o + 1 of the template;
+* length filter: around that word, no farther away than a run is long, there have to be as
+  many words of the template as the overlap asks for;
+* what is left is verified: of the runs around that word the one that holds most of the
+  template counts, and of several the last, which has no needless words in front.
+
+Only words that some template has can be shared, so texts are reduced to those, with their
+numbers and line breaks, when they are read.  Around each rare word a slice of bounded size
+goes on; no text and no line meets another.  The templates are a parameter of bounded size
+(``MOST_TOKENS`` distinct words, checked); frequencies and prefixes are tables of at most
+that many rows.  Everything is DataFrame functions.
 
 Words: maximal runs of characters other than ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after
 lower-casing A-Z.  Null counts as empty and has no words, places, labels; score 0.  Rows
@@ -26,6 +29,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lexing import once
+from ..functions.text import running_ends
 from ..plans.stages import materialize
 
 THRESHOLD, MOST_TOKENS = 0.8, 10_000
@@ -64,8 +69,8 @@ TEMPLATES = (
 )
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, SMALL), F.lit(WORD), F.lit(0))
+def words(text: Column, pattern: str = WORD) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, SMALL), F.lit(pattern), F.lit(0))
 
 
 def places(tokens: Column, phrase: str) -> Column:
@@ -83,54 +88,64 @@ def places(tokens: Column, phrase: str) -> Column:
     return F.when(possible, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def template_table(templates: tuple[tuple[str, str], ...]) -> list[tuple[int, str, list[str]]]:
-    """(number, label, distinct words) of each template."""
-    out = [(n, label, sorted(set(text.split()))) for n, (label, text) in enumerate(templates)]
-    if len({w for _, _, ws in out for w in ws}) > MOST_TOKENS:
+def template_table(templates: tuple[tuple[str, str], ...]) -> list[tuple[int, str, int, list[str]]]:
+    """(number, label, number of words, distinct words) of each template."""
+    out = [(n, label, len(text.split()), sorted(set(text.split()))) for n, (label, text) in enumerate(templates)]
+    if len({w for *_, ws in out for w in ws}) > MOST_TOKENS:
         raise ValueError(f"templates may have {MOST_TOKENS} distinct words")
     return out
 
 
-def reduced_lines(docs: DataFrame, row: str, text: str, vocabulary: list[str]) -> DataFrame:
-    """(row, line, tokens): the template words of every line that has any."""
-    lines = docs.select(F.col(row).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "content"))
-    tokens = F.array_intersect(words(F.col("content")), F.array(*(F.lit(w) for w in vocabulary)))
-    return lines.select("row", "line", tokens.alias("tokens")).filter(F.size("tokens") > 0)
+def reduced_texts(docs: DataFrame, row: str, text: str, vocabulary: list[str]) -> DataFrame:
+    """(row, cells): the template words and line breaks of every text that has such words, with their numbers in the text."""
+    cells = F.transform(words(F.col(text), rf"{WORD}|\n"), lambda c, i: F.struct(i.alias("at"), c.alias("token")))
+    rows = docs.select(F.col(row).alias("row"), F.filter(cells, lambda c: c["token"].isin(*vocabulary, "\n")).alias("cells"))
+    return rows.filter(F.exists("cells", lambda c: c["token"] != "\n"))
+
+
+def around(texts: DataFrame, rare: list[str], reach: int) -> DataFrame:
+    """(row, token, at, hood): every rare word with the template words before and behind it; at and line count words and line breaks."""
+    some = texts.filter(F.exists("cells", lambda c: c["token"].isin(*rare)))
+    counted = once(some, line=running_ends(F.transform("cells", lambda c: (c["token"] == "\n").cast("bigint"))))
+    placed = F.transform(F.arrays_zip("cells", "line"), lambda z: F.struct(
+        (z["cells"]["at"] - z["line"]).alias("at"), z["line"].alias("line"), z["cells"]["token"].alias("token")))
+    kept = once(counted.select("row", F.filter(placed, lambda c: c["token"] != "\n").alias("c")), known=F.col("c")).drop("c")
+    numbers = F.filter(F.sequence(F.lit(1), F.size("known")), lambda k: F.element_at("known", k)["token"].isin(*rare))
+    return kept.select("row", F.explode(F.transform(numbers, lambda k: F.struct(
+        F.element_at("known", k).alias("own"), F.slice("known", F.greatest(k - reach, F.lit(1)), F.lit(2 * reach + 1)).alias("hood")))).alias("n")).select(
+        "row", "n.own.token", "n.own.at", "n.hood")
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES,
             threshold: float = THRESHOLD) -> DataFrame:
-    """(row, line, template, label, containment) of all lines that hold ``threshold`` of a template's words.
+    """(row, line, template, label, containment) of all runs that hold ``threshold`` of a template's words.
 
-    ``row`` is the doc_id; null texts have no lines.
+    ``row`` is the doc_id, ``line`` the line in which the run starts; null texts have none.
     """
     table = template_table(templates)
-    lines = materialize(reduced_lines(docs, doc_id, text, sorted({w for _, _, ws in table for w in ws})))
+    texts = materialize(reduced_texts(docs, doc_id, text, sorted({w for *_, ws in table for w in ws})))
     # one row per template word
-    frequency = {r["token"]: r["lines"] for r in
-                 lines.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("lines")).collect()}
-    if not frequency:
-        frequency = {"": 0}
-    order = sorted(frequency, key=lambda w: (frequency[w], w))
-    prefixes, least = [], MOST_TOKENS
-    for number, label, ws in table:
+    frequency = {r["token"]: r["n"] for r in texts.select(F.explode("cells.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prefixes, reach = [], 1
+    for number, label, length, ws in table:
         need = max(1, math.ceil(len(ws) * threshold - 1e-9))
-        least = min(least, need)
+        run = math.ceil(length / threshold - 1e-9)
+        reach = max(reach, run)
         ordered = sorted(ws, key=lambda w: (frequency.get(w, 0), w))
-        prefixes += [(number, label, ws, len(ws), need, at, w) for at, w in enumerate(ordered[:len(ws) - need + 1])]
+        prefixes += [(number, label, ws, len(ws), need, run, w) for w in ordered[:len(ws) - need + 1]]
     prefix = docs.sparkSession.createDataFrame(
-        prefixes, "template int, label string, words array<string>, size int, need int, at int, token string")
+        prefixes, "template int, label string, words array<string>, size int, need int, run int, token string")
+
+    def held(cells: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(cells, lambda c: c["token"])))
 
-    ranks = F.array(*(F.lit(w) for w in order))
-    placed = F.array_sort(F.transform("tokens", lambda t: F.struct(F.array_position(ranks, t).alias("rank"), t.alias("token"))))
-    rare = F.array(*(F.lit(w) for w in sorted({p[-1] for p in prefixes})))
-    entries = (lines.filter((F.size("tokens") >= least) & F.arrays_overlap("tokens", rare))
-               .select("row", "line", "tokens", F.size("tokens").alias("have"), F.posexplode(placed).alias("place", "entry"))
-               .select("row", "line", "tokens", "have", "place", F.col("entry.token").alias("token")))
-    rest = F.least(F.col("size") - F.col("at"), F.col("have") - F.col("place"))
-    candidates = entries.join(F.broadcast(prefix), "token").filter((F.col("have") >= F.col("need")) & (rest >= F.col("need")))
-    return (candidates.withColumn("shared", F.size(F.array_intersect("tokens", "words"))).filter(F.col("shared") >= F.col("need"))
-            .select("row", "line", "template", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct())
+    candidates = around(texts, sorted({p[-1] for p in prefixes}), reach).join(F.broadcast(prefix), "token")
+    near = F.filter("hood", lambda c: F.array_contains("words", c["token"]) & (F.abs(c["at"] - F.col("at")) < F.col("run")))
+    near = once(candidates, near=near).drop("hood").filter(held(F.col("near")) >= F.col("need"))
+    runs = F.transform("near", lambda s: F.struct(
+        held(F.filter("near", lambda c: c["at"].between(s["at"], s["at"] + F.col("run") - 1))).alias("shared"), s["at"].alias("at"), s["line"].alias("line")))
+    return (once(near, best=F.array_max(runs)).filter(F.col("best.shared") >= F.col("need"))
+            .select("row", F.col("best.line").alias("line"), "template", "label", (F.col("best.shared") / F.col("size")).alias("containment")).distinct())
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: tuple[tuple[str, str], ...] = PHRASES,
@@ -138,8 +153,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: t
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_lines.
 
     n_base, first_word, last_word: number and smallest and largest start of the phrases'
-    places.  labels: those of the phrases and of the templates that some line matches.
-    score: the best containment of a template, 1 if a phrase stands in the text.
+    places.  labels: those of the phrases and of the templates that some run matches.
+    score: the best containment of a template, 1 if a phrase stands in the text.  n_lines:
+    in how many lines such a run starts.
     """
     # words are cut out of texts that can hold a phrase only; others just count them
     can = F.col("text").rlike("(?i)" + "|".join(GAP.join(p.split()) for p, _ in phrases))
