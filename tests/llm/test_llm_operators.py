@@ -121,6 +121,25 @@ def test_near_dedup_links_what_pairs_of_full_sets_link(spark, monkeypatch, small
     assert got == plain.components(dict(rows))
 
 
+@pytest.mark.parametrize(("threshold", "changed"), [(50, 33), (80, 11)])
+def test_near_dedup_finds_pairs_right_at_the_threshold(spark, threshold, changed):
+    rows = []
+    for d in range(40):  # two texts of 100 shingles each; the second ends in other words
+        words = prose(2000 + d, 104, [f"n{d}_{i}" for i in range(100_000)]).split()
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(words[:104 - changed] + [f"x{d}_{i}" for i in range(changed)]))]
+    want = plain.components(dict(rows), threshold)
+    assert len(set(want.values())) == 40 and len(set(plain.components(dict(rows), threshold + 1).values())) == 80
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), threshold=threshold).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold", [50, 70, 80, 85, 95, 100])
+def test_bands_miss_hardly_any_pair_at_the_threshold(threshold):
+    bands, rows = near_dedup.shape(threshold)
+    assert bands * rows <= near_dedup.MINIMA and (1 - (threshold / 100) ** rows) ** bands < 1e-6
+    assert near_dedup.shape(85) == (24, 5) and near_dedup.shape(80) == (27, 4)
+
+
 def test_near_dedup_edges(spark):
     table = docs(spark, EDGES)
     rows = near_dedup.near_duplicates(table).collect()

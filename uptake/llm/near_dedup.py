@@ -1,14 +1,15 @@
 """MinHash near-deduplication: universal hash minima, banding, verification, components.
 
 1. One pass over the texts gives every document its set of ``width``-word shingles (as
-   64-bit hashes), the size and a fingerprint of the set, ``BANDS * ROWS`` minima of
+   64-bit hashes), the size and a fingerprint of the set, ``bands * rows`` minima of
    universal hash functions ``(a * x + b mod 2^64) >> 32``, a hash of each band of minima,
    and 8 bits of each minimum as signature.
 2. Documents with equal sets form a class; its smallest doc_id stands for it from here
    on, so a group of copies costs one member.
-3. Members that share a band are candidates.  At a similarity of 0.85 a pair shares none
-   of 24 bands of 5 rows with probability 8e-7, and fails the signature test (estimate
-   below 0.65, six deviations) with 1e-9.
+3. Members that share a band are candidates.  Bands are made for the threshold (``shape``):
+   a pair right at it shares none of them with a probability of less than ``MISS`` (0.85: 24
+   bands of 5 rows, 8e-7; 0.80: 27 of 4, 7e-7), and fails the signature test (estimate
+   ``MARGIN`` below it, five to six deviations) with less than 1e-7.
 4. A pair is linked if, on the full sets, ``100 * |A and B| >= threshold * |A or B|``.
    Only links between different components can change the result.  So first every member is
    tried with the one that resembles it most among the smallest members of its bands.  Then
@@ -27,6 +28,7 @@ nothing and have a null component.  Rows that share a doc_id are one vertex.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,8 @@ from . import textbytes as tb
 from .components import components
 from .ids import narrow, without
 
-BANDS, ROWS = 24, 5
+#: Minima of a document at most, and how likely a pair at the threshold may share no band.
+MINIMA, MISS = 128, 1e-6
 #: Up to SMALL members all pairs of a band are looked at; larger ones are cut into blocks.  PART: members that one call gets.
 SMALL, BLOCK, PART = 24, 512, 20_000
 #: How far below the threshold signatures may agree.
@@ -47,11 +50,21 @@ MARGIN = 0.2
 SHARD = 1 << 20
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=tb.U) * tb.U(2) + tb.U(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=tb.U)
+_A = _rng.integers(0, 1 << 63, MINIMA, dtype=tb.U) * tb.U(2) + tb.U(1)
+_B = _rng.integers(0, 1 << 63, MINIMA, dtype=tb.U)
 _Q = _rng.integers(0, 1 << 63, 64, dtype=tb.U) * tb.U(2) + tb.U(1)
 
 
+def shape(threshold: int) -> tuple[int, int]:
+    """Number of bands and rows of a band: the longest bands that miss a pair at the threshold with less than ``MISS``."""
+    for rows in range(MINIMA, 0, -1):
+        none = math.log1p(-min(threshold / 100, 1 - 1e-9) ** rows)
+        bands = math.ceil(math.log(MISS) / none) if none else MINIMA + 1
+        if bands * rows <= MINIMA:
+            return bands, rows
+    raise ValueError(f"a threshold of {threshold} needs more than {MINIMA} minima")
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row of a block."""
     starts, ends, before = tb.words(data, offsets, tb.NON_BLANK)
@@ -73,15 +86,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    least = np.full(len(_A), np.iinfo(tb.U).max, tb.U)
+def minima(s: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    least = np.full(count, np.iinfo(tb.U).max, tb.U)
     with np.errstate(over="ignore"):
         for k in range(0, len(s), 2048):
-            np.minimum(least, (_A[:, None] * s[k:k + 2048] + _B[:, None]).min(axis=1), out=least)
+            np.minimum(least, (_A[:count, None] * s[k:k + 2048] + _B[:count, None]).min(axis=1), out=least)
     return least >> tb.U(32)
 
 
-def _signatures(width: int):
+def _signatures(width: int, threshold: int):
+    n_bands, n_rows = shape(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, prints, bands, bits = [], [], [], []
@@ -93,10 +108,10 @@ def _signatures(width: int):
                         high = int(np.bitwise_xor.reduce(tb.mix(s * tb.U(3)))) if len(s) else 0
                         prints.append(low.to_bytes(8, "little") + high.to_bytes(8, "little"))
                         if len(s):
-                            m = minima(s)
-                            rows = m.reshape(BANDS, ROWS)
-                            key = np.arange(BANDS, dtype=tb.U)
-                            for r in range(ROWS):
+                            m = minima(s, n_bands * n_rows)
+                            rows = m.reshape(n_bands, n_rows)
+                            key = np.arange(n_bands, dtype=tb.U)
+                            for r in range(n_rows):
                                 key = tb.mix(key * tb.U(0x9E3779B97F4A7C15) + rows[:, r])
                             bands.append(key.view(np.int64))
                             bits.append((m & tb.U(255)).astype(np.uint8).tobytes())
@@ -125,7 +140,7 @@ def _resemble(floor: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("bits_a", "bits_b"))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
             share = (left == right).mean(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)],
                                              names=["a", "b", "share"]).filter(pa.array(share >= floor))
@@ -208,7 +223,7 @@ def _feasible(threshold: int):
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "low", "high"], kind="stable")
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(-1, BANDS * ROWS)
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
         bands = np.stack(rows["bands"].to_list())
         key, lows, highs, ids, root, n, own, block = (rows[c].to_numpy() for c in ("key", "low", "high", "id", "root", "n", "own", "block"))
         place = (bands == key[:, None]).argmax(axis=1)
@@ -269,7 +284,7 @@ def _links(members: DataFrame, sets: DataFrame, buckets: DataFrame, threshold: i
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    known = materialize(source.mapInArrow(_signatures(width), "doc_id long, n long, print binary, bands array<long>, bits binary"))
+    known = materialize(source.mapInArrow(_signatures(width, threshold), "doc_id long, n long, print binary, bands array<long>, bits binary"))
     classes = materialize(known.filter("n > 0 AND doc_id IS NOT NULL").groupBy("print", "n")
                           .agg(F.min(F.struct("doc_id", "bands", "bits")).alias("of"))
                           .select("print", "n", F.col("of.doc_id").alias("id"), "of.bands", "of.bits"))
