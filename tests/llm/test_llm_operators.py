@@ -389,6 +389,24 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(docs(spark, rows).limit(0), "k").count() == 0
 
 
+def test_surrogates_of_whole_names_and_other_notations(spark):
+    rows = [(1, "Mr John Ronald Tolkien wrote. Tolkien, John and Tolkienesque; Mr. J. R. Smith met Mrs Jones Mr Smith"), (2, "Tolkien of another text"),
+            (3, "call 555-123-4567, 1-800-555-1234 or 030 1234567"), (4, "key " + "0AF3" * 10), (5, "card 378282246310005 or 3782 822463 10005"),
+            (6, "on 2020-01-02 12 of 1234 at 10.30"), (7, "Frau Dr. Anna Weber-Braun; Weber-Braun")]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs(spark, rows), "k").collect()}
+    for d, old in ((1, "John Ronald Smith Jones"), (3, "555 4567 1234"), (4, "0AF3"), (5, "378282246310005 822463"), (7, "Anna Weber Braun")):
+        assert not [w for w in old.split() if w in got[d]["text"]], got[d]["text"]
+    m = re.fullmatch(r"Mr (\w+) (\w+) (\w+) wrote\. (\w+), (\w+) and Tolkienesque; Mr\. (\w+\.?) (\w+\.?) (\w+) met Mrs (\w+) Mr (\w+)", got[1]["text"])
+    assert m and m[3] == m[4] and m[1] == m[5] and m[8] == m[10] and got[1]["kinds"] == "name,name_f,name_m" and got[1]["n_entities"] == 6
+    assert got[2]["text"] == rows[1][1] and got[6]["text"] == rows[5][1]
+    assert re.fullmatch(r"key [0-9A-F]{40}", got[4]["text"])
+    cards = re.fullmatch(r"card (\d{15}) or (\d{4} \d{6} \d{5})", got[5]["text"])
+    assert cards[1] == cards[2].replace(" ", "")
+    assert sum(d if i % 2 == 0 else (2 * d - 9 * (d > 4)) for i, d in enumerate(map(int, reversed(cards[1])))) % 10 == 0
+    w = re.fullmatch(r"Frau (\w+) (\w+) (\w+); (\w+)", got[7]["text"])
+    assert w and w[3] == w[4]
+
+
 def test_surrogates_stay_distinct(spark):
     atoms = spark.createDataFrame([("family", f"Name{i}") for i in range(3000)] + [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(500)], "kind string, atom string")
     rows = surrogates.assign(atoms, "k").collect()

@@ -10,6 +10,10 @@ gets one surrogate of its own kind, made from a keyed SHA-512:
 * words of a name become made-up names of their script, given names with an ending of the
   gender that the title tells.
 
+A name is a title and all capitalised words and initials behind it.  Its words are looked for
+in the rest of their text too, so mentions without a title get the same surrogate (kind
+``name``); an initial alone is not.
+
 Collision check: if two atoms of a kind would get the same surrogate, or one that is itself
 an atom of the corpus, the later one is made anew with the next attempt number, until
 there is no clash; from the eighth attempt on surrogates get longer, so this ends.  Equal
@@ -26,27 +30,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lexing import once
 from ..plans.stages import materialize
 
 _RUN = r"\p{L}\p{N}._%+-"
 TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Г-жа|Κυρία"
 TITLES_M = "Mr|Herr|Señor|Sr|Monsieur|Г-н|Κύριος"
+_WORD = r"\p{Lu}[\p{L}'’-]*+"
+_PART = rf" (?!(?:{TITLES_F}|{TITLES_M})(?!\p{{L}}))(?:(?:\p{{Lu}}\.)++(?:-?\p{{Lu}}\.)*+|(?:Dr|Prof)\.|{_WORD})"
 
 #: Kind and pattern; the first that fits a match names its kind.
 PATTERNS = (
     ("email", rf"(?<![{_RUN}])[{_RUN}]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}}+"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("card", r"(?<![\p{L}\d])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\d])"),
+    ("card", r"(?<![\p{L}\d])3\d{3}[ -]?\d{6}[ -]?\d{4,5}(?![\p{L}\d])"),
     ("phone", r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"),
     ("phone", r"(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
+    ("phone", r"(?<![\p{L}\d+])(?:\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\d])"),
+    ("phone", r"(?<![\p{L}\d+])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![\p{L}\d])"),
     ("ssn", r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("iban", r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"),
-    ("secret", r"(?<![\p{L}\d])[0-9a-f]{32,}+(?![\p{L}\d])"),
+    ("secret", r"(?<![\p{L}\d])[0-9a-fA-F]{32,}+(?![\p{L}\d])"),
     ("secret", r"(?<![\p{L}\d])(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{16,}+"),
-    ("name_f", rf"(?<!\p{{L}})(?:{TITLES_F})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}[\p{{L}}'-]*+)?"),
-    ("name_m", rf"(?<!\p{{L}})(?:{TITLES_M})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}[\p{{L}}'-]*+)?"),
+    ("name_f", rf"(?<!\p{{L}})(?:{TITLES_F})\.?(?:{_PART})++"),
+    ("name_m", rf"(?<!\p{{L}})(?:{TITLES_M})\.?(?:{_PART})++"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+NAMES = "|".join(f"(?:{p})" for kind, p in PATTERNS if kind.startswith("name"))
+TITLED = ("name_f", "name_m")
 
 #: Letters of made-up words by script: pattern, letters, syllables, endings of given names (f, m).
 SCRIPTS = (
@@ -73,10 +85,10 @@ def _atoms(kind: Column, match: Column) -> Column:
     atom = lambda k, a: F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), a.alias("atom"))
     words = F.split(F.regexp_replace(match, r"^\S+ ", ""), " ")
     given = F.when(kind == "name_f", "given_f").otherwise("given_m")
-    named = F.transform(words, lambda w, i: atom(F.when((F.size(words) > 1) & (i == 0), given).otherwise("family"), w))
+    named = F.transform(words, lambda w, i: atom(F.when(i < F.size(words) - 1, given).otherwise("family"), w))
     return (F.when(kind == "email", F.array(atom("mailbox", F.substring_index(match, "@", 1)), atom("domain", F.substring_index(match, "@", -1))))
             .when(kind.isin("card", "phone", "ssn"), F.array(atom(kind, _digits(match))))
-            .when(kind.startswith("name"), named)
+            .when(kind.isin(*TITLED), named)
             .otherwise(F.array(atom(kind, match))))
 
 
@@ -94,7 +106,7 @@ def _rebuilt(kind: Column, match: Column, parts: Column) -> Column:
     title = F.regexp_extract(match, r"^(\S+ )", 1)
     return (F.when(kind == "email", F.concat_ws("@", parts))
             .when(kind.isin("card", "phone", "ssn"), formatted)
-            .when(kind.startswith("name"), F.concat(title, F.array_join(parts, " ")))
+            .when(kind.isin(*TITLED), F.concat(title, F.array_join(parts, " ")))
             .otherwise(number))
 
 
@@ -157,7 +169,8 @@ def surrogate(kind: Column, atom: Column, attempt: Column, key: str) -> Column:
     label = F.substring_index(atom, ".", -1)
     host = F.substring(atom, F.lit(1), F.length(atom) - F.length(label))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + F.pmod(_byte(h, i), F.lit(254))).cast("string")), ".")
-    hexadecimal = F.array_join(F.transform(F.split(atom, ""), lambda c, i: _pick("0123456789abcdef", _byte(h, i))), "")
+    small = F.array_join(F.transform(F.split(atom, ""), lambda c, i: _pick("0123456789abcdef", _byte(h, i))), "")
+    hexadecimal = F.when(atom.rlike("[A-F]") & ~atom.rlike("[a-f]"), F.upper(small)).otherwise(small)
     longer = F.when(attempt >= FREE, F.substring(F.translate(h, "abcdef", "012345"), F.lit(1), attempt - FREE + 1)).otherwise("")
     return (F.when(kind == "mailbox", F.concat(_masked(atom, h), longer))
             .when(kind == "domain", F.concat(_masked(host, h), label))
@@ -165,7 +178,7 @@ def surrogate(kind: Column, atom: Column, attempt: Column, key: str) -> Column:
             .when(kind == "card", F.concat(_card(atom, h), longer))
             .when(kind.isin("phone", "ssn"), F.concat(_masked(atom, h, 1), longer))
             .when(kind == "iban", F.concat(_masked(atom, h, 2), longer))
-            .when((kind == "secret") & atom.rlike("^[0-9a-f]+$"), F.concat(hexadecimal, longer))
+            .when((kind == "secret") & atom.rlike("^[0-9a-fA-F]+$"), F.concat(hexadecimal, longer))
             .when(kind == "secret", F.concat(_masked(atom, h, 4), longer))
             .otherwise(_name(kind, atom, h, attempt)))
 
@@ -191,12 +204,20 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     some = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     plain = rows.filter(~some).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
-    match = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    found = materialize(rows.filter(some).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", match.alias("matches")))
-
-    kinds = F.transform("matches", lambda m: F.struct(_kind(m).alias("kind"), m.alias("match")))
-    each = found.select("row", F.posexplode(kinds).alias("at", "m")).select("row", "at", "m.kind", "m.match")
-    each = each.withColumnRenamed("kind", "of").select("row", "at", "of", "match", F.posexplode(_atoms(F.col("of"), F.col("match"))).alias("part", "a"))
+    titled = F.filter(F.regexp_extract_all("text", F.lit(NAMES), F.lit(0)), lambda m: m != "")
+    known = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(titled, lambda m: _atoms(_kind(m), m))), lambda a: a["atom"].rlike(f"^{_WORD}$") & (F.length(a["atom"]) > 1))))
+    named = once(rows.filter(some), names=F.when(F.col("text").rlike(NAMES), known).otherwise(F.array().cast("array<struct<kind:string,atom:string>>")))
+    # words of the text's own names, the longest first
+    longest = F.reverse(F.array_sort(F.array_distinct(F.transform("names", lambda a: F.struct(F.length(a["atom"]).alias("n"), a["atom"].alias("atom"))))))
+    again = F.concat(F.lit(ANY + r"|(?<!\p{L})(?=\p{Lu})(?:"), F.array_join(F.transform(longest, lambda a: a["atom"]), "|"), F.lit(r")(?!\p{L})"))
+    named = once(named, pattern=F.when(F.size("names") > 0, again).otherwise(F.lit(ANY)))
+    match = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
+    found = materialize(named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "names", "pattern", match.alias("matches")))
+
+    kinds = F.transform("matches", lambda m: F.struct(F.coalesce(_kind(m), F.lit("name")).alias("kind"), m.alias("match")))
+    each = found.select("row", "names", F.posexplode(kinds).alias("at", "m")).select("row", "at", F.col("m.kind").alias("of"), "m.match", F.when(
+        F.col("m.kind") == "name", F.slice(F.filter("names", lambda a: a["atom"] == F.col("m.match")), F.lit(1), F.lit(1))).alias("own"))
+    each = each.select("row", "at", "of", "match", F.posexplode(F.coalesce("own", _atoms(F.col("of"), F.col("match")))).alias("part", "a"))
     atoms = materialize(each.select("row", "at", "of", "match", "part", "a.kind", "a.atom"))
     made = assign(atoms, key)
     known = atoms.join(made, ["kind", "atom"])
@@ -205,7 +226,7 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
                .select("row", F.struct("at", F.col("of"), _rebuilt(F.col("of"), F.col("match"), F.col("parts")).alias("out")).alias("hit")))
     per_row = rebuilt.groupBy("row").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     # text between the matches, and what takes their place, in turn
-    gaps = F.split("text", ANY, -1)
+    gaps = F.split("text", F.col("pattern"), -1)
     put = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("hits", i)["out"], F.lit(""))))
     changed = found.join(per_row, "row").select(
         "doc_id", F.array_join(put, "").alias("text"), F.size("hits").cast("long").alias("n_entities"),
