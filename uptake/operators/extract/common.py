@@ -80,15 +80,18 @@ def token_rows(df: DataFrame, token_keys: DataFrame, language: str) -> DataFrame
         *PARENT_FIELDS)
 
 
-# A declared name, an import or a package line is no reference: it is matched with its keyword, and dropped for the blank in it.
+# A declared name, an import or a package line is no reference: it is matched with its keywords, and dropped for the blank in it.
 CHAIN = (
-    r"(?=[A-Za-z_$])(?<![\w.@])(?:(?:val|var|let|const|fun|func|class|struct|enum|object|interface|protocol|typealias|import|package|function|type)\s++[A-Za-z_$][\w$]*+"
+    r"(?=[A-Za-z_$])(?<![\w.@])(?:(?:(?:val|var|let|const|fun|func|class|struct|enum|object|interface|protocol|typealias|import|package|function|type)\s++)+[A-Za-z_$][\w$]*+"
     r"|[A-Za-z_$][\w$]*+(?:\??\.[A-Za-z_$][\w$]*+)*+)")
 
 
-def chain_candidates(df: DataFrame, *keep: str, members: bool = True) -> DataFrame:
-    """Every identifier chain, its prefixes and (if asked) its single names."""
-    chains = hits(df, CHAIN, *keep).filter(~F.col("text").rlike(r"\s"))
+def chain_candidates(df: DataFrame, *keep: str, members: bool = True, dropped: str | None = None) -> DataFrame:
+    """Every identifier chain, its prefixes and (if asked) its single names.
+
+    What ``dropped`` matches holds a blank or a colon and is no reference either.
+    """
+    chains = hits(df, f"{dropped}|{CHAIN}" if dropped else CHAIN, *keep).filter(~F.col("text").rlike(r"[\s:]"))
     parts = F.split("text", r"\.")
     prefixes = F.transform(parts, lambda _p, i: F.struct(
         F.lit(0).cast("bigint").alias("at"), F.array_join(F.slice(parts, F.lit(1), i + 1), ".").alias("text")))

@@ -28,6 +28,11 @@ _NO_CALL = r"(?=[a-z:])(?:(?<![\w.@])(?:fun|class|object|interface|is|as|import|
 CALL = rf"{_NO_CALL}|(?=[A-Z])(?<![\w.@])[A-Z]\w*+(?=(?:<[^<>(){{}}]*+>)?[ \t]*+[({{])"
 IMPORT = r"(?m)^[ \t]*+import[ \t]++\w++(?:\.\w++)*+(?:\.\*)?(?:[ \t]++as[ \t]++\w++)?"
 
+# Names with a type (parameters, variables, results) and the type itself, which are no references.
+TYPED = (
+    r"(?=[A-Za-z_:])(?:(?<![\w.@])[A-Za-z_]\w*+\s*+:(?!:)(?:\s*+[A-Za-z_][\w.]*+)?|(?<![?:]):(?!:)\s*+[A-Za-z_][\w.]*+"
+    r"|(?<![\w.@])(?:is|as)\??\s++[A-Za-z_][\w.]*+)")
+
 # Styling calls with category and context.
 STYLE_CALLS = {
     "Color": ("color", "color"), "background": ("color", "color"),
@@ -180,7 +185,7 @@ def style_sites(files: DataFrame) -> DataFrame:
 
 def token_sites(files: DataFrame, token_keys: DataFrame) -> DataFrame:
     """Identifier chains that are token keys, outside of previews."""
-    found = chain_candidates(with_scopes(files), "scopes", "package", "ends")
+    found = chain_candidates(with_scopes(files), "scopes", "package", "ends", dropped=TYPED)
     keys = token_keys.select("repo_id", "language", F.col("match_key").alias("text")).distinct()
     known = found.join(keys, ["repo_id", "language", "text"], "left_semi")
     placed = with_place(_enclosing(known).withColumns(_parent(F.col("start"))), F.col("start"))
