@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, license_scan, near_dedup, packing, phrase_index, suffix_dedup, surrogates, toxicity, url_filter
+from . import (exact_dedup, filter_audit, language_id, license_scan, mixture_packing, near_dedup, packing, phrase_index, suffix_dedup,
+               surrogates, toxicity, url_filter, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -238,3 +239,92 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN l0 U
 @query("op10_license_scan", _LICENSE_SQL)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_mixture_packing")
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(table(spark, sf_dir, "documents"))
+
+
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+       + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+       + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM w
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2
+), x(k) AS (VALUES (0), (1), (2), (3), (4)
+), o AS (
+  SELECT list_value(a.k, b.k, c.k, d.k, e.k) AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct(list_value(a.k, b.k, c.k, d.k, e.k))) = 5
+), s AS (
+  SELECT list_aggregate(list_transform(o, lambda k: chr(65 + k)), 'string_agg', '') AS filter_order, CAST(i AS INT) AS step, 1 << o[i] AS bit,
+         CAST(coalesce(list_sum(list_transform(o[1:i - 1], lambda k: 1 << k)), 0) AS INT) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS i)
+), p AS (
+  SELECT part, filter_order, step, bit,
+         CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM s, c GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM p"""
+
+
+@query("op12_filter_audit", _AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _assigned(k: int) -> str:
+    """SQL of the nearest entries of codebook b{k}."""
+    far = " + ".join(f"(p.x{d} - e.x{d}) * (p.x{d} - e.x{d})" for d in range(4))
+    return f"""a{k} AS (
+  SELECT vec_id, part, label, p.x0, p.x1, p.x2, p.x3, min(({far}) * 64 + entry) % 64 AS entry, min({far}) AS far
+  FROM p JOIN b{k} e USING (part) GROUP BY ALL
+)"""
+
+
+def _averaged(k: int) -> str:
+    """SQL of the codebook after round k + 1."""
+    means = ", ".join(f"coalesce(CAST(floor(sum(a.x{d}) / count(a.vec_id)) AS BIGINT), any_value(e.x{d})) AS x{d}" for d in range(4))
+    return f"""b{k + 1} AS (
+  SELECT part, entry, {means} FROM b{k} e LEFT JOIN a{k} a USING (part, entry) GROUP BY part, entry
+)"""
+
+
+_VECTOR_SQL = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS (
+  SELECT vec_id, label, k AS part, c[4 * k + 1] AS x0, c[4 * k + 2] AS x1, c[4 * k + 3] AS x2, c[4 * k + 4] AS x3
+  FROM v, (SELECT unnest(range(16)) AS k)
+), b0 AS (
+  SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x0, x1, x2, x3
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+), """ + ", ".join([_assigned(0), _averaged(0), _assigned(1), _averaged(1), _assigned(2)]) + """, r AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY 1, 2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM r"""
+
+
+@query("op13_vector_codes", _VECTOR_SQL)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
