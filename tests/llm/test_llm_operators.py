@@ -203,7 +203,11 @@ def test_decontaminated_edges(spark):
 
 def test_tokens_equal_plain_encoding():
     texts = ["", "Don't 's A'S it's!!", "  áb c d\x1ce\tf\r\n<|endoftext|>", "ΣΑΣ. İx 12३ ́lead ＡＢ", "word$$$ WORD*** x,y (z)", "日本語 テスト", LONG[:5000],
-             "\u212a\u00a0b\u0085c", "e\u0301 \u0301a $\u0301b a.\u0301"]
+             "\u212a\u00a0b\u0085c", "e\u0301 \u0301a $\u0301b a.\u0301",
+             "İ! İ. ANKARA İLİ. \u0958! \ufb1d. Ⅷ.", "x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|> <|endoftext|>!! <|endoftext|", "ǅ. ß! ŉ? ǰ."]
+    draw = random.Random(5)
+    signs = [*"İIıiΣς.,!|<>'$ \n\u0301\u0307aZ9é\u0958\u1100\u1161", "<|endoftext|>", "'s"]
+    texts += ["".join(draw.choices(signs, k=draw.randrange(12))) for _ in range(3000)]
     for t in texts:
         assert encoder().encode(t) == np.array(plain.token_ids(t), "<u4").tobytes(), t
 

@@ -4,12 +4,15 @@ The vocabulary cuts texts at white space and between letters and other signs bef
 merges, so the ids of a text are the ids of its pieces between blanks and line feeds, one
 after the other.  Pieces are looked up; unknown ones are encoded in one batch, without
 the signs behind their last letter and, if ASCII, in lower case, which the vocabulary's
-normalizer would make of them anyway.  ``tests/llm`` compares this with plain encoding.
+normalizer would make of them anyway.  Only letters below U+0250 that stay letters when
+normalized have their signs cut off.  The vocabulary's special tokens are found in a text
+as plain encoding finds them.  ``tests/llm`` compares this with plain encoding.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
@@ -19,6 +22,17 @@ KEPT = 300_000
 _SIGNS = ".,;:!?*$%&#|()"
 
 
+def _is_letter(c: str) -> bool:
+    """Whether the normalizer leaves a letter at the end; some become a letter and a mark, which joins the signs behind it."""
+    return unicodedata.normalize("NFC", c).lower()[-1].isalpha()
+
+
+#: Letters that signs can be cut from.
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and _is_letter(c))
+#: How special tokens begin; a piece that holds this keeps its case.
+_SPECIAL = "<|"
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -33,7 +47,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True
         self.forget()
 
     def forget(self) -> None:
@@ -45,11 +58,11 @@ class WordEncoder:
         cut = []
         for piece in unknown:
             stem, rest = piece.rstrip(_SIGNS), ""
-            if stem and stem[-1].isalpha():
+            if stem and stem[-1] in _LETTERS:
                 rest = piece[len(stem):]
             else:
                 stem = piece
-            cut.append((stem.lower() if stem.isascii() else stem, rest))
+            cut.append((stem.lower() if stem.isascii() and _SPECIAL not in stem else stem, rest))
         new = list({s for pair in cut for s in pair if s not in self.stems})
         for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.stems[s] = np.array(e.ids, "<u4").tobytes()
