@@ -349,10 +349,9 @@ def _resolved(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("docs", "prints", "starts", "ends")}})
 
 
-def _hit_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for v in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(v.as_buffer(), np.int64)))], names=["id"])
+def _hit_ids(hits: pa.Table) -> pa.Table:
+    """The documents of one bucket that have repeated windows, each once."""
+    return pa.table({"id": pa.array(np.unique(np.frombuffer(_joined(hits["docs"]), np.int64)))})
 
 
 def _cut(docs: pa.Table, hits: pa.Table) -> pa.Table:
@@ -401,7 +400,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
               .applyInArrow(_packed(buckets), CONTEXTS))
     hits = materialize(packed.groupBy("shard").applyInArrow(_resolved, HITS))
 
-    touched = materialize(hits.select("docs").mapInArrow(_hit_ids, "id long").distinct())
+    touched = materialize(hits.select("bucket", "docs").groupBy("bucket").applyInArrow(_hit_ids, "id long"))
     some = narrow(touched)
     cut = (long.join(some, F.col("doc_id") == F.col("id"), "left_semi").groupBy("bucket")
            .cogroup(hits.withColumnRenamed("bucket", "of").groupBy("of")))
