@@ -53,12 +53,12 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def queued(docs: DataFrame, doc_id: str, text: str, source: str, vocabulary: str | None, end: int) -> DataFrame:
     """Token ids of all documents with their place in the task's part of their source's queue."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, stop, task = encoder(vocabulary), int(end).to_bytes(4, "little"), TaskContext.get().partitionId()
+        words, task = encoder(vocabulary), TaskContext.get().partitionId()
         length: dict[str | None, int] = {}
         for batch in batches:
             out = [[], [], [], [], [], []]
-            for doc, content, name in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(words.encode(content.as_py() or "") + stop, "<u4")
+            for doc, own, name in zip(batch.column(0).to_pylist(), words.rows(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                ids = np.append(own, np.uint32(end)).astype("<u4")
                 at, n = length.get(name, 0), len(ids)
                 # two bytes an id if that is enough
                 ids = (ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes()

@@ -42,8 +42,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
         words, stop, step = encoder(vocabulary), int(end).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out = [[], [], [], [], []]
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.encode(content.as_py() or "") + stop
+            for doc, own in zip(batch.column(0).to_pylist(), words.rows(batch.column(1)), strict=True):
+                ids = own.astype("<u4").tobytes() + stop
                 for k in range(0, len(ids), step):
                     part = ids[k:k + step]
                     for column, v in zip(out, (doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
