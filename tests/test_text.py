@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uptake.functions import lexing as lx, text as tx
+from uptake.functions.lexer import lex
 from uptake.operators import intervals as iv, text_scan as ts
 from uptake.sources import files as fs
 
@@ -83,8 +84,7 @@ def test_bracket_pairs_and_places(spark):
         elif c == "}":
             want.append((stack.pop(), at))
         at += len(c.encode())
-    got = [(p.open, p.close) for p in one(spark, text, lx.bracket_pairs(F.col("v"), "{}"))]
-    assert sorted(got) == sorted(want)
+    assert lex(text.encode(), "compose").braces == sorted(want)
     for off in (0, 5, 60, 200):
         raw = text.encode()[:off]
         p = one(spark, text, lx.place(lx.line_ends(F.col("v")), F.lit(off).cast("bigint")))
@@ -93,9 +93,10 @@ def test_bracket_pairs_and_places(spark):
 
 def test_mask_keeps_bytes_and_lines(spark):
     text = 'a "é\\"x" /* c\n é */ b // "d\n\'q\' e "unclosed\n'
-    got = one(spark, text, lx.mask(F.col("v"), lx.LITERALS["react"]))
+    out = lex(text.encode(), "react")
+    got = out.masked.decode()
     assert len(got.encode()) == len(text.encode())
-    assert got.split() == ["a", "b", "e", '"unclosed']
+    assert got.split() == ["a", "b", "e"] and out.gaps == [(text.encode().index(b'"unclosed'), "open literal")]
     assert got.count("\n") == text.count("\n")
 
 

@@ -1,4 +1,4 @@
-"""Masking, bracket pairs and positions over whole source texts.
+"""Positions, brackets and statements of lexed source texts.
 
 All helpers are per-row Column expressions: one source file is one row, and
 nothing here shuffles.  Offsets are 0-based bytes; lines and columns are 1-based
@@ -9,55 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import byte_len, find_all, let, running_ends
-
-# Comments and string literals per language, as Java patterns.
-_COMMENTS = r"//[^\n]*+|/\*(?:(?!\*/)[\s\S])*+(?:\*/)?"
-_TRIPLE = r'"{3}(?:(?!"{3})[\s\S])*+"{3,}'
-_DOUBLE = r'"(?:[^"\\\n]|\\.)*+"'
-_SINGLE = r"'(?:[^'\\\n]|\\.)*+'"
-_TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*+`"
-COMMENTS = _COMMENTS
-LITERALS = {
-    "compose": f"{_COMMENTS}|{_TRIPLE}|{_DOUBLE}|{_SINGLE}",
-    "swift": f"{_COMMENTS}|{_TRIPLE}|{_DOUBLE}",
-    "react": f"{_COMMENTS}|{_DOUBLE}|{_SINGLE}|{_TEMPLATE}",
-}
-
-
-def nested(open_: str, close: str, depth: int = 6) -> str:
-    """Pattern of a balanced bracket group, nested up to ``depth`` levels."""
-    o, c = "\\" + open_, "\\" + close
-    body = rf"[^{o}{c}]"
-    group = rf"{o}{body}*+{c}"
-    for _ in range(depth - 1):
-        group = rf"{o}(?:{body}|{group})*+{c}"
-    return group
-
-
-PARENS = nested("(", ")")
-BRACES = nested("{", "}", 4)
-
-
-def blank(text: Column) -> Column:
-    """Blanks of the same byte length; line breaks stay."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda p: F.repeat(F.lit(" "), byte_len(p))), "\n")
-
-
-def mask(content: Column, lexemes: str, comments_only: bool = False) -> Column:
-    """Blank every comment (and literal) that ``lexemes`` matches, byte for byte."""
-    def shown(lexeme):
-        kept = F.when(F.startswith(lexeme, F.lit("/")), blank(lexeme)).otherwise(lexeme)
-        return kept if comments_only else blank(lexeme)
-
-    scan = F.lit(f"(?s).*?({lexemes})|.+")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(content, scan, F.lit(0)).alias("piece"),
-        F.regexp_extract_all(content, scan, F.lit(1)).alias("lexeme"))
-    return F.array_join(
-        F.transform(pairs, lambda z: F.concat(
-            F.substr(z["piece"], F.lit(1), F.char_length(z["piece"]) - F.char_length(z["lexeme"])), shown(z["lexeme"]))),
-        "")
+from .text import byte_len, let, running_ends
 
 
 def byte_slice(text: Column, start: Column, length: Column) -> Column:
@@ -90,46 +42,60 @@ def place(ends: Column, offset: Column) -> Column:
             (offset - F.when(n > 0, F.try_element_at(ends, n)).otherwise(F.lit(0)) + 1).cast("bigint").alias("col")))
 
 
-def bracket_pairs(text: Column, brackets: str) -> Column:
-    """Matching brackets as ``array<struct<open, close>>``.
+def close_of(pairs: Column, open_at: Column) -> Column:
+    """Offset of the bracket that closes the one at ``open_at``, else null.
 
-    The depth is a running sum over the brackets.  Sorted by (depth, offset),
-    openers and closers of one depth alternate, so partners are neighbours.
+    Pairs are sorted by opener, so the partner is found by binary search.
     """
-    opener = brackets[0]
+    def found(n):
+        pair = F.when(n > 0, F.try_element_at(pairs, n))
+        return F.when(pair["open"] == open_at, pair["close"])
 
-    def levelled(hits):
-        steps = F.transform(hits, lambda h: F.when(h["text"] == opener, F.lit(1)).otherwise(F.lit(-1)).cast("bigint"))
-        rows = F.arrays_zip(hits.alias("h"), running_ends(steps).alias("depth"))
-        return F.array_sort(F.transform(rows, lambda r: F.struct(
-            F.when(r["h"]["text"] == opener, r["depth"]).otherwise(r["depth"] + 1).alias("level"),
-            r["h"]["start"].alias("at"), (r["h"]["text"] == opener).alias("opens"))))
+    return let(count_up_to(pairs, open_at, lambda p: p["open"]), found)
 
-    def paired(rows):
-        return F.filter(
-            F.transform(rows, lambda r, i: F.struct(
-                r["at"].alias("open"), F.try_element_at(rows, i + 2)["at"].alias("close"),
-                (r["opens"] & (F.try_element_at(rows, i + 2)["level"] == r["level"])
-                 & ~F.try_element_at(rows, i + 2)["opens"]).alias("ok"))),
-            lambda p: p["ok"])
 
-    def by_opener(pairs):
-        return F.array_sort(F.transform(pairs, lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close"))))
+def element_at(sorted_values: Column, x: Column, of) -> Column:
+    """The element whose ``of`` is x, else null."""
+    def found(n):
+        one = F.when(n > 0, F.try_element_at(sorted_values, n))
+        return F.when(of(one) == x, one)
 
-    hits = find_all(text, "[" + "".join("\\" + b for b in brackets) + "]")
-    return by_opener(let(let(hits, levelled), paired))
+    return let(count_up_to(sorted_values, x, of), found)
 
 
-def close_of(pairs: Column, open_at: Column) -> Column:
-    """Offset of the bracket that closes the one at ``open_at``, else null.
+def depth_at(pos: Column) -> Column:
+    """How many brackets and elements are open behind the byte at ``pos``."""
+    return (count_up_to(F.col("opened"), pos) - count_up_to(F.col("closed"), pos)).cast("bigint")
 
-    Pairs are sorted by opener, so the partner is found by binary search.
+
+def _level(depth: Column, at: Column) -> Column:
+    return F.struct(depth.cast("bigint").alias("depth"), at.cast("bigint").alias("at"))
+
+
+def statement_end(pos: Column) -> Column:
+    """Where the statement that ``pos`` stands in ends: a line break, a semicolon or the end of its group; else null.
+
+    Stops are sorted by depth, so those inside brackets that open later are not met.
     """
-    def found(n):
-        pair = F.when(n > 0, F.try_element_at(pairs, n))
-        return F.when(pair["open"] == open_at, pair["close"])
+    def first(depth):
+        stop = F.try_element_at(F.col("stops"), count_up_to(F.col("stops"), _level(depth, pos)) + 1)
+        return F.when(stop["depth"] == depth, stop["at"])
 
-    return let(count_up_to(pairs, open_at, lambda p: p["open"]), found)
+    return let(depth_at(pos), first)
+
+
+def arguments(open_at: Column, close_at: Column, text: Column) -> Column:
+    """What stands between the commas of a bracket group itself, as texts."""
+    def between(depth):
+        commas = F.col("commas")
+        low, high = (count_up_to(commas, _level(depth, x)) for x in (open_at, close_at))
+        inner = F.transform(F.slice(commas, low + 1, F.greatest(high - low, F.lit(0))), lambda c: c["at"])
+        return F.concat(F.array(open_at), inner, F.array(close_at))
+
+    def cut(cuts):
+        return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda a, i: byte_slice(text, a + 1, F.element_at(cuts, i + 2) - a - 1))
+
+    return F.when(close_at.isNotNull(), let(let(depth_at(open_at), between), cut))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

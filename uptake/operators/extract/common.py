@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import category_label, site_id
-from ...functions.lexing import LITERALS, bracket_pairs, line_ends, mask, once, place
+from ...functions.lexer import with_lexemes
+from ...functions.lexing import once, place
 from ...functions.text import find_all
 from ...schemas import KEYS
 
@@ -17,16 +18,14 @@ PARENT_FIELDS = ["parent_id", "parent_symbol", "parent_qualified_symbol", "paren
 
 
 def parsed(files: DataFrame, language: str) -> DataFrame:
-    """Masked text, line offsets and brace pairs of every file of a language.
+    """Masked text, line offsets and brackets of every file of a language.
 
     A table that is prepared already is passed through, so that one
     materialised parse can feed all extractors of a language.
     """
     if "masked" in files.columns:
         return files
-    base = files.filter(F.col("language") == language).select(*FILE, "content")
-    masked = once(base, masked=mask(F.col("content"), LITERALS[language]))
-    return once(masked, ends=line_ends(F.col("masked")), braces=bracket_pairs(F.col("masked"), "{}"))
+    return with_lexemes(files.filter(F.col("language") == language).select(*FILE, "content"))
 
 
 def inner(scopes: Column, pos: Column, cond=None) -> Column:

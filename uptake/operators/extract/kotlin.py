@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import kotlin_package
-from ...functions.lexing import BRACES, PARENS, close_of, once, place
+from ...functions.lexing import arguments, close_of, element_at, once, place, statement_end
 from ...functions.text import find_all
 from ...schemas import KEYS
 from .common import (
@@ -13,14 +13,14 @@ from .common import (
 )
 
 LANGUAGE = "compose"
+# Arguments of annotations are blank in the skeleton.
 _MODIFIER = (
-    rf"(?:@[\w.:]++(?:{PARENS})?\s*+|(?:public|private|internal|protected|inline|override|suspend|open|abstract|final"
+    r"(?:@[\w.:]++\s*+|(?:public|private|internal|protected|inline|override|suspend|open|abstract|final"
     r"|operator|tailrec|infix|external|expect|actual)\s++)")
 _NAME = r"\bfun\s++(?:<[^>{}()]*+>\s*+)?(?:\w++(?:<[^>{}()]*+>)?\??\.)*+"
-# A function head up to its body; an expression body is taken in whole.
-FUNCTION = (
-    rf"(?=[@a-z])(?<!\w){_MODIFIER}*+{_NAME}\w++\s*+{PARENS}(?:\s*+:\s*+[^={{}}\n]*+)?"
-    rf"(?:\s*+\{{|\s*+=\s*+[\w.]++\s*+(?:{PARENS})?(?:[ \t]*+{BRACES})?)?")
+# A function head up to its parameters, and what stands between them and its body.
+FUNCTION = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+{_NAME}\w++\s*+\("
+BODY = r"(?:\s*+:\s*+[^={}\n]*+)?\s*+(?:\{|=(?!=))"
 LAMBDA = r"@Composable\s*+\{"
 # A cheap look at the first letter spares the look-behinds almost everywhere.
 # A declared, tested or annotated name is matched together with what makes it one, and dropped.
@@ -60,22 +60,31 @@ def with_scopes(files: DataFrame) -> DataFrame:
     if "scopes" in files.columns:
         return files
     base = once(parsed(files, LANGUAGE), package=kotlin_package(F.col("masked")),
-                heads=find_all(F.col("masked"), f"{FUNCTION}|{LAMBDA}"))
+                heads=find_all(F.col("skeleton"), f"{FUNCTION}|{LAMBDA}"), bodies=find_all(F.col("masked"), r"\)", BODY))
 
     def read(h):
-        head = h["text"]
+        head, opener = h["text"], h["start"] + F.octet_length(h["text"]) - 1
         return F.struct(
-            h["start"].alias("start"), (h["start"] + F.octet_length(head)).alias("stop"),
-            F.endswith(head, F.lit("{")).alias("opens"),
+            h["start"].alias("start"), opener.alias("opener"), F.endswith(head, F.lit("{")).alias("is_lambda"),
+            close_of(F.col("parens"), opener).alias("close"),
             F.regexp_extract(head, rf"(?s)\A(.*?{_NAME})\w", 1).alias("before"),
             F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1).alias("name"))
 
+    def bounded(r):
+        body = element_at(F.col("bodies"), r["close"], lambda b: b["start"])["tail"]
+        stop = r["close"] + F.octet_length(body)  # the brace or the equals sign
+        end = (
+            F.when(r["is_lambda"], close_of(F.col("braces"), r["opener"]) + 1)
+            .when(F.endswith(body, F.lit("{")), close_of(F.col("braces"), stop) + 1)
+            .when(F.endswith(body, F.lit("=")), statement_end(stop))
+            .otherwise(r["close"] + 1))
+        return F.struct(*[r[c].alias(c) for c in ("name", "start", "before")], end.alias("end"))
+
     def placed(r):
         # Annotations and modifiers stand before the name; a lambda has only them.
         marks = F.when(r["name"] == "", F.lit("@Composable")).otherwise(r["before"])
         return F.struct(
-            r["name"].alias("name"), r["start"].alias("start"), marks.alias("marks"),
-            F.when(r["opens"], close_of(F.col("braces"), r["stop"] - 1) + 1).otherwise(r["stop"]).alias("end"),
+            r["name"].alias("name"), r["start"].alias("start"), marks.alias("marks"), r["end"].alias("end"),
             place(F.col("ends"), r["start"] + F.octet_length(r["before"])).alias("at"))
 
     def scope(r):
@@ -88,7 +97,7 @@ def with_scopes(files: DataFrame) -> DataFrame:
             marks.rlike(r"\b(?:private|internal)\b").alias("hidden"),
             r["at"]["line"].alias("line"), r["at"]["col"].alias("col"), (r["name"] == "").alias("is_lambda"))
 
-    return once(base, scopes=F.transform(F.transform(F.transform("heads", read), placed), scope)).drop("heads")
+    return once(base, scopes=F.transform(F.transform(F.transform(F.transform("heads", read), bounded), placed), scope)).drop("heads", "bodies")
 
 
 def _in_preview(pos: Column) -> Column:
@@ -157,28 +166,31 @@ def imports(files: DataFrame) -> DataFrame:
 def style_sites(files: DataFrame) -> DataFrame:
     """The first literal of a styling call's own arguments."""
     names = "|".join(STYLE_CALLS)
-    found = hits(
-        with_scopes(files), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", "scopes", "package", "ends", tail=rf"\s*+{PARENS}").withColumns({
-        "category": lookup(STYLE_CALLS, F.col("text"), 0), "context": lookup(STYLE_CALLS, F.col("text"), 1)})
-    args = once(found, args=F.ltrim("tail", F.lit(" \t\r\n"))).drop("tail")
-    inside = F.expr("substr(args, 2, char_length(args) - 2)")
-    flat = F.regexp_replace(inside, rf"\w\s*+{PARENS}|\w\s*+{BRACES}", "\u0001")
     number = r"(?<![\w.])(?:0[xX][0-9A-Fa-f_]++|[0-9][0-9_]*+(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?[fFLuU]*+)"
     literal = {
         "color": number,
         "typography": rf"{number}(?:\.sp\b|(?!\.\w))",
         "other": rf"{number}(?:\.dp\b|(?!\.\w))",
     }
-    own = F.filter(F.split(flat, ","), lambda a: ~F.contains(a, F.lit("\u0001")))
-
-    def first_literal(arg: Column) -> Column:
-        return (
-            F.when(F.col("category") == "color", F.regexp_extract(arg, literal["color"], 0))
-            .when(F.col("category") == "typography", F.regexp_extract(arg, literal["typography"], 0))
-            .otherwise(F.regexp_extract(arg, literal["other"], 0)))
 
-    values = F.filter(F.transform(own, first_literal), lambda v: v != "")
-    valued = once(args, value=F.try_element_at(values, F.lit(1))).filter("value IS NOT NULL").drop("args")
+    def called(h):
+        opener = h["start"] + F.octet_length(h["text"]) + F.octet_length(h["tail"]) - 1
+        return F.struct(
+            h["start"].alias("start"), lookup(STYLE_CALLS, h["text"], 0).alias("category"), lookup(STYLE_CALLS, h["text"], 1).alias("context"),
+            arguments(opener, close_of(F.col("parens"), opener), F.col("masked")).alias("args"))
+
+    def valued(c):
+        # an argument with a call in it is not a literal of this call
+        own = F.filter(c["args"], lambda a: ~a.rlike(r"\w\s*+[({]"))
+        values = F.filter(F.transform(own, lambda a: (
+            F.when(c["category"] == "color", F.regexp_extract(a, literal["color"], 0))
+            .when(c["category"] == "typography", F.regexp_extract(a, literal["typography"], 0))
+            .otherwise(F.regexp_extract(a, literal["other"], 0)))), lambda v: v != "")
+        return F.struct(*[c[f].alias(f) for f in ("start", "category", "context")], F.try_element_at(values, F.lit(1)).alias("value"))
+
+    calls_ = find_all(F.col("masked"), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", tail=r"\s*+\(")
+    sites = F.filter(F.transform(F.transform(calls_, called), valued), lambda v: v["value"].isNotNull())
+    valued = with_scopes(files).select(*FILE, "scopes", "package", "ends", F.inline(sites))
     placed = with_place(_enclosing(valued).withColumns(_parent(F.col("start"))), F.col("start"))
     return style_rows(placed, LANGUAGE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import react_module
-from ...functions.lexing import BRACES, LITERALS, PARENS, bracket_pairs, byte_slice, close_of, mask, once, place
+from ...functions.lexing import byte_slice, close_of, count_up_to, depth_at, element_at, once, place, statement_end
 from ...functions.text import find_all, let
 from ...schemas import KEYS
 from .common import (
@@ -15,8 +15,10 @@ from .kotlin import lookup
 
 LANGUAGE = "react"
 _ID = r"[A-Za-z_$][\w$]*+"
-_FUNCTION = rf"\bfunction\b\s*+\*?\s*+(?:{_ID})?\s*+(?:<[^(){{}}]*+>)?\s*+{PARENS}(?:\s*+:\s*+[^{{}};=]++)?\s*+\{{"
-_ARROW = rf"(?:async\s++)?(?:<[^(){{}}=]*+>)?(?:{PARENS}(?:\s*+:\s*+[^{{}}=;()]++)?|{_ID})\s*+=>\s*+[({{]?"
+# Heads reach up to their parameters; what follows the parameters tells a function or an arrow.
+_FUNCTION = rf"\bfunction\b\s*+\*?\s*+(?:{_ID})?\s*+(?:<[^(){{}}]*+>)?\s*+\("
+_ARROW = rf"(?:async\s++)?(?:(?:<[^(){{}}=]*+>)?\(|{_ID}\s*+=>\s*+[({{]?)"
+BODY = r"(?:\s*+:\s*+[^{};=]++)?\s*+\{|(?:\s*+:\s*+[^{}=;()]++)?\s*+=>\s*+[({]?"
 _WRAPPER = rf"(?:{_ID}\.)?(?:memo|forwardRef)(?:<[^(){{}}]*+>)?\(\s*+"
 _CLASS = rf"\bclass\s++{_ID}[^{{}}]*+\{{"
 _BINDING = rf"\b(?:const|let|var)\s++{_ID}\s*+(?::(?:[^=;]|=>)*?)?=(?![=>])\s*+"
@@ -42,55 +44,65 @@ STYLE_PROPS = {
 
 
 def _parsed(files: DataFrame) -> DataFrame:
-    if "code" in files.columns:
+    if "module" in files.columns:
         return files
-    return once(parsed(files, LANGUAGE), module=react_module(F.col("path")),
-                code=mask(F.col("content"), LITERALS[LANGUAGE], comments_only=True))
+    return once(parsed(files, LANGUAGE), module=react_module(F.col("path")))
 
 
 def with_scopes(files: DataFrame) -> DataFrame:
     """Functions, classes and component bindings, in source order."""
     if "scopes" in files.columns:
         return files
-    base = once(_parsed(files), parens=bracket_pairs(F.col("masked"), "()"), heads=find_all(F.col("masked"), HEAD))
+    base = once(_parsed(files), heads=find_all(F.col("masked"), HEAD), bodies=find_all(F.col("masked"), r"\)", BODY),
+                brace_ends=F.array_sort(F.transform("braces", lambda p: p["close"])))
     size = F.octet_length("masked").cast("bigint")
 
     def read(h):
-        head = h["text"]
+        head, opener = h["text"], h["start"] + F.octet_length(h["text"]) - 1
         lead = rf"(?s)\A((?:(?:async\s++)?function\s*+\*?|class|const|let|var)\s*+)({_ID})"
+        close = F.when(F.endswith(head, F.lit("(")) & ~head.rlike(r"=>\s*\(\z"), close_of(F.col("parens"), opener))
         return F.struct(
-            h["start"].alias("head"), head.alias("text"), (h["start"] + F.octet_length(head)).alias("stop"),
+            h["start"].alias("head"), head.alias("text"), opener.alias("opener"), close.alias("close"),
+            F.endswith(head, F.lit("(")).alias("open"), head.rlike(r"=>\s*[({]?\z").alias("arrow"),
+            element_at(F.col("bodies"), close, lambda b: b["start"])["tail"].alias("tail"),
             F.regexp_extract(head, lead, 1).alias("lead"), F.regexp_extract(head, lead, 2).alias("name"),
-            F.regexp_extract(head, rf"(?s)\A{_BINDING}", 0).alias("binding"), F.substr(head, F.lit(-1)).alias("last"))
+            F.regexp_extract(head, rf"(?s)\A{_BINDING}", 0).alias("binding"))
+
+    def complete(r):
+        """Whether the head is done, or its parameters are followed by the body of its kind."""
+        is_function = r["text"].rlike(r"\bfunction\b[^(]*+\(\z")
+        return ~r["open"] | r["arrow"] | F.coalesce(F.contains(r["tail"], F.lit("=>")) != is_function, F.lit(False))
 
     def bounded(r):
-        rest = F.substring_index(byte_slice(F.col("masked"), r["stop"], size - r["stop"]), ";", 1)
+        last = F.coalesce(r["tail"], r["text"])
+        stop = F.when(r["tail"].isNotNull(), r["close"] + F.octet_length(r["tail"])).otherwise(r["opener"])  # the last byte of the head
         end = (
-            F.when(r["last"] == "{", close_of(F.col("braces"), r["stop"] - 1) + 1)
-            .when(r["last"] == "(", close_of(F.col("parens"), r["stop"] - 1) + 1)
-            .when(F.endswith(F.rtrim(r["text"]), F.lit("=>")),
-                  r["stop"] + F.octet_length(F.regexp_extract(rest, r"(?s)\A.*?(?=\n[^\s<)}\]/]|\z)", 0)))
-            .otherwise(r["stop"]))
-        return F.struct(r.alias("r"), F.coalesce(end, size).alias("end"))
+            F.when(F.endswith(last, F.lit("{")), close_of(F.col("braces"), stop) + 1)
+            .when(F.endswith(last, F.lit("(")), close_of(F.col("parens"), stop) + 1)
+            .when(F.endswith(F.rtrim(last, F.lit(" \t\r\n")), F.lit("=>")), statement_end(stop))
+            .otherwise(stop + 1))
+        return F.struct(r.alias("r"), (stop + 1).alias("stop"), F.substr(last, F.lit(-1)).alias("last"), F.coalesce(end, size).alias("end"))
 
     def read_body(b):
         return F.struct(
-            b["r"].alias("r"), b["end"].alias("end"),
-            byte_slice(F.col("masked"), b["r"]["stop"], b["end"] - b["r"]["stop"]).alias("body"),
+            b["r"].alias("r"), b["end"].alias("end"), b["last"].alias("last"),
+            byte_slice(F.col("masked"), b["stop"], b["end"] - b["stop"]).alias("body"),
+            F.when(b["r"]["tail"].isNotNull(), byte_slice(F.col("masked"), b["r"]["opener"], b["r"]["close"] - b["r"]["opener"] + 1))
+            .otherwise(F.lit("")).alias("first"),
             place(F.col("ends"), b["r"]["head"] + F.octet_length(b["r"]["lead"])).alias("at"))
 
     def scope(b):
         r, body = b["r"], b["body"]
         is_class = F.startswith(r["text"], F.lit("class"))
-        jsx = F.when(r["last"] == "{", body.rlike(_RETURNS)).otherwise(body.rlike(_IS_JSX))
-        first = F.regexp_extract(r["text"], rf"(?s)({PARENS})[^()]*+\z", 1)
+        jsx = F.when(b["last"] == "{", body.rlike(_RETURNS)).otherwise(body.rlike(_IS_JSX))
+        first = b["first"]
         return F.struct(
             r["name"].alias("name"), (r["head"] + F.octet_length(r["binding"])).alias("start"), b["end"].alias("end"),
             (r["binding"] != "").alias("binding"), (jsx & (~is_class | body.rlike(r"\brender\s*+\("))).alias("jsx"),
             r["text"].rlike(rf"(?s)\A{_BINDING}(?:{_ID}\.)?forwardRef\b").alias("forward_ref"),
             F.regexp_extract(r["text"], rf"(?s)\A{_BINDING}(?:{_ID}\.)?memo\b[^(]*+\(\s*+({_ID})\s*+[,)]\z", 1).alias("memo_of"),
             F.regexp_extract_all(first, F.lit(r"(?<![.\w$])([A-Z][\w$]*+)(?=\s*+[,}=)])"), F.lit(1)).alias("params"),
-            F.exists("braces", lambda p: (p["open"] < r["head"]) & (r["head"] < p["close"])).alias("nested"),
+            (count_up_to(F.col("braces"), r["head"], lambda p: p["open"]) > count_up_to(F.col("brace_ends"), r["head"])).alias("nested"),
             b["at"]["line"].alias("line"), b["at"]["col"].alias("col"))
 
     def components(scopes):
@@ -101,8 +113,9 @@ def with_scopes(files: DataFrame) -> DataFrame:
         plain = pick(lambda s: s["jsx"] | s["forward_ref"])
         return let(plain, lambda p: F.array_union(p, pick(lambda s: F.array_contains(p, s["memo_of"]))))
 
-    stages = F.transform(F.transform(F.transform("heads", read), bounded), read_body)
-    scoped = once(base, scopes=F.transform(stages, scope)).drop("heads", "parens")
+    known = F.filter(F.transform("heads", read), complete)
+    stages = F.transform(F.transform(known, bounded), read_body)
+    scoped = once(base, scopes=F.transform(stages, scope)).drop("heads", "bodies", "brace_ends")
     return once(scoped, components=components(F.col("scopes")))
 
 
@@ -228,17 +241,22 @@ def exports(files: DataFrame) -> DataFrame:
 
 def style_sites(files: DataFrame) -> DataFrame:
     """Literal properties of ``style={{...}}`` objects."""
-    opened = hits(with_scopes(files), r"(?<![\w$-])style=\{\s*+\{", "scopes", "module", "ends", "braces", "code")
-    at = F.col("start") + F.octet_length("text")
-    close = close_of(F.col("braces"), at - 1)
-    body = once(opened, at=at, body=byte_slice(F.col("code"), at, close - at)).drop("braces", "code", "text", "start")
     number = r"-?\s*+(?:0[xX][0-9A-Fa-f]++|[0-9]++(?:\.[0-9]*+)?(?:[eE][+-]?[0-9]++)?|\.[0-9]++)"
     value = rf"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\$]|\\.|\$(?!\{{))*+`|{number})"""
     key = rf"(?:{_ID}|{_STRING}|\[\s*+{_STRING}\s*+\])"
-    # Nested groups are matched first, so that only own properties remain.
     prop = rf"(?:\A|,)\s*+{key}\s*+:\s*+{value}(?=\s*+(?:,|\z|\bas\b))"
-    found = body.select(*FILE, "scopes", "module", "ends", "at", F.explode(F.filter(
-        find_all(F.col("body"), rf"{prop}|{BRACES}|{PARENS}"), lambda h: h["text"].rlike(r"(?s)\A(?:,|\s*+[\[\w$\"'])"))).alias("h"))
+
+    def own(o):
+        """Properties of the object itself, not of groups inside."""
+        at = o["start"] + F.octet_length(o["text"])
+        body = byte_slice(F.col("code"), at, close_of(F.col("braces"), at - 1) - at)
+        lead = r"(?s)\A,?\s*+"
+        props = F.filter(find_all(body, prop), lambda p: depth_at(
+            at + p["start"] + F.octet_length(F.regexp_extract(p["text"], lead, 0))) == depth_at(at - 1))
+        return F.transform(props, lambda p: F.struct(at.alias("at"), p.alias("h")))
+
+    styled = F.flatten(F.transform(find_all(F.col("masked"), r"(?<![\w$-])style=\{\s*+\{"), own))
+    found = with_scopes(files).select(*FILE, "scopes", "module", "ends", F.inline(styled))
     lead = F.regexp_extract("h.text", r"(?s)\A(,?\s*+)", 1)
     name = F.regexp_extract("h.text", rf"(?s)\A,?\s*+\[?\s*+[\"']?([A-Za-z_$][\w$]*+)", 1)
     literal = F.regexp_extract("h.text", rf"(?s):\s*+({value})\z", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import swift_module
-from ...functions.lexing import BRACES, PARENS, byte_slice, close_of, once, place
+from ...functions.lexing import byte_slice, close_of, depth_at, element_at, once, place
 from ...functions.text import find_all
 from ...schemas import KEYS
 from ..intervals import containment_dedupe
@@ -15,10 +15,13 @@ from .common import (
 from .kotlin import lookup
 
 LANGUAGE = "swift"
-_MODIFIER = rf"(?:@\w++(?:{PARENS})?\s*+|(?:public|private|fileprivate|internal|open|final|static|override|mutating|nonisolated)\s++)"
+# Arguments of attributes and of previews are blank in the skeleton.
+_MODIFIER = r"(?:@\w++\s*+|(?:public|private|fileprivate|internal|open|final|static|override|mutating|nonisolated)\s++)"
 STRUCT = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bstruct\s++\w++(?:<[^{{}}]*?>)?\s*+:[^{{}}]*+\{{"
-FUNCTION = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bfunc\s++\w++(?:<[^(){{}}]*+>)?\s*+{PARENS}[^(){{}}=]*?->\s*+some\s++(?:SwiftUI\.)?View\b[^(){{}}]*+\{{"
-PREVIEW = rf"#Preview\b(?:\s*+{PARENS})?\s*+\{{"
+# A function head up to its parameters, and what stands between them and its body.
+FUNCTION = rf"(?=[@a-z])(?<!\w){_MODIFIER}*+\bfunc\s++\w++(?:<[^(){{}}]*+>)?\s*+\("
+BODY = r"[^(){}=]*?->\s*+some\s++(?:SwiftUI\.)?View\b[^(){}]*+\{"
+PREVIEW = r"#Preview\s*+\{"
 _NAME = r"\b(?:struct|func)\s++"
 _NOT_A_CALL = r"(?<![\w@#])(?<!\w\.)"
 _CHAIN = r"(?:\w++[?!]?\.)*+"
@@ -72,18 +75,25 @@ def with_scopes(files: DataFrame) -> DataFrame:
         return files
     base = once(
         parsed(files, LANGUAGE), module=swift_module(F.col("path")),
-        heads=find_all(F.col("masked"), f"{STRUCT}|{FUNCTION}|{PREVIEW}"))
+        heads=find_all(F.col("skeleton"), f"{STRUCT}|{FUNCTION}|{PREVIEW}"), bodies=find_all(F.col("masked"), r"\)", BODY))
 
     size = F.octet_length("masked").cast("bigint")
 
     def read(h):
-        head, stop = h["text"], h["start"] + F.octet_length(h["text"])
+        head, opener = h["text"], h["start"] + F.octet_length(h["text"]) - 1
+        close = F.when(F.endswith(head, F.lit("(")), close_of(F.col("parens"), opener))
         return F.struct(
-            h["start"].alias("start"), head.alias("head"), stop.alias("stop"),
-            F.coalesce(close_of(F.col("braces"), stop - 1) + 1, size).alias("end"),
+            h["start"].alias("start"), head.alias("head"), opener.alias("opener"), close.alias("close"),
+            element_at(F.col("bodies"), close, lambda b: b["start"])["tail"].alias("body"),
             F.regexp_extract(head, rf"(?s)\A(.*?{_NAME})\w", 1).alias("before"),
             F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1).alias("name"))
 
+    def bounded(r):
+        brace = F.when(F.endswith(r["head"], F.lit("{")), r["opener"]).otherwise(r["close"] + F.octet_length(r["body"]))
+        return F.struct(
+            *[r[c].alias(c) for c in ("start", "head", "before", "name")], (brace + 1).alias("stop"),
+            F.coalesce(close_of(F.col("braces"), brace) + 1, size).alias("end"))
+
     def placed(r):
         head = r["head"]
         preview = F.startswith(head, F.lit("#Preview"))
@@ -102,7 +112,8 @@ def with_scopes(files: DataFrame) -> DataFrame:
             *[r[c].alias(c) for c in ("name", "start", "end", "preview", "view", "hidden")],
             r["at"]["line"].alias("line"), r["at"]["col"].alias("col"))
 
-    return once(base, scopes=F.transform(F.transform(F.transform("heads", read), placed), scope)).drop("heads")
+    known = F.filter(F.transform(F.transform("heads", read), bounded), lambda r: r["stop"].isNotNull())
+    return once(base, scopes=F.transform(F.transform(known, placed), scope)).drop("heads", "bodies")
 
 
 def _in_preview(pos: Column) -> Column:
@@ -165,22 +176,28 @@ def imports(files: DataFrame) -> DataFrame:
 def style_sites(files: DataFrame) -> DataFrame:
     """Labelled and bare literals of styling calls, ``Color(...)`` as a whole."""
     names = "|".join(["Color", *STYLE_CALLS, *LABEL_CALLS])
-    found = hits(with_scopes(files), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", "scopes", "module", "ends", "content", tail=PARENS)
-    at = F.col("start") + F.octet_length("text")
-    # Literals are searched in the raw text, so that strings are seen.
-    raw = once(found, callee=F.col("text"), at=at, raw=byte_slice(F.col("content"), at, F.octet_length("tail"))).drop(
-        "content", "text", "tail")
-
     number = r"(?<![\w.])[0-9][0-9_]*+(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.])"
     string = r'"(?:[^"\\\n]|\\.)*+"'
-    # A nested call is matched first and dropped: its literals are its own.
-    nested = rf"(?:\w++\s*+:\s*+)?\.?[A-Za-z_][\w.]*+(?:{PARENS}|[ \t]*+{BRACES})"
     literal = rf"(?:\w++\s*+:\s*+)?(?:{number}|{string})"
-    pieces = F.filter(
-        find_all(F.expr("substr(raw, 2, char_length(raw) - 2)"), rf"{nested}|{literal}"),
-        lambda h: h["text"].rlike(rf"(?s)\A(?:\w+\s*:\s*)?(?:[0-9][\w.+-]*|{string})\z"))
+
+    def called(h):
+        opener = h["start"] + F.octet_length(h["text"])
+        return F.struct(h["start"].alias("start"), h["text"].alias("callee"), opener.alias("at"), close_of(F.col("parens"), opener).alias("close"))
+
+    def read(c):
+        # Literals are searched in the raw text, so that strings are seen; those in deeper brackets belong to others.
+        inside = byte_slice(F.col("content"), c["at"] + 1, c["close"] - c["at"] - 1)
+        lead = r"\A(?:[A-Za-z_]\w*\s*:\s*)?"
+        own = F.filter(find_all(inside, literal), lambda p: depth_at(
+            c["at"] + 1 + p["start"] + F.octet_length(F.regexp_extract(p["text"], lead, 0))) == depth_at(c["at"]))
+        return F.struct(c["start"].alias("start"), c["callee"].alias("callee"), c["at"].alias("at"),
+                        byte_slice(F.col("content"), c["at"], c["close"] - c["at"] + 1).alias("raw"), own.alias("pieces"))
+
+    calls_ = find_all(F.col("masked"), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", tail=r"\(")
+    closed = F.filter(F.transform(calls_, called), lambda c: c["close"].isNotNull())
+    raw = with_scopes(files).select(*FILE, "scopes", "module", "ends", F.inline(F.transform(closed, read)))
     literals = raw.filter("callee <> 'Color'").select(
-        *FILE, "scopes", "module", "ends", "callee", "at", F.explode(pieces).alias("h"))
+        *FILE, "scopes", "module", "ends", "callee", "at", F.explode("pieces").alias("h"))
     label = F.regexp_extract("h.text", r"\A([A-Za-z_]\w*)\s*:", 1)
     lead = F.regexp_extract("h.text", r"\A([A-Za-z_]\w*\s*:\s*)?", 0)
     value = F.substr("h.text", F.char_length(lead) + 1)
