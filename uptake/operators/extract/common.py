@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ...functions.identity import category_label, site_id
 from ...functions.lexer import with_lexemes
-from ...functions.lexing import once, place
-from ...functions.text import find_all
+from ...functions.lexing import count_up_to, once, place
+from ...functions.text import find_all, let
 from ...schemas import KEYS
 
 FILE = [*KEYS, "path"]
@@ -28,26 +33,71 @@ def parsed(files: DataFrame, language: str) -> DataFrame:
     return with_lexemes(files.filter(F.col("language") == language).select(*FILE, "content"))
 
 
-def inner(scopes: Column, pos: Column, cond=None) -> Column:
-    """The innermost scope around ``pos``; scopes are listed in source order."""
-    def around(s):
-        hit = (s["start"] <= pos) & (pos < s["end"])
-        return hit if cond is None else hit & cond(s)
+def _last_open(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Ascending (offset, number of the last scope that is open from there on, or -1)."""
+    events = sorted([(e, 0, k) for k, e in enumerate(ends)] + [(s, 1, k) for k, s in enumerate(starts)])
+    out: list[tuple[int, int]] = []
+    active: list[int] = []
+    done = [False] * len(starts)
+    for at, opens, k in events:
+        if opens:
+            heapq.heappush(active, -k)
+        else:
+            done[k] = True
+        while active and done[-active[0]]:
+            heapq.heappop(active)
+        top = -active[0] if active else -1
+        if out and out[-1][0] == at:
+            out[-1] = (at, top)
+        else:
+            out.append((at, top))
+    return out
+
+
+@F.arrow_udf(ArrayType(StructType().add("at", "long").add("scope", "integer")))
+def _bounds(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    rows = [_last_open(s or [], e or []) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
+    flat = [x for r in rows for x in r]
+    values = pa.StructArray.from_arrays(
+        [pa.array([a for a, _ in flat], pa.int64()), pa.array([k for _, k in flat], pa.int32())], ["at", "scope"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), values)
+
+
+def tree(scopes: Column, start: str = "start", end: str = "end") -> Column:
+    """The scopes in source order with the offsets where the innermost one changes."""
+    return F.struct(scopes.alias("scopes"), _bounds(F.transform(scopes, lambda s: s[start]), F.transform(scopes, lambda s: s[end])).alias("bounds"))
+
 
-    return F.try_element_at(F.filter(scopes, around), F.lit(-1))
+def inner(scopes: Column, pos: Column) -> Column:
+    """The innermost scope of a :func:`tree` around ``pos``, by binary search."""
+    def found(n):
+        k = F.when(n > 0, F.try_element_at(scopes["bounds"], n)["scope"])
+        return F.when(k >= 0, F.try_element_at(scopes["scopes"], k + 1))
 
+    return let(count_up_to(scopes["bounds"], pos, lambda b: b["at"]), found)
 
-def hits(df: DataFrame, pattern: str, *keep: str, text: str = "masked", tail: str | None = None) -> DataFrame:
-    """One row per match with ``start`` and ``text`` (and ``tail``)."""
-    fields = ["start", "text", *(["tail"] if tail else [])]
-    return df.filter(F.col(text).rlike(pattern)).select(
-        *FILE, *keep, F.explode(find_all(F.col(text), pattern, tail)).alias("h")).select(
-        *FILE, *keep, *[F.col(f"h.{f}").alias(f) for f in fields])
 
+def around(starts: Column, ends: Column, pos: Column, of=lambda v: v) -> Column:
+    """How many spans that begin before ``pos`` end behind it; both arrays ascend (``of`` a start)."""
+    return count_up_to(starts, pos - 1, of) - count_up_to(ends, pos)
+
+
+def hits(df: DataFrame, pattern: str, *keep: str, text: str = "masked") -> DataFrame:
+    """One row per match with ``start`` and ``text``."""
+    return df.filter(F.col(text).rlike(pattern)).select(*FILE, *keep, F.inline(find_all(F.col(text), pattern)))
+
+
+def sites(df: DataFrame, found: Column, *keep: str, **of) -> DataFrame:
+    """One row per match with its place and what ``of`` it is computed, all inside the file's row.
+
+    Only the small structs leave the row, so no match carries the arrays of its file.
+    """
+    def read(h):
+        fields = [h[c].alias(c) for c in ("start", "text")]
+        return F.struct(*fields, place(F.col("ends"), h["start"]).alias("_p"), *[f(h).alias(n) for n, f in of.items()])
 
-def with_place(df: DataFrame, at: Column) -> DataFrame:
-    located = once(df, _p=place(F.col("ends"), at))
-    return located.withColumns({"line": F.col("_p.line"), "col": F.col("_p.col")}).drop("_p", "ends")
+    rows = df.select(*FILE, *keep, F.inline(F.transform(found, read)))
+    return rows.withColumns({"line": F.col("_p.line"), "col": F.col("_p.col")}).drop("_p")
 
 
 def parent_columns(parent: Column, parent_id: Column, qualified: Column, kind: str, basis: Column, stability: Column) -> dict:
@@ -85,12 +135,13 @@ CHAIN = (
     r"|[A-Za-z_$][\w$]*+(?:\??\.[A-Za-z_$][\w$]*+)*+)")
 
 
-def chain_candidates(df: DataFrame, *keep: str, members: bool = True, dropped: str | None = None) -> DataFrame:
+def chain_candidates(df: DataFrame, *keep: str, members: bool = True, dropped: str | None = None, **of) -> DataFrame:
     """Every identifier chain, its prefixes and (if asked) its single names.
 
     What ``dropped`` matches holds a blank or a colon and is no reference either.
     """
-    chains = hits(df, f"{dropped}|{CHAIN}" if dropped else CHAIN, *keep).filter(~F.col("text").rlike(r"[\s:]"))
+    found = F.filter(find_all(F.col("masked"), f"{dropped}|{CHAIN}" if dropped else CHAIN), lambda h: ~h["text"].rlike(r"[\s:]"))
+    chains = sites(df, found, *keep, **of)
     parts = F.split("text", r"\.")
     prefixes = F.transform(parts, lambda _p, i: F.struct(
         F.lit(0).cast("bigint").alias("at"), F.array_join(F.slice(parts, F.lit(1), i + 1), ".").alias("text")))
@@ -101,5 +152,7 @@ def chain_candidates(df: DataFrame, *keep: str, members: bool = True, dropped: s
         candidates = F.array_distinct(F.concat(prefixes, singles))
     else:
         candidates = prefixes
-    return chains.select(*FILE, *keep, "start", F.explode(candidates).alias("c")).select(
-        *FILE, *keep, (F.col("start") + F.col("c.at")).alias("start"), F.col("c.text").alias("text"))
+    # a chain has no line break, so its parts stand on one line
+    return chains.select(*FILE, *keep, *of, "start", "line", "col", F.explode(candidates).alias("c")).select(
+        *FILE, *keep, *of, (F.col("start") + F.col("c.at")).alias("start"), "line", (F.col("col") + F.col("c.at")).alias("col"),
+        F.col("c.text").alias("text"))

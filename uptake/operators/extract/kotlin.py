@@ -9,7 +9,7 @@ from ...functions.lexing import arguments, close_of, element_at, once, place, st
 from ...functions.text import find_all
 from ...schemas import KEYS
 from .common import (
-    COLUMNS, FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
+    COLUMNS, FILE, PARENT_FIELDS, around, chain_candidates, hits, inner, parent_columns, parsed, sites, style_rows, token_rows, tree,
 )
 
 LANGUAGE = "compose"
@@ -97,11 +97,15 @@ def with_scopes(files: DataFrame) -> DataFrame:
             marks.rlike(r"\b(?:private|internal)\b").alias("hidden"),
             r["at"]["line"].alias("line"), r["at"]["col"].alias("col"), (r["name"] == "").alias("is_lambda"))
 
-    return once(base, scopes=F.transform(F.transform(F.transform(F.transform("heads", read), bounded), placed), scope)).drop("heads", "bodies")
+    scoped = once(base, scopes=F.transform(F.transform(F.transform(F.transform("heads", read), bounded), placed), scope)).drop("heads", "bodies")
+    composables = F.filter("scopes", lambda s: s["composable"])
+    return once(scoped, every=tree(F.col("scopes")), parents=tree(F.filter(composables, lambda s: s["name"].rlike(r"\A[A-Z]"))),
+                previews=tree(F.filter(composables, lambda s: s["preview"])))
 
 
-def _in_preview(pos: Column) -> Column:
-    return F.exists("scopes", lambda s: s["composable"] & s["preview"] & (s["start"] <= pos) & (pos < s["end"]))
+def _shown(pos: Column) -> Column:
+    """Whether a place is in no preview."""
+    return inner(F.col("previews"), pos).isNull()
 
 
 def _qualified(name: Column) -> Column:
@@ -116,35 +120,35 @@ def _parent(pos: Column) -> dict:
         F.lit("package_qualified_symbol"), F.lit("semantic"))
 
 
-def _enclosing(df: DataFrame) -> DataFrame:
-    """J01 inside the row: nearest composable with an upper-case name."""
-    nearest = inner(F.col("scopes"), F.col("start"), lambda s: s["composable"] & s["name"].rlike(r"\A[A-Z]"))
-    return once(df.filter(~_in_preview(F.col("start"))), _parent=nearest)
+def _near(h: Column) -> Column:
+    """J01 inside the row: the nearest composable with an upper-case name."""
+    return inner(F.col("parents"), h["start"])
 
 
 def calls(files: DataFrame) -> DataFrame:
     """X11 with X18 and X19: component calls inside composables, without previews."""
-    found = hits(with_scopes(files), CALL, "scopes", "package", "ends").filter(
-        F.col("text").rlike(r"\A[A-Z]") & is_component_name(F.col("text")))
-    scoped = once(_enclosing(found), _inner=inner(F.col("scopes"), F.col("start")))
-    ui = scoped.filter(F.col("_inner.is_lambda") | (F.col("_inner.composable") & ~F.col("_inner.preview")))
+    named = F.filter(find_all(F.col("masked"), CALL), lambda h: is_component_name(h["text"]) & _shown(h["start"]))
+    found = sites(with_scopes(files), named, "package", _parent=_near, _inner=lambda h: inner(F.col("every"), h["start"]))
+    ui = found.filter(F.col("_inner.is_lambda") | (F.col("_inner.composable") & ~F.col("_inner.preview")))
     direct = ui.withColumn("_parent", F.when(~F.col("_inner.is_lambda"), F.col("_parent")))
-    placed = with_place(direct.withColumns(_parent(F.col("start"))), F.col("start"))
-    return placed.select(*FILE, "package", "line", "col", F.col("text").alias("symbol"), *PARENT_FIELDS)
+    return direct.withColumns(_parent(F.col("start"))).select(
+        *FILE, "package", "line", "col", F.col("text").alias("symbol"), *PARENT_FIELDS)
 
 
 def definitions(files: DataFrame) -> DataFrame:
     """Composables that are components."""
-    rows = with_scopes(files).select(*FILE, "package", "scopes", F.explode("scopes").alias("s"))
-    kept = rows.filter(
-        F.col("s.composable") & ~F.col("s.preview") & is_component_name(F.col("s.name")) & ~_in_preview(F.col("s.start")))
+    ends = F.array_sort(F.transform("scopes", lambda s: s["end"]))
+    rows = once(with_scopes(files), _ends=ends).select(*FILE, "package", F.explode(F.transform(
+        F.filter("scopes", lambda s: s["composable"] & ~s["preview"] & is_component_name(s["name"]) & _shown(s["start"])),
+        lambda s: s.withField("depth", around(F.col("scopes"), F.col("_ends"), s["start"], lambda o: o["start"])))).alias("s"))
+    kept = rows
     qualified = _qualified(F.col("s.name"))
     return kept.select(
         *KEYS, F.concat(F.lit("local.compose:"), qualified).alias("id"), F.col("s.name").alias("symbol"),
         qualified.alias("qualified_symbol"), F.lit("package_qualified_symbol").alias("identity_basis"),
         F.lit("semantic").alias("identity_stability"), F.col("path").alias("file"),
         F.col("s.line").alias("line"), F.col("s.col").alias("col"), F.col("s.hidden").alias("hidden"),
-        F.col("package"), F.size(F.filter("scopes", lambda o: (o["start"] < F.col("s.start")) & (F.col("s.start") < o["end"]))).alias("depth"),
+        F.col("package"), F.col("s.depth").alias("depth"),
     )
 
 
@@ -186,22 +190,18 @@ def style_sites(files: DataFrame) -> DataFrame:
             F.when(c["category"] == "color", F.regexp_extract(a, literal["color"], 0))
             .when(c["category"] == "typography", F.regexp_extract(a, literal["typography"], 0))
             .otherwise(F.regexp_extract(a, literal["other"], 0)))), lambda v: v != "")
-        return F.struct(*[c[f].alias(f) for f in ("start", "category", "context")], F.try_element_at(values, F.lit(1)).alias("value"))
+        return F.struct(*[c[f].alias(f) for f in ("start", "category", "context")], F.try_element_at(values, F.lit(1)).alias("text"))
 
     calls_ = find_all(F.col("masked"), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", tail=r"\s*+\(")
-    sites = F.filter(F.transform(F.transform(calls_, called), valued), lambda v: v["value"].isNotNull())
-    valued = with_scopes(files).select(*FILE, "scopes", "package", "ends", F.inline(sites))
-    placed = with_place(_enclosing(valued).withColumns(_parent(F.col("start"))), F.col("start"))
-    return style_rows(placed, LANGUAGE)
+    styled = F.filter(F.transform(F.transform(calls_, called), valued), lambda v: v["text"].isNotNull() & _shown(v["start"]))
+    rows = sites(with_scopes(files), styled, "package", _parent=_near, category=lambda v: v["category"], context=lambda v: v["context"])
+    return style_rows(rows.withColumnRenamed("text", "value").withColumns(_parent(F.col("start"))), LANGUAGE)
 
 
 def token_sites(files: DataFrame, token_keys: DataFrame) -> DataFrame:
     """Identifier chains that are token keys, outside of previews."""
-    found = chain_candidates(with_scopes(files), "scopes", "package", "ends", dropped=TYPED)
-    keys = token_keys.select("repo_id", "language", F.col("match_key").alias("text")).distinct()
-    known = found.join(keys, ["repo_id", "language", "text"], "left_semi")
-    placed = with_place(_enclosing(known).withColumns(_parent(F.col("start"))), F.col("start"))
-    return token_rows(placed, token_keys, LANGUAGE)
+    found = chain_candidates(with_scopes(files), "package", dropped=TYPED, _parent=_near, _shown=lambda h: _shown(h["start"])).filter("_shown")
+    return token_rows(found.withColumns(_parent(F.col("start"))), token_keys, LANGUAGE)
 
 
 def discovered(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ...functions.lexing import byte_slice, close_of, count_up_to, depth_at, ele
 from ...functions.text import find_all, let
 from ...schemas import KEYS
 from .common import (
-    COLUMNS, FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
+    COLUMNS, FILE, PARENT_FIELDS, around, chain_candidates, hits, inner, parent_columns, parsed, sites, style_rows, token_rows, tree,
 )
 from .kotlin import lookup
 
@@ -115,46 +115,59 @@ def with_scopes(files: DataFrame) -> DataFrame:
 
     known = F.filter(F.transform("heads", read), complete)
     stages = F.transform(F.transform(known, bounded), read_body)
-    scoped = once(base, scopes=F.transform(stages, scope)).drop("heads", "bodies", "brace_ends")
-    return once(scoped, components=components(F.col("scopes")))
+    scoped = once(base, scopes=F.transform(stages, scope)).drop("heads", "bodies")
+    shown = F.filter("scopes", lambda s: s["jsx"] & s["name"].rlike(r"\A[A-Z]"))
+    return once(scoped, components=components(F.col("scopes")), every=tree(shown), declared_in=tree(F.filter(shown, lambda s: ~s["binding"])))
 
 
-def _parent(df: DataFrame, cond) -> DataFrame:
-    """J01 inside the row: the innermost component around the site."""
-    near = once(df, _parent=inner(
-        F.col("scopes"), F.col("start"), lambda s: s["jsx"] & s["name"].rlike(r"\A[A-Z]") & cond(s)))
+def _with_parent(df: DataFrame) -> DataFrame:
     p = F.col("_parent")
-    return near.withColumns(parent_columns(
+    return df.withColumns(parent_columns(
         p, F.concat(F.lit("react:component:"), "module", F.lit("#"), p["name"]),
         F.concat("module", F.lit("#"), p["name"]), "component",
         F.lit("module_path_and_symbol"), F.lit("path_sensitive")))
 
 
+def _component(h: Column) -> Column:
+    """J01 inside the row: the innermost component around the site."""
+    return inner(F.col("every"), h["start"])
+
+
+def _hidden(names: Column, name: Column, pos: Column) -> Column:
+    """Whether a span of ``name`` is around ``pos``; ``names`` are sorted by name, so only its own are looked at."""
+    def span(at):
+        return F.struct(name.alias("name"), F.lit(at).cast("bigint").alias("open"), F.lit(at).cast("bigint").alias("close"))
+
+    def any_of(low):
+        own = F.slice(names, low + 1, count_up_to(names, span(1 << 62)) - low)
+        return F.exists(own, lambda d: (d["open"] < pos) & (pos < d["close"]))
+
+    return let(count_up_to(names, span(-1)), any_of)
+
+
 def calls(files: DataFrame) -> DataFrame:
     """X10 with X28: capitalised JSX elements, without self and shadowed names.
 
     The parent of a usage is a function or class declaration.
     """
     local = rf"\b(?:const|let|var|function|class)\s++(?:[A-Z][\w$]*+)"
-    scoped = with_scopes(files).filter(F.col("masked").rlike(JSX))
-    # Inner declarations hide a name up to the end of their block.
-    declared = F.filter(
-        F.transform(find_all(F.col("masked"), local), lambda h: F.struct(
-            F.regexp_extract(h["text"], r"([A-Z][\w$]*+)\z", 1).alias("name"),
-            F.try_element_at(F.filter("braces", lambda b: (b["open"] < h["start"]) & (h["start"] < b["close"])), F.lit(1)).alias("any"),
-            F.array_max(F.transform(F.filter("braces", lambda b: (b["open"] < h["start"]) & (h["start"] < b["close"])),
-                                    lambda b: F.struct(b["open"].alias("open"), b["close"].alias("close")))).alias("block"))),
-        lambda d: d["block"].isNotNull())
-    found = hits(once(scoped, declared=declared), JSX, "scopes", "declared", "module", "ends")
-    named = found.withColumn("symbol", F.substr("text", F.lit(2))).withColumn(
-        "binding_name", F.substring_index("symbol", ".", 1))
-    pos, binding = F.col("start"), F.col("binding_name")
-    shadowed = F.exists("declared", lambda d: (d["name"] == binding) & (d["block"]["open"] < pos) & (pos < d["block"]["close"])) | F.exists(
-        "scopes", lambda s: F.array_contains(s["params"], binding) & (s["start"] <= pos) & (pos < s["end"]))
-    kept = _parent(named.filter(~shadowed), lambda s: ~s["binding"]).filter(
-        F.col("parent_symbol").isNull() | (F.col("parent_symbol") != F.col("binding_name")))
-    placed = with_place(kept, F.col("start"))
-    return placed.select(*FILE, "module", "line", "col", "symbol", "binding_name", *PARENT_FIELDS)
+
+    def spanned(name, open_at, close_at):
+        return F.struct(name.alias("name"), open_at.cast("bigint").alias("open"), close_at.cast("bigint").alias("close"))
+
+    # Inner declarations hide a name up to the end of their block, parameters in their function.
+    scoped = once(with_scopes(files).filter(F.col("masked").rlike(JSX)), blocks=tree(F.col("braces"), "open", "close"))
+    declared = F.filter(F.transform(find_all(F.col("masked"), local), lambda h: let(
+        inner(F.col("blocks"), h["start"]),
+        lambda b: spanned(F.regexp_extract(h["text"], r"([A-Z][\w$]*+)\z", 1), b["open"], b["close"]))), lambda d: d["open"].isNotNull())
+    params = F.flatten(F.transform("scopes", lambda s: F.transform(s["params"], lambda p: spanned(p, s["start"] - 1, s["end"]))))
+    hiding = once(scoped, hiding=F.array_sort(F.concat(declared, params)))
+    free = F.filter(find_all(F.col("masked"), JSX), lambda h: ~_hidden(
+        F.col("hiding"), F.substring_index(F.substr(h["text"], F.lit(2)), ".", 1), h["start"]))
+    found = sites(hiding, free, "module", _parent=lambda h: inner(F.col("declared_in"), h["start"]))
+    named = found.withColumn("symbol", F.substr("text", F.lit(2))).withColumn("binding_name", F.substring_index("symbol", ".", 1))
+    kept = _with_parent(named).filter(F.col("parent_symbol").isNull() | (F.col("parent_symbol") != F.col("binding_name")))
+    return kept.select(*FILE, "module", "line", "col", "symbol", "binding_name", *PARENT_FIELDS)
 
 
 def definitions(files: DataFrame) -> DataFrame:
@@ -171,8 +184,10 @@ def definitions(files: DataFrame) -> DataFrame:
 def declared(files: DataFrame) -> DataFrame:
     """Names declared at the top level of a module."""
     pattern = rf"\b(?:const|let|var|function\b\s*+\*?|class)\s*+{_ID}"
-    rows = hits(_parsed(files), pattern, "braces")
-    return rows.filter(~F.exists("braces", lambda b: (b["open"] < F.col("start")) & (F.col("start") < b["close"]))).select(
+    ends = F.array_sort(F.transform("braces", lambda b: b["close"]))
+    top = F.filter(find_all(F.col("masked"), pattern), lambda h: around(F.col("braces"), F.col("_ends"), h["start"], lambda b: b["open"]) == 0)
+    rows = once(_parsed(files), _ends=ends).select(*FILE, F.inline(top))
+    return rows.select(
         *KEYS, F.col("path").alias("file"), F.regexp_extract("text", r"([A-Za-z_$][\w$]*)\z", 1).alias("name")).distinct()
 
 
@@ -253,28 +268,25 @@ def style_sites(files: DataFrame) -> DataFrame:
         lead = r"(?s)\A,?\s*+"
         props = F.filter(find_all(body, prop), lambda p: depth_at(
             at + p["start"] + F.octet_length(F.regexp_extract(p["text"], lead, 0))) == depth_at(at - 1))
-        return F.transform(props, lambda p: F.struct(at.alias("at"), p.alias("h")))
+
+        def read(p):
+            return F.struct(
+                (at + p["start"] + F.octet_length(F.regexp_extract(p["text"], lead, 0))).alias("start"),
+                F.regexp_extract(p["text"], rf"(?s):\s*+({value})\z", 1).alias("text"),
+                F.regexp_extract(p["text"], rf"(?s)\A,?\s*+\[?\s*+[\"']?([A-Za-z_$][\w$]*+)", 1).alias("name"))
+
+        return F.transform(props, read)
 
     styled = F.flatten(F.transform(find_all(F.col("masked"), r"(?<![\w$-])style=\{\s*+\{"), own))
-    found = with_scopes(files).select(*FILE, "scopes", "module", "ends", F.inline(styled))
-    lead = F.regexp_extract("h.text", r"(?s)\A(,?\s*+)", 1)
-    name = F.regexp_extract("h.text", rf"(?s)\A,?\s*+\[?\s*+[\"']?([A-Za-z_$][\w$]*+)", 1)
-    literal = F.regexp_extract("h.text", rf"(?s):\s*+({value})\z", 1)
-    rows = found.select(
-        *FILE, "scopes", "module", "ends", name.alias("name"), literal.alias("value"),
-        (F.col("at") + F.col("h.start") + F.octet_length(lead)).alias("start"),
-    ).withColumns({"category": lookup(STYLE_PROPS, F.col("name"), 0), "context": lookup(STYLE_PROPS, F.col("name"), 1)})
-    placed = with_place(_parent(rows.filter("category IS NOT NULL"), lambda s: F.lit(True)), F.col("start"))
-    return style_rows(placed, LANGUAGE)
+    rows = sites(with_scopes(files), styled, "module", _parent=_component, name=lambda p: p["name"]).withColumnRenamed("text", "value").withColumns({
+        "category": lookup(STYLE_PROPS, F.col("name"), 0), "context": lookup(STYLE_PROPS, F.col("name"), 1)})
+    return style_rows(_with_parent(rows.filter("category IS NOT NULL")), LANGUAGE)
 
 
 def token_sites(files: DataFrame, token_keys: DataFrame) -> DataFrame:
     """Member chains and identifiers that are token keys."""
-    found = chain_candidates(with_scopes(files), "scopes", "module", "ends", members=False)
-    keys = token_keys.select("repo_id", "language", F.col("match_key").alias("text")).distinct()
-    known = found.join(keys, ["repo_id", "language", "text"], "left_semi")
-    placed = with_place(_parent(known, lambda s: F.lit(True)), F.col("start"))
-    return token_rows(placed, token_keys, LANGUAGE)
+    found = chain_candidates(with_scopes(files), "module", members=False, _parent=_component)
+    return token_rows(_with_parent(found), token_keys, LANGUAGE)
 
 
 def discovered(files: DataFrame, packages: DataFrame) -> DataFrame:

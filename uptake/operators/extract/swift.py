@@ -10,7 +10,7 @@ from ...functions.text import find_all
 from ...schemas import KEYS
 from ..intervals import containment_dedupe
 from .common import (
-    COLUMNS, FILE, PARENT_FIELDS, chain_candidates, hits, inner, parent_columns, parsed, style_rows, token_rows, with_place,
+    COLUMNS, FILE, PARENT_FIELDS, around, chain_candidates, hits, inner, parent_columns, parsed, sites, style_rows, token_rows, tree,
 )
 from .kotlin import lookup
 
@@ -113,11 +113,13 @@ def with_scopes(files: DataFrame) -> DataFrame:
             r["at"]["line"].alias("line"), r["at"]["col"].alias("col"))
 
     known = F.filter(F.transform(F.transform("heads", read), bounded), lambda r: r["stop"].isNotNull())
-    return once(base, scopes=F.transform(F.transform(known, placed), scope)).drop("heads", "bodies")
+    scoped = once(base, scopes=F.transform(F.transform(known, placed), scope)).drop("heads", "bodies")
+    return once(scoped, views=tree(F.filter("scopes", lambda s: s["view"])), previews=tree(F.filter("scopes", lambda s: s["preview"])))
 
 
-def _in_preview(pos: Column) -> Column:
-    return F.exists("scopes", lambda s: s["preview"] & (s["start"] <= pos) & (pos < s["end"]))
+def _shown(pos: Column) -> Column:
+    """Whether a place is in no preview."""
+    return inner(F.col("previews"), pos).isNull()
 
 
 def _identity() -> tuple[Column, Column]:
@@ -128,29 +130,37 @@ def _identity() -> tuple[Column, Column]:
     )
 
 
-def _enclosed(df: DataFrame, pos: Column) -> DataFrame:
-    """Drop preview sites (X18) and attach the innermost view."""
-    scoped = once(df.filter(~_in_preview(pos)), _parent=inner(F.col("scopes"), pos, lambda s: s["view"]))
+def _view(h: Column) -> Column:
+    """J01 inside the row: the innermost view."""
+    return inner(F.col("views"), h["start"])
+
+
+def _with_parent(df: DataFrame) -> DataFrame:
     p, (basis, stability) = F.col("_parent"), _identity()
-    return scoped.withColumns(parent_columns(
+    return df.withColumns(parent_columns(
         p, F.concat(F.lit("swiftui:view:"), "module", F.lit("#"), p["name"]),
         F.concat("module", F.lit("."), p["name"]), "view", basis, stability))
 
 
 def calls(files: DataFrame) -> DataFrame:
     """Capitalised calls with the root of their qualifier."""
-    found = hits(with_scopes(files), CALL, "scopes", "module", "ends").filter(F.col("text").rlike(r"\A\w") & ~F.col("text").rlike(r"\s"))
-    symbol = F.substring_index("text", ".", -1)
-    qualifier = F.when(F.contains("text", F.lit(".")), F.regexp_extract("text", r"\A(\w+)", 1))
-    named = found.withColumns({"symbol": symbol, "qualifier": qualifier}).withColumn(
-        "start", F.col("start") + F.octet_length("text") - F.octet_length("symbol"))
-    placed = with_place(_enclosed(named, F.col("start")), F.col("start"))
-    return placed.select(*FILE, "module", "line", "col", "symbol", "qualifier", *PARENT_FIELDS)
+    def named(h):
+        symbol = F.substring_index(h["text"], ".", -1)
+        return F.struct((h["start"] + F.octet_length(h["text"]) - F.octet_length(symbol)).alias("start"), symbol.alias("text"),
+                        F.when(F.contains(h["text"], F.lit(".")), F.regexp_extract(h["text"], r"\A(\w+)", 1)).alias("qualifier"))
+
+    found = F.filter(find_all(F.col("masked"), CALL), lambda h: h["text"].rlike(r"\A\w") & ~h["text"].rlike(r"\s"))
+    shown = F.filter(F.transform(found, named), lambda h: _shown(h["start"]))
+    rows = sites(with_scopes(files), shown, "module", _parent=_view, qualifier=lambda h: h["qualifier"])
+    return _with_parent(rows).select(*FILE, "module", "line", "col", F.col("text").alias("symbol"), "qualifier", *PARENT_FIELDS)
 
 
 def definitions(files: DataFrame) -> DataFrame:
     """Views and view functions."""
-    rows = with_scopes(files).select(*FILE, "module", "scopes", "braces", F.explode("scopes").alias("s")).filter("s.view")
+    ends = F.array_sort(F.transform("braces", lambda b: b["close"]))
+    rows = once(with_scopes(files), _ends=ends).select(*FILE, "module", F.explode(F.transform(
+        F.filter("scopes", lambda s: s["view"]),
+        lambda s: s.withField("depth", around(F.col("braces"), F.col("_ends"), s["start"], lambda b: b["open"])))).alias("s"))
     basis, stability = _identity()
     return rows.select(
         *KEYS, F.concat(F.lit("local.swift:"), "module", F.lit("#"), F.col("s.name")).alias("id"),
@@ -158,7 +168,7 @@ def definitions(files: DataFrame) -> DataFrame:
         basis.alias("identity_basis"), stability.alias("identity_stability"),
         F.col("path").alias("file"), F.col("s.line").alias("line"), F.col("s.col").alias("col"),
         F.col("s.hidden").alias("hidden"), F.col("module"),
-        F.size(F.filter("braces", lambda b: (b["open"] < F.col("s.start")) & (F.col("s.start") < b["close"]))).alias("depth"))
+        F.col("s.depth").alias("depth"))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -187,20 +197,22 @@ def style_sites(files: DataFrame) -> DataFrame:
     def read(c):
         # Literals are searched in the raw text, so that strings are seen; those in deeper brackets belong to others.
         inside = byte_slice(F.col("content"), c["at"] + 1, c["close"] - c["at"] - 1)
-        lead = r"\A(?:[A-Za-z_]\w*\s*:\s*)?"
-        own = F.filter(find_all(inside, literal), lambda p: depth_at(
-            c["at"] + 1 + p["start"] + F.octet_length(F.regexp_extract(p["text"], lead, 0))) == depth_at(c["at"]))
-        return F.struct(c["start"].alias("start"), c["callee"].alias("callee"), c["at"].alias("at"),
-                        byte_slice(F.col("content"), c["at"], c["close"] - c["at"] + 1).alias("raw"), own.alias("pieces"))
+
+        def own(p):
+            label = F.regexp_extract(p["text"], r"\A([A-Za-z_]\w*)\s*:", 1)
+            lead = F.regexp_extract(p["text"], r"\A([A-Za-z_]\w*\s*:\s*)?", 0)
+            return F.struct((c["at"] + 1 + p["start"] + F.octet_length(lead)).alias("start"), F.substr(p["text"], F.char_length(lead) + 1).alias("text"),
+                            c["callee"].alias("callee"), label.alias("label"))
+
+        literals = F.filter(F.transform(find_all(inside, literal), own), lambda p: depth_at(p["start"]) == depth_at(c["at"]))
+        whole = F.struct(c["start"].alias("start"), F.concat(F.lit("Color"), byte_slice(F.col("content"), c["at"], c["close"] - c["at"] + 1)).alias("text"),
+                         c["callee"].alias("callee"), F.lit("").alias("label"))
+        return F.when(c["callee"] == "Color", F.array(whole)).otherwise(literals)
 
     calls_ = find_all(F.col("masked"), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", tail=r"\(")
     closed = F.filter(F.transform(calls_, called), lambda c: c["close"].isNotNull())
-    raw = with_scopes(files).select(*FILE, "scopes", "module", "ends", F.inline(F.transform(closed, read)))
-    literals = raw.filter("callee <> 'Color'").select(
-        *FILE, "scopes", "module", "ends", "callee", "at", F.explode("pieces").alias("h"))
-    label = F.regexp_extract("h.text", r"\A([A-Za-z_]\w*)\s*:", 1)
-    lead = F.regexp_extract("h.text", r"\A([A-Za-z_]\w*\s*:\s*)?", 0)
-    value = F.substr("h.text", F.char_length(lead) + 1)
+    found = F.filter(F.flatten(F.transform(closed, read)), lambda p: _shown(p["start"]))
+    rows = sites(with_scopes(files), found, "module", _parent=_view, callee=lambda p: p["callee"], label=lambda p: p["label"])
 
     def meta(field: int) -> Column:
         own, by_label = lookup(STYLE_CALLS, F.col("callee"), field), lookup(STYLE_LABELS, F.col("label"), field)
@@ -208,27 +220,22 @@ def style_sites(files: DataFrame) -> DataFrame:
         depth = (F.col("label") == "radius") & (F.col("callee") == "shadow")
         return F.when(depth, own).otherwise(F.coalesce(by_label, own))
 
-    labelled = literals.select(
-        *FILE, "scopes", "module", "ends", "callee", label.alias("label"), value.alias("value"),
-        (F.col("at") + 1 + F.col("h.start") + F.octet_length(lead)).alias("start"))
-    numbers = labelled.withColumns({"category": meta(0), "context": meta(1)}).filter(
+    def of_color(field: int) -> Column:
+        return F.when(F.col("callee") == "Color", F.lit("color")).otherwise(meta(field))
+
+    valued = rows.withColumnRenamed("text", "value").withColumns({"category": of_color(0), "context": of_color(1)}).filter(
         F.col("category").isNotNull() & ((F.col("category") == "color") | F.col("value").rlike(r"\A[0-9]")))
-    colors = raw.filter("callee = 'Color'").select(
-        *FILE, "scopes", "module", "ends", F.concat(F.lit("Color"), "raw").alias("value"), "start",
-        F.lit("color").alias("category"), F.lit("color").alias("context"))
-    both = numbers.drop("callee", "label").unionByName(colors)
-    return style_rows(with_place(_enclosed(both, F.col("start")), F.col("start")), LANGUAGE)
+    return style_rows(_with_parent(valued), LANGUAGE)
 
 
 def token_sites(files: DataFrame, token_keys: DataFrame) -> DataFrame:
     """X06 with X07: chains that are token keys; of nested hits the longest."""
-    found = chain_candidates(with_scopes(files), "scopes", "module", "ends")
+    found = chain_candidates(with_scopes(files), "module", _parent=_view, _shown=lambda h: _shown(h["start"])).filter("_shown")
     keys = token_keys.select("repo_id", "language", F.col("match_key").alias("text")).distinct()
     known = found.join(keys, ["repo_id", "language", "text"], "left_semi")
     spans = known.withColumns({"start_pos": F.col("start"), "end_pos": F.col("start") + F.octet_length("text") - 1}).drop("start")
-    longest = containment_dedupe(spans, FILE).withColumnRenamed("start_pos", "start").drop("end_pos")
-    placed = with_place(_enclosed(longest, F.col("start")), F.col("start"))
-    return token_rows(placed, token_keys, LANGUAGE)
+    longest = containment_dedupe(spans, FILE)
+    return token_rows(_with_parent(longest), token_keys, LANGUAGE)
 
 
 def discovered(files: DataFrame) -> DataFrame:
