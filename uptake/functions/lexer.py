@@ -32,7 +32,8 @@ _CODE = {
     "swift": re.compile(rb"//[^\n]*|/\*|#*\"\"\"|#*\"|@\w+\(|#Preview\s*\(|[(){}\[\],;]"),
     "react": re.compile(rb"//[^\n]*|/\*|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?|`|[(){}\[\],;]|<|/"),
 }
-_CLOSES = {b")": b"(", b"}": b"{", b"]": b"["}
+_OPENS, _CLOSES = frozenset([b"(", b"{", b"["]), {b")": b"(", b"}": b"{", b"]": b"["}
+_IS_CODE = frozenset([b"F", b"(", b"{", b"[", b"I"])
 _COMMENT = re.compile(rb"/\*|\*/")
 _TEMPLATE = re.compile(rb"`|\\[\s\S]|\$\{")
 _TAG = re.compile(rb"\"[^\"]*\"?|'[^']*'?|//[^\n]*|/\*|/>|>|\{|<[^<>]*>")
@@ -43,12 +44,16 @@ _WORD = re.compile(rb"[\w$]+\Z")
 # Keywords that an expression follows.
 _BEFORE_EXPRESSION = {b"return", b"typeof", b"case", b"in", b"of", b"do", b"else", b"void", b"delete", b"throw", b"new", b"await", b"yield", b"default"}
 _LINE = re.compile(rb"[ \t\r]*\n\s*")
-# What a statement goes on behind, and what goes on with one.
+# Characters and keywords that a statement goes on behind, and those that go on with one.
+_WORDS = frozenset([b"else", b"return", b"in", b"as", b"is", b"of"])
+_CONDITION = re.compile(rb"\b(?:if|while|for)\s*\Z")
+_BEHIND = {"compose": frozenset(b"=+*/%&|,([{.:?!"), "react": frozenset(b"=+*/%&|,([{.:?!<>^~-")}
 _GOES_ON = {
-    "compose": (re.compile(rb"(?:[=+*/%&|,(\[{.:?!]|->|[^+]\+|[^-]-|\belse|\breturn|\bin|\bas|\bis)\Z"), re.compile(rb"\.(?!\.)|\?[.:]|&&|\|\||else\b|as\b|in\b|is\b|[)\]}]")),
-    "react": (re.compile(rb"(?:[=+*/%&|,(\[{.:?!<>^~-]|\belse|\breturn|\bin|\bof|\bas)\Z"), re.compile(rb"[.,?:&|+*/%=<>()\[\]}^-]|as\b|in\b")),
+    "compose": re.compile(rb"\.(?!\.)|\?[.:]|&&|\|\||(?:else|as|in|is)\b|[)\]}]"),
+    "react": re.compile(rb"[.,?:&|+*/%=<>()\[\]}^-]|(?:as|in)\b"),
 }
-_GOES_ON["swift"] = _GOES_ON["compose"]
+_BEHIND["swift"], _GOES_ON["swift"] = _BEHIND["compose"], _GOES_ON["compose"]
+_BREAK = re.compile(rb"\n")
 _NOT_LINE = re.compile(rb"[^\n]")
 
 
@@ -56,8 +61,8 @@ class Lexed(NamedTuple):
     """Texts of the same bytes as the source, and sorted arrays of offsets."""
 
     masked: bytes                       # comments and literals blank
-    code: bytes                         # comments blank
-    skeleton: bytes                     # as masked, arguments of annotations blank too
+    code: bytes                         # comments blank; React only
+    skeleton: bytes                     # as masked, arguments of annotations blank too; not React
     parens: list[tuple[int, int]]       # (open, close)
     braces: list[tuple[int, int]]
     opened: list[int]                   # where the depth grows: brackets, JSX elements, interpolations
@@ -117,7 +122,7 @@ def _comment_end(data: bytes, at: int, nests: bool) -> int:
 
 
 def _line_ends(data: bytes) -> list[int]:
-    return (np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1).tolist()
+    return [m.end() for m in _BREAK.finditer(data)]
 
 
 def lex(data: bytes, language: str, jsx: bool = True, never: frozenset[int] = frozenset()) -> Lexed:
@@ -155,11 +160,30 @@ def lex(data: bytes, language: str, jsx: bool = True, never: frozenset[int] = fr
 
     while True:
         mode, begun, detail = stack[-1]
-        is_code = mode in b"F({[I"
+        is_code = mode in _IS_CODE
         m = (code if is_code else detail).search(data, pos)
         if not m:
             break
-        at, end, token = m.start(), m.end(), m.group()
+        (at, end), token = m.span(), m.group()
+        if is_code:  # the frequent marks first
+            if token in _OPENS:
+                pos = end
+                opened.append(at)
+                depth += 1
+                stack.append((token, at, False))
+                continue
+            if token in _CLOSES and _CLOSES[token] == mode and not detail:
+                pos = end
+                stops.append((depth, at))
+                closed.append(at)
+                depth -= 1
+                pairs[mode].append((begun, at))
+                del stack[-1]
+                continue
+            if token == b",":
+                pos = end
+                commas.append((depth, at))
+                continue
         if mode == b"C":
             hide(pos, at)
         if mode == b"S":
@@ -260,7 +284,8 @@ def lex(data: bytes, language: str, jsx: bool = True, never: frozenset[int] = fr
     gaps += [(at, "open literal" if kind == b"S" else "open bracket") for kind, at, _ in stack[1:]]
     gaps += [(at, "open element") for at in never]
     masked = _blank(data, hidden)
-    before, after = _GOES_ON[language]
+    behind, goes_on = _BEHIND[language], _GOES_ON[language]
+    opener = {close: begin for begin, close in pairs[b"("]}
     levels = sorted([(x, 1) for x in opened] + [(x, -1) for x in closed])
     k, level = 0, 0
     for m in _LINE.finditer(masked):
@@ -268,10 +293,17 @@ def lex(data: bytes, language: str, jsx: bool = True, never: frozenset[int] = fr
         while k < len(levels) and levels[k][0] < at:
             level += levels[k][1]
             k += 1
-        if at and not before.search(masked, max(0, at - 8), at) and not after.match(masked, m.end()):
-            stops.append((level, at))
+        if not at or masked[at - 1] in behind or goes_on.match(masked, m.end()) or masked.endswith(b"->", 0, at):
+            continue
+        if masked[at - 1] == 41 and at - 1 in opener and _CONDITION.search(masked, max(0, opener[at - 1] - 16), opener[at - 1]):
+            continue
+        if masked[at - 1] < 123 and masked[max(0, at - 7):at].isascii():
+            word = _WORD.search(masked, max(0, at - 7), at)
+            if word and word.group() in _WORDS:
+                continue
+        stops.append((level, at))
     skeleton = _blank(masked, sorted(annotated)) if annotated else masked
-    return Lexed(masked, _blank(data, comments), skeleton, sorted(pairs[b"("]), sorted(pairs[b"{"]), sorted(opened), sorted(closed),
+    return Lexed(masked, _blank(data, comments) if language == "react" else b"", b"" if language == "react" else skeleton, sorted(pairs[b"("]), sorted(pairs[b"{"]), sorted(opened), sorted(closed),
                  sorted(commas), sorted(stops), sorted(gaps), _line_ends(data))
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .text import byte_len, let, running_ends
 
 
+def with_bytes(text: Column, body) -> Column:
+    """Hand the bytes of a text to ``body``, for many slices: a column's bytes are copied whenever they are asked for."""
+    return let(text.cast("binary"), body)
+
+
 def byte_slice(text: Column, start: Column, length: Column) -> Column:
     return F.substr(text.cast("binary"), (start + 1).cast("int"), length.cast("int")).cast("string")
 

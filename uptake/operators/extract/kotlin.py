@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import kotlin_package
-from ...functions.lexing import arguments, close_of, element_at, once, place, statement_end
-from ...functions.text import find_all
+from ...functions.lexing import arguments, close_of, element_at, once, place, statement_end, with_bytes
+from ...functions.text import find_all, let
 from ...schemas import KEYS
 from .common import (
     COLUMNS, FILE, PARENT_FIELDS, around, chain_candidates, hits, inner, parent_columns, parsed, sites, style_rows, token_rows, tree,
@@ -71,14 +71,16 @@ def with_scopes(files: DataFrame) -> DataFrame:
             F.regexp_extract(head, rf"(?s)\A.*?{_NAME}(\w++)", 1).alias("name"))
 
     def bounded(r):
+        def ended(body):
+            stop = r["close"] + F.octet_length(body)  # the brace or the equals sign
+            return (
+                F.when(r["is_lambda"], close_of(F.col("braces"), r["opener"]) + 1)
+                .when(F.endswith(body, F.lit("{")), close_of(F.col("braces"), stop) + 1)
+                .when(F.endswith(body, F.lit("=")), statement_end(stop))
+                .otherwise(r["close"] + 1))
+
         body = element_at(F.col("bodies"), r["close"], lambda b: b["start"])["tail"]
-        stop = r["close"] + F.octet_length(body)  # the brace or the equals sign
-        end = (
-            F.when(r["is_lambda"], close_of(F.col("braces"), r["opener"]) + 1)
-            .when(F.endswith(body, F.lit("{")), close_of(F.col("braces"), stop) + 1)
-            .when(F.endswith(body, F.lit("=")), statement_end(stop))
-            .otherwise(r["close"] + 1))
-        return F.struct(*[r[c].alias(c) for c in ("name", "start", "before")], end.alias("end"))
+        return F.struct(*[r[c].alias(c) for c in ("name", "start", "before")], let(body, ended).alias("end"))
 
     def placed(r):
         # Annotations and modifiers stand before the name; a lambda has only them.
@@ -177,11 +179,11 @@ def style_sites(files: DataFrame) -> DataFrame:
         "other": rf"{number}(?:\.dp\b|(?!\.\w))",
     }
 
-    def called(h):
+    def called(h, raw):
         opener = h["start"] + F.octet_length(h["text"]) + F.octet_length(h["tail"]) - 1
         return F.struct(
             h["start"].alias("start"), lookup(STYLE_CALLS, h["text"], 0).alias("category"), lookup(STYLE_CALLS, h["text"], 1).alias("context"),
-            arguments(opener, close_of(F.col("parens"), opener), F.col("masked")).alias("args"))
+            arguments(opener, close_of(F.col("parens"), opener), raw).alias("args"))
 
     def valued(c):
         # an argument with a call in it is not a literal of this call
@@ -193,7 +195,7 @@ def style_sites(files: DataFrame) -> DataFrame:
         return F.struct(*[c[f].alias(f) for f in ("start", "category", "context")], F.try_element_at(values, F.lit(1)).alias("text"))
 
     calls_ = find_all(F.col("masked"), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", tail=r"\s*+\(")
-    styled = F.filter(F.transform(F.transform(calls_, called), valued), lambda v: v["text"].isNotNull() & _shown(v["start"]))
+    styled = F.filter(F.transform(with_bytes(F.col("masked"), lambda raw: F.transform(calls_, lambda h: called(h, raw))), valued), lambda v: v["text"].isNotNull() & _shown(v["start"]))
     rows = sites(with_scopes(files), styled, "package", _parent=_near, category=lambda v: v["category"], context=lambda v: v["context"])
     return style_rows(rows.withColumnRenamed("text", "value").withColumns(_parent(F.col("start"))), LANGUAGE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import react_module
-from ...functions.lexing import byte_slice, close_of, count_up_to, depth_at, element_at, once, place, statement_end
+from ...functions.lexing import byte_slice, close_of, count_up_to, depth_at, element_at, once, place, statement_end, with_bytes
 from ...functions.text import find_all, let
 from ...schemas import KEYS
 from .common import (
@@ -83,11 +83,11 @@ def with_scopes(files: DataFrame) -> DataFrame:
             .otherwise(stop + 1))
         return F.struct(r.alias("r"), (stop + 1).alias("stop"), F.substr(last, F.lit(-1)).alias("last"), F.coalesce(end, size).alias("end"))
 
-    def read_body(b):
+    def read_body(b, raw):
         return F.struct(
             b["r"].alias("r"), b["end"].alias("end"), b["last"].alias("last"),
-            byte_slice(F.col("masked"), b["stop"], b["end"] - b["stop"]).alias("body"),
-            F.when(b["r"]["tail"].isNotNull(), byte_slice(F.col("masked"), b["r"]["opener"], b["r"]["close"] - b["r"]["opener"] + 1))
+            byte_slice(raw, b["stop"], b["end"] - b["stop"]).alias("body"),
+            F.when(b["r"]["tail"].isNotNull(), byte_slice(raw, b["r"]["opener"], b["r"]["close"] - b["r"]["opener"] + 1))
             .otherwise(F.lit("")).alias("first"),
             place(F.col("ends"), b["r"]["head"] + F.octet_length(b["r"]["lead"])).alias("at"))
 
@@ -114,7 +114,7 @@ def with_scopes(files: DataFrame) -> DataFrame:
         return let(plain, lambda p: F.array_union(p, pick(lambda s: F.array_contains(p, s["memo_of"]))))
 
     known = F.filter(F.transform("heads", read), complete)
-    stages = F.transform(F.transform(known, bounded), read_body)
+    stages = with_bytes(F.col("masked"), lambda raw: F.transform(F.transform(known, bounded), lambda b: read_body(b, raw)))
     scoped = once(base, scopes=F.transform(stages, scope)).drop("heads", "bodies")
     shown = F.filter("scopes", lambda s: s["jsx"] & s["name"].rlike(r"\A[A-Z]"))
     return once(scoped, components=components(F.col("scopes")), every=tree(shown), declared_in=tree(F.filter(shown, lambda s: ~s["binding"])))
@@ -261,10 +261,10 @@ def style_sites(files: DataFrame) -> DataFrame:
     key = rf"(?:{_ID}|{_STRING}|\[\s*+{_STRING}\s*+\])"
     prop = rf"(?:\A|,)\s*+{key}\s*+:\s*+{value}(?=\s*+(?:,|\z|\bas\b))"
 
-    def own(o):
+    def own(o, raw):
         """Properties of the object itself, not of groups inside."""
         at = o["start"] + F.octet_length(o["text"])
-        body = byte_slice(F.col("code"), at, close_of(F.col("braces"), at - 1) - at)
+        body = byte_slice(raw, at, close_of(F.col("braces"), at - 1) - at)
         lead = r"(?s)\A,?\s*+"
         props = F.filter(find_all(body, prop), lambda p: depth_at(
             at + p["start"] + F.octet_length(F.regexp_extract(p["text"], lead, 0))) == depth_at(at - 1))
@@ -277,7 +277,8 @@ def style_sites(files: DataFrame) -> DataFrame:
 
         return F.transform(props, read)
 
-    styled = F.flatten(F.transform(find_all(F.col("masked"), r"(?<![\w$-])style=\{\s*+\{"), own))
+    styled = F.flatten(with_bytes(F.col("code"), lambda raw: F.transform(
+        find_all(F.col("masked"), r"(?<![\w$-])style=\{\s*+\{"), lambda o: own(o, raw))))
     rows = sites(with_scopes(files), styled, "module", _parent=_component, name=lambda p: p["name"]).withColumnRenamed("text", "value").withColumns({
         "category": lookup(STYLE_PROPS, F.col("name"), 0), "context": lookup(STYLE_PROPS, F.col("name"), 1)})
     return style_rows(_with_parent(rows.filter("category IS NOT NULL")), LANGUAGE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.identity import swift_module
-from ...functions.lexing import byte_slice, close_of, depth_at, element_at, once, place
+from ...functions.lexing import byte_slice, close_of, depth_at, element_at, once, place, with_bytes
 from ...functions.text import find_all
 from ...schemas import KEYS
 from ..intervals import containment_dedupe
@@ -94,14 +94,14 @@ def with_scopes(files: DataFrame) -> DataFrame:
             *[r[c].alias(c) for c in ("start", "head", "before", "name")], (brace + 1).alias("stop"),
             F.coalesce(close_of(F.col("braces"), brace) + 1, size).alias("end"))
 
-    def placed(r):
+    def placed(r, raw):
         head = r["head"]
         preview = F.startswith(head, F.lit("#Preview"))
         is_struct = r["before"].rlike(r"\bstruct\s++\z")
         inherits = F.regexp_extract(head, r"(?s):([^{}]*+)\{\z", 1).rlike(r"(?:\A|[,&\s])(?:SwiftUI\.)?View\b")
         view = (
             F.when(preview | ~r["name"].rlike(r"\A[A-Z]"), False).when(~is_struct, True).when(~inherits, False)
-            .otherwise(byte_slice(F.col("masked"), r["stop"], r["end"] - r["stop"]).rlike(r"\bvar\s++body\b")))
+            .otherwise(byte_slice(raw, r["stop"], r["end"] - r["stop"]).rlike(r"\bvar\s++body\b")))
         return F.struct(
             r["name"].alias("name"), r["start"].alias("start"), r["end"].alias("end"), preview.alias("preview"),
             view.alias("view"), r["before"].rlike(r"\b(?:private|fileprivate)\b").alias("hidden"),
@@ -113,7 +113,7 @@ def with_scopes(files: DataFrame) -> DataFrame:
             r["at"]["line"].alias("line"), r["at"]["col"].alias("col"))
 
     known = F.filter(F.transform(F.transform("heads", read), bounded), lambda r: r["stop"].isNotNull())
-    scoped = once(base, scopes=F.transform(F.transform(known, placed), scope)).drop("heads", "bodies")
+    scoped = once(base, scopes=with_bytes(F.col("masked"), lambda raw: F.transform(F.transform(known, lambda r: placed(r, raw)), scope))).drop("heads", "bodies")
     return once(scoped, views=tree(F.filter("scopes", lambda s: s["view"])), previews=tree(F.filter("scopes", lambda s: s["preview"])))
 
 
@@ -194,9 +194,9 @@ def style_sites(files: DataFrame) -> DataFrame:
         opener = h["start"] + F.octet_length(h["text"])
         return F.struct(h["start"].alias("start"), h["text"].alias("callee"), opener.alias("at"), close_of(F.col("parens"), opener).alias("close"))
 
-    def read(c):
+    def read(c, raw):
         # Literals are searched in the raw text, so that strings are seen; those in deeper brackets belong to others.
-        inside = byte_slice(F.col("content"), c["at"] + 1, c["close"] - c["at"] - 1)
+        inside = byte_slice(raw, c["at"] + 1, c["close"] - c["at"] - 1)
 
         def own(p):
             label = F.regexp_extract(p["text"], r"\A([A-Za-z_]\w*)\s*:", 1)
@@ -205,13 +205,13 @@ def style_sites(files: DataFrame) -> DataFrame:
                             c["callee"].alias("callee"), label.alias("label"))
 
         literals = F.filter(F.transform(find_all(inside, literal), own), lambda p: depth_at(p["start"]) == depth_at(c["at"]))
-        whole = F.struct(c["start"].alias("start"), F.concat(F.lit("Color"), byte_slice(F.col("content"), c["at"], c["close"] - c["at"] + 1)).alias("text"),
+        whole = F.struct(c["start"].alias("start"), F.concat(F.lit("Color"), byte_slice(raw, c["at"], c["close"] - c["at"] + 1)).alias("text"),
                          c["callee"].alias("callee"), F.lit("").alias("label"))
         return F.when(c["callee"] == "Color", F.array(whole)).otherwise(literals)
 
     calls_ = find_all(F.col("masked"), rf"(?=[A-Za-z])(?<![\w@])(?:{names})", tail=r"\(")
     closed = F.filter(F.transform(calls_, called), lambda c: c["close"].isNotNull())
-    found = F.filter(F.flatten(F.transform(closed, read)), lambda p: _shown(p["start"]))
+    found = F.filter(F.flatten(with_bytes(F.col("content"), lambda raw: F.transform(closed, lambda c: read(c, raw)))), lambda p: _shown(p["start"]))
     rows = sites(with_scopes(files), found, "module", _parent=_view, callee=lambda p: p["callee"], label=lambda p: p["label"])
 
     def meta(field: int) -> Column:

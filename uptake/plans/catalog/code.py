@@ -346,3 +346,23 @@ UNION ALL SELECT repo_id, concat('Panel', {_s('k')}), 'root', concat('src/lib/im
 query("r01_registry_from_sources", f"""
 SELECT {REPO} AS repo_id, concat('ds.screen', {_s('ok')}) AS id, concat('Screen', {_s('ok')}) AS symbol, concat('com.acme.m', {_s('ok % 7')}) AS package FROM {ORDERS} o WHERE ok % 3 = 0""")(
     lambda t: rg.build_registry(rg.package_conflicts(kotlin.discovered(cf.kotlin_files(t)))).select("repo_id", "id", "symbol", "package"))
+
+# --- brackets to any depth, nested comments, templates, interpolation, JSX text -----
+
+query("x11_compose_hard_calls", f"""
+SELECT {REPO} AS repo_id, concat('hard/K', {_s('ok')}, '.kt') AS file, 4 + rn AS line, CAST(16 AS BIGINT) AS col, concat('Sym', {_s('pk % 50')}) AS symbol, concat('Deep', {_s('ok')}) AS parent FROM {{v_items}} WHERE ok % 3 = 0
+UNION ALL SELECT {REPO}, concat('hard/K', {_s('ok')}, '.kt'), n + 8, 22 + length({_s('ok')}), 'Sym2', concat('Body', {_s('ok')}) FROM {ORDERS} o WHERE ok % 3 = 0
+UNION ALL SELECT {REPO}, concat('hard/K', {_s('ok')}, '.kt'), n + 9, 3, 'Sym3', concat('Body', {_s('ok')}) FROM {ORDERS} o WHERE ok % 3 = 0""")(
+    lambda t: kotlin.calls(cf.hard_files(t, "compose")).select("repo_id", F.col("path").alias("file"), "line", "col", "symbol", F.col("parent_symbol").alias("parent")))
+
+query("x12_swift_hard_calls", f"""
+SELECT {REPO} AS repo_id, concat('App/Sources/Hard/V', {_s('ok')}, '.swift') AS file, 5 + rn AS line, CAST(17 AS BIGINT) AS col, concat('Sym', {_s('pk % 50')}) AS symbol, concat('Deep', {_s('ok')}) AS parent FROM {{v_items}} WHERE ok % 3 = 2
+UNION ALL SELECT {REPO}, concat('App/Sources/Hard/V', {_s('ok')}, '.swift'), 5 + rn, 9, 'Text', concat('Deep', {_s('ok')}) FROM {{v_items}} WHERE ok % 3 = 2
+UNION ALL SELECT {REPO}, concat('App/Sources/Hard/V', {_s('ok')}, '.swift'), n + 9, 42 + length({_s('ok')}) + 4 * (ok % 25), 'Sym4', concat('Banner', {_s('ok')}) FROM {ORDERS} o WHERE ok % 3 = 2""")(
+    lambda t: swift.calls(cf.hard_files(t, "swift")).select("repo_id", F.col("path").alias("file"), "line", "col", "symbol", F.col("parent_symbol").alias("parent")))
+
+query("x10_jsx_hard_usages", f"""
+SELECT {REPO} AS repo_id, concat('hard/F', {_s('ok')}, '.tsx') AS file, 3 + rn AS line, CAST(13 AS BIGINT) AS col, concat('Sym', {_s('pk % 50')}) AS symbol, concat('Deep', {_s('ok')}) AS parent FROM {{v_items}} WHERE ok % 3 = 1
+UNION ALL SELECT {REPO}, concat('hard/F', {_s('ok')}, '.tsx'), 3 + rn, 27 + length({_s('pk % 50')}) + 3 * (pk % 25), 'Sym1', concat('Deep', {_s('ok')}) FROM {{v_items}} WHERE ok % 3 = 1
+UNION ALL SELECT {REPO}, concat('hard/F', {_s('ok')}, '.tsx'), 3 + rn, 60 + length({_s('pk % 50')}) + 4 * (pk % 25) + length({_s('ok')}), 'Sym2', concat('Deep', {_s('ok')}) FROM {{v_items}} WHERE ok % 3 = 1""")(
+    lambda t: react.calls(cf.hard_files(t, "react")).select("repo_id", F.col("path").alias("file"), "line", "col", "symbol", F.col("parent_symbol").alias("parent")))

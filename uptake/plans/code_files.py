@@ -47,6 +47,33 @@ FROM (SELECT ok, rn, concat('      <Sym', CAST(pk % 50 AS STRING), ' style={{{{
 GROUP BY ok"""
 
 
+# Files that brackets, comments and literals make hard to read.  ``depth`` calls stand inside each other.
+_HARD = {
+    "compose": """
+SELECT concat('repo', CAST(ok % 4 AS STRING)) AS repo_id, 's1' AS snapshot_id, 'compose' AS language, concat('hard/K', CAST(ok AS STRING), '.kt') AS path,
+ concat('package com.acme.h\n/* a /* b */ Sym1() */\n@Composable\nfun Deep', CAST(ok AS STRING), '(t: String = ', repeat('id(', CAST(ok % 25 AS INT)), '"("', repeat(')', CAST(ok % 25 AS INT)), ') {{\n',
+  listagg(line, '\n') WITHIN GROUP (ORDER BY rn), '\n}}\n\n@Composable\nfun Body', CAST(ok AS STRING), '() = if (ok) Sym2() else\n  Sym3(id({{ x -> "$x" }}))\nval free = Sym4()\n') AS content
+FROM (SELECT ok, rn, concat('    val v = "${{Sym', CAST(pk % 50 AS STRING), '(', repeat('id(', CAST(pk % 25 AS INT)), '"}}"', repeat(')', CAST(pk % 25 AS INT)), ')}}"') AS line FROM {v_items} WHERE ok % 3 = 0) a
+GROUP BY ok""",
+    "swift": """
+SELECT concat('repo', CAST(ok % 4 AS STRING)) AS repo_id, 's1' AS snapshot_id, 'swift' AS language, concat('App/Sources/Hard/V', CAST(ok AS STRING), '.swift') AS path,
+ concat('import SwiftUI\n/* a /* b */ Sym1() */\nstruct Deep', CAST(ok AS STRING), ': View {{\n    let s = #"Sym2("x") \\\\(Sym3())"#\n    var body: some View {{\n',
+  listagg(line, '\n') WITHIN GROUP (ORDER BY rn), '\n    }}\n}}\n\nfunc Banner', CAST(ok AS STRING), '(_ n: Int = ', repeat('id(', CAST(ok % 25 AS INT)), '1', repeat(')', CAST(ok % 25 AS INT)), ') -> some View {{ Sym4() }}\n') AS content
+FROM (SELECT ok, rn, concat('        Text("\\\\(Sym', CAST(pk % 50 AS STRING), '(title: "}} " + ', repeat('id(', CAST(pk % 25 AS INT)), '"x"', repeat(')', CAST(pk % 25 AS INT)), '))")') AS line FROM {v_items} WHERE ok % 3 = 2) a
+GROUP BY ok""",
+    "react": """
+SELECT concat('repo', CAST(ok % 4 AS STRING)) AS repo_id, 's1' AS snapshot_id, 'react' AS language, concat('hard/F', CAST(ok AS STRING), '.tsx') AS path,
+ concat('export function Deep', CAST(ok AS STRING), '({{ a = ', repeat('id(', CAST(ok % 25 AS INT)), '/[{{("]/', repeat(')', CAST(ok % 25 AS INT)), ' }}) {{\n  return (\n    <div>\n',
+  listagg(line, '\n') WITHIN GROUP (ORDER BY rn), '\n    </div>\n  );\n}}\n') AS content
+FROM (SELECT ok, rn, concat('      Don\\'t <Sym', CAST(pk % 50 AS STRING), ' v={{`}}${{f(', repeat('id(', CAST(pk % 25 AS INT)), '<Sym1 />', repeat(')', CAST(pk % 25 AS INT)), ')}}`}} /> it\\'s http://x.y/', CAST(ok AS STRING), ' <Sym2 />') AS line FROM {v_items} WHERE ok % 3 = 1) a
+GROUP BY ok""",
+}
+
+
+def hard_files(t, language: str) -> DataFrame:
+    return spread(t.spark.sql(_HARD[language], v_items=t["v_items"]), t.partitions)
+
+
 def kotlin_files(t) -> DataFrame:
     return spread(t.spark.sql(_KOTLIN, v_items=t["v_items"]), t.partitions)
 
