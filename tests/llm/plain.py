@@ -1,6 +1,8 @@
 """Plain versions of what the operators compute, for small tables."""
 
+import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -50,8 +52,36 @@ def components(docs, percent=85):
     return {d: find(d) for d in docs}
 
 
-def near_keepers(docs):
-    root = components(docs)
+def letter_words(text):
+    """Words of letters as bytes, A-Z as a-z, with blanks around them."""
+    return [b" " + w + b" " for w in re.findall(rb"[a-z\x80-\xff]+", lower(text).encode())]
+
+
+def trigrams(word):
+    return [word[i - 1:i + 2] for i in range(1, len(word) - 1)]
+
+
+def language_keepers(docs, langs, least=-3.5, few=20, kinds=1 << 15, smoothing=0.5):
+    """Documents whose words are, by the language that explains each best, as likely as learned text or nearly so."""
+    models = {}
+    for lang in {x for x in langs.values() if x is not None}:
+        n = Counter(t for d, text in docs.items() if langs[d] == lang for w in letter_words(text) for t in trigrams(w))
+        total = sum(n.values()) + smoothing * kinds
+        rest = smoothing / total
+        mean = sum((c + smoothing) / total * math.log((c + smoothing) / total) for c in n.values()) + (kinds - len(n)) * rest * math.log(rest)
+        models[lang] = (n, total, mean)
+    kept = {}
+    for d, text in docs.items():
+        ws = letter_words(text)
+        if ws and models:
+            over = [max(sum(math.log((n[t] + smoothing) / total) - mean for t in trigrams(w)) for n, total, mean in models.values()) for w in ws]
+            if (sum(over) + few) / sum(len(w) - 2 for w in ws) >= least:
+                kept[d] = text
+    return kept
+
+
+def near_keepers(docs, percent=85):
+    root = components(docs, percent)
     return {d: t for d, t in docs.items() if root[d] == d}
 
 

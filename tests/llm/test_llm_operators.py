@@ -319,11 +319,27 @@ def test_language_edges(spark):
     assert all(by[d]["lang_pred"] == "und" and by[d]["score"] == 0 for d in (1, 2, 3, 10)) and by[4]["lang_pred"] != "und"
     empty = language_id.train(docs(spark, EDGES))
     assert all(r["lang_pred"] == "und" for r in language_id.predict(docs(spark, EDGES), empty).collect())
-    kept = language_id.identified(docs(spark, EDGES), model, 0.0)
+    kept = language_id.identified(docs(spark, EDGES), model, float("-inf"))
     assert kept.columns == docs(spark, EDGES).columns and kept.count() == len(EDGES) - 4
     assert language_id.predict(docs(spark, EDGES).limit(0), model).count() == 0
 
 
+def test_text_of_no_learned_language_goes(spark):
+    """Planted gibberish and other languages go, short clean texts and mixtures of learned languages stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = table.collect()
+    r = random.Random(4)
+    gone = ["zzz qqq xxk wpf jjj kkq", "Это русский текст, которого никто не учил", "日本語のテキストです", "To jest zdanie po polsku, którego nikt nie uczył",
+            *(" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(n)) for n in (5, 50, 500)), "12345 !!", "", None]
+    by = {lang: next(x["text"] for x in known if x["lang"] == lang and len(x["text"]) > 400) for lang in ("en", "fr", "de", "es")}
+    stay = [*by.values(), by["en"][:300] + by["fr"][:300], by["de"][:200] + by["es"][:200], "ok", by["en"][:12], by["es"].upper()]
+    rows = [(100_000 + i, t) for i, t in enumerate([*gone, *stay])]
+    out = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string"), language_id.train(table))
+    assert sorted(x["doc_id"] for x in out.collect()) == [100_000 + len(gone) + i for i in range(len(stay))]
+    assert plain.language_keepers({**{x["doc_id"]: x["text"] for x in known}, **dict(rows)}, {**{x["doc_id"]: x["lang"] for x in known}, **{d: None for d, _ in rows}}).keys() \
+        == {x["doc_id"] for x in known} | {100_000 + len(gone) + i for i in range(len(stay))}
+
+
 # --- toxicity
 
 def toxic_rows():

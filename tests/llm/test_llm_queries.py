@@ -31,13 +31,14 @@ def test_query_equals_sql(spark, con, name):
 
 def test_pipeline_equals_plain_version(spark):
     """Each stage's effect, recomputed from the documents in plain Python."""
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    docs, langs = {r["doc_id"]: r["text"] for r in table}, {r["doc_id"]: r["lang"] for r in table}
     items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
-    from plain import contaminated, exact_keepers, near_keepers, token_ids
+    from plain import contaminated, exact_keepers, language_keepers, near_keepers, token_ids
 
-    kept = {d: t for d, t in docs.items() if any(c.isalpha() for c in t or "")}
+    kept = language_keepers(docs, langs)
     kept = exact_keepers(kept)
-    kept = near_keepers(kept)
+    kept = near_keepers(kept, 80)
     kept = {d: t for d, t in kept.items() if not contaminated(t, items)}
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert {r["doc_id"] for r in rows} == set(kept)

@@ -28,6 +28,8 @@ from . import textbytes as tb
 
 BUCKETS, LANGUAGES = 1 << 15, 512
 SMOOTHING, ROUNDS, REFIT, PENALTY = 0.5, 8, 4, 1.0
+#: Least evidence of learned languages in nats a letter, and what a text is given as a whole for being short.
+EVIDENCE, FEW = -3.5, 20.0
 UNKNOWN = "und"
 
 #: Letters: A-Z as a-z, and every byte beyond ASCII; other bytes are boundaries.
@@ -139,13 +141,26 @@ def mixtures(logs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return share, 1 / spread.sum(axis=1)
 
 
+def evidences(logs: np.ndarray, letters: np.ndarray, first: np.ndarray, share: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Per document, how much less likely a letter is than one of learned text, in nats.
+
+    Each word counts by the language of the document's set that explains it best; ``expected``
+    are the mean log-likelihoods of a letter in each language's own text.  About 0 for text
+    of learned languages, far below for other text, in whatever language it is put.  A text
+    of few letters proves little and is given ``FEW`` nats in all.
+    """
+    doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(logs))))
+    over = np.where(share[doc] > 0, logs - letters[:, None] * expected, -np.inf).max(axis=1)
+    return (np.add.reduceat(over, first) + FEW) / np.add.reduceat(letters, first)
+
+
 def _predicted(model: Model):
-    names, width = model.languages, len(model.languages)
+    names, width, expected = model.languages, len(model.languages), (np.exp(model.logs) * model.logs).sum(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            best, score, sets, shares = [UNKNOWN] * n, np.zeros(n), [[]] * n, [[]] * n
+            best, score, sets, shares, evidence = [UNKNOWN] * n, np.zeros(n), [[]] * n, [[]] * n, np.full(n, -np.inf)
             letters = batch.column("letters").to_pylist()
             for row, end, data, offsets in tb.blocks(batch.column("text")) if width else ():
                 starts, ends, before = tb.words(data, offsets, _IS_LETTER)
@@ -153,8 +168,12 @@ def _predicted(model: Model):
                 if not len(has):
                     continue
                 values = model.logs[_trigrams(data, starts, ends)]
-                values[~_IS_LETTER[data]] = 0
-                found, sure = mixtures(np.add.reduceat(values, starts), before[:-1][has])
+                letter = _IS_LETTER[data]
+                values[~letter] = 0
+                logs, first = np.add.reduceat(values, starts), before[:-1][has]
+                found, sure = mixtures(logs, first)
+                known = evidences(logs, np.add.reduceat(letter.astype(np.int64), starts), first, found, expected)
+                evidence[has + row] = known
                 for k, share, p in zip((has + row).tolist(), found, sure, strict=True):
                     if letters[k]:
                         top = np.argsort(-share, kind="stable")
@@ -164,21 +183,25 @@ def _predicted(model: Model):
             kept = [batch.column(c) for c in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(best, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string())),
-                 pa.array(shares, pa.list_(pa.float64()))],
-                names=[*batch.schema.names[:-2], "lang_pred", "score", "languages", "shares"])
+                 pa.array(shares, pa.list_(pa.float64())), pa.array(evidence)],
+                names=[*batch.schema.names[:-2], "lang_pred", "score", "languages", "shares", "evidence"])
     return run
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: str = "doc_id") -> DataFrame:
-    """``carry`` and, per row, lang_pred, score, languages (largest share first) and their shares."""
+    """``carry`` and, per row, lang_pred, score, languages (largest share first), their shares, and the evidence for them."""
     content = F.col(text).cast("string")
     rows = docs.select(F.col(carry), content.alias("text"), F.coalesce(content.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_predicted(model), f"`{carry}` {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return rows.mapInArrow(_predicted(model), f"`{carry}` {kind}, lang_pred string, score double, languages array<string>, shares array<double>, evidence double")
+
 
+def identified(docs: DataFrame, model: Model, least: float = EVIDENCE, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is evidently of learned languages.
 
-def identified(docs: DataFrame, model: Model, least_share: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose main language has a share of at least ``least_share``."""
+    Null texts, texts without a letter, gibberish and texts of other languages go, however
+    sure the mixture is among the languages it knows; mixtures of learned languages stay.
+    """
     packed = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text"))
-    known = predict(packed, model, "_text", "_doc").filter((F.col("lang_pred") != UNKNOWN) & (F.element_at("shares", 1) >= least_share))
+    known = predict(packed, model, "_text", "_doc").filter((F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= least))
     return known.select("_doc.*")
