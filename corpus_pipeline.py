@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that makes up three tenths of them, go."""
+    """Documents go whose text is not evidently of a language that the corpus has; null and empty ones among them."""
     return language_id.identified(docs, language_id.train(docs))
 
 
@@ -27,8 +27,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
-    return near_dedup.representatives(docs)
+    """One document of each component of near copies (five words, a similarity of 0.8) stays; those without words do."""
+    return near_dedup.representatives(docs, threshold=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
