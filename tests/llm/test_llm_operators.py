@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import plain
 from uptake.llm import components as cc
-from uptake.llm import (exact_dedup, ids, language_id, license_scan, near_dedup, packing, phrase_index, suffix_dedup, surrogates,
+from uptake.llm import (catalog, exact_dedup, ids, language_id, license_scan, near_dedup, packing, phrase_index, suffix_dedup, surrogates,
                         textbytes, toxicity, url_filter)
 from uptake.llm.tokens import encoder
 
@@ -444,7 +445,7 @@ def test_license_scan_edges(spark):
     by = {r["doc_id"]: r for r in got}
     assert (by[20]["n_base"], by[20]["first_word"], by[20]["last_word"], by[20]["base_labels"]) == (2, 4, 10, "apache,mit")
     assert by[20]["labels"] == "apache,mit" and by[20]["n_lines"] == 1
-    assert (by[21]["n_base"], by[21]["base_labels"], by[21]["labels"], by[21]["score"]) == (0, "", "apache", 0.875)
+    assert (by[21]["n_base"], by[21]["base_labels"], by[21]["labels"], by[21]["score"]) == (0, "", "", 0.0)  # names no licence
     assert by[22]["n_base"] == 1 and by[23]["n_base"] == 2 and (by[1]["n_words"], by[1]["score"], by[1]["first_word"]) == (0, 0.0, None)
     assert license_scan.scan(docs(spark, EDGES).limit(0)).count() == 0
 
@@ -464,6 +465,41 @@ def test_license_notices_do_not_depend_on_line_breaks(spark):
     assert found == {(1, "mit", 0), (2, "apache", 2), (2, "mit", 8), (3, "mit", 0), (4, "mit", 0), (6, "mit", 1), (6, "mit", 5)}
 
 
+NOTICES = {
+    "This work is licensed under the GNU General Public License, version 3.": ("gpl", "gpl"),
+    "This work is licensed under the GNU Lesser General Public License, version 3.": ("", "lgpl"),
+    "This work is licensed under the GNU\nAffero General\nPublic License, version 3.": ("", "agpl"),
+    "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU Affero General Public License": ("", "agpl"),
+    "Licensed under CC BY 4.0.": ("cc-by", "cc-by"),
+    "Licensed under CC-BY-NC 4.0.": ("cc-by", "cc-by,cc-by-nc"),
+    "Licensed under CC BY-NC-SA 4.0.": ("cc-by", "cc-by,cc-by-nc-sa"),
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": ("", "cc-by-nc"),
+    "Released under the Apache License.": ("apache", "apache"),
+    "Licensed under the version 2.0 license, by Apache": ("", "apache"),
+    "Licensed under the\nApache software version 2.0": ("", "apache"),
+    "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software": ("", ""),
+    "licensed under by 4 0 cc nc": ("", "cc-by,cc-by-nc"),  # the words before nc are a run of their own
+    "licensed under nc cc 4 by 0": ("", "cc-by-nc"),
+    "licensed under cc 4 by 0 or the nc": ("", "cc-by,cc-by-nc"),
+}
+
+
+def test_license_notices_get_the_labels_of_their_own_family(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(NOTICES)] + [(100, "a"), (100, "Released under the MIT License"), (100, None), (None, "Licensed under CC BY-SA 4.0")]
+    got = license_scan.scan(docs(spark, rows)).drop("n_lines")
+    by = {r["doc_id"]: (r["base_labels"], r["labels"]) for r in got.filter("doc_id < 100").collect()}
+    assert by == dict(enumerate(NOTICES.values()))
+    assert sorted(r["labels"] for r in got.filter("doc_id = 100").collect()) == ["", "", "mit"]
+    # the SQL reads runs of words too
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["op10_license_scan"])
+    names = [c[0] for c in want.description]
+    assert names == got.columns
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_url_edges(spark):
     urls = ["http://A.Example.ORG/es/x?q", "https://example.org/en/17", "https://example.org/en", "ftp://x.com/fr/1#a", "http://y.com/de/", "http://com/de/2",
             "http://xcom/de/2", None, "no scheme", "http://", "http://b.net/a/b/c/d/e", "http://z.org", "HTTP://u.net?x://y.com/fr/"]

@@ -187,58 +187,71 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LICENSE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), phrase(words, label) AS (VALUES
   (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')
 ), place AS (
-  SELECT doc_id, label, i - 1 AS i
-  FROM (SELECT doc_id, w, label, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, phrase)
+  SELECT rid, label, i - 1 AS i
+  FROM (SELECT rid, w, label, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, phrase)
   WHERE w[i:i + len(words) - 1] = words
 ), base AS (
-  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY 1
-), template(template, label, body) AS (VALUES
-  (0, 'apache', 'licensed under the apache license version 2 0'),
-  (1, 'apache', 'you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses'),
-  (2, 'mit', 'released under the mit license'),
-  (3, 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
-  (4, 'gpl', 'this work is licensed under the gnu general public license version 3'),
-  (5, 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
-  (6, 'lgpl', 'licensed under the gnu lesser general public license version 3'),
-  (7, 'agpl', 'licensed under the gnu affero general public license version 3'),
-  (8, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
-  (9, 'mpl', 'this source code form is subject to the terms of the mozilla public license v 2 0'),
-  (10, 'cc-by', 'licensed under cc by 4 0'),
-  (11, 'cc-by-nc', 'licensed under cc by nc 4 0'),
-  (12, 'cc-by-sa', 'licensed under cc by sa 4 0'),
-  (13, 'cc-by', 'this work is licensed under a creative commons attribution 4 0 international license'),
-  (14, 'cc0', 'to the extent possible under law the author has waived all copyright and related rights to this work'),
-  (15, 'unlicense', 'this is free and unencumbered software released into the public domain')
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY 1
+), template(template, label, marks, body) AS (VALUES
+  (0, 'apache', 'apache', 'licensed under the apache license version 2 0'),
+  (1, 'apache', 'apache', 'you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses'),
+  (2, 'mit', 'mit', 'released under the mit license'),
+  (3, 'mit', 'permission granted', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
+  (4, 'gpl', 'gnu general public', 'this work is licensed under the gnu general public license version 3'),
+  (5, 'gpl', 'gnu general public', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+  (6, 'lgpl', 'gnu lesser general public', 'licensed under the gnu lesser general public license version 3'),
+  (7, 'lgpl', 'gnu lesser general public', 'this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license'),
+  (8, 'agpl', 'gnu affero general public', 'licensed under the gnu affero general public license version 3'),
+  (9, 'agpl', 'gnu affero general public', 'this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license'),
+  (10, 'bsd', 'redistribution source binary', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (11, 'mpl', 'mozilla', 'this source code form is subject to the terms of the mozilla public license v 2 0'),
+  (12, 'cc-by', 'cc by', 'licensed under cc by 4 0'),
+  (13, 'cc-by-nc', 'cc by nc', 'licensed under cc by nc 4 0'),
+  (14, 'cc-by-sa', 'cc by sa', 'licensed under cc by sa 4 0'),
+  (15, 'cc-by-nc-sa', 'cc by nc sa', 'licensed under cc by nc sa 4 0'),
+  (16, 'cc-by', 'creative commons attribution', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  (17, 'cc-by-nc', 'creative commons attribution noncommercial', 'this work is licensed under a creative commons attribution noncommercial 4 0 international license'),
+  (18, 'cc-by-sa', 'creative commons attribution sharealike', 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
+  (19, 'cc-by-nc-sa', 'creative commons attribution noncommercial sharealike', 'this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license'),
+  (20, 'cc0', 'waived copyright', 'to the extent possible under law the author has waived all copyright and related rights to this work'),
+  (21, 'unlicense', 'unencumbered', 'this is free and unencumbered software released into the public domain')
+), shape AS (
+  SELECT template, label, string_split(marks, ' ') AS marks, string_split(body, ' ') AS body, list_distinct(string_split(body, ' ')) AS words FROM template
+), rival AS (
+  SELECT t.template, list(DISTINCT m) AS rivals
+  FROM shape t, (SELECT marks, unnest(marks) AS m FROM shape) u
+  WHERE list_has_all(u.marks, t.marks) AND len(u.marks) > len(t.marks) AND NOT list_contains(t.words, m) GROUP BY 1
 ), sets AS (
-  SELECT template, label, list_distinct(string_split(body, ' ')) AS words FROM template
-), lines AS (
-  SELECT doc_id, line, list_distinct(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
-  FROM (SELECT doc_id, unnest(parts) AS content, unnest(range(len(parts))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d))
+  SELECT template, label, marks, words, coalesce(rivals, []) AS rivals, CAST(ceil(len(words) * 0.8 - 1e-9) AS BIGINT) AS need, CAST(ceil(len(body) / 0.8 - 1e-9) AS BIGINT) AS run
+  FROM shape LEFT JOIN rival USING (template)
+), start AS (
+  SELECT rid, w, s.*, unnest([i for i in range(1, len(w) + 1) if list_contains(words, w[i])]) AS i FROM d, sets s WHERE list_has_all(w, marks)
+), run AS (
+  SELECT *, w[i:coalesce(list_min([k for k in range(i, i + run) if list_contains(rivals, w[k])]), i + run) - 1] AS held FROM start
 ), found AS (
-  SELECT doc_id, line, label, len(list_intersect(l.words, s.words)) / len(s.words) AS containment
-  FROM lines l, sets s WHERE len(list_intersect(l.words, s.words)) >= ceil(len(s.words) * 0.8 - 1e-9)
+  SELECT rid, template, label, len(list_intersect(list_distinct(held), words)) / len(words) AS containment
+  FROM run WHERE list_has_all(held, marks) AND len(list_intersect(list_distinct(held), words)) >= need
 ), per AS (
-  SELECT doc_id, max(containment) AS best, count(DISTINCT line) AS n_lines FROM found GROUP BY 1
+  SELECT rid, max(containment) AS best, count(DISTINCT template) AS n_templates FROM found GROUP BY 1
 ), l0 AS (
-  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM place) GROUP BY 1
+  SELECT rid, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT rid, label FROM place) GROUP BY 1
 ), l1 AS (
-  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
-  FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM found) GROUP BY 1
+  SELECT rid, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label FROM place UNION SELECT rid, label FROM found) GROUP BY 1
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score, coalesce(n_lines, 0) AS n_lines
-FROM d LEFT JOIN base USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN l0 USING (doc_id) LEFT JOIN l1 USING (doc_id)"""
+       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score, coalesce(n_templates, 0) AS n_templates
+FROM d LEFT JOIN base USING (rid) LEFT JOIN per USING (rid) LEFT JOIN l0 USING (rid) LEFT JOIN l1 USING (rid)"""
 
 
 @query("op10_license_scan", _LICENSE_SQL)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
 @query("op11_mixture_packing")
