@@ -1,9 +1,10 @@
-"""Run status from diagnostics."""
+"""Gaps of source files, and run status from diagnostics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lexing import place
 from ..schemas import KEYS
 
 # Diagnostic codes that mean some source was not covered.
@@ -28,3 +29,15 @@ def scan_status(runs: DataFrame, diagnostics: DataFrame, by=KEYS) -> DataFrame:
         partial = partial | (F.col("language") == "basic")
     return runs.join(gaps, list(by), "left").withColumn(
         "status", F.when(partial, "partial").otherwise("complete")).drop("_gap")
+
+
+def parse_gaps(files: DataFrame) -> DataFrame:
+    """One ``parse_failed`` per lexed file that has brackets, elements, comments or literals without an end.
+
+    It stands at the first of them.  What the rest of the file yields is kept.
+    """
+    first = F.get("gaps", F.lit(0))
+    return files.filter(F.size("gaps") > 0).select(
+        *KEYS, F.col("path").alias("file"), F.lit("error").alias("severity"), F.lit(PARSE_FAILED).alias("code"),
+        F.concat(F.lit("source cannot be read ("), first["what"], F.lit("); file scanned with gaps")).alias("message"),
+        F.inline(F.array(place(F.col("ends"), first["at"]))))

@@ -13,6 +13,7 @@ from ...operators.extract import kotlin, react, swift
 from ...operators.extract.kotlin import lookup
 from .. import code_files as cf, scan
 from . import query
+from .metrics import PARENT_SQL, RATIO_SQL, RAW_SQL
 
 REPO = "concat('repo', CAST(ok % 4 AS VARCHAR))"
 KT = "concat('app/src/m', CAST(ok % 7 AS VARCHAR), '/F', CAST(ok AS VARCHAR), '.kt')"
@@ -83,16 +84,18 @@ def _classified(extract, files):
     return run
 
 
-query("j10_classify_compose", f"""
+KT_USAGE = f"""
 WITH c AS ({KT_CALLS}), d AS ({KT_DEFS}),
 p AS (SELECT c.*, concat('com.acme.m', {_s('ok % 7')}) AS package, CASE WHEN symbol = concat('Sym', {_s('ok % 50')}) THEN 'com.acme.ds' WHEN ok % 2 = 0 THEN 'com.acme.wild' END AS import_package,
   CASE WHEN symbol LIKE 'Sym%' AND CAST(substr(symbol, 4) AS INT) < 30 THEN symbol END AS target, CASE WHEN symbol LIKE 'Sym%' AND CAST(substr(symbol, 4) AS INT) < 20 THEN 'com.acme.ds' END AS target_package FROM c),
 l AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.repo_id = p.repo_id AND d.id = concat('local.compose:', p.package, '.', p.symbol)) THEN concat('local.compose:', p.package, '.', p.symbol) END AS local_definition_id FROM p),
 m AS (SELECT *, CASE WHEN local_definition_id IS NOT NULL THEN 'local' WHEN target IS NULL THEN 'unresolved' WHEN target_package IS NULL THEN 'resolved' WHEN import_package IS NULL THEN 'candidate'
   WHEN import_package = target_package THEN 'resolved' ELSE 'unresolved' END AS match_status FROM l)
-SELECT repo_id, concat('usage.compose:', file, ':', {_s('line')}, ':', {_s('col')}, ':', symbol) AS id,
+SELECT repo_id, parent_id, concat('usage.compose:', file, ':', {_s('line')}, ':', {_s('col')}, ':', symbol) AS id,
  CASE WHEN match_status = 'local' THEN concat(package, '.', symbol) WHEN import_package IS NOT NULL THEN concat(import_package, '.', symbol) END AS qualified_symbol,
- match_status, CASE WHEN match_status IN ('resolved', 'candidate') THEN target END AS registry_symbol, local_definition_id FROM m""")(
+ match_status, CASE WHEN match_status IN ('resolved', 'candidate') THEN target END AS registry_symbol, local_definition_id FROM m"""
+
+query("j10_classify_compose", f"SELECT repo_id, id, qualified_symbol, match_status, registry_symbol, local_definition_id FROM ({KT_USAGE}) u")(
     _classified(scan.scan_compose, cf.kotlin_files))
 
 # --- Swift ---------------------------------------------------------------------
@@ -123,17 +126,19 @@ query("x06_swift_tokens", f"""
 SELECT {SW} AS file, 6 + rn AS line, CAST(9 + CASE WHEN pk % 4 = 0 THEN 3 ELSE 0 END + length({SYM}) + 25 AS BIGINT) AS col, concat('Theme.t', {_s('pk % 60')}, '.main') AS key, concat('tok.', {_s('pk % 60')}) AS token_id
 FROM {{v_items}} WHERE ok % 3 = 2 AND pk % 60 < 40""")(_tokens(swift, cf.swift_files))
 
-query("j11_classify_swift", f"""
+SW_USAGE = f"""
 WITH c AS ({SW_CALLS}), d AS ({SW_DEFS}),
 p AS (SELECT c.*, concat('Mod', {_s('ok % 7')}) AS module, coalesce(qualifier, CASE WHEN ok % 2 = 1 THEN CASE WHEN symbol = concat('Sym', {_s('ok % 50')}) THEN 'Kit' ELSE 'SwiftUI' END END) AS import_package,
   CASE WHEN symbol LIKE 'Sym%' AND CAST(substr(symbol, 4) AS INT) < 30 THEN symbol END AS target, CASE WHEN symbol LIKE 'Sym%' AND CAST(substr(symbol, 4) AS INT) < 20 THEN 'DesignSystem' END AS target_package FROM c),
 l AS (SELECT p.*, CASE WHEN qualifier IS NULL AND EXISTS (SELECT 1 FROM d WHERE d.repo_id = p.repo_id AND d.id = concat('local.swift:', p.module, '#', p.symbol)) THEN concat('local.swift:', p.module, '#', p.symbol) END AS local_definition_id FROM p),
 m AS (SELECT *, CASE WHEN local_definition_id IS NOT NULL THEN 'local' WHEN target IS NULL THEN 'unresolved' WHEN target_package IS NULL THEN 'resolved' WHEN import_package IS NULL THEN 'candidate'
   WHEN import_package = target_package THEN 'resolved' ELSE 'unresolved' END AS match_status FROM l)
-SELECT repo_id, concat('usage.swift:', file, ':', {_s('line')}, ':', {_s('col')}, ':', symbol) AS id,
+SELECT repo_id, parent_id, concat('usage.swift:', file, ':', {_s('line')}, ':', {_s('col')}, ':', symbol) AS id,
  CASE WHEN match_status = 'local' THEN concat(module, '.', symbol) WHEN import_package IS NOT NULL THEN concat(import_package, '.', symbol) END AS qualified_symbol,
  match_status, CASE WHEN match_status IN ('resolved', 'candidate') THEN target END AS registry_symbol, local_definition_id FROM m
-WHERE local_definition_id IS NOT NULL OR target IS NOT NULL OR import_package IS NULL OR import_package = 'SwiftUI'""")(
+WHERE local_definition_id IS NOT NULL OR target IS NOT NULL OR import_package IS NULL OR import_package = 'SwiftUI'"""
+
+query("j11_classify_swift", f"SELECT repo_id, id, qualified_symbol, match_status, registry_symbol, local_definition_id FROM ({SW_USAGE}) u")(
     _classified(scan.scan_swift, cf.swift_files))
 
 # --- React ---------------------------------------------------------------------
@@ -167,8 +172,9 @@ query("x20_react_definitions", f"SELECT *, concat('react:component:', regexp_rep
     lambda t: react.definitions(cf.react_files(t)).select("repo_id", "file", "symbol", "line", "col", "id"))
 query("x28_shadowed_names", f"""
 SELECT {REPO} AS repo_id, {TS} AS file, 6 + rn AS line, concat('Sym', {_s('pk % 50')}) AS symbol FROM {{v_items}} WHERE ok % 3 = 1 AND pk % 50 NOT IN (7, 9)
-UNION ALL SELECT {REPO}, {TS}, n + 11, concat('Panel', {_s('ok % 5')}) FROM {ORDERS} o WHERE ok % 3 = 1""")(
-    lambda t: react.calls(cf.react_files(t).filter("path NOT LIKE 'src/lib/%'").withColumn(
+UNION ALL SELECT {REPO}, {TS}, n + 11, concat('Panel', {_s('ok % 5')}) FROM {ORDERS} o WHERE ok % 3 = 1
+UNION ALL SELECT repo_id, concat('src/lib/impl/p', {_s('k')}, '.tsx'), 2, 'Sym0' FROM {PANELS} p""")(
+    lambda t: react.calls(cf.react_files(t).withColumn(
         "content", F.regexp_replace("content", r"\(\) \{\n  return", "({ as: Sym7 }) {  const Sym9 = null;\n  return"))).select(
         "repo_id", F.col("path").alias("file"), "line", "symbol"))
 query("x21_react_styles", f"""
@@ -180,13 +186,15 @@ SELECT {TS} AS file, 6 + rn AS line, concat('theme.t', {_s('pk % 60')}, '.main')
  CAST(7 + 1 + length(concat('Sym', {_s('pk % 50')})) + 21 + length({_s('q')}) + 23 AS BIGINT) AS col FROM {{v_items}} WHERE ok % 3 = 1 AND pk % 60 < 40""")(
     _tokens(react, cf.react_files))
 
-query("j09_classify_react", f"""
+TS_USAGE = f"""
 WITH c AS ({TS_CALLS}), k AS (SELECT *, CASE WHEN symbol LIKE 'Sym%' THEN CAST(substr(symbol, 4) AS INT) END AS s, coalesce(symbol = concat('Sym', {_s('ok % 50')}), false) AS imported FROM c)
-SELECT repo_id, concat('usage.', file, ':', {_s('line')}, ':', {_s('col')}, ':', symbol) AS id,
+SELECT repo_id, parent_id, concat('usage.', file, ':', {_s('line')}, ':', {_s('col')}, ':', symbol) AS id,
  CASE WHEN s IS NULL THEN concat('src/lib/impl/p', substr(symbol, 6), '#', symbol) END AS qualified_symbol,
  CASE WHEN s IS NULL THEN 'local' WHEN s >= 20 OR imported THEN 'resolved' ELSE 'candidate' END AS match_status, CASE WHEN s IS NOT NULL THEN symbol END AS registry_symbol,
  CASE WHEN s IS NULL THEN concat('react:component:src/lib/impl/p', substr(symbol, 6), '#', symbol) END AS local_definition_id
-FROM k WHERE s IS NULL OR s < 30""")(_classified(scan.scan_react, cf.react_files))
+FROM k WHERE s IS NULL OR s < 30"""
+
+query("j09_classify_react", f"SELECT repo_id, id, qualified_symbol, match_status, registry_symbol, local_definition_id FROM ({TS_USAGE}) u")(_classified(scan.scan_react, cf.react_files))
 
 CONFIG = rs.ModuleConfig(packages={"@acme/ds": {".": "src/lib/p0.ts", "missing": "src/none.ts"}}, aliases={"@lib/*": ["src/lib/*"]})
 
@@ -329,9 +337,11 @@ def _package_jsons(t):
 
 
 _PACKAGE = "CASE WHEN ok % 7 IN (0, 3, 6) THEN concat('@acme/m', CAST(ok % 7 AS VARCHAR)) ELSE 'root' END"
-query("x24_npm_package_for_file", f"SELECT {REPO} AS repo_id, {TS} AS path, {_PACKAGE} AS package FROM {ORDERS} o WHERE ok % 3 = 1")(
-    lambda t: rs.npm_package_for_file(
-        cf.react_files(t).filter("path NOT LIKE 'src/lib/%'").select("repo_id", "snapshot_id", "path"), _package_jsons(t)).select("repo_id", "path", "package"))
+query("x24_npm_package_for_file", f"""
+SELECT {REPO} AS repo_id, {TS} AS path, {_PACKAGE} AS package FROM {ORDERS} o WHERE ok % 3 = 1
+UNION ALL SELECT repo_id, concat('src/lib/p', {_s('k')}, '.ts'), 'root' FROM {PANELS} p
+UNION ALL SELECT repo_id, concat('src/lib/impl/p', {_s('k')}, '.tsx'), 'root' FROM {PANELS} p""")(
+    lambda t: rs.npm_package_for_file(cf.react_files(t).select("repo_id", "snapshot_id", "path"), _package_jsons(t)).select("repo_id", "path", "package"))
 
 
 def _react_packages(t):
@@ -366,3 +376,34 @@ SELECT {REPO} AS repo_id, concat('hard/F', {_s('ok')}, '.tsx') AS file, 3 + rn A
 UNION ALL SELECT {REPO}, concat('hard/F', {_s('ok')}, '.tsx'), 3 + rn, 27 + length({_s('pk % 50')}) + 3 * (pk % 25), 'Sym1', concat('Deep', {_s('ok')}) FROM {{v_items}} WHERE ok % 3 = 1
 UNION ALL SELECT {REPO}, concat('hard/F', {_s('ok')}, '.tsx'), 3 + rn, 60 + length({_s('pk % 50')}) + 4 * (pk % 25) + length({_s('ok')}), 'Sym2', concat('Deep', {_s('ok')}) FROM {{v_items}} WHERE ok % 3 = 1""")(
     lambda t: react.calls(cf.hard_files(t, "react")).select("repo_id", F.col("path").alias("file"), "line", "col", "symbol", F.col("parent_symbol").alias("parent")))
+
+# --- files of all languages to gaps, runs and adoption -------------------------------
+
+
+def _scanned(t):
+    files = cf.all_files(t)
+    return scan.scan(files, *cf.registry_of(files))
+
+
+query("x27_parse_gaps", f"""
+SELECT {REPO} AS repo_id, language, file, line, col, 'error' AS severity, 'parse_failed' AS code, concat('source cannot be read (', what, '); file scanned with gaps') AS message FROM (
+ SELECT ok, 'compose' AS language, {KT} AS file, n + 17 AS line, 1 AS col, 'unmatched }}}}' AS what FROM {ORDERS} o WHERE ok % 3 = 0
+ UNION ALL SELECT ok, 'swift', {SW}, n + 17, 14, 'open literal' FROM {ORDERS} o WHERE ok % 3 = 2
+ UNION ALL SELECT ok, 'react', {TS}, n + 12, 20, 'open bracket' FROM {ORDERS} o WHERE ok % 3 = 1) g WHERE ok % 4 = 1 AND ok % 7 = 3""")(
+    lambda t: _scanned(t)["diagnostics"].filter("code = 'parse_failed'").select("repo_id", "language", "file", "line", "col", "severity", "code", "message"))
+
+_FILES = f"""
+SELECT {REPO} AS repo_id, CASE ok % 3 WHEN 0 THEN 'compose' WHEN 1 THEN 'react' ELSE 'swift' END AS language, ok % 4 = 1 AND ok % 7 = 3 AS broken FROM {ORDERS} o
+UNION ALL SELECT repo_id, 'react', false FROM {PANELS} p UNION ALL SELECT repo_id, 'react', false FROM {PANELS} p"""
+_ALL_USAGE = " UNION ALL ".join(
+    f"SELECT repo_id, '{k}' AS language, match_status, local_definition_id, parent_id FROM ({u}) {k}"
+    for k, u in (("compose", KT_USAGE), ("react", TS_USAGE), ("swift", SW_USAGE)))
+_ALL_DEFS = f"""
+SELECT repo_id, 'compose' AS language FROM ({KT_DEFS}) k UNION ALL SELECT repo_id, 'swift' FROM ({SW_DEFS}) s UNION ALL SELECT repo_id, 'react' FROM ({TS_DEFS}) r"""
+query("a02_files_to_adoption", f"""
+WITH f AS (SELECT repo_id, language, count(*) AS files_scanned, CASE WHEN bool_or(broken) THEN 'partial' ELSE 'complete' END AS status FROM ({_FILES}) f GROUP BY 1, 2),
+u AS (SELECT repo_id, language, {RAW_SQL}, count(DISTINCT CASE WHEN match_status = 'local' THEN local_definition_id END) AS invoked_local_definition_count, {PARENT_SQL} FROM ({_ALL_USAGE}) u GROUP BY 1, 2),
+d AS (SELECT repo_id, language, count(*) AS local_definition_count FROM ({_ALL_DEFS}) d GROUP BY 1, 2),
+j AS (SELECT *, raw_resolved + raw_local + raw_unresolved AS eligible_invocation_count, raw_resolved AS adopted_invocation_count, raw_local + raw_unresolved AS non_adopted_invocation_count,
+ greatest(0, local_definition_count - invoked_local_definition_count) AS unused_local_definition_count FROM f JOIN u USING (repo_id, language) JOIN d USING (repo_id, language))
+SELECT 's1' AS snapshot_id, *, {RATIO_SQL} FROM j""")(lambda t: scan.measure(_scanned(t)))

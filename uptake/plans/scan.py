@@ -1,4 +1,4 @@
-"""From source files to finished fact tables, per language.
+"""From source files to finished fact tables, and on to adoption per run.
 
 The texts are parsed once per language and the parse is materialised; every
 fact table is then an explode of it, followed by the joins that resolve names.
@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import resolve as rs
+from ..operators import diagnostics as dg, metrics as m, resolve as rs
 from ..operators.extract import kotlin, react, swift
+from ..schemas import KEYS
 from .stages import materialize
 
 
@@ -23,6 +24,7 @@ def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) ->
         "usage_sites": rs.classify_compose(kotlin.calls(files), materialize(kotlin.imports(files)), found, aliases),
         "token_sites": kotlin.token_sites(files, token_keys),
         "hardcoded_style_sites": kotlin.style_sites(files),
+        "diagnostics": dg.parse_gaps(files),
     }
 
 
@@ -34,6 +36,7 @@ def scan_swift(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> d
         "usage_sites": rs.classify_swift(swift.calls(files), materialize(swift.imports(files)), found, aliases),
         "token_sites": swift.token_sites(files, token_keys),
         "hardcoded_style_sites": swift.style_sites(files),
+        "diagnostics": dg.parse_gaps(files),
     }
 
 
@@ -61,7 +64,7 @@ def scan_react(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
             materialize(react.calls(files)), imports, exports, found, react.declared(files), aliases, config),
         "token_sites": react.token_sites(files, token_keys),
         "hardcoded_style_sites": react.style_sites(files),
-        "diagnostics": rs.import_diagnostics(imports, exports, aliases, config),
+        "diagnostics": dg.parse_gaps(files).unionByName(rs.import_diagnostics(imports, exports, aliases, config), allowMissingColumns=True),
     }
 
 
@@ -71,7 +74,7 @@ EXTRACTORS = {"compose": scan_compose, "react": scan_react, "swift": scan_swift}
 
 def scan(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
          config: rs.ModuleConfig | None = None) -> dict[str, DataFrame]:
-    """All languages of a file table, as one set of fact tables.
+    """All languages of a file table, as one set of fact tables with one row per run in ``scan_runs``.
 
     Every table and column that some language has is there; a column that a
     language lacks is null in its rows.
@@ -81,4 +84,15 @@ def scan(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
         settings = {"config": config} if language == react.LANGUAGE else {}
         for name, rows in extract(files, aliases, token_keys, **settings).items():
             out[name] = out[name].unionByName(rows, allowMissingColumns=True) if name in out else rows
+    scanned = files.filter(F.col("language").isin(*EXTRACTORS)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("files_scanned"))
+    out["scan_runs"] = dg.scan_status(scanned, out["diagnostics"])
     return out
+
+
+def measure(facts: dict[str, DataFrame]) -> DataFrame:
+    """A01, A02, A04, A06 and A07 of every run in the tables of :func:`scan`; a run without calls has zeros and no ratios."""
+    usage = materialize(facts["usage_sites"])
+    runs = facts["scan_runs"]
+    for counts in (m.adoption(m.raw_invocations(usage)), m.definition_counts(usage, facts["local_components"]), m.parent_scope_counts(usage)):
+        runs = runs.join(counts, KEYS, "left")
+    return m.with_ratios(runs.fillna(0))
