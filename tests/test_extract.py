@@ -238,3 +238,21 @@ def test_any_number_of_blanks_behind_a_keyword(spark):
     assert [r.symbol for r in kotlin.calls(files).collect()] == ["Btn"]
     files = table(spark, "swift", {"A.swift": "struct S: View {\n  var body: some View {\n    let y = x as      Bar {\n    }\n    Btn()\n  }\n}\n"})
     assert [r.symbol for r in swift.calls(files).collect()] == ["Btn"]
+
+
+def test_sources_with_gaps_are_reported_and_still_read(spark):
+    rows = [("compose", "app/A.kt", "package a\n@Composable\nfun Screen() {\n    Btn(onClick = {})\n}\nfun Broken(\n"),
+            ("compose", "app/B.kt", "package a\n@Composable\nfun Fine() { Btn() }\n"),
+            ("swift", "app/V.swift", 'import SwiftUI\nstruct S: View { var body: some View { Btn() } }\nlet a = "x\n'),
+            ("react", "src/F.tsx", "export function F() {\n  return <Btn />;\n}\n/* open\n"),
+            ("react", "src/Empty.tsx", ""), ("react", "src/None.tsx", None)]
+    files = spark.createDataFrame([("r", "s", *r) for r in rows], "repo_id string, snapshot_id string, language string, path string, content string")
+    none = spark.createDataFrame([], "repo_id string, language string, call_symbol string, registry_symbol string, registry_package string")
+    keys = spark.createDataFrame([], "repo_id string, language string, match_key string, token_id string, category string")
+    facts = scan.scan(files, none, keys)
+    gaps = {(r["file"], r["line"], r["col"], r["message"].split("(")[1].split(")")[0]) for r in facts["diagnostics"].filter("code = 'parse_failed'").collect()}
+    assert gaps == {("app/A.kt", 6, 11, "open bracket"), ("app/V.swift", 3, 9, "open literal"), ("src/F.tsx", 4, 1, "open comment")}
+    runs = {r["language"]: (r["files_scanned"], r["status"], r["raw_total"], r["local_definition_count"]) for r in scan.measure(facts).collect()}
+    assert runs == {"compose": (2, "partial", 2, 2), "swift": (1, "partial", 1, 1), "react": (3, "partial", 0, 1)}
+    empty = scan.measure(scan.scan(files.limit(0), none, keys))
+    assert empty.count() == 0

@@ -261,22 +261,50 @@ FROM ({_CALLS}) c WHERE CAST(substr(symbol, 4) AS INT) < 30""")(
     lambda t: _alias_calls(t).filter("target IS NOT NULL").select(
         "repo_id", "id", "symbol", rs.import_match(F.col("target_package"), F.col("import_package")).alias("import_match")))
 
-_PROPS = [*react.STYLE_PROPS, "zIndex", "display"]
-
-
-def _prop_sql(field: int) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v[field]}'" for k, v in react.STYLE_PROPS.items())
-    return f"CASE prop {cases} END"
-
-
-_PROP_LIST = ", ".join(f"'{p}'" for p in _PROPS)
-query("j02_style_props", f"""
-SELECT id, prop, {_prop_sql(0)} AS category, {_prop_sql(1)} AS context FROM (
- SELECT concat(CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR), ':', CAST(l_suppkey AS VARCHAR)) AS id, [{_PROP_LIST}][CAST(l_partkey % {len(_PROPS)} + 1 AS INT)] AS prop FROM {{lineitem}}) p""")(
-    lambda t: t["lineitem"].select(
-        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
-        F.element_at(F.array(*[F.lit(p) for p in _PROPS]), (F.col("l_partkey") % len(_PROPS) + 1).cast("int")).alias("prop"))
-    .withColumns({"category": lookup(react.STYLE_PROPS, F.col("prop"), 0), "context": lookup(react.STYLE_PROPS, F.col("prop"), 1)}))
+# What each language takes for a style, spelled out once more for the checking SQL: names, category, context.
+_STYLES = {
+    "j02_style_props": (react.STYLE_PROPS, (
+        ("color backgroundColor borderColor", "color", "color"),
+        ("padding paddingTop paddingRight paddingBottom paddingLeft paddingInline paddingBlock paddingInlineStart paddingInlineEnd paddingBlockStart paddingBlockEnd", "spacing", "padding"),
+        ("margin marginTop marginRight marginBottom marginLeft marginInline marginBlock marginInlineStart marginInlineEnd marginBlockStart marginBlockEnd", "spacing", "margin"),
+        ("gap rowGap columnGap", "spacing", "gap"), ("width", "spacing", "width"), ("height", "spacing", "height"),
+        ("fontSize fontWeight lineHeight", "typography", "typography"), ("borderRadius", "radius", "radius"), ("boxShadow shadow", "elevation", "elevation"))),
+    "j02_compose_style_calls": (kotlin.STYLE_CALLS, (
+        ("Color background", "color", "color"), ("padding", "spacing", "padding"), ("size", "spacing", "size"), ("width", "spacing", "width"),
+        ("height", "spacing", "height"), ("spacedBy", "spacing", "gap"), ("fontSize TextStyle", "typography", "typography"),
+        ("clip cornerRadius RoundedCornerShape", "radius", "radius"), ("shadow elevation", "elevation", "elevation"))),
+    "j02_swift_style_calls": (swift.STYLE_CALLS, (
+        ("foregroundStyle foregroundColor background", "color", "color"), ("padding", "spacing", "padding"), ("frame", "spacing", "size"),
+        ("spacing", "spacing", "gap"), ("font fontWeight", "typography", "typography"), ("cornerRadius clipShape", "radius", "radius"),
+        ("shadow", "elevation", "elevation"))),
+    "j02_swift_style_labels": (swift.STYLE_LABELS, (
+        ("spacing", "spacing", "gap"), ("width", "spacing", "width"), ("height", "spacing", "height"),
+        ("padding leading trailing top bottom horizontal vertical", "spacing", "padding"), ("size weight pointSize", "typography", "typography"),
+        ("cornerRadius radius", "radius", "radius"), ("blur", "elevation", "elevation"))),
+}
+#: Names that are no style in any language.
+_NO_STYLE = ["zIndex", "display", "onClick", "Text", "maxLines"]
+
+
+def _style_query(name, table, spelled):
+    names = sorted({n for ns, *_ in spelled for n in ns.split()} | set(_NO_STYLE))
+    quoted = ", ".join(f"'{n}'" for n in names)
+
+    def cases(field: int) -> str:
+        whens = " ".join(f"WHEN prop IN ({', '.join(repr(n) for n in row[0].split())}) THEN '{row[field]}'" for row in spelled)
+        return f"CASE {whens} END"
+
+    query(name, f"""
+SELECT id, prop, {cases(1)} AS category, {cases(2)} AS context FROM (
+ SELECT concat(CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR), ':', CAST(l_suppkey AS VARCHAR)) AS id, [{quoted}][CAST(l_partkey % {len(names)} + 1 AS INT)] AS prop FROM {{lineitem}}) p""")(
+        lambda t: t["lineitem"].select(
+            F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
+            F.element_at(F.array(*[F.lit(p) for p in names]), (F.col("l_partkey") % len(names) + 1).cast("int")).alias("prop"))
+        .withColumns({"category": lookup(table, F.col("prop"), 0), "context": lookup(table, F.col("prop"), 1)}))
+
+
+for _name, (_table, _spelled) in _STYLES.items():
+    _style_query(_name, _table, _spelled)
 
 _LOCALS = f"""
 SELECT 'repo0' AS repo_id, 's1' AS snapshot_id, 'compose' AS language, concat('f', CAST(l_orderkey % 97 AS VARCHAR), '.kt') AS file, concat('Sym', CAST(l_partkey % 50 AS VARCHAR)) AS symbol,
