@@ -153,3 +153,32 @@ def test_intervals_against_brute_force(spark, wide):
     spans = {(f, s, e) for f, _, s, e in scopes}
     assert kept == {
         (f, s, e) for f, s, e in spans if not any(g == f and a <= s and e <= b and (a, b) != (s, e) for g, a, b in spans)}
+
+
+def test_prefix_pattern_takes_the_longest_key(spark):
+    keys = ["a", "ab", "abc", "b.c", "b.cd", "é", "é*", "$x", "x" * 150] + ["y" * n for n in range(1, 120)]
+    texts = ["abcab.cd a é*é$x", "x" * 151 + "y" * 125, "b.b.c", "", "nothing else", "😀abé"]
+
+    def plain(text):
+        at, out = 0, []
+        while at < len(text):
+            hit = max((k for k in keys if text.startswith(k, at)), key=len, default="")
+            if hit:
+                out.append((len(text[:at].encode()), hit))
+            at += len(hit) or 1
+        return out
+
+    pattern = ts.prefix_pattern(sorted(keys))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.find_all(F.col("t"), pattern).alias("h")).collect()
+    assert {r.t: [(h.start, h.text) for h in r.h] for r in got} == {t: plain(t) for t in texts}
+
+
+def test_running_ends_of_many_lengths(spark):
+    for n in (0, 1, 7, 8, 9, 64, 513, 5000):
+        row = spark.range(1).select(tx.running_ends(F.transform(F.sequence(F.lit(1), F.lit(n + 1)), lambda x: (x % 7).cast("bigint"))).alias("e")).collect()[0]
+        want, total = [], 0
+        for x in range(1, n + 2):
+            total += x % 7
+            want.append(total)
+        assert row.e == want
+    assert spark.range(1).select(tx.running_ends(F.array().cast("array<bigint>")).alias("e")).collect()[0].e == []

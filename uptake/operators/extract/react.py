@@ -111,7 +111,7 @@ def with_scopes(files: DataFrame) -> DataFrame:
             return F.transform(F.filter(scopes, lambda s: ~s["nested"] & s["name"].rlike(r"\A[A-Z]") & cond(s)), lambda s: s["name"])
 
         plain = pick(lambda s: s["jsx"] | s["forward_ref"])
-        return let(plain, lambda p: F.array_union(p, pick(lambda s: F.array_contains(p, s["memo_of"]))))
+        return let(plain, lambda p: F.array_union(p, pick(lambda s: (s["memo_of"] != "") & F.array_contains(p, s["memo_of"]))))
 
     known = F.filter(F.transform("heads", read), complete)
     stages = with_bytes(F.col("masked"), lambda raw: F.transform(F.transform(known, bounded), lambda b: read_body(b, raw)))

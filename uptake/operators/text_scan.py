@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.identity import site_id
 from ..functions.text import explode_lines, find_all, mask_strings, scannable_lines
@@ -12,6 +17,8 @@ FILE = ["repo_id", "snapshot_id", "language", "path"]
 # it: after anything but an ASCII letter, digit, underscore or dot.
 NAME_CALL = r"[\p{L}\p{N}_.$-]++\("
 SYMBOL_START = r"(?<=[^A-Za-z0-9_.])"
+#: Branches inside each other in the pattern of a registry.
+NESTED = 100
 
 
 def masked_lines(files: DataFrame) -> DataFrame:
@@ -43,24 +50,41 @@ def symbol_calls(files: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def prefix_pattern(keys: list[str], depth: int = 0) -> str:
+    """A pattern of the keys, which are sorted and distinct, that takes the longest one at a position.
+
+    Keys that begin alike share that part, so a position is left as soon as no
+    key goes on, however many keys there are.  Beyond ``NESTED`` branches inside
+    each other the rest are plain alternatives, longest first.
+    """
+    if depth == NESTED:
+        return "(?:" + "|".join(_quoted(k) for k in sorted(keys, key=len, reverse=True)) + ")"
+    out = []
+    for _, group in groupby([k for k in keys if k], key=lambda k: k[0]):
+        same = list(group)
+        shared = os.path.commonprefix([same[0], same[-1]])
+        rest = [k[len(shared):] for k in same]
+        out.append(_quoted(shared) + (prefix_pattern(rest, depth + 1) if len(rest) > 1 else ""))
+    return "(?:" + "|".join(out) + ")" + ("?" if "" in keys[:1] else "")
+
+
+def _quoted(text: str) -> str:
+    return "".join(c if c.isascii() and c.isalnum() else "\\x{%x}" % ord(c) for c in text)
+
+
+@F.arrow_udf(StringType())
+def _patterns(keys: pa.Array) -> pa.Array:
+    return pa.array([prefix_pattern(sorted(k)) for k in keys.to_pylist()], pa.string())
+
+
 def key_patterns(token_keys: DataFrame) -> DataFrame:
-    """One alternation per registry, longest key first.
+    """One pattern per registry, in the shape of the prefix tree of its keys.
 
-    Keys are grouped by their first character: at most one group can match at a
-    position, so only the order inside a group matters and a position that
-    starts no key is left at once.  The keys of a pattern come from a single
-    registry document, which is one input row already.
+    The keys of a pattern come from a single registry document, which is one
+    input row already.  An empty key names nothing.
     """
-    quoted = F.regexp_replace("match_key", r"([^\p{L}\p{N}])", r"\\$1")
-    head = F.substring("match_key", 1, 1)
-    groups = token_keys.groupBy("repo_id", "language", head.alias("_head")).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_set(F.struct((-F.octet_length("match_key")).alias("n"), quoted.alias("q")))),
-                lambda s: s["q"]),
-            "|").alias("_alts"))
-    return groups.groupBy("repo_id", "language").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("(?:"), "_alts", F.lit(")")))), "|").alias("pattern"))
+    named = token_keys.filter(F.col("match_key") != "").groupBy("repo_id", "language").agg(F.collect_set("match_key").alias("_keys"))
+    return named.select("repo_id", "language", _patterns("_keys").alias("pattern"))
 
 
 def token_refs(files: DataFrame, token_keys: DataFrame, id_prefix: str = "token.basic") -> DataFrame:

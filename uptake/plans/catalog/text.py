@@ -118,6 +118,24 @@ SELECT repo_id, path AS file, line, CAST(strlen(array_to_string(a[1:i - 1], ''))
  CASE a[i] WHEN 'the' THEN 't.the' WHEN 'the,' THEN 't.comma' WHEN 'wh' THEN 't.wh' WHEN 'où' THEN 't.ou' ELSE 't.stars' END AS token_id FROM p WHERE i % 2 = 0""")(
     lambda t: ts.token_refs(t["v_source_files"], _token_keys(t)).select("repo_id", "file", "line", "col", "key", "token_id"))
 
+# A registry of every short word of its repository: thousands of keys, many of them beginnings of others.
+def _word_keys(t):
+    words = t["v_source_files"].select("repo_id", "language", F.explode(F.flatten(F.transform(
+        tx.lines_of(F.col("content")), lambda line: F.slice(F.split(line, " "), F.lit(2), F.size(F.split(line, " ")))))).alias("w"))
+    return words.filter(F.char_length("w").between(1, 5)).distinct().select(
+        "repo_id", "language", F.concat(F.lit(" "), "w").alias("match_key"), F.concat(F.lit("t."), "w").alias("token_id"), F.lit("color").alias("category"))
+
+
+# A key is a blank and letters, so none overlap: at each blank the longest beginning that is a key counts.
+query("x05_large_registries", f"""
+WITH s AS (SELECT repo_id, path, CAST(line AS BIGINT) AS line, string_split(text, ' ') AS a FROM ({_lines()}) x WHERE contains(text, ' ')),
+p AS (SELECT repo_id, path, line, CAST(strlen(array_to_string(a[1:i - 1], ' ')) + 1 AS BIGINT) AS col, a[i] AS w FROM (SELECT *, generate_subscripts(a, 1) AS i FROM s) y WHERE i > 1 AND a[i] <> ''),
+k AS (SELECT DISTINCT repo_id, w FROM p WHERE length(w) <= 5),
+c AS (SELECT p.*, n, substr(w, 1, n) AS key_part FROM p, unnest([1, 2, 3, 4, 5]) AS u(n) WHERE n <= length(w)),
+h AS (SELECT c.repo_id, path, line, col, max(n) AS n, max_by(key_part, n) AS key_part FROM c JOIN k ON k.repo_id = c.repo_id AND k.w = c.key_part GROUP BY 1, 2, 3, 4)
+SELECT repo_id, path AS file, line, col, concat(' ', key_part) AS key, concat('t.', key_part) AS token_id FROM h""")(
+    lambda t: ts.token_refs(t["v_source_files"], _word_keys(t)).select("repo_id", "file", "line", "col", "key", "token_id"))
+
 query("x09_positions", f"""
 SELECT repo_id, path, CAST(line AS BIGINT) AS line, CAST(strlen(split_part(text, 'è', 1)) + 1 AS BIGINT) AS col FROM ({_lines()}) l WHERE contains(text, 'è')""")(
     lambda t: tx.explode_lines(t["v_source_files"]).filter(F.contains("text", F.lit("è"))).select(
