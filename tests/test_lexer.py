@@ -2,10 +2,13 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from uptake.functions.lexer import lex
+from uptake.functions.lexer import lex, with_lexemes
 from uptake.operators.extract import kotlin, react, swift
+from uptake.operators.extract.common import FILES, _bounds_of
 from test_extract import table
 
 
@@ -85,3 +88,24 @@ def test_names_with_a_type_are_no_references(spark):
     repo = files.first()["repo_id"]
     keys = keys.replace("r", repo, "repo_id")
     assert sorted((r.line, r.key) for r in kotlin.token_sites(files, keys).collect()) == [(2, "Theme.size"), (3, "primary"), (4, "Theme.size")]
+
+
+def test_lexer_holds_a_bounded_piece_of_a_batch():
+    """A batch of many small files goes on in pieces, since what is found in a text takes many times its size."""
+    class Files:
+        columns, schema = ["path", "content", "language"], []
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    text = "fun f() { " + "id(" * 400 + ")" * 400 + " }\n"
+    files = pa.RecordBatch.from_arrays([pa.array(v) for v in (["a.kt"] * 1500, [text] * 1500, ["compose"] * 1500)], names=Files.columns)
+    out = list(with_lexemes(Files())(iter([files])))
+    assert sum(b.num_rows for b in out) == 1500
+    assert max(pc.sum(pc.binary_length(b.column(1))).as_py() for b in out) < (1 << 20)
+
+
+def test_scope_bounds_of_more_files_than_go_together():
+    n = 2 * FILES + 3
+    bounds = _bounds_of(pa.array([[0, 2]] * n), pa.array([[9, 5]] * n))
+    assert bounds.to_pylist() == [[{"at": 0, "scope": 0}, {"at": 2, "scope": 1}, {"at": 5, "scope": 0}, {"at": 9, "scope": -1}]] * n

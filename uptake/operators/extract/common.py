@@ -18,6 +18,8 @@ from ...schemas import KEYS
 FILE = [*KEYS, "path"]
 #: More than any column or place in a list: (line, column) as one number keeps their order.
 COLUMNS = 1 << 31
+#: Files whose scopes are Python objects at a time.
+FILES = 256
 PARENT_FIELDS = ["parent_id", "parent_symbol", "parent_qualified_symbol", "parent_scope_kind",
                  "parent_identity_basis", "parent_identity_stability"]
 
@@ -54,8 +56,7 @@ def _last_open(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-@F.arrow_udf(ArrayType(StructType().add("at", "long").add("scope", "integer")))
-def _bounds(starts: pa.Array, ends: pa.Array) -> pa.Array:
+def _bounds_of(starts: pa.Array, ends: pa.Array) -> pa.Array:
     rows = [_last_open(s or [], e or []) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
     flat = [x for r in rows for x in r]
     values = pa.StructArray.from_arrays(
