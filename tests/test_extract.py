@@ -256,3 +256,16 @@ def test_sources_with_gaps_are_reported_and_still_read(spark):
     assert runs == {"compose": (2, "partial", 2, 2), "swift": (1, "partial", 1, 1), "react": (3, "partial", 0, 1)}
     empty = scan.measure(scan.scan(files.limit(0), none, keys))
     assert empty.count() == 0
+
+
+def test_react_modules_parse_once(spark, monkeypatch):
+    """Imports, exports and the places they lead to read one written parse."""
+    plans, write = [], scan.materialize
+    monkeypatch.setattr(scan, "materialize", lambda df, *by: (plans.append(df._jdf.queryExecution().toString()), write(df, *by))[1])
+    files = table(spark, "react", {
+        "src/a/x.tsx": 'import { P } from "../p";\n', "src/a/y.tsx": 'import { P } from "../p";\n', "z.tsx": 'import { P } from "./src/p";\n',
+        "src/p.ts": 'export { P } from "./q";\n', "src/q.tsx": "export function P() { return <A />; }\n"})
+    imports, exports = scan.react_modules(files, rs.ModuleConfig())
+    assert sum("MapInArrow" in p for p in plans) == 1
+    assert sorted((r.file, r.source_module) for r in imports.collect()) == [("src/a/x.tsx", "src/p.ts"), ("src/a/y.tsx", "src/p.ts"), ("z.tsx", "src/p.ts")]
+    assert [(r.file, r.source_module) for r in exports.collect() if r.kind == "reexport"] == [("src/p.ts", "src/q.tsx")]

@@ -211,10 +211,9 @@ def configured_package(specifier: Column, config: ModuleConfig) -> Column:
     return F.coalesce(*hits, F.lit(None).cast("string"))
 
 
-def _targets(specifier: Column, symbol: Column, file: Column, config: ModuleConfig) -> Column:
-    """Possible paths of a specifier, best first."""
+def _targets(specifier: Column, symbol: Column, folder: Column, config: ModuleConfig) -> Column:
+    """Possible paths of a specifier in a file of ``folder`` (empty or up to its last ``/``), best first."""
     relative = F.startswith(specifier, F.lit("."))
-    folder = F.regexp_replace(file, r"[^/]*\z", "")
     out = [F.when(relative, F.concat(folder, specifier))]
 
     def by_specificity(patterns: dict[str, list[str]]) -> list[str]:
@@ -239,13 +238,15 @@ def _targets(specifier: Column, symbol: Column, file: Column, config: ModuleConf
 def resolve_specifiers(refs: DataFrame, files: DataFrame, config: ModuleConfig) -> DataFrame:
     """The source module of each import or re-export, null if there is none.
 
-    ``refs`` has ``file``, ``specifier`` and ``symbol``.  Distinct references are
-    expanded to candidate paths, which meet the file table once.
+    ``refs`` has ``file``, ``specifier`` and ``symbol``.  A target depends on the folder
+    of the file only: distinct references of a folder are expanded to candidate paths,
+    which meet the file table once.
     """
-    key = [*FILE, "specifier", "symbol"]
+    key = [*KEYS, "_folder", "specifier", "symbol"]
+    refs = refs.withColumn("_folder", F.regexp_replace("file", r"[^/]*\z", ""))
     wanted = refs.select(*key).filter(F.col("specifier").isNotNull()).distinct()
     base = wanted.select(*key, F.posexplode(_targets(
-        F.col("specifier"), F.col("symbol"), F.col("file"), config)).alias("_t", "_raw"))
+        F.col("specifier"), F.col("symbol"), F.col("_folder"), config)).alias("_t", "_raw"))
     path = normalize_path(F.col("_raw"))
     typed = F.exists(F.array(*[F.lit(e) for e in SOURCE_EXTENSIONS]), lambda e: F.endswith(path, e))
     probes = F.when(typed, F.array(path)).otherwise(F.array(
@@ -255,7 +256,7 @@ def resolve_specifiers(refs: DataFrame, files: DataFrame, config: ModuleConfig)
     known = files.select(*KEYS, F.col("path").alias("_path")).distinct()
     best = candidates.join(known, [*KEYS, "_path"]).groupBy(*key).agg(
         F.min_by("_path", F.struct("_t", "_i")).alias("source_module"))
-    return refs.join(best, key, "left")
+    return refs.join(best, key, "left").drop("_folder")
 
 
 def module_edges(imports: DataFrame, exports: DataFrame, config: ModuleConfig) -> DataFrame:

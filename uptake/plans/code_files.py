@@ -46,6 +46,8 @@ FROM (SELECT ok, rn, concat('      <Sym', CAST(pk % 50 AS STRING), ' style={{{{
  FROM {v_items} WHERE ok % 3 = 1) b
 GROUP BY ok"""
 
+_REACT_RUNS = "SELECT DISTINCT concat('repo', CAST(ok % 4 AS STRING)) AS repo_id, 's1' AS snapshot_id, 'react' AS language FROM {v_items} WHERE ok % 3 = 1"
+
 
 # Files that brackets, comments and literals make hard to read.  ``depth`` calls stand inside each other.
 _HARD = {
@@ -86,7 +88,7 @@ def react_files(t) -> DataFrame:
     """Screens, and per repository a barrel and an implementation per panel."""
     screens = spread(t.spark.sql(_REACT, v_items=t["v_items"]), t.partitions)
     n = F.explode(F.sequence(F.lit(0), F.lit(PANELS - 1))).alias("n")
-    panels = screens.select(*KEYS).distinct().select(*KEYS, n)
+    panels = t.spark.sql(_REACT_RUNS, v_items=t["v_items"]).select(*KEYS, n)
     k = F.col("n").cast("string")
     barrels = panels.select(
         *KEYS, F.concat(F.lit("src/lib/p"), k, F.lit(".ts")).alias("path"),

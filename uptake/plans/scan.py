@@ -42,6 +42,8 @@ def scan_swift(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> d
 
 def react_modules(files: DataFrame, config: rs.ModuleConfig) -> tuple[DataFrame, DataFrame]:
     """Imports and exports with the module each specifier leads to."""
+    if "code" not in files.columns:
+        files = materialize(react.modules(files))
     imports, exports = materialize(react.imports(files)), materialize(react.exports(files))
     known = files.filter(F.col("language") == react.LANGUAGE)
     bound = rs.resolve_specifiers(
