@@ -182,3 +182,19 @@ def test_running_ends_of_many_lengths(spark):
             want.append(total)
         assert row.e == want
     assert spark.range(1).select(tx.running_ends(F.array().cast("array<bigint>")).alias("e")).collect()[0].e == []
+
+
+def test_matches_by_marks_equal_matches_by_groups(spark):
+    """One search with marks finds what a search per group finds; a text that holds a mark is searched by groups."""
+    texts = [None, "", "a", "é(x) = {\nB( ", f"fun F(){tx.BEGIN} {{A()}}", f"f(){tx.END}()", "F()" * 300, "\x00a.b\r\nFoo(", " x $1 \\ " * 40, "😀()é()"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, tail in ((r"[A-Za-z]\w*+(?=\()", None), (r"\)", r"\s*+\S?"), (r"(?<=\()\w|=", None), (r"(?m)^[^\n]++", None), (r"\A.|x", r"[\s\S]{0,2}")):
+        fields = ["start", "text"] + (["tail"] if tail else [])
+        rows = df.select("t", tx.find_all(F.col("t"), pattern, tail).alias("a"), tx._find_by_groups(F.col("t"), F.lit(pattern), tail).alias("b")).collect()
+        for r in rows:
+            want = None if r.b is None else [tuple(h[f] for f in fields) for h in r.b if h["text"] != ""]
+            assert (None if r.a is None else [tuple(h[f] for f in fields) for h in r.a]) == want
+    by_marks = df.filter(f"t NOT LIKE '%{tx.BEGIN}%' AND t NOT LIKE '%{tx.END}%'").select(
+        "t", tx._find_by_marks(F.col("t"), F.lit(r"\w"), None).alias("a")).collect()
+    for r in by_marks:
+        assert [(h.start, h.text) for h in r.a] == [(len(r.t[:m.start()].encode()), m.group()) for m in re.finditer(r"(?a:\w)", r.t)]

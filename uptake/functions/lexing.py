@@ -26,6 +26,10 @@ def line_ends(text: Column) -> Column:
     return running_ends(F.transform(F.split(text, "\n"), lambda p: (byte_len(p) + 1).cast("bigint")))
 
 
+#: Powers of two, descending: the steps of a binary search.
+_STEPS = [1 << k for k in range(30, -1, -1)]
+
+
 def count_up_to(sorted_values: Column, x: Column, of=lambda v: v) -> Column:
     """How many of the ascending values (``of`` an element) are <= x, by binary search."""
     def step(acc, bit):
@@ -34,8 +38,8 @@ def count_up_to(sorted_values: Column, x: Column, of=lambda v: v) -> Column:
             (probe <= F.size(sorted_values)) & (of(F.try_element_at(sorted_values, probe)) <= x), probe).otherwise(acc)
 
     top = F.floor(F.log2(F.greatest(F.size(sorted_values), F.lit(1)))).cast("int")
-    bits = F.transform(F.sequence(F.lit(0), top), lambda k: F.call_function("shiftleft", F.lit(1), top - k))
-    return F.aggregate(bits, F.lit(0), step)
+    steps = F.slice(F.array(*[F.lit(s) for s in _STEPS]), len(_STEPS) - top, top + 1)
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def place(ends: Column, offset: Column) -> Column:

@@ -85,33 +85,38 @@ def mask_strings(s: Column) -> Column:
 
 # --- match positions ---------------------------------------------------------
 
-def running_ends(lengths: Column, block: int = 16) -> Column:
+def running_ends(lengths: Column, block: int = 32) -> Column:
     """Inclusive running sums of an array of lengths.
 
-    Sums run inside blocks and one accumulator carries the block total, so the
+    Sums are collected block by block and one accumulator carries the total, so the
     work stays close to linear even for the many matches of a minified line.
     """
-    blocks = let(
-        lengths,
-        lambda a: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))),
-            lambda b: F.slice(a, b * block + 1, block),
-        ),
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<array<bigint>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc, v):
+        total = acc["total"] + v
+        return F.struct(total.alias("total"), F.array_append(acc["out"], total).alias("out"))
+
+    def summed(values, start):
+        return F.aggregate(values, F.struct(start.alias("total"), zero["out"].alias("out")), add)
+
+    def blocked(a):
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")),
+            lambda b: F.slice(a, b * block + 1, block))
+        first = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<array<bigint>>").alias("out"))
 
-    def add_block(acc, blk):
-        ends = F.transform(
-            blk,
-            lambda _x, i: acc["total"]
-            + F.aggregate(F.slice(blk, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda s, v: s + v),
-        )
-        return F.struct(
-            (acc["total"] + F.aggregate(blk, F.lit(0).cast("bigint"), lambda s, v: s + v)).alias("total"),
-            F.concat(acc["out"], F.array(ends)).alias("out"),
-        )
+        def add_block(acc, values):
+            return let(summed(values, acc["total"]), lambda s: F.struct(
+                s["total"].alias("total"), F.array_append(acc["out"], s["out"]).alias("out")))
 
-    return F.flatten(F.aggregate(blocks, zero, add_block, lambda acc: acc["out"]))
+        return F.flatten(F.aggregate(blocks, first, add_block, lambda acc: acc["out"]))
+
+    return let(lengths, lambda a: F.when(F.size(a) <= block, summed(a, F.lit(0).cast("bigint"))["out"]).otherwise(blocked(a)))
+
+
+#: Set around matches; a text that holds one of them is searched without them.
+BEGIN, END = "\ufdd0", "\ufdd1"
 
 
 def find_all(text: Column, pattern: Column | str, tail: str | None = None) -> Column:
@@ -122,6 +127,35 @@ def find_all(text: Column, pattern: Column | str, tail: str | None = None) -> Co
     that pattern, and what it covers is a third field, ``tail``.
     """
     pat = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.contains(text, F.lit(BEGIN)) | F.contains(text, F.lit(END))
+    hits = F.when(marked, _find_by_groups(text, pat, tail)).otherwise(_find_by_marks(text, pat, tail))
+    return F.filter(hits, lambda h: h["text"] != "")
+
+
+def _find_by_marks(text: Column, pat: Column, tail: str | None) -> Column:
+    """One search that sets marks around each match; the text is cut in front of the matches."""
+    ahead = F.lit(f")(?=({tail}))" if tail else ")")
+    put = f"{BEGIN}$1{END}" + (f"$2{END}" if tail else "")
+    pieces = F.split(F.regexp_replace(text, F.concat(F.lit("(?s)("), pat, ahead), F.lit(put)), BEGIN)
+
+    def read(p, i):
+        """A match, its tail and the bytes that the piece has in the text."""
+        match = F.when(i > 0, F.substring_index(p, END, 1)).otherwise(F.lit(""))
+        behind = F.when(i > 0, F.substring_index(F.substring_index(p, END, 2), END, -1)).otherwise(F.lit("")) if tail else None
+        added = byte_len(F.lit(END)) * (2 if tail else 1)
+        size = byte_len(p) - F.when(i > 0, added + byte_len(behind) if tail else added).otherwise(0)
+        return F.struct(size.cast("bigint").alias("size"), match.alias("text"), *([behind.alias("tail")] if tail else []))
+
+    def placed(found):
+        def at(ends):
+            return F.transform(F.slice(found, F.lit(2), F.size(found) - 1), lambda m, i: F.struct(
+                F.get(ends, i).alias("start"), m["text"].alias("text"), *([m["tail"].alias("tail")] if tail else [])))
+        return let(running_ends(F.transform(found, lambda m: m["size"])), at)
+
+    return F.when(text.isNotNull() & pat.isNotNull(), let(F.transform(pieces, read), placed))
+
+
+def _find_by_groups(text: Column, pat: Column, tail: str | None) -> Column:
     scan = F.concat(F.lit("(?s).*?("), pat, F.lit(f")(?=({tail}))|.+" if tail else ")|.+"))
 
     def group(i: int) -> Column:
@@ -129,10 +163,9 @@ def find_all(text: Column, pattern: Column | str, tail: str | None = None) -> Co
 
     ends = running_ends(F.transform(group(0), lambda p: byte_len(p).cast("bigint")))
     parts = [ends.alias("end"), group(1).alias("text"), *([group(2).alias("tail")] if tail else [])]
-    hits = F.transform(F.arrays_zip(*parts), lambda z: F.struct(
+    return F.transform(F.arrays_zip(*parts), lambda z: F.struct(
         (z["end"] - byte_len(z["text"])).alias("start"), z["text"].alias("text"),
         *([z["tail"].alias("tail")] if tail else [])))
-    return F.filter(hits, lambda h: h["text"] != "")
 
 
 # --- names -------------------------------------------------------------------

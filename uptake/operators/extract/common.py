@@ -64,6 +64,13 @@ def _bounds_of(starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), values)
 
 
+@F.arrow_udf(ArrayType(StructType().add("at", "long").add("scope", "integer")))
+def _bounds(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    # some files at a time, since Python objects take many times the arrays
+    parts = [_bounds_of(starts.slice(k, FILES), ends.slice(k, FILES)) for k in range(0, max(len(starts), 1), FILES)]
+    return pa.concat_arrays(parts)
+
+
 def tree(scopes: Column, start: str = "start", end: str = "end") -> Column:
     """The scopes in source order with the offsets where the innermost one changes."""
     return F.struct(scopes.alias("scopes"), _bounds(F.transform(scopes, lambda s: s[start]), F.transform(scopes, lambda s: s[end])).alias("bounds"))
@@ -153,6 +160,8 @@ def chain_candidates(df: DataFrame, *keep: str, members: bool = True, dropped: s
         candidates = F.array_distinct(F.concat(prefixes, singles))
     else:
         candidates = prefixes
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("at"), F.col("text").alias("text")))
+    candidates = F.when(F.contains("text", F.lit(".")), candidates).otherwise(whole)
     # a chain has no line break, so its parts stand on one line
     return chains.select(*FILE, *keep, *of, "start", "line", "col", F.explode(candidates).alias("c")).select(
         *FILE, *keep, *of, (F.col("start") + F.col("c.at")).alias("start"), "line", (F.col("col") + F.col("c.at")).alias("col"),
