@@ -141,6 +141,26 @@ def test_bands_miss_hardly_any_pair_at_the_threshold(threshold):
     assert near_dedup.shape(85) == (24, 5) and near_dedup.shape(80) == (27, 4)
 
 
+def test_near_dedup_makes_no_row_per_pair_of_near_misses(spark, monkeypatch):
+    words, rows = vocabulary(31, 300), []
+    for d in range(120):
+        changed = random.Random(d).sample(range(300), 4)
+        rows.append((d, " ".join(f"x{d}y{k}" if k in changed else w for k, w in enumerate(words))))
+    made, materialize = [], near_dedup.materialize
+
+    def counted(table, *by):
+        out = materialize(table, *by)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    rows.append((200, rows[7][1] + " z"))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), threshold=80).collect()}
+    assert got == plain.components(dict(rows), 80) and got[200] == 7
+    # a group of n has n * (n - 1) / 2 pairs, but n rows in each of its bands
+    assert max(made) <= near_dedup.shape(80)[0] * len(rows)
+
+
 def test_near_dedup_edges(spark):
     table = docs(spark, EDGES)
     rows = near_dedup.near_duplicates(table).collect()

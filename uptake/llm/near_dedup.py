@@ -16,8 +16,11 @@
    follow all pairs of different components in bands of at most ``SMALL`` members.  In larger
    bands, members are left out that hold so many shingles which no other component has that
    they can't reach the threshold; the others meet in blocks of ``BLOCK``, where that bound
-   and the signatures leave few pairs to try.  No band is cut and no candidate dropped, and
-   a pair that is tried once is not formed again.
+   and the signatures say who has a pair to try.  Those go on with their sets and are tried
+   block by block inside a task, where pairs of members that a link has joined fall out.  So
+   rows are members of blocks, never pairs: their number does not grow with the square of a
+   group of near misses, only the comparisons inside a task do.  No band is cut and no
+   candidate dropped, and a pair is tried in the first band that both share only.
 5. Components by alternating large-star and small-star.
 
 Words: runs of characters other than blanks and ``\\x09-\\x0D``, A-Z lower-cased.  A text of
@@ -45,6 +48,8 @@ from .ids import narrow, without
 MINIMA, MISS = 128, 1e-6
 #: Up to SMALL members all pairs of a band are looked at; larger ones are cut into blocks.  PART: members that one call gets.
 SMALL, BLOCK, PART = 24, 512, 20_000
+#: Bytes of sets that one call gets, give or take a block.
+PART_BYTES = 1 << 24
 #: How far below the threshold signatures may agree.
 MARGIN = 0.2
 SHARD = 1 << 20
@@ -215,44 +220,93 @@ def _owned(crowd: DataFrame, sets: DataFrame) -> DataFrame:
             .groupBy("shard").applyInPandas(_private, "id long, own long").groupBy("id").agg(F.sum("own").alias("own")))
 
 
-def _feasible(threshold: int):
-    """Pairs of two blocks of a band that could still be a link between components; many bands in one call.
+def _blocks(rows: pd.DataFrame, threshold: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Per two blocks of a band (member, those it could still have a link to) as places in ``rows``, sorted by key, low, high.
 
     A pair is given by the first band that both share only.  Members of a large band hold
     ``own`` shingles that no other component has, so their sets meet in at most ``n - own``.
     """
+    bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
+    bands = np.stack(rows["bands"].to_list())
+    key, lows, highs, ids, root, n, own, block = (rows[c].to_numpy() for c in ("key", "low", "high", "id", "root", "n", "own", "block"))
+    place = (bands == key[:, None]).argmax(axis=1)
+    opens = np.ones(len(rows), bool)
+    opens[1:] = (key[1:] != key[:-1]) | (lows[1:] != lows[:-1]) | (highs[1:] != highs[:-1])
+    begin = np.flatnonzero(opens)
+    for a, b in zip(begin.tolist(), np.append(begin, len(rows))[1:].tolist(), strict=True):
+        left, right = (a + np.flatnonzero(block[a:b] == side[a]) for side in (lows, highs))
+        found = []
+        for k in range(0, len(left), 64):
+            i, j = left[k:k + 64, None], right[None, :]
+            most = np.minimum(n[i] - own[i], n[j] - own[j])
+            ok = (root[i] != root[j]) & (100 * most >= threshold * (n[i] + n[j] - most))
+            if lows[a] == highs[a]:
+                ok &= ids[i] < ids[j]
+            x, y = np.nonzero(ok)
+            x, y = left[k + x], right[y]
+            good = np.empty(len(x), bool)
+            for c in range(0, len(x), 4096):
+                u, v = x[c:c + 4096], y[c:c + 4096]
+                good[c:c + 4096] = ((bits[u] == bits[v]).mean(axis=1) >= threshold / 100 - MARGIN) & ((bands[u] == bands[v]).argmax(axis=1) == place[u])
+            x, y = x[good], y[good]
+            each, at = np.unique(x, return_index=True)
+            found += zip(each.tolist(), np.split(y, at[1:]), strict=False)
+        yield found
+
+
+def _sorted_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["key", "low", "high"], kind="stable", ignore_index=True)
+
+
+def _feasible(threshold: int):
+    """The rows of members that have a pair to try in their two blocks."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "low", "high"], kind="stable")
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
-        bands = np.stack(rows["bands"].to_list())
-        key, lows, highs, ids, root, n, own, block = (rows[c].to_numpy() for c in ("key", "low", "high", "id", "root", "n", "own", "block"))
-        place = (bands == key[:, None]).argmax(axis=1)
-        opens = np.ones(len(rows), bool)
-        opens[1:] = (key[1:] != key[:-1]) | (lows[1:] != lows[:-1]) | (highs[1:] != highs[:-1])
-        begin = np.flatnonzero(opens)
-        found = [np.empty((0, 2), np.int64)]
-        for a, b in zip(begin.tolist(), np.append(begin, len(rows))[1:].tolist(), strict=True):
-            left, right = (a + np.flatnonzero(block[a:b] == side[a]) for side in (lows, highs))
-            for k in range(0, len(left), 64):
-                i, j = left[k:k + 64, None], right[None, :]
-                most = np.minimum(n[i] - own[i], n[j] - own[j])
-                ok = (root[i] != root[j]) & (100 * most >= threshold * (n[i] + n[j] - most))
-                if lows[a] == highs[a]:
-                    ok &= ids[i] < ids[j]
-                x, y = np.nonzero(ok)
-                x, y = left[k + x], right[y]
-                for c in range(0, len(x), 4096):
-                    u, v = x[c:c + 4096], y[c:c + 4096]
-                    good = (bits[u] == bits[v]).mean(axis=1) >= threshold / 100 - MARGIN
-                    good &= (bands[u] == bands[v]).argmax(axis=1) == place[u]
-                    found.append(np.stack([np.minimum(ids[u], ids[v])[good], np.maximum(ids[u], ids[v])[good]], axis=1))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        rows = _sorted_blocks(rows)
+        used = np.zeros(len(rows), bool)
+        for found in _blocks(rows, threshold):
+            for u, others in found:
+                used[u] = True
+                used[others] = True
+        return rows[used]
+    return run
+
+
+def _tried(threshold: int):
+    """Enough links (a, b), confirmed on the full sets, to connect what the pairs of each two blocks connect."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = _sorted_blocks(rows)
+        ids, root = rows["id"].to_numpy(), rows["root"].to_numpy()
+        parts = [np.frombuffer(v, tb.U) for v in rows["set"]]
+        n = np.array([len(p) for p in parts], np.int64)
+        links = []
+        for found in _blocks(rows, threshold):
+            if not found:
+                continue
+            places = np.unique(np.concatenate([[u for u, _ in found], *(v for _, v in found)]))
+            codes = np.unique(np.concatenate([parts[p] for p in places.tolist()]), return_inverse=True)[1]
+            code = dict(zip(places.tolist(), np.split(codes, np.cumsum(n[places])[:-1]), strict=True))
+            joined = root[places]  # grows together as links are found
+            here = np.zeros(codes.max(initial=0) + 1, bool)
+            for u, others in found:
+                own = np.searchsorted(places, u)
+                others = others[joined[np.searchsorted(places, others)] != joined[own]]
+                if not len(others):
+                    continue
+                here[code[u]] = True
+                of = np.repeat(np.arange(len(others)), n[others])
+                both = np.bincount(of[here[np.concatenate([code[v] for v in others.tolist()])]], minlength=len(others))
+                here[code[u]] = False
+                for v in others[100 * both >= threshold * (n[u] + n[others] - both)].tolist():
+                    other = joined[np.searchsorted(places, v)]
+                    if other != joined[own]:
+                        joined[joined == other] = joined[own]
+                        links.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
     return run
 
 
 def _between(open_rows: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of members of bands (key, id, root, size) that have to be tried."""
+    """Links (a, b) between members of bands (key, id, root, size) that connect what all their pairs connect."""
     large = F.col("size") > SMALL
     own = _owned(materialize(open_rows.filter(large).select("id", "root").distinct()), sets)
     rows = (open_rows.join(members, "id").join(own, "id", "left")
@@ -263,10 +317,14 @@ def _between(open_rows: DataFrame, members: DataFrame, sets: DataFrame, threshol
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    parts = rows.count() // PART + 1
-    return (dealt.select(F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)).alias("part"),
-                         "key", "low", "high", "block", "id", "root", "n", "own", "bits", "bands")
-            .groupBy("part").applyInPandas(_feasible(threshold), "a long, b long"))
+    parts, feasible = rows.count() // PART + 1, _feasible(threshold)
+    of = F.xxhash64("key", "low", "high")
+    columns = dealt.select("key", "low", "high", "block", "id", "root", "n", "own", "bits", "bands")
+    used = materialize(columns.withColumn("part", F.pmod(of, F.lit(parts))).groupBy("part")
+                       .applyInPandas(lambda rows: feasible(rows.drop(columns="part")), columns.schema))
+    parts = (used.agg(F.sum(8 * F.col("n"))).first()[0] or 0) // PART_BYTES + 1
+    return (used.join(sets, "id").withColumn("part", F.pmod(of, F.lit(parts)))
+            .groupBy("part").applyInPandas(_tried(threshold), "a long, b long"))
 
 
 def _links(members: DataFrame, sets: DataFrame, buckets: DataFrame, threshold: int) -> DataFrame:
@@ -277,8 +335,7 @@ def _links(members: DataFrame, sets: DataFrame, buckets: DataFrame, threshold: i
     now = buckets.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     open_keys = (now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
                  .filter("low < high").select("key", "size"))
-    pairs = materialize(_between(materialize(now.join(open_keys, "key")), members, sets, threshold))
-    return materialize(links.union(_verified(pairs, sets, threshold)))
+    return materialize(links.union(_between(materialize(now.join(open_keys, "key")), members, sets, threshold)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 85) -> DataFrame:
