@@ -470,6 +470,14 @@ def test_license_scan_edges(spark):
     assert license_scan.scan(docs(spark, EDGES).limit(0)).count() == 0
 
 
+def test_license_scan_splits_every_text_once(spark, monkeypatch):
+    plans, materialize = [], license_scan.materialize
+    plan = lambda table: table._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(license_scan, "materialize", lambda table: plans.append(plan(table)) or materialize(table))
+    plans.append(plan(license_scan.scan(docs(spark, EDGES + [(30, "A\nb, MIT License\n")]))))
+    assert sum(p.count("regexp_extract_all(") for p in plans) == 1
+
+
 def test_license_notices_do_not_depend_on_line_breaks(spark):
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
            "of this software and associated documentation files (the \"Software\"), to deal")

@@ -45,7 +45,6 @@ THRESHOLD, MOST_TOKENS = 0.8, 10_000
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One or more characters that are in no word.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrase and label.
@@ -122,11 +121,24 @@ def template_table(templates: tuple[tuple[str, str, str], ...]) -> list[Template
             for n, (label, marks, ws) in enumerate(sets)]
 
 
-def reduced_texts(docs: DataFrame, row: str, text: str, vocabulary: list[str]) -> DataFrame:
-    """(row, text_hash, cells): the template words and line breaks of every text that has such words, with their numbers in the text."""
-    cells = F.transform(words(F.col(text), rf"{WORD}|\n"), lambda c, i: F.struct(i.alias("at"), c.alias("token")))
-    rows = docs.select(F.col(row).alias("row"), F.xxhash64(F.col(text)).alias("text_hash"), F.filter(cells, lambda c: c["token"].isin(*vocabulary, "\n")).alias("cells"))
-    return rows.filter(F.exists("cells", lambda c: c["token"] != "\n"))
+def template_words(table: list[Template]) -> list[str]:
+    return sorted({w for t in table for w in t.words})
+
+
+def split_texts(docs: DataFrame, row: str, text: str) -> DataFrame:
+    """(row, text, text_hash, split): the words and line breaks of every text."""
+    return docs.select(F.col(row).alias("row"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text), rf"{WORD}|\n").alias("split"))
+
+
+def template_cells(vocabulary: list[str]) -> Column:
+    """Template words and line breaks of ``split`` with their numbers."""
+    cells = F.transform("split", lambda c, i: F.struct(i.alias("at"), c.alias("token")))
+    return F.filter(cells, lambda c: c["token"].isin(*vocabulary, "\n"))
+
+
+def with_words(texts: DataFrame) -> DataFrame:
+    """Texts whose cells are not line breaks only."""
+    return texts.filter(F.exists("cells", lambda c: c["token"] != "\n"))
 
 
 def around(texts: DataFrame, rare: list[str], reach: int) -> DataFrame:
@@ -149,7 +161,12 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templat
     ``row`` is the doc_id, ``line`` the line in which the run starts; null texts have none.
     """
     table = template_table(templates)
-    texts = materialize(reduced_texts(docs, doc_id, text, sorted({w for t in table for w in t.words})))
+    cells = template_cells(template_words(table)).alias("cells")
+    return matched(materialize(with_words(split_texts(docs, doc_id, text).select("row", "text_hash", cells))), table, threshold)
+
+
+def matched(texts: DataFrame, table: list[Template], threshold: float) -> DataFrame:
+    """``matches`` in materialised texts (row, text_hash, cells): template words and line breaks with their numbers."""
     # one row per template word
     frequency = {r["token"]: r["n"] for r in texts.select(F.explode("cells.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     prefixes, reach = [], 1
@@ -159,7 +176,7 @@ def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templat
         reach = max(reach, run)
         ordered = sorted(t.words, key=lambda w: (frequency.get(w, 0), w))
         prefixes += [(t.number, t.label, t.words, len(t.words), t.marks, t.rivals, need, run, ordered[k:], ordered[k]) for k in range(len(ordered) - need + 1)]
-    prefix = docs.sparkSession.createDataFrame(
+    prefix = texts.sparkSession.createDataFrame(
         prefixes, "template int, label string, words array<string>, size int, marks array<string>, rivals array<string>, need int, run int, "
                   "behind array<string>, token string")
 
@@ -194,19 +211,21 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: t
     score: the best containment of a template, 1 if a phrase stands in the text.
     n_templates: how many templates match.  n_lines: in how many lines such a run starts.
     """
-    # words are cut out of texts that can hold a phrase only; others just count them
+    # every text is split once, for its number of words, phrases and template words
     can = F.col("text").rlike("(?i)" + "|".join(GAP.join(p.split()) for p, _ in phrases))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.when(can, words(F.col("text"))).alias("w"),
-                       F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n"))
+    table = template_table(templates)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = split_texts(docs, doc_id, text).select(
+        "row", "text_hash", (F.size("split") - F.coalesce(breaks, F.lit(0))).cast("long").alias("n"),
+        F.when(can, F.filter("split", lambda c: c != "\n")).alias("w"), template_cells(template_words(table)).alias("cells"))
     none = F.array().cast("array<int>")
     found = [F.coalesce(F.when(F.col("w").isNotNull(), places(F.col("w"), p)), none) for p, _ in phrases]
-    rows = rows.select("doc_id", "text_hash", "n", *(c.alias(f"p{k}") for k, c in enumerate(found)))
+    rows = materialize(rows.select("row", "text_hash", "n", "cells", *(c.alias(f"p{k}") for k, c in enumerate(found))))
     starts = F.concat(*(F.col(f"p{k}") for k in range(len(phrases))))
     labels = F.array_sort(F.array_distinct(F.filter(
         F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases))), lambda x: x.isNotNull())))
-    base = rows.select("doc_id", F.col("text_hash").alias("own_hash"), F.coalesce("n", F.lit(0).cast("long")).alias("n_words"), starts.alias("starts"), labels.alias("base"))
-    per_row = matches(docs, doc_id, text, templates, threshold).groupBy("row", "text_hash").agg(
+    base = rows.select(F.col("row").alias("doc_id"), F.col("text_hash").alias("own_hash"), F.col("n").alias("n_words"), starts.alias("starts"), labels.alias("base"))
+    per_row = matched(with_words(rows.select("row", "text_hash", "cells")), table, threshold).groupBy("row", "text_hash").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.collect_set("template").alias("met"),
         F.size(F.collect_set("line")).alias("n_lines"))
     joined = base.join(per_row, F.col("doc_id").eqNullSafe(F.col("row")) & (F.col("own_hash") == F.col("text_hash")), "left")
