@@ -455,6 +455,24 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r["kind"], r["made"]) for r in rows} & {(r["kind"], r["atom"]) for r in rows}
 
 
+def test_encoder_asks_for_no_offsets():
+    words, plainly = encoder(), plain.tokenizer()
+    text = "Éa ÀB a.b x<|endoftext|>y Zażółć, naïve12 — ok!\n" + prose(90, 50, vocabulary(91))
+
+    class OnlyFast:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return plainly.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    words.forget()
+    kept, words.tokenizer = words.tokenizer, OnlyFast()
+    try:
+        got = np.frombuffer(words.encode(text), "<u4").tolist()
+    finally:
+        words.tokenizer = kept
+        words.forget()
+    assert got == plainly.encode(text, add_special_tokens=False).ids
+
+
 # --- license scan and URLs
 
 def test_license_scan_edges(spark):

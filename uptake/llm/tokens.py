@@ -49,7 +49,8 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends, first = tb.words(data, offsets, _INSIDE)
     if not len(starts):
         return starts, ends, first, data
-    place = np.where(_SIGN[data], -1, np.arange(len(data)))
+    place = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    place[_SIGN[data]] = -1
     stem = np.maximum.accumulate(place)[ends - 1] + 1
     cut = (stem > starts) & (stem < ends)
     cut[cut] = _LETTER[data[stem[cut] - 1]]
@@ -58,10 +59,12 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin, end = np.empty(len(starts) + more[-1], np.int64), np.empty(len(starts) + more[-1], np.int64)
     begin[at], end[at] = starts, np.where(cut, stem, ends)
     begin[at[cut] + 1], end[at[cut] + 1] = stem[cut], ends[cut]
-    kept = np.concatenate([[0], np.cumsum(_KEEPS[data])])
-    keeps = np.repeat(kept[end] > kept[begin], end - begin)
-    folded, inside = tb.LOWER[data], _INSIDE[data]
-    folded[inside] = np.where(keeps, data[inside], folded[inside])
+    folded = tb.LOWER[data]
+    kept = np.concatenate([[0], np.cumsum(_KEEPS[data], dtype=place.dtype)])
+    keeps = kept[end] > kept[begin]
+    size = end[keeps] - begin[keeps]
+    at = np.repeat(begin[keeps] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    folded[at] = data[at]
     return begin, end, first + more[first], folded
 
 
@@ -90,7 +93,8 @@ class WordEncoder:
         plain = np.array([w.isalpha() and (w.isascii() or max(w) < _BEYOND) for w in words], bool)
         sizes = np.zeros(len(words), np.int64)
         letters = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
+        whole, = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)  # without offsets, which take time
+        ids = np.array(whole.ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         # every word has a token that ends it, so as many ends as words leave one to each
         if len(ends) != len(letters):
