@@ -155,6 +155,29 @@ def test_intervals_against_brute_force(spark, wide):
         (f, s, e) for f, s, e in spans if not any(g == f and a <= s and e <= b and (a, b) != (s, e) for g, a, b in spans)}
 
 
+def test_token_refs_of_one_registry_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(ts, "PART", 64)
+    lines = ["the \u00e9 the,\r\nwho the", "\ufdd0 \u00e9\u00e9th \ufdd1\n\nthe", "a\rthe,the", "", None]
+    rows = [("r", "s", "basic", f"f{i}", lines[i % 5]) for i in range(100)] + [("q", "s", "basic", "g", "the"), (None, "s", "basic", "n", "the")]
+    files = spark.createDataFrame(rows, "repo_id string, snapshot_id string, language string, path string, content string")
+    named = ["the", "the", "the,", "\u00e9", "\ufdd0 ", "wh", "", None, "o\nt", "a\r"]
+    keys = spark.createDataFrame([("r", "basic", k, f"t{i}", None) for i, k in enumerate(named)] + [(None, "basic", "the", "t", None)],
+                                 "repo_id string, language string, match_key string, token_id string, category string")
+    pattern = re.compile("|".join(re.escape(k) for k in sorted({k for k in named if k}, key=len, reverse=True)))
+    want = [(path, n, len(line[:m.start()].encode()) + 1, m.group(), f"t{i}")
+            for repo, _, _, path, text in rows if repo == "r"
+            for n, line in enumerate((text or "").replace("\r\n", "\n").split("\n"), 1)
+            for m in pattern.finditer(line) for i, k in enumerate(named) if k == m.group()]
+    got = ts.token_refs(files, keys)
+    assert sorted((r.file, r.line, r.col, r.key, r.token_id) for r in got.collect()) == sorted(want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        used = got.filter("repo_id = 'r'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert used > 1  # one registry is no longer one task
+
+
 def test_prefix_pattern_takes_the_longest_key(spark):
     keys = ["a", "ab", "abc", "b.c", "b.cd", "é", "é*", "$x", "x" * 150] + ["y" * n for n in range(1, 120)]
     texts = ["abcab.cd a é*é$x", "x" * 151 + "y" * 125, "b.b.c", "", "nothing else", "😀abé"]
