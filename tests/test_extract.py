@@ -269,3 +269,16 @@ def test_react_modules_parse_once(spark, monkeypatch):
     assert sum("MapInArrow" in p for p in plans) == 1
     assert sorted((r.file, r.source_module) for r in imports.collect()) == [("src/a/x.tsx", "src/p.ts"), ("src/a/y.tsx", "src/p.ts"), ("z.tsx", "src/p.ts")]
     assert [(r.file, r.source_module) for r in exports.collect() if r.kind == "reexport"] == [("src/p.ts", "src/q.tsx")]
+
+
+def test_react_calls_are_read_once_to_be_classified(spark):
+    files = table(spark, "react", REACT)
+    aliases = registry(spark, "react", [("Card", "Card", "@kit/core"), ("Panel", "Panel", "@kit/core")])
+    imports, exports = scan.react_modules(files, CONFIG)
+    calls = scan.materialize(react.calls(files))
+    facts = scan.materialize(react.definitions(files)), scan.materialize(react.declared(files))
+    usage = rs.classify_react(calls, imports, exports, *facts, aliases, CONFIG, scan.materialize)
+    plan = usage._jdf.queryExecution().optimizedPlan().toString()
+    # names, members and places are written down: no second copy of the calls meets the first
+    assert sum("Relation" in line and "parent_id" in line for line in plan.splitlines()) == 1
+    assert {(r.line, r.symbol) for r in usage.collect()} >= {(15, "Kit.Panel"), (16, "Card"), (18, "Wrapped")}

@@ -24,6 +24,10 @@ REGISTRY = ["repo_id", "language"]
 SOURCE_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx"]
 
 
+def same(df: DataFrame) -> DataFrame:
+    return df
+
+
 def last_by(df: DataFrame, key: list[str], order: list, **values) -> DataFrame:
     """One row per key: the last one in ``order``, as in a map that overwrites."""
     row = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), F.struct(*order))
@@ -307,27 +311,50 @@ def export_chain(df: DataFrame, edges: DataFrame, module: str, symbol: str, pref
     }).drop(f"_{prefix}m", f"_{prefix}s", *[f"_{prefix}{i}_{c}" for i in (0, 1) for c in ("next_module", "next_symbol", "ends", "reexport", "configured")])
 
 
+def reached(imports: DataFrame, exports: DataFrame, keep=same) -> tuple[DataFrame, DataFrame]:
+    """The imports and exports of modules that an import or a re-export leads to: no other edge is followed."""
+    modules = imports.select(*KEYS, "source_module").unionByName(exports.select(*KEYS, "source_module"))
+    wanted = keep(modules.filter(F.col("source_module").isNotNull()).distinct().withColumnRenamed("source_module", "file"))
+    return imports.join(wanted, FILE, "left_semi"), exports.join(wanted, FILE, "left_semi")
+
+
+def import_places(imports: DataFrame, edges: DataFrame) -> DataFrame:
+    """Where each distinct (source module, imported symbol) leads to."""
+    refs = imports.filter(F.col("source_module").isNotNull()).select(*KEYS, "source_module", "imported_symbol").distinct()
+    return export_chain(refs, edges, "source_module", "imported_symbol", "chain").withColumns({
+        "final_module": F.coalesce("chain_module", "source_module"),
+        "final_symbol": F.coalesce("chain_symbol", "imported_symbol")}).drop("chain_module", "chain_symbol")
+
+
+def bound_imports(imports: DataFrame, places: DataFrame, config: ModuleConfig) -> DataFrame:
+    """Each import binding with its place, what else ``places`` say of it, and its provenance."""
+    known = F.col("source_module").isNotNull()
+    joined = import_bindings(imports).join(places, [*KEYS, "source_module", "imported_symbol"], "left")
+    return joined.withColumns({
+        # without an exported name of that module the import ends where it leads to
+        "final_module": F.coalesce("final_module", "source_module"),
+        "final_symbol": F.when(known, F.coalesce("final_symbol", "imported_symbol")),
+        "through_package": known & (configured_package(F.col("specifier"), config).isNotNull() | F.coalesce("chain_configured", F.lit(False))),
+        "import_package": npm_package_root(F.col("specifier"))}).drop("chain_configured")
+
+
 def resolved_imports(imports: DataFrame, edges: DataFrame, config: ModuleConfig) -> DataFrame:
     """Each import binding with its final place and its provenance."""
-    b = import_bindings(imports)
-    chained = export_chain(b, edges, "source_module", "imported_symbol", "chain")
-    known = F.col("source_module").isNotNull()
-    return chained.select(
+    return bound_imports(imports, import_places(imports, edges), config).select(
         *FILE, "local_name", "imported_kind", "imported_symbol", "specifier", "source_module",
-        F.when(known, F.coalesce("chain_module", "source_module")).alias("final_module"),
-        F.when(known, F.coalesce("chain_symbol", "imported_symbol")).alias("final_symbol"),
-        (known & (configured_package(F.col("specifier"), config).isNotNull() | F.col("chain_configured"))).alias("through_package"),
-        npm_package_root(F.col("specifier")).alias("import_package"))
+        "final_module", "final_symbol", "through_package", "import_package")
+
+
+def registry_names(aliases: DataFrame) -> DataFrame:
+    """One row per called name with its registry symbol and package."""
+    return aliases.groupBy(*REGISTRY, "call_symbol").agg(
+        F.min(F.struct(F.col("registry_symbol").alias("_t"), F.col("registry_package").alias("_p"))).alias("_b"))
 
 
-def first_target(sites: DataFrame, aliases: DataFrame, key: list[str], names: list[Column]) -> DataFrame:
-    """The registry symbol of the first name that is one, by one join."""
-    ranked = F.array_compact(F.array(*[
-        F.when(n.isNotNull(), F.struct(F.lit(i).alias("rank"), n.alias("call_symbol"))) for i, n in enumerate(names)]))
-    named = aliases.select(*REGISTRY, "call_symbol", F.col("registry_symbol").alias("_t"), F.col("registry_package").alias("_p"))
-    hits = sites.select(*key, F.inline(ranked)).distinct().join(named, [*REGISTRY, "call_symbol"]).groupBy(*key).agg(
-        F.min_by(F.struct("_t", "_p"), "rank").alias("_b"))
-    return sites.join(hits, key, "left").withColumns({"target": F.col("_b._t"), "target_package": F.col("_b._p")}).drop("_b")
+def named_target(df: DataFrame, named: DataFrame, name: Column, into: str) -> DataFrame:
+    """Adds what the registry has for a name; a null name has nothing."""
+    side = named.select(*REGISTRY, F.col("call_symbol").alias("_n"), F.col("_b").alias(into))
+    return df.withColumn("_n", name).join(side, [*REGISTRY, "_n"], "left").drop("_n")
 
 
 def design_system_import(specifier: Column, kind: Column, imported: Column, local: Column, config: ModuleConfig) -> tuple[Column, Column]:
@@ -341,53 +368,82 @@ def design_system_import(specifier: Column, kind: Column, imported: Column, loca
     return configured, name
 
 
+def member_calls(calls: DataFrame, imports: DataFrame, by_file: DataFrame, edges: DataFrame, named: DataFrame, keep=same) -> DataFrame:
+    """What calls of a member (``Menu.Item``) alone can lead to, by (file, binding, symbol): a definition of
+    that very name, and behind a namespace import the registry symbols of the export and of the member."""
+    dotted = keep(calls.filter(F.col("symbol") != F.col("binding_name")).select(*FILE, "binding_name", "symbol").distinct())
+    spaces = import_bindings(imports.join(
+        dotted.select(*FILE, F.col("binding_name").alias("local_name")).distinct(), [*FILE, "local_name"], "left_semi")).filter(
+        F.col("imported_kind") == "namespace").select(*FILE, F.col("local_name").alias("binding_name"), F.col("source_module").alias("_space"))
+    prefix = F.concat("binding_name", F.lit("."))
+    c = dotted.join(spaces.withColumn("_namespace", F.lit(True)), [*FILE, "binding_name"], "left").withColumn("_member", F.when(
+        F.col("_namespace") & F.startswith("symbol", prefix), F.substr("symbol", F.char_length("binding_name") + 2)))
+    c = export_chain(c, edges, "_space", "_member", "member")
+    for name, into in (("member_symbol", "_through"), ("_member", "_direct")):
+        c = named_target(c, named, F.col(name), into)
+    own = by_file.select(*FILE, "symbol", F.struct("def_id", "def_qualified").alias("_own_member"))
+    return keep(c.join(own, [*FILE, "symbol"], "left").select(
+        *FILE, "binding_name", "symbol", "_own_member", F.coalesce("_through", "_direct").alias("_member_target")))
+
+
 def classify_react(calls: DataFrame, imports: DataFrame, exports: DataFrame, definitions: DataFrame,
-                   declared: DataFrame, aliases: DataFrame, config: ModuleConfig) -> DataFrame:
+                   declared: DataFrame, aliases: DataFrame, config: ModuleConfig, keep=same) -> DataFrame:
     """J09 with J12: local, local through an import, registry, relevant unresolved.
 
-    Everything else (foreign packages, unknown names) is dropped.
+    Everything else (foreign packages, unknown names) is dropped.  What depends on distinct
+    names or places only is resolved before it meets the calls, and ``keep`` may write it
+    down, so that Spark knows how small it is.  The calls move twice: to the definitions of
+    their module, and to the imports, definitions and declared names of their file.
     """
-    edges = module_edges(imports, exports, config)
-    bindings = resolved_imports(imports, edges, config).withColumnRenamed("local_name", "binding_name").withColumn("_has", F.lit(True))
-    c = calls.withColumnRenamed("path", "file").join(bindings, [*FILE, "binding_name"], "left")
-    member = F.when(
-        F.startswith("symbol", F.concat("binding_name", F.lit("."))), F.substr("symbol", F.char_length("binding_name") + 2))
-    namespace = F.col("imported_kind") == "namespace"
-    star = F.col("final_symbol") == "*"
-    c = c.withColumns({
-        "_member": F.when(namespace, member),
-        "_member_module": F.when(namespace, F.col("source_module")),
-    })
-    c = export_chain(c, edges, "_member_module", "_member", "member")
+    named = keep(registry_names(aliases))
+    edges = keep(module_edges(*reached(imports, exports, keep), config))
+    by_file, by_name = _definition_index(definitions)
+
+    places = import_places(imports, edges)
+    stem = F.regexp_replace("final_module", r"(?<=[^/])\.[^./]*\z", "")
+    places = keep(places.withColumn("_hop", F.concat(stem, F.lit("#"), F.col("final_symbol"))))
+    hops = definitions.join(
+        places.select(*KEYS, F.col("_hop").alias("qualified_symbol")).distinct(), [*KEYS, "qualified_symbol"], "left_semi")
+    places = local_resolve(places, hops, [("name", F.col("_hop"))]).withColumnsRenamed(
+        {"local_definition_id": "_far", "local_qualified": "_far_q"}).drop("_hop")
+    places = keep(named_target(places, named, F.when(F.col("final_symbol") != "*", F.col("final_symbol")), "_final_target"))
 
-    hop = F.col("final_module"), F.col("final_symbol")
-    same = [("file", F.col("binding_name")), ("file", F.col("symbol")), ("name", F.concat("module", F.lit("#"), F.col("symbol")))]
-    c = local_resolve(c, definitions, same).withColumnsRenamed({"local_definition_id": "_own", "local_qualified": "_own_q"})
-    stem = F.regexp_replace(hop[0], r"(?<=[^/])\.[^./]*\z", "")
-    c = local_resolve(c, definitions, [("name", F.concat(stem, F.lit("#"), hop[1]))])
+    sure, wanted = design_system_import(
+        F.col("specifier"), F.col("imported_kind"), F.col("imported_symbol"), F.col("local_name"), config)
+    bindings = bound_imports(imports, places, config).withColumns({"_has": F.lit(True), "_sure": sure, "_named": wanted})
+    bindings = alias_resolve(bindings, aliases, "_named").withColumnRenamed("target", "_relevant").withColumnRenamed(
+        "local_name", "binding_name").drop("target_package", "_named")
+
+    c = calls.withColumnRenamed("path", "file")
+    members = member_calls(c, imports, by_file, edges, named, keep)
+    c = c.withColumn("_q", F.concat("module", F.lit("#"), F.col("symbol"))).join(by_name.select(
+        *KEYS, F.col("qualified_symbol").alias("_q"), F.struct("def_id", F.col("qualified_symbol").alias("def_qualified")).alias("_own_name")),
+        [*KEYS, "_q"], "left").drop("_q")
+    local = by_file.select(*FILE, F.col("symbol").alias("binding_name"), F.struct("def_id", "def_qualified").alias("_own_file"))
+    names = declared.select(*FILE, F.col("name").alias("binding_name")).distinct().withColumn("_declared", F.lit(True))
+    for side in (bindings, local, names):
+        c = c.join(side, [*FILE, "binding_name"], "left")
+    c = c.join(members, [*FILE, "binding_name", "symbol"], "left")
+    for name in ("symbol", "binding_name"):
+        c = named_target(c, named, F.col(name), f"_{name}_target")
+
+    own = F.coalesce("_own_file", "_own_member", "_own_name")
     imported_ok = ~F.coalesce(F.col("through_package"), F.lit(False))
+    # a call without a file has no site to be registered at
+    target = F.when(F.col("file").isNotNull() & F.col("snapshot_id").isNotNull(), F.coalesce(
+        "_member_target", "_final_target", "_symbol_target", "_binding_name_target"))
     c = c.withColumns({
-        "local_definition_id": F.coalesce("_own", F.when(imported_ok, F.col("local_definition_id"))),
-        "local_qualified": F.when(F.col("_own").isNotNull(), F.col("_own_q")).when(imported_ok, F.col("local_qualified")),
+        "local_definition_id": F.coalesce(own["def_id"], F.when(imported_ok, F.col("_far"))),
+        "local_qualified": F.when(own["def_id"].isNotNull(), own["def_qualified"]).when(imported_ok, F.col("_far_q")),
+        "target": target["_t"], "target_package": target["_p"],
     })
 
-    sure, named = design_system_import(
-        F.col("specifier"), F.col("imported_kind"), F.col("imported_symbol"), F.col("binding_name"), config)
-    c = first_target(c, aliases, [*FILE, "line", "col", "symbol"], [
-        F.when(namespace, F.col("member_symbol")), F.when(namespace, F.col("_member")),
-        F.when(~F.coalesce(star, F.lit(False)), F.col("final_symbol")), F.col("symbol"), F.col("binding_name")])
-    c = alias_resolve(
-        c.withColumnsRenamed({"target": "_target", "target_package": "_package"}).withColumn("_named", named), aliases, "_named"
-    ).withColumnRenamed("target", "_relevant").drop("target_package").withColumnsRenamed({"_target": "target", "_package": "target_package"})
-    names = declared.select(*FILE, F.col("name").alias("binding_name")).distinct().withColumn("_declared", F.lit(True))
-    c = c.join(names, [*FILE, "binding_name"], "left")
-
     has_import = F.col("_has").isNotNull()
     match = import_match(F.col("target_package"), F.col("import_package"))
     mismatch = F.col("target").isNotNull() & (match == "mismatch")
     relevant = F.col("_declared").isNull() & F.when(
         has_import,
-        mismatch | F.when(F.col("source_module").isNotNull(), F.col("through_package")).otherwise(sure | F.col("_relevant").isNotNull()),
+        mismatch | F.when(F.col("source_module").isNotNull(), F.col("through_package")).otherwise(F.col("_sure") | F.col("_relevant").isNotNull()),
     ).otherwise(F.col("target").isNotNull())
     c = c.withColumn("match_status", match_status(F.col("local_definition_id"), F.col("target"), match))
     kept = c.filter((F.col("match_status") != "unresolved") | relevant)

@@ -17,7 +17,7 @@ from .stages import materialize
 
 
 def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
-    files = materialize(kotlin.with_scopes(files))
+    files, aliases = materialize(kotlin.with_scopes(files)), materialize(aliases)
     found = materialize(kotlin.definitions(files))
     return {
         "local_components": found,
@@ -29,7 +29,7 @@ def scan_compose(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) ->
 
 
 def scan_swift(files: DataFrame, aliases: DataFrame, token_keys: DataFrame) -> dict[str, DataFrame]:
-    files = materialize(swift.with_scopes(files))
+    files, aliases = materialize(swift.with_scopes(files)), materialize(aliases)
     found = materialize(swift.definitions(files))
     return {
         "local_components": found,
@@ -57,13 +57,13 @@ def react_modules(files: DataFrame, config: rs.ModuleConfig) -> tuple[DataFrame,
 def scan_react(files: DataFrame, aliases: DataFrame, token_keys: DataFrame,
                config: rs.ModuleConfig | None = None) -> dict[str, DataFrame]:
     config = config or rs.ModuleConfig()
-    files = materialize(react.with_scopes(files))
+    files, aliases = materialize(react.with_scopes(files)), materialize(aliases)
     found = materialize(react.definitions(files))
     imports, exports = react_modules(files, config)
     return {
         "local_components": found,
         "usage_sites": rs.classify_react(
-            materialize(react.calls(files)), imports, exports, found, react.declared(files), aliases, config),
+            materialize(react.calls(files)), imports, exports, found, react.declared(files), aliases, config, materialize),
         "token_sites": react.token_sites(files, token_keys),
         "hardcoded_style_sites": react.style_sites(files),
         "diagnostics": dg.parse_gaps(files).unionByName(rs.import_diagnostics(imports, exports, aliases, config), allowMissingColumns=True),
