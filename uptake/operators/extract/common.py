@@ -57,7 +57,7 @@ def _last_open(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def _bounds_of(starts: pa.Array, ends: pa.Array) -> pa.Array:
-    rows = [_last_open(s or [], e or []) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
+    rows = [_last_open(s, e) if s else [] for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
     flat = [x for r in rows for x in r]
     values = pa.StructArray.from_arrays(
         [pa.array([a for a, _ in flat], pa.int64()), pa.array([k for _, k in flat], pa.int32())], ["at", "scope"])

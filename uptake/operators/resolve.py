@@ -73,7 +73,8 @@ def with_import_package(calls: DataFrame, imports: DataFrame, wide_kind: str) ->
     wide = imports.filter(F.col("imported_kind") == wide_kind).groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("_n"), F.max("package").alias("_p"),
         F.bool_or(F.col("package") == "SwiftUI").alias("imports_swiftui"))
-    joined = calls.join(own, [*FILE, "symbol"], "left").join(wide, FILE, "left")
+    # the definitions of the file follow by the key of ``own``, so the calls stay where they are
+    joined = calls.join(wide, FILE, "left").join(own, [*FILE, "symbol"], "left")
     return joined.withColumn("import_package", F.coalesce("own_package", F.when(F.col("_n") == 1, F.col("_p")))).drop("_n", "_p", "own_package")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import KEYS
 from ..sources.files import spread
+from .stages import materialize
 
 COMPONENTS = 30  # Sym0 .. Sym29 are registered
 PACKAGED = 20    # Sym0 .. Sym19 name their package
@@ -113,7 +114,8 @@ def all_files(t) -> DataFrame:
 
 def registry_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Aliases and token keys that every repository of the files declares."""
-    repos = files.select("repo_id", "language").distinct()
+    # written down, so that no join that asks the registry writes the files again
+    repos = materialize(files.select("repo_id", "language").distinct())
     n = F.col("n")
     symbol = F.concat(F.lit("Sym"), n.cast("string"))
     package = (
