@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from uptake.operators import resolve as rs
 from uptake.operators.extract import kotlin, react, swift
-from uptake.plans import scan
+from uptake.plans import code_files, scan
 
 FILES = "repo_id string, snapshot_id string, language string, path string, content string"
 
@@ -282,3 +282,14 @@ def test_react_calls_are_read_once_to_be_classified(spark):
     # names, members and places are written down: no second copy of the calls meets the first
     assert sum("Relation" in line and "parent_id" in line for line in plan.splitlines()) == 1
     assert {(r.line, r.symbol) for r in usage.collect()} >= {(15, "Kit.Panel"), (16, "Card"), (18, "Wrapped")}
+
+
+def test_parses_keep_no_text_that_nothing_reads(spark):
+    assert not {"content", "code"} & set(kotlin.with_scopes(table(spark, "compose", KOTLIN)).columns)
+    assert not {"content", "skeleton", "commas"} & set(react.with_scopes(table(spark, "react", REACT)).columns)
+
+
+def test_registry_of_files_is_asked_without_the_files(spark):
+    for rows in code_files.registry_of(table(spark, "react", REACT)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and "Aggregate" not in plan
