@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from uptake.functions.values import with_normal_form
 from uptake.operators import inference as inf
+from uptake.operators.quality import suggestion_rules
 
 SITE = "repo_id string, snapshot_id string, language string, id string, file string, line long, col long, category string, context string, value string"
 TOKEN = "repo_id string, snapshot_id string, language string, id string, key string, category string, value string"
@@ -115,3 +116,19 @@ def test_normal_form_keeps_null_values_apart(spark):
     rows = with_normal_form(df, "c", "x", "v").orderBy(F.col("v").asc_nulls_first()).collect()
     assert rows[0].kind is None
     assert (rows[1].kind, rows[1].scalar, rows[1].unit) == ("numeric", 7.0, "px")
+
+
+def test_tokens_are_not_broadcast(spark, tmp_path):
+    """Spark's guess of their size is far too low once they are spread over the context classes."""
+    spark.createDataFrame([("r", "s", "swift", "x", "f", 1, 1, S, "gap", "3")], SITE).write.parquet(f"{tmp_path}/sites")
+    spark.createDataFrame([("r", "s", "swift", "a", "a", S, "4")], TOKEN).write.parquet(f"{tmp_path}/tokens")
+    sites, tokens = spark.read.parquet(f"{tmp_path}/sites"), spark.read.parquet(f"{tmp_path}/tokens")
+    observed, read = inf.observed_values(sites), inf.normalized_tokens(tokens)
+    rules = suggestion_rules(inf.infer_tokens(sites, tokens), inf.suggestions(sites, tokens), tokens)
+
+    def joins(df):
+        return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+    assert joins(inf.value_suggestions(observed, read, 2.0)) == []
+    assert joins(inf.assess_values(observed, read, 2.0)) == []
+    assert [line for line in joins(rules) if "token_id" in line] == []

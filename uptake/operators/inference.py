@@ -3,6 +3,10 @@
 A site's result depends only on its scope, category, context and value, so the
 work runs over *distinct values* and is joined back to the sites at the end.  A
 value that a third of all sites share is therefore assessed once.
+
+What is read from tokens meets the values by shuffle: Spark takes its size from the
+compressed table, before tokens are spread over the context classes, and would send
+all of them through the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +20,11 @@ VALUE_KEY = ["category", "context", "value"]
 _MATCH = ["kind", "unit", "scalar", "text"]
 
 
+def _shuffled(tokens: DataFrame) -> DataFrame:
+    """The next join of rows that grow with the tokens sorts them, whatever their size is guessed to be."""
+    return tokens.hint("merge")
+
+
 def normalized_tokens(tokens: DataFrame, by=KEYS) -> DataFrame:
     """Every token under each of the five context classes.
 
@@ -60,7 +69,7 @@ def nearest_scalars(observed: DataFrame, tokens: DataFrame, tolerance: float, gr
     edges = tok.groupBy(*bin_key).agg(F.min("scalar").alias("mn"), F.max("scalar").alias("mx"))
     below = edges.select(*group, (F.col("bin") + 1.0).alias("bin"), F.col("mx").alias("lo_out"))
     above = edges.select(*group, (F.col("bin") - 1.0).alias("bin"), F.col("mn").alias("hi_out"))
-    near = inside.join(below, bin_key, "left").join(above, bin_key, "left")
+    near = inside.join(_shuffled(below), bin_key, "left").join(_shuffled(above), bin_key, "left")
     lo, hi = F.coalesce("lo_in", "lo_out"), F.coalesce("hi_in", "hi_out")
     gap = F.least(F.abs(F.col("scalar") - lo), F.abs(hi - F.col("scalar")))
     return (
@@ -90,7 +99,7 @@ def _near_matches(obs: DataFrame, tok: DataFrame, tolerance: float, group: list[
         sides, lambda t: F.array(cell_of(t) - 1.0, cell_of(t), cell_of(t) + 1.0))))
     probes = nearest.select(*group, F.col("scalar").alias("obs_scalar"), "distance", F.explode(cells).alias("cell"))
     return (
-        tok.withColumn("cell", cell_of(F.col("scalar")))
+        _shuffled(tok.withColumn("cell", cell_of(F.col("scalar"))))
         .join(probes, [*group, "cell"])
         .filter(F.abs(F.col("scalar") - F.col("obs_scalar")) == F.col("distance"))
         .drop("cell")
@@ -106,7 +115,7 @@ def value_suggestions(observed: DataFrame, tokens: DataFrame, tolerance: float,
 
     exact_key = [*scope, *_MATCH]
     assessed = observed.filter(F.col("kind") != "unsupported")
-    exact = assessed.join(usable.select(*exact_key, *described), exact_key).select(
+    exact = assessed.join(_shuffled(usable.select(*exact_key, *described)), exact_key).select(
         *by, *VALUE_KEY, *described,
         F.lit("exact").alias("match_kind"),
         F.when(numeric, F.lit(0.0)).alias("distance"),
@@ -118,7 +127,7 @@ def value_suggestions(observed: DataFrame, tokens: DataFrame, tolerance: float,
     group = [*scope, "unit"]
     matched = usable.select(*exact_key).distinct()
     obs = assessed.filter(numeric & near_allowed(F.col("category"), F.col("context_class"))).join(
-        matched, exact_key, "left_anti"
+        _shuffled(matched), exact_key, "left_anti"
     )
     tok = usable.filter(numeric)
     scalars = _near_matches(
@@ -126,7 +135,7 @@ def value_suggestions(observed: DataFrame, tokens: DataFrame, tolerance: float,
         tolerance, group,
     )
     near = obs.withColumnRenamed("scalar", "obs_scalar").join(
-        scalars.drop("scalar"), [*group, "obs_scalar"]
+        _shuffled(scalars.drop("scalar")), [*group, "obs_scalar"]
     ).select(
         *by, *VALUE_KEY, *described,
         F.lit("near").alias("match_kind"), "distance",
@@ -155,7 +164,7 @@ def assess_values(observed: DataFrame, tokens: DataFrame, tolerance: float, by=K
     hits = value_suggestions(observed, tokens, tolerance, by).groupBy(*by, *VALUE_KEY).agg(
         F.first("match_kind").alias("match_kind"), F.count(F.lit(1)).alias("suggestion_count")
     )
-    rows = observed.join(stats, scope, "left").join(hits, [*by, *VALUE_KEY], "left")
+    rows = observed.join(_shuffled(stats), scope, "left").join(_shuffled(hits), [*by, *VALUE_KEY], "left")
 
     unsupported = F.col("kind") == "unsupported"
     classification = (

@@ -121,6 +121,8 @@ def suggestion_rules(inference: DataFrame, suggestions: DataFrame, tokens: DataF
         *by, F.col("id").alias("token_id"), F.col("key").alias("_key"),
         F.col("value").alias("_value"), F.col("category").alias("_category"), F.lit(True).alias("_known"),
     )
+    # sorted, as Spark takes the size of tokens from their compressed table and would send them through the driver
+    known = known.hint("merge")
     d, kind = F.col("distance"), F.col("match_kind")
     violation = (
         F.when(F.col("classification").isNull(), "no_inference_row")
