@@ -293,3 +293,20 @@ def test_registry_of_files_is_asked_without_the_files(spark):
     for rows in code_files.registry_of(table(spark, "react", REACT)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Relation" in plan and "Aggregate" not in plan
+
+
+def test_texts_are_parsed_once(spark):
+    """What is left to run after a table was asked for reads no texts a second time."""
+    def parses(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+    files = table(spark, "swift", SWIFT)
+    found = swift.token_sites(files, token_keys(spark, "swift", ["Theme.space", "Theme.space.large", "large"]))
+    assert parses(found) <= 1
+    assert [(r.line, r.key) for r in found.collect()] == [(17, "Theme.space.large")]
+
+    files = table(spark, "react", {"src/a.tsx": "export const Row = () => <div />;\nconst Own = () => <p />;\nexport default Own;\nexport const size = 3;\n"})
+    packages = spark.createDataFrame([("r", "s", "src/a.tsx", "kit")], "repo_id string, snapshot_id string, file string, package string")
+    found = react.discovered(files, packages)
+    assert parses(found) <= 1
+    assert sorted((r.symbol, r.package) for r in found.collect()) == [("Own", "kit"), ("Row", "kit")]
