@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from uptake.functions import lexer
 from uptake.functions.lexer import lex, with_lexemes
 from uptake.operators.extract import kotlin, react, swift
 from uptake.operators.extract.common import FILES, _bounds_of
@@ -109,3 +110,12 @@ def test_scope_bounds_of_more_files_than_go_together():
     n = 2 * FILES + 3
     bounds = _bounds_of(pa.array([[0, 2]] * n), pa.array([[9, 5]] * n))
     assert bounds.to_pylist() == [[{"at": 0, "scope": 0}, {"at": 2, "scope": 1}, {"at": 5, "scope": 0}, {"at": 9, "scope": -1}]] * n
+
+
+def test_lists_keep_their_rows():
+    """Empty rows, rows of numbers, of pairs and of pairs with a text become the same lists."""
+    pairs, gaps = [[], [(1, 2), (3, 1 << 40)], []], [[(5, "open bracket")], [], []]
+    assert lexer._lists([[1, 2], [], [3]], lexer.pa.int64()).to_pylist() == [[1, 2], [], [3]]
+    assert lexer._lists(pairs, lexer._PAIR).to_pylist() == [[], [{"open": 1, "close": 2}, {"open": 3, "close": 1 << 40}], []]
+    assert lexer._lists(gaps, lexer._GAP).to_pylist() == [[{"at": 5, "what": "open bracket"}], [], []]
+    assert lexer._lists([[], []], lexer._PAIR).to_pylist() == [[], []]
